@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import chat, url_rules
+from . import chat, language_id, pii, quality_rules, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.query,
+        "op4_language_id": language_id.query,
+        "op5_quality_rules": quality_rules.query,
+        "op8_pii": pii.query,
         "op10_url_rules": url_rules.query,
     }
 
