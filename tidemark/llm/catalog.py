@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, pii, quality_rules, url_rules
+from . import chat, language_id, ngram_join, pii, quality_rules, url_rules
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat.query,
         "op4_language_id": language_id.query,
         "op5_quality_rules": quality_rules.query,
+        "op6_ngram_join": ngram_join.query,
         "op8_pii": pii.query,
         "op10_url_rules": url_rules.query,
     }
