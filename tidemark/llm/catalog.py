@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, language_id, ngram_join, pii, quality_rules, url_rules
+from . import chat, decontaminate, language_id, mixing, ngram_join, pii, quality_rules, url_rules
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.query,
+        "op2_mix_sources": mixing.query,
+        "op3_decontaminate": decontaminate.query,
         "op4_language_id": language_id.query,
         "op5_quality_rules": quality_rules.query,
         "op6_ngram_join": ngram_join.query,
@@ -19,5 +21,6 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.SQL,
+        "op3_decontaminate": decontaminate.SQL,
         "op10_url_rules": url_rules.SQL,
     }
