@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, url_rules
+from . import chat, decontaminate, kneser_ney, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, url_rules
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op4_language_id": language_id.query,
         "op5_quality_rules": quality_rules.query,
         "op6_ngram_join": ngram_join.query,
+        "op7_kneser_ney": kneser_ney.query,
         "op8_pii": pii.query,
         "op9_line_dedup": line_dedup.query,
         "op10_url_rules": url_rules.query,
