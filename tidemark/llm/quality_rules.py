@@ -188,6 +188,14 @@ def judge_quality(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     )
 
 
+def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
+    """The rows, with all their columns, whose texts are kept. Counts ride along with the rows."""
+    whole = documents.select(F.struct(*documents.columns).alias("row"), F.col("text"))
+    counted = whole.mapInArrow(_count, f"row {documents.schema.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    judged = counted.select("row", base_failed().alias("base_failed"), *ratio_columns()).withColumn("rule", rules_column(rules))
+    return judged.where(~F.col("base_failed") & F.col("rule").isNull()).select("row.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     documents, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     judged = judge_quality(documents, learn_from_labels(documents, labels))
