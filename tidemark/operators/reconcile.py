@@ -27,7 +27,7 @@ def reconcile(a: DataFrame, b: DataFrame, label_a: str = "A", label_b: str = "B"
     both = numbered(a, "a").join(numbered(b, "b"), [*by, "nth"], "full_outer")
     merged = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
     method = F.when(merged, f"{label_a}+{label_b}").when(F.col("in_a").isNotNull(), f"{label_a} only").otherwise(f"{label_b} only")
-    first = F.coalesce(description_score(F.col("orig_a")) >= description_score(F.col("orig_b")), F.col("in_a").isNotNull())
+    first = F.when(merged, description_score(F.col("orig_a")) >= description_score(F.col("orig_b"))).otherwise(F.col("in_a").isNotNull())
     return both.select(
         *by, F.when(first, F.col("place_a")).otherwise(F.col("place_b")).alias("place"), F.when(first, F.col("orig_a")).otherwise(F.col("orig_b")).alias("place_original"),
         method.alias("extraction_method"),

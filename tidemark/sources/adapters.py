@@ -39,4 +39,4 @@ def statement_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.concat(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit(" ORDER "), F.regexp_replace("o_orderpriority", "[^A-Z]", ""), F.lit(" SHOP $"), amount)
     each = t.groupBy(F.col("o_custkey").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("x"))
     body = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
-    return each.select("doc_id", F.concat(F.lit("ACCOUNT ACTIVITY\n"), body, F.lit("\nTOTAL DEBITS 0.00\nnothing more")).alias("text"))
+    return each.select("doc_id", F.concat(F.lit("ACCOUNT ACTIVITY\n"), body, F.lit("\nTOTAL DEBITS $0.00\nnothing more")).alias("text"))

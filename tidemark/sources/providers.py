@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
+
 
 class TextProvider(Protocol):
     def answer(self, inputs: pd.Series) -> pd.Series:
@@ -77,23 +79,32 @@ CHAIN_WORDS = ["Home", "Depot", "Cash", "App", "Grand", "Junction", "Coborns", "
 
 def scrub_answer(answer: Column, original: Column) -> Column:
     """A model's answer as a name, or null if it is an echo, the input itself or no name."""
-    t = F.trim(F.regexp_replace(answer, "[\"']", ""))
-    t = F.trim(F.substring_index(t, "\n", 1))
-    cut = t
-    for marker in reversed(ANSWER_MARKERS):
-        cut = F.when(F.contains(t, F.lit(marker)), F.trim(F.substring_index(t, marker, 1))).otherwise(cut)
-    t = cut
+
+    def before_marker(t: Column) -> Column:
+        out = F.when(F.contains(t, F.lit(ANSWER_MARKERS[0])), F.substring_index(t, ANSWER_MARKERS[0], 1))
+        for marker in ANSWER_MARKERS[1:]:
+            out = out.when(F.contains(t, F.lit(marker)), F.substring_index(t, marker, 1))
+        return F.trim(out.otherwise(t))
+
+    def before_chain(t: Column) -> Column:
+        words = F.split(t, r"\s+")
+        at = F.array_min(F.transform(words, lambda w, i: F.when((i > 2) & w.isin(CHAIN_WORDS), i)))
+        cut = F.array_join(F.slice(words, F.lit(1), F.coalesce(at, F.lit(0))), " ")
+        return F.when((F.size(words) > 4) & at.isNotNull(), cut).otherwise(t)
+
+    def checked(t: Column) -> Column:
+        echo = F.lower(t).rlike("|".join(ECHOES))
+        return F.when(~echo & F.length(t).between(3, 60) & t.rlike(r"\pL") & (F.lower(t) != F.lower(original)), t)
+
+    t = F.trim(F.substring_index(F.trim(F.regexp_replace(answer, "[\"']", "")), "\n", 1))
+    t = let(t, before_marker)
     for p in ANSWER_PREFIXES:
-        t = F.when(F.upper(t).startswith(p), F.trim(F.substring(t, len(p) + 1, 1000))).otherwise(t)
-    t = F.trim(F.regexp_replace(F.replace(F.replace(t, F.lit("* "), F.lit(" ")), F.lit(" *"), F.lit(" ")), r"^\*+|\*+$", ""))
-    words = F.split(t, r"\s+")
-    chain = F.array_min(F.filter(F.transform(words, lambda w, i: F.when((i > 2) & w.isin(CHAIN_WORDS), i)), lambda i: i.isNotNull()))
-    t = F.when((F.size(words) > 4) & chain.isNotNull(), F.array_join(F.slice(words, F.lit(1), F.coalesce(chain, F.lit(0))), " ")).otherwise(t)
+        t = F.regexp_replace(t, rf"(?i)^\Q{p}\E\s*", "")
+    t = F.replace(F.replace(t, F.lit("* "), F.lit(" ")), F.lit(" *"), F.lit(" "))
+    t = let(F.trim(F.regexp_replace(t, r"^\*+|\*+$", "")), before_chain)
     for p in PROMPT_PREFIXES:
-        t = F.when(F.lower(t).startswith(p.lower()), F.regexp_replace(F.trim(F.substring(t, len(p) + 1, 1000)), r"^:+\s*", "")).otherwise(t)
-    echo = F.lower(t).rlike("|".join(ECHOES))
-    fine = F.length(t).between(3, 60) & t.rlike(r"\pL") & (F.lower(t) != F.lower(original))
-    return F.when(~echo & fine, t)
+        t = F.regexp_replace(t, rf"(?i)^\Q{p}\E\s*:*\s*", "")
+    return let(F.trim(t), checked)
 
 
 def match_label(answer: Column, labels: list[str]) -> Column:
