@@ -30,6 +30,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import let
 from ..session import stash
 
 
@@ -59,7 +60,38 @@ def _lookup_keys(edits: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _common_start(a: Column, b: Column) -> Column:
+    """How many characters both begin with (of the first 65,535), by halving steps."""
+    most = F.least(F.length(a), F.length(b))
+
+    def longer(at: Column, step: Column) -> Column:
+        same = F.substring(a, at + 1, step) == F.substring(b, at + 1, step)
+        return F.when((at + step <= most) & same, at + step).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(1 << i) for i in range(15, -1, -1)]), F.lit(0), longer)
+
+
+def _without_start(x: Column) -> Column:
+    """x (a, b) without what both begin with, each read backwards."""
+
+    def cut(at: Column) -> Column:
+        return F.struct(*[F.reverse(F.substring(x[c], at + 1, F.length(x[c]))).alias(c) for c in ("a", "b")])
+
+    return let(_common_start(x["a"], x["b"]), cut)
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
+    """Whether b comes from a by at most `edits` edits. Equal starts and ends are left out first."""
+
+    def rest(x: Column) -> Column:
+        sizes = F.greatest(F.length(x["a"]), F.length(x["b"]))
+        return F.when(F.least(F.length(x["a"]), F.length(x["b"])) == 0, sizes <= edits).otherwise(_band(x["a"], x["b"], edits))
+
+    near = F.abs(F.length(a) - F.length(b)) <= edits
+    return near & let(let(F.struct(a.alias("a"), b.alias("b")), _without_start), lambda x: let(_without_start(x), rest))
+
+
+def _band(a: Column, b: Column, edits: int) -> Column:
     """Whether b comes from a by at most `edits` edits; neither is empty.
 
     After t characters of b, bit p of state e says that the first t + p - edits characters of
@@ -67,24 +99,28 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     """
     band = 2 * edits + 1
     full = (1 << band) - 1
-    one, two = F.split(a, ""), F.split(b, "")
 
-    def equal(x: Column, t: Column) -> Column:
-        bits = [F.when(F.get(one, (t + (p - edits)).cast("int")) == x, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(band)]
+    def mask(one: Column, x: Column, t: Column) -> Column:
+        """The places of the band where the other line has the character x."""
+        bits = [F.when(F.get(one, t + (p - edits)) == x, F.lit(1 << p)).otherwise(F.lit(0)) for p in range(band)]
         return reduce(lambda u, v: u.bitwiseOR(v), bits)
 
-    def step(state: Column, mask: Column) -> Column:
-        new = [state["e0"].bitwiseAND(mask)]
+    def step(state: Column, same: Column) -> Column:
+        new = [state["e0"].bitwiseAND(same)]
         for e in range(1, edits + 1):
             before = state[f"e{e - 1}"]
-            moved = state[f"e{e}"].bitwiseAND(mask).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1))
+            moved = state[f"e{e}"].bitwiseAND(same).bitwiseOR(before).bitwiseOR(F.shiftright(before, 1))
             new.append(moved.bitwiseOR(F.shiftleft(new[-1], 1)).bitwiseAND(F.lit(full)))
         return F.struct(*[x.alias(f"e{e}") for e, x in enumerate(new)])
 
     start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits & full).alias(f"e{e}") for e in range(edits + 1)])
-    ends = F.aggregate(F.transform(two, equal), start, step)[f"e{edits}"]
+
+    def ends(one: Column) -> Column:
+        masks = F.transform(F.split(b, ""), lambda x, t: mask(one, x, t))
+        return F.aggregate(masks, start, step)[f"e{edits}"]
+
     apart = F.length(a) - F.length(b)
-    return (F.abs(apart) <= edits) & (F.call_function("shiftright", ends, apart + edits).bitwiseAND(F.lit(1)) == 1)
+    return (F.abs(apart) <= edits) & (F.call_function("shiftright", let(F.split(a, ""), ends), apart + edits).bitwiseAND(F.lit(1)) == 1)
 
 
 def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000) -> DataFrame:

@@ -5,8 +5,10 @@ way, rare ones first. A document with n shingles shares at least o = ceil(t * n)
 any document that reaches the similarity t, so that among its first n - o + m shingles, its
 m-prefix, there are the first m that both have. Each document picks its own m: a longer
 prefix costs more postings, and asks partners for more shared shingles. It takes the m with
-the lowest estimate of postings read plus candidates verified; a pair is verified if its
-prefixes share at least the smaller m of the two. No similar pair is missed.
+the lowest estimate of postings read plus candidates verified. What two prefixes share, plus
+the longer of the two remainders, bounds what the documents share; a pair is verified only
+if that bound reaches the overlap that its sizes ask for, which is never less than the
+smaller m of the two. No similar pair is missed.
 
 How common a shingle is comes from a sketch of fixed size: every task counts the shingles
 that it sees twice, and adds those counts by hash. It decides on the order and on m only,
@@ -40,7 +42,7 @@ from .components import connected_components
 
 SLOTS, CHUNK = 1 << 20, 1 << 12
 DEEPEST, VERIFY_COST = 6, 8.0
-TOKENS_IN_SHARD, GROUP = 1_500_000, 256
+TOKENS_IN_SHARD, GROUP, MOST_SENT = 1_500_000, 256, 1_000_000
 
 
 def _sets(t: tb.Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,25 +163,33 @@ def _postings(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"token": tok.astype(np.int64), "node": info[:, 0].astype(np.int64), "n": info[:, 1].astype(np.int64), "m": info[:, 2].astype(np.int32)})
 
 
+def _needed(n: np.ndarray, m: np.ndarray, other_n: np.ndarray, other_m: np.ndarray, percent: int) -> np.ndarray:
+    """How many tokens the prefixes of a similar pair share at least."""
+    overlap = -(-percent * (n + other_n) // (100 + percent))
+    rest = np.maximum(-(-percent * n // 100) - m, -(-percent * other_n // 100) - other_m)
+    return np.maximum(overlap - rest, np.minimum(m, other_m))
+
+
 def _hubs(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(node, hub, times): in each list, the first node of like size is the hub of the others."""
+        """(node, hub, needed, times): in each list, the first node of like size is the hub of the others."""
         for rows in batches:
             band = np.floor(np.log(rows["n"].to_numpy()) / -np.log(percent / 100)).astype(np.int64)
             tok, node = rows["token"].to_numpy(), rows["node"].to_numpy()
             order = np.lexsort((node, band, tok))
-            tok, band, node = tok[order], band[order], node[order]
+            tok, band, node, n, m = tok[order], band[order], node[order], rows["n"].to_numpy()[order], rows["m"].to_numpy()[order]
             first = np.ones(len(tok), bool)
             first[1:] = (tok[1:] != tok[:-1]) | (band[1:] != band[:-1])
-            hub = node[first][np.cumsum(first) - 1]
-            yield pd.DataFrame({"node": node[~first], "hub": hub[~first]}).value_counts().rename("times").reset_index()
+            at = np.flatnonzero(first)[np.cumsum(first) - 1][~first]
+            needed = _needed(n[~first], m[~first], n[at], m[at], percent)
+            yield pd.DataFrame({"node": node[~first], "hub": node[at], "needed": needed}).value_counts().rename("times").reset_index()
 
     return run
 
 
 def _shard_pairs(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """(a, b, times, m) of nodes in the same list whose labels and sizes allow a link."""
+        """(a, b, times, needed) of nodes in the same list whose labels and sizes allow a link."""
         rows = rows.sort_values(["token", "n", "node"], ignore_index=True)
         tok, node, n, m, label = (rows[c].to_numpy() for c in ("token", "node", "n", "m", "label"))
         ends = np.searchsorted(tok, tok, "right")
@@ -188,7 +198,7 @@ def _shard_pairs(percent: int):
 
         def fold() -> None:
             d = pd.concat(held + total)
-            total[:] = [d.groupby(["a", "b"], as_index=False).agg(times=("times", "sum"), m=("m", "min"))]
+            total[:] = [d.groupby(["a", "b"], as_index=False).agg(times=("times", "sum"), needed=("needed", "min"))]
             held.clear()
 
         for i in range(len(tok)):
@@ -199,14 +209,14 @@ def _shard_pairs(percent: int):
             others = np.flatnonzero(label[i + 1 : last] != label[i]) + i + 1
             if len(others):
                 a, b = np.minimum(node[i], node[others]), np.maximum(node[i], node[others])
-                held.append(pd.DataFrame({"a": a, "b": b, "times": 1, "m": np.minimum(m[i], m[others])}))
+                held.append(pd.DataFrame({"a": a, "b": b, "times": 1, "needed": _needed(n[i], m[i], n[others], m[others], percent)}))
                 size += len(others)
                 if size > 1_000_000:
                     fold()
                     size = 0
         if held:
             fold()
-        return total[0] if total else pd.DataFrame({"a": [], "b": [], "times": [], "m": []}).astype("int64")
+        return total[0] if total else pd.DataFrame({"a": [], "b": [], "times": [], "needed": []}).astype("int64")
 
     return run
 
@@ -230,13 +240,22 @@ def _verify(percent: int):
     return run
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar. A node with many partners is dealt out in groups."""
+def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets are similar.
+
+    nodes has one doc_id of each node; the sets are worked out anew from those texts. A node
+    with many partners is dealt out in groups.
+    """
+    pairs = stash(pairs, "ngram-pairs")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stash(named.join(nodes, "node").select("doc_id"), "ngram-wanted")
+    few = wanted.count() <= MOST_SENT
+    sets = stash(texts.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_set_rows(k), "node long, tokens binary"), "ngram-sets")
     many = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
     right = dealt.join(sets.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("to"), F.col("part").alias("group"), "b", F.col("tokens").alias("set"))
     left = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), "tokens"), "a")
-    return left.groupBy("a", "part").cogroup(right.groupBy("to", "group")).applyInPandas(_verify(percent), "a long, b long")
+    return stash(left.groupBy("a", "part").cogroup(right.groupBy("to", "group")).applyInPandas(_verify(percent), "a long, b long"), "ngram-links")
 
 
 def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
@@ -254,25 +273,21 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     packed = texts.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shards, spark.sparkContext.broadcast(sketch.reshape(-1))), "shard long, tokens binary, nodes binary")
     postings = stash(packed.groupBy("shard").applyInPandas(_postings, "token long, node long, n long, m int"), "ngram-postings")
 
-    # Two nodes of a list may be in different batches or files; such a hub is only another one.
-    hubs = postings.mapInPandas(_hubs(percent), "node long, hub long, times long").groupBy("node", "hub").agg(F.sum("times").alias("times"))
-    best = hubs.groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
+    # A list may lie in two batches; each then has a hub of its own. Hubs see a part of what a pair
+    # shares, and half of what it needs will do: which pairs are tried here decides on speed only.
+    hubs = postings.mapInPandas(_hubs(percent), "node long, hub long, needed long, times long").groupBy("node", "hub").agg(F.sum("times").alias("times"), F.min("needed").alias("needed"))
+    best = hubs.where("2 * times >= needed").groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
     nodes = members.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    needed = postings.select("node").distinct().join(nodes, "node")
-    sets = stash(
-        texts.join(needed.select("doc_id"), "doc_id", "left_semi").mapInArrow(_set_rows(k), "node long, tokens binary").dropDuplicates(["node"]), "ngram-sets"
-    )
-    links = stash(_linked(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, percent), "ngram-links")
+    links = _linked(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, texts, k, percent)
     labels = connected_components(links)
     labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     open_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
     pairs = (
         labelled.join(open_lists, "token").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards)))
-        .groupBy("shard").applyInPandas(_shard_pairs(percent), "a long, b long, times long, m long")
-        .groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("m").alias("m")).where("times >= m").select("a", "b")
+        .groupBy("shard").applyInPandas(_shard_pairs(percent), "a long, b long, times long, needed long")
+        .groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("needed").alias("needed")).where("times >= needed").select("a", "b")
     )
-    more = stash(_linked(pairs, sets, percent), "ngram-links")
-    labels = connected_components(links.unionByName(more))
+    labels = connected_components(links.unionByName(_linked(pairs, nodes, texts, k, percent)))
     found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = found.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return found.join(smallest, "label", "left").select(
