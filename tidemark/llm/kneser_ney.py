@@ -147,7 +147,8 @@ class _Shard:
             next_at = self.slots[home[todo] + step]
             at[todo] = next_at
             todo = todo[(next_at >= 0) & (self.grams[next_at] != grams[todo])]
-        return self.bits[at]  # a gram of another shard ends at a free slot, -1: no bits
+        at[todo] = -1
+        return self.bits[at]  # a gram of another shard ends at a free slot or after all steps, -1: no bits
 
 
 def score(documents: DataFrame, tables: list[tuple[DataFrame, DataFrame]], shard_rows: int = 4_000_000) -> DataFrame:
