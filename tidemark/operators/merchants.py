@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_merchant, normalize_label
+from ..session import stash
 from ..sources.providers import TextProvider, ask, scrub_answer
 
 
@@ -44,9 +45,13 @@ def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: Tex
         known = names.withColumn("cached", F.lit(None).cast("string"))
     else:
         known = names.join(cache.select("cache_key", F.col("place").alias("cached")), "cache_key", "left")
-    pattern = clean_merchant(F.col("raw_name"))
-    asked = normalize_label(scrub_answer(ask(pattern, provider), F.col("raw_name")))
-    fresh = known.where("cached is null").select("raw_name", F.coalesce(asked, pattern).alias("place"))
+    fresh = known.where("cached is null").select("raw_name", clean_merchant(F.col("raw_name")).alias("pattern"))
+    if provider is None:
+        fresh = fresh.withColumnRenamed("pattern", "place")
+    else:
+        answers = stash(fresh.withColumn("answer", ask(F.col("pattern"), provider)), "answers")  # each name is asked for once
+        scrubbed = stash(answers.select("raw_name", "pattern", scrub_answer(F.col("answer"), F.col("raw_name")).alias("scrubbed")), "scrubbed")
+        fresh = scrubbed.select("raw_name", F.coalesce(normalize_label(F.col("scrubbed")), "pattern").alias("place"))
     done = known.where("cached is not null").select("raw_name", F.col("cached").alias("place")).unionByName(fresh)
     return ledger.drop("place").join(done, ledger[column] == done["raw_name"], "left").drop("raw_name")
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_place
 from ..operators import categorize, classify, merchants, reconcile, review, statements, transfers
+from ..session import stash
 from ..sources import keywords
 from ..sources.providers import TextProvider
 
@@ -36,11 +37,12 @@ def parse_month(texts: DataFrame, settings: Settings, cache: DataFrame | None =
 
     def side(name: str) -> DataFrame:
         rows = statements.parse_statements(texts.where(F.col("extractor") == name), settings.year, signed=not settings.strict)
-        return rows.withColumn("ordinal", F.col("line_no"))
+        # The parser is one large expression: filters pushed into it would repeat it.
+        return stash(rows.withColumn("ordinal", F.col("line_no")), f"parsed-{name}")
 
     a, b = side("A"), side("B")
     rows = reconcile.reconcile(a, b).where("amount is not null")
-    rows = merchants.clean_names(rows, cache, settings.provider).withColumn("place", clean_place(F.col("place")))
+    rows = stash(merchants.clean_names(rows, cache, settings.provider).withColumn("place", clean_place(F.col("place"))), "cleaned")
     rows = rows.join(about, "doc_id").where(~transfers.is_transfer(F.col("place_original"), F.col("place"), settings.transfers))
     none = F.lit(None).cast("decimal(12,2)")
     kind = classify.transaction_type(F.col("is_bank_account"), F.col("amount"), none, none, F.col("place_original"), settings.income, settings.strict)

@@ -12,8 +12,9 @@ from ..operators.statements import parse_statements
 
 def stream_statements(spark: SparkSession, root: str) -> DataFrame:
     """New text statements below a folder: doc_id, path and text."""
-    files = spark.readStream.schema("value string").option("recursiveFileLookup", "true").option("wholetext", "true").text(root)
-    return files.select(F.sha2("value", 256).alias("doc_id"), F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # The streaming text source splits files into lines, so whole files come as bytes.
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(root)
+    return files.select(F.sha2("content", 256).alias("doc_id"), "path", F.decode("content", "UTF-8").alias("text"))
 
 
 def ingest_new(spark: SparkSession, root: str, ledger_path: str, checkpoint: str, default_year: int) -> StreamingQuery:
