@@ -5,10 +5,12 @@ way, rare ones first. A document with n shingles shares at least o = ceil(t * n)
 any document that reaches the similarity t, so that among its first n - o + m shingles, its
 m-prefix, there are the first m that both have. Each document picks its own m: a longer
 prefix costs more postings, and asks partners for more shared shingles. It takes the m with
-the lowest estimate of postings read plus candidates verified. What two prefixes share, plus
-the longer of the two remainders, bounds what the documents share; a pair is verified only
-if that bound reaches the overlap that its sizes ask for, which is never less than the
-smaller m of the two. No similar pair is missed.
+the lowest estimate of postings read plus candidates verified. Each posting has its place in
+its document's order. If a pair of sizes has to share o shingles, then the first m of them,
+with the smaller m of the two, lie among the first n - o + m of each document, which for
+documents of like size is much less than the whole prefix; and at each shared shingle, what
+can come before it and after it must add up to o. Only postings that fit both count, and a
+pair is verified if m of them do. No similar pair is missed.
 
 How common a shingle is comes from a sketch of fixed size: every task counts the shingles
 that it sees twice, and adds those counts by hash. It decides on the order and on m only,
@@ -16,9 +18,11 @@ so its errors cost time and never links.
 
 Only whether documents hang together is asked, so a group of n near copies doesn't need
 its n * n pairs. In each posting list the documents of like size are first compared with one
-hub; what is linked gets one label, and only documents of the same list whose labels still
-differ are then compared with each other. Documents with the same set are one node from the
-start.
+hub, the one whose shingles are the most common: among near copies that is the one with the
+fewest changes. What is linked gets one label, and only documents of the same list whose
+labels still differ are then compared with each other: one too far from the hub has so many
+shingles of its own that these fill the places where those of the group would count.
+Documents with the same set are one node from the start.
 
 Shingles are 64-bit hashes (textbatch.py). Defined results: a null or empty text has no
 shingles and links with nothing; a text with fewer than k words has its whole sequence as
@@ -92,7 +96,7 @@ def _add_chunks(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _prefixes(k: int, percent: int, shards: int, sketch):
-    """Each task's prefixes, packed by shard: tokens, and for each node its size, its m and its number of tokens."""
+    """Each task's prefixes, packed by shard: tokens with their places, and for each node its size, its m, how common its shingles are, and its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = sketch.value
@@ -101,19 +105,21 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
 
         def flush() -> pa.RecordBatch:
             tok, own = np.concatenate(toks), np.concatenate(owners)
-            info = np.concatenate(infos)  # node, n, m
+            place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in toks])
+            info = np.concatenate(infos)  # node, n, m, centre
             shard = (tok % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
-            tok, own, shard = tok[order], own[order], shard[order]
+            tok, own, shard, place = tok[order], own[order], shard[order], place[order]
             cuts = np.flatnonzero(np.diff(shard)) + 1
             starts = np.concatenate([[0], cuts])
-            out = {"shard": shard[starts], "tokens": [], "nodes": []}
+            out = {"shard": shard[starts], "tokens": [], "places": [], "nodes": []}
             for a, b in zip(starts, np.concatenate([cuts, [len(tok)]])):
                 new = np.flatnonzero(np.concatenate([[True], own[a + 1 : b] != own[a : b - 1]]))
                 rows = np.column_stack([info[own[a:b][new]], np.diff(np.concatenate([new, [b - a]])).astype(np.uint64)])
                 out["tokens"].append(tok[a:b].tobytes())
+                out["places"].append(place[a:b].tobytes())
                 out["nodes"].append(rows.astype(np.uint64).tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(out["shard"]), pa.array(out["tokens"], pa.binary()), pa.array(out["nodes"], pa.binary())], names=["shard", "tokens", "nodes"])
+            return pa.RecordBatch.from_arrays([pa.array(out["shard"]), *[pa.array(out[x], pa.binary()) for x in ("tokens", "places", "nodes")]], names=list(out))
 
         for _, t in tb.pieces(batches):
             tokens, bounds, n, node = _sets(t, k)
@@ -135,7 +141,7 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
                     m, x = 1, x[: shortest + 1]
                 toks.append(x)
                 owners.append(np.full(len(x), len(infos)))
-                infos.append(np.array([[name, n[i], m]], np.uint64))
+                infos.append(np.array([[name, n[i], m, int(1000 * np.log1p(w).mean())]], np.uint64))
                 size += len(x)
             if size > 2_000_000:
                 yield flush()
@@ -147,10 +153,11 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
 
 
 def _postings(rows: pd.DataFrame) -> pd.DataFrame:
-    """The lists of one shard that have two nodes at least; (token, node, n, m), and each node's hub."""
+    """The lists of one shard that have two nodes at least; (token, node, n, m, place, centre)."""
     tok = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["tokens"]])
-    nodes = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 4) for b in rows["nodes"]])
-    info = np.repeat(nodes[:, :3], nodes[:, 3].astype(np.int64), axis=0)
+    nodes = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 5) for b in rows["nodes"]])
+    place = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["places"]])
+    info = np.column_stack([np.repeat(nodes[:, :4], nodes[:, 4].astype(np.int64), axis=0), place])
     order = np.lexsort((info[:, 0], tok))
     tok, info = tok[order], info[order]
     keep = np.ones(len(tok), bool)
@@ -160,23 +167,28 @@ def _postings(rows: pd.DataFrame) -> pd.DataFrame:
     many[1:] = tok[1:] == tok[:-1]
     many[:-1] |= many[1:]
     tok, info = tok[many], info[many]
-    return pd.DataFrame({"token": tok.astype(np.int64), "node": info[:, 0].astype(np.int64), "n": info[:, 1].astype(np.int64), "m": info[:, 2].astype(np.int32)})
+    return pd.DataFrame({"token": tok.astype(np.int64), "node": info[:, 0].astype(np.int64), "n": info[:, 1].astype(np.int64), "m": info[:, 2].astype(np.int32), "centre": info[:, 3].astype(np.int32), "place": info[:, 4].astype(np.int32)})
+
+
+def _overlap(n: np.ndarray, other_n: np.ndarray, percent: int) -> np.ndarray:
+    """How many shingles a similar pair of these sizes shares at least."""
+    return -(-percent * (n + other_n) // (100 + percent))
 
 
 def _needed(n: np.ndarray, m: np.ndarray, other_n: np.ndarray, other_m: np.ndarray, percent: int) -> np.ndarray:
     """How many tokens the prefixes of a similar pair share at least."""
-    overlap = -(-percent * (n + other_n) // (100 + percent))
+    overlap = _overlap(n, other_n, percent)
     rest = np.maximum(-(-percent * n // 100) - m, -(-percent * other_n // 100) - other_m)
     return np.maximum(overlap - rest, np.minimum(m, other_m))
 
 
 def _hubs(percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """(node, hub, needed, times): in each list, the first node of like size is the hub of the others."""
+        """(node, hub, needed, times): in each list, the most central node of like size is the hub of the others."""
         for rows in batches:
             band = np.floor(np.log(rows["n"].to_numpy()) / -np.log(percent / 100)).astype(np.int64)
             tok, node = rows["token"].to_numpy(), rows["node"].to_numpy()
-            order = np.lexsort((node, band, tok))
+            order = np.lexsort((node, -rows["centre"].to_numpy(), band, tok))
             tok, band, node, n, m = tok[order], band[order], node[order], rows["n"].to_numpy()[order], rows["m"].to_numpy()[order]
             first = np.ones(len(tok), bool)
             first[1:] = (tok[1:] != tok[:-1]) | (band[1:] != band[:-1])
@@ -189,9 +201,11 @@ def _hubs(percent: int):
 
 def _shard_pairs(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """(a, b, times, needed) of nodes in the same list whose labels and sizes allow a link."""
+        """(a, b, times, needed) of nodes in the same list whose labels, sizes and places allow a link."""
+        # The overlap that a partner of the same size asks for is the least for any that isn't shorter.
         rows = rows.sort_values(["token", "n", "node"], ignore_index=True)
-        tok, node, n, m, label = (rows[c].to_numpy() for c in ("token", "node", "n", "m", "label"))
+        tok, node, n, m, place, label = (rows[c].to_numpy() for c in ("token", "node", "n", "m", "place", "label"))
+        counts = place < n - _overlap(n, n, percent) + m
         ends = np.searchsorted(tok, tok, "right")
         total: list[pd.DataFrame] = []
         held, size = [], 0
@@ -202,14 +216,19 @@ def _shard_pairs(percent: int):
             held.clear()
 
         for i in range(len(tok)):
-            if ends[i] - i < 2:
+            if ends[i] - i < 2 or not counts[i]:
                 continue
             # Sizes are in order, so those that are too large end the list.
             last = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 100 // percent, "right"))
             others = np.flatnonzero(label[i + 1 : last] != label[i]) + i + 1
+            least = _overlap(n[i], n[others], percent)
+            needed = np.minimum(m[i], m[others])
+            fits = (place[i] < n[i] - least + needed) & (place[others] < n[others] - least + needed)
+            fits &= np.minimum(place[i], place[others]) + np.minimum(n[i] - place[i], n[others] - place[others]) >= least
+            others, needed = others[fits], needed[fits]
             if len(others):
                 a, b = np.minimum(node[i], node[others]), np.maximum(node[i], node[others])
-                held.append(pd.DataFrame({"a": a, "b": b, "times": 1, "needed": _needed(n[i], m[i], n[others], m[others], percent)}))
+                held.append(pd.DataFrame({"a": a, "b": b, "times": 1, "needed": needed.astype(np.int64)}))
                 size += len(others)
                 if size > 1_000_000:
                     fold()
@@ -270,8 +289,8 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
         sketch[row["chunk"]] = np.frombuffer(row["counts"], np.uint32)
     total = members.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 2)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TOKENS_IN_SHARD))
-    packed = texts.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shards, spark.sparkContext.broadcast(sketch.reshape(-1))), "shard long, tokens binary, nodes binary")
-    postings = stash(packed.groupBy("shard").applyInPandas(_postings, "token long, node long, n long, m int"), "ngram-postings")
+    packed = texts.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shards, spark.sparkContext.broadcast(sketch.reshape(-1))), "shard long, tokens binary, places binary, nodes binary")
+    postings = stash(packed.groupBy("shard").applyInPandas(_postings, "token long, node long, n long, m int, centre int, place int"), "ngram-postings")
 
     # A list may lie in two batches; each then has a hub of its own. Hubs see a part of what a pair
     # shares, and half of what it needs will do: which pairs are tried here decides on speed only.
