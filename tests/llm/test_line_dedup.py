@@ -65,3 +65,12 @@ def test_statistics_odd_rows_and_columns(spark, odd_documents):
     assert line_dedup.dedup_lines(odd_documents.limit(0)).count() == 0
     with pytest.raises(ValueError):
         line_dedup.dedup_lines(odd_documents, edits=0)
+
+
+def test_short_lines_that_repeat(spark):
+    rows = [(1, "Home\n\nMenu\n \nHome\nab"), (2, "Menu\nHomes\n\nac\né"), (3, "é\n" + " " * 25 + "\nx"), (4, " " * 25 + "\nLes.")]
+    rows += [(i, f"Les.\nown line {i}") for i in range(5, 40)]
+    out = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    texts = {i: r["text"] for i, r in out.items()}
+    assert texts[1] == "Home\n\nMenu\n \nab" and texts[2] == "Homes\n\nac\né" and texts[3] == " " * 25 + "\nx" and texts[4] == "Les."
+    assert all(texts[i] == f"own line {i}" and out[i]["line_stats"]["n_equal"] == 1 for i in range(5, 40))

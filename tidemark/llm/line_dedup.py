@@ -1,8 +1,10 @@
 """Line dedup: a segment-partition edit join over the different lines of a corpus.
 
-Lines of at least min_chars code points are compared; shorter ones stay as they are. Of equal
-lines the first stays, by (doc_id, number of the line). A line whose first place comes after
-that of another line within `edits` insertions, deletions and substitutions goes as well.
+Of equal lines the first stays, by (doc_id, number of the line), however short they are; only
+blank lines under near_chars code points, which divide paragraphs, stay as they are. A line of
+at least near_chars whose first place comes after that of another such line within `edits`
+insertions, deletions and substitutions goes as well. In shorter lines so few edits make
+another word or number, so these are only compared for equality.
 
 To find those pairs, a line of length l is cut into edits + 1 even segments. If two lines are
 within reach, the longer one holds some segment of the shorter one unchanged, and it begins
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from ..functions.expr import let
 from ..session import stash
 
+NEAR_CHARS = 20
+
 
 def _bounds(size: Column, i: int, parts: int) -> tuple[Column, Column]:
     """Where segment i of a line of this length starts, and its length."""
@@ -140,15 +144,24 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000) -> DataFr
     return both.select(F.greatest("first_a", "first_b").alias("first")).distinct()
 
 
-def dedup_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
+def _compared(line: Column, min_chars: int, near_chars: int) -> Column:
+    return (F.length(line) >= min_chars) & ((F.length(line) >= near_chars) | line.rlike(r"[^\s]"))
+
+
+def dedup_lines(documents: DataFrame, edits: int = 2, min_chars: int | None = None, near_chars: int | None = None) -> DataFrame:
     """All rows and columns, with text cut down to the lines that stay, and with line_stats:
-    the numbers of lines, of lines equal to an earlier one, and of lines near an earlier one."""
+    the numbers of lines, of lines equal to an earlier one, and of lines near an earlier one.
+
+    Lines under min_chars (none by default) are left alone, those under near_chars (20, or
+    min_chars if that is given) are compared for equality only."""
     if not 1 <= edits <= 8:
         raise ValueError("edits has to be from 1 to 8")
+    near_chars = near_chars or min_chars or NEAR_CHARS
+    min_chars = min_chars or 1
     split = F.split("text", "\n")
-    each = documents.where("doc_id is not null").select("doc_id", F.posexplode(split).alias("at", "line")).where(F.length("line") >= min_chars)
+    each = documents.where("doc_id is not null").select("doc_id", F.posexplode(split).alias("at", "line")).where(_compared(F.col("line"), min_chars, near_chars))
     lines = stash(each.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first")), "lines")
-    near = near_lines(lines, edits)
+    near = near_lines(lines.where(F.length("line") >= near_chars), edits)
     places = lines.select("first.doc_id", "first.at", F.lit(False).alias("near")).unionByName(near.select("first.doc_id", "first.at", F.lit(True).alias("near")))
     kept = places.groupBy("doc_id").agg(
         F.collect_set(F.when(~F.col("near"), F.col("at"))).alias("firsts"), F.collect_set(F.when(F.col("near"), F.col("at"))).alias("nears")
@@ -156,7 +169,7 @@ def dedup_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20) -> Da
     row = documents.select(F.struct(*[c for c in documents.columns if c != "line_stats"]).alias("row"), F.col("doc_id").alias("id"), split.alias("lines"))
     joined = row.join(kept.select(F.col("doc_id").alias("id"), "firsts", "nears"), "id", "left")
     none = F.array().cast("array<int>")
-    compared = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.length(F.get("lines", i)) >= min_chars)
+    compared = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _compared(F.get("lines", i), min_chars, near_chars))
     whole = F.sequence(F.lit(0), F.size("lines") - 1)
     stays = F.array_sort(F.array_except(whole, F.array_except(F.col("compared"), F.array_except("firsts", "nears"))))
     joined = joined.withColumns({"firsts": F.coalesce("firsts", none), "nears": F.coalesce("nears", none), "compared": compared})
