@@ -30,9 +30,23 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest id stays."""
-    first = ngram_join.similar_components(docs).where("component_id = doc_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of similar documents one row stays.
+
+    Rows are told apart by a hash of all their columns, as ids may be null or repeat. The row
+    with the smallest id stays (by that hash if ids are equal); rows without an id come last,
+    and of rows that are equal in every column there is one. A text without words is similar
+    to no other, and its row stays.
+    """
+    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    rows = docs.select(key.alias("row_key"), F.col("doc_id").alias("id"), "text")
+    found = ngram_join.similar_components(rows.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = stash(rows.groupBy("row_key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "row-keys")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "row_key")
+    first = found.join(ids, "row_key").groupBy("component_id").agg(F.min(order).alias("first")).select("first.row_key")
+    kept = docs.withColumn("row_key", key).join(first, "row_key", "left_semi")
+    if not ids.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["row_key"])
+    return kept.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

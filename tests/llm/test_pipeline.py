@@ -29,3 +29,17 @@ def test_odd_rows(spark, odd_documents):
         out = stage(spark, odd_documents, TABLES)
         assert out.columns[: len(odd_documents.columns) - 1] == odd_documents.columns[:-1], name
         assert out.count() <= odd_documents.count()
+
+
+def test_one_row_of_each_near_duplicate_group(spark):
+    def words(name: str, n: int = 40) -> str:
+        return " ".join(f"{name}{i}" for i in range(n))
+
+    rows = [
+        (None, words("alone"), "a"), (None, words("twin"), "b"), (None, words("twin") + " more", "c"), (3, words("third"), "d"), (None, words("third"), "e"),
+        (4, words("same"), "f"), (4, words("same"), "f"), (5, words("first"), "g"), (6, words("first"), "h"), (6, words("sixth"), "i"), (7, words("sixth"), "j"),
+        (None, None, "k"), (None, "", "l"), (8, "", "m"), (9, None, "n"),
+    ]
+    out = pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), TABLES)
+    got = sorted(r["source"] for r in out.collect())
+    assert [x for x in got if x not in "bc"] == list("adfgiklmn") and len(got) == 10, got
