@@ -34,3 +34,12 @@ def test_no_rows(spark):
     d, i = spark.createDataFrame([(1, ITEM)], "doc_id long, text string"), spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontaminate.find_contamination(d.limit(0), i).count() == 0
     assert decontaminate.find_contamination(d, i.limit(0)).count() == 0
+
+
+def test_short_and_repetitive_items_in_long_documents(spark):
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(1 + i % 12))) for i in range(240)]
+    items += [(i, " ".join([f"i{i}again"] * (6 + i % 7))) for i in range(240, 300)]
+    docs = [(i, text if len(text.split()) < 5 else " ".join([f"x{i}y{j}" for j in range(200)] + [text] + [f"z{i}y{j}" for j in range(200)])) for i, text in items]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(d, i).collect()}
+    assert found == {(n, n) for n in range(300)}

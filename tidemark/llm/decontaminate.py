@@ -1,8 +1,10 @@
 """Benchmark decontamination: size-partitioned MinHash containment search.
 
 A benchmark item is short and a document may be long, so that MinHash over whole documents
-would find next to nothing. Items are therefore divided by size: one with more than u / 2 and
-at most u shingle positions belongs to the partition u (a power of two, 16 at least). For a
+would find next to nothing. Items of at most 8 different shingles are looked up exactly, by
+each of them, and so are items that repeat a shingle, for which the bounds below would not
+hold. The others are divided by size: one with more than u / 2 and at most u shingle
+positions belongs to the partition u (a power of two, 16 at least). For a
 partition, documents are read in windows of 2 * u positions that start every u positions;
 whatever run of u positions a document has, some window holds it whole. Inside a window an
 item that is there in full has a Jaccard similarity of over 1/4, one that is there by three
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from ..session import stash
 from .url_rules import LOWER, UPPER
 
-MINIMA, NARROWEST = 48, 16
+MINIMA, NARROWEST, MOST_EXACT = 48, 16, 8
 
 
 def words(text: Column) -> Column:
@@ -60,9 +62,12 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, k: int = 5, p
     texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("words"))
     width = F.greatest(F.lit(NARROWEST), F.pow(F.lit(2), F.ceil(F.log2(_positions(k) + 1))).cast("int"))
+    # Width 0: looked up exactly.
+    each = F.array_distinct(F.transform(F.sequence(F.lit(0), _positions(k)), lambda at: F.array_join(F.slice("words", at + 1, k), " ")))
+    width = F.when((F.size(each) <= MOST_EXACT) | (F.size(each) <= _positions(k)), 0).otherwise(width)
     item_shingles = stash(_shingles(items.withColumn("width", width), k, "item_id", "width").drop("at").distinct(), "items")
     minima = stash(
-        item_shingles.withColumn("fn", F.explode(F.sequence(F.lit(0), F.lit(MINIMA - 1))))
+        item_shingles.where("width > 0").withColumn("fn", F.explode(F.sequence(F.lit(0), F.lit(MINIMA - 1))))
         .withColumn("value", F.xxhash64("shingle", "fn")).groupBy("item_id", "width", "fn")
         .agg(F.min("value").alias("value"), F.min_by("shingle", "value").alias("shingle")),
         "item-minima",
@@ -71,10 +76,11 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, k: int = 5, p
     def sent(df: DataFrame) -> DataFrame:
         return F.broadcast(df) if df.count() <= most_sent else df
 
-    probes = minima.select("shingle", "width").distinct()
+    probes = minima.select("shingle", "width").unionByName(item_shingles.where("width = 0").select("shingle", "width")).distinct()
     hits = _shingles(texts.select("doc_id", words(F.col("text")).alias("words")), k, "doc_id").join(sent(probes), "shingle")
-    window = F.explode(F.expr("array(cast(at div width as int), cast(greatest(at div width - 1, 0) as int))"))
-    windows = stash(hits.select("doc_id", "width", window.alias("window")).groupBy("doc_id").agg(F.collect_set(F.struct("width", "window")).alias("windows")), "windows")
+    window = F.explode(F.expr("if(width = 0, array(0), array(cast(at div width as int), cast(greatest(at div width - 1, 0) as int)))"))
+    to_read = F.collect_set(F.when(F.col("width") > 0, F.struct("width", "window")))
+    windows = stash(hits.select("doc_id", "width", window.alias("window")).groupBy("doc_id").agg(to_read.alias("windows")), "windows")
     found = stash(texts.join(windows, "doc_id"), "window-texts").select("doc_id", "windows", words(F.col("text")).alias("words"))
 
     spread = found.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", "words", "w.width", "w.window")
@@ -90,9 +96,9 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, k: int = 5, p
         _shingles(found, k, "doc_id").join(sent(item_shingles), "shingle").select("doc_id", "item_id", "shingle").distinct()
         .groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     )
-    sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("item_shingles"))
+    sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("item_shingles"), (F.min("width") == 0).alias("exact"))
     return (
-        candidates.join(shared, ["doc_id", "item_id"]).join(sent(sizes), "item_id")
+        shared.join(candidates.withColumn("tried", F.lit(True)), ["doc_id", "item_id"], "left").join(sent(sizes), "item_id").where("exact or tried")
         .where(F.col("shared") * 100 >= F.col("item_shingles") * percent).select("doc_id", "item_id", "item_shingles", "shared")
     )
 
