@@ -19,3 +19,8 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns and df.count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chrono_sort_all_places_every_order(spark):
+    places = [r["place_in_order"] for r in catalog.queries()["chrono_sort_all"](spark, TABLES).collect()]
+    assert len(places) > 500 and sorted(places) == list(range(1, spark.read.parquet(f"{TABLES}/orders.parquet").count() + 1))

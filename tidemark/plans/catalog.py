@@ -143,6 +143,17 @@ def chrono_sort(spark, sf):
     return first.select("txn_id", F.col("txn_date").cast("string").alias("txn_date"), order.cast("long").alias("place_in_order"))
 
 
+@query(f"with {LO} select txn_id, cast(txn_date as varchar) as txn_date, row_number() over (order by txn_date nulls last, txn_id) as place_in_order from lo")
+def chrono_sort_all(spark, sf):
+    """The whole ledger: a row's place is its place on its day after the rows of all days before."""
+    rows = adapters.orders(spark, sf).select("txn_id", "txn_date")
+    days = rows.groupBy(F.col("txn_date").alias("day")).count()
+    before = F.sum("count").over(Window.orderBy(F.asc_nulls_last("day"))) - F.col("count")  # one row for each day
+    ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("txn_date").orderBy("txn_id")))
+    placed = ranked.join(F.broadcast(days.select("day", before.alias("before"))), F.col("txn_date").eqNullSafe(F.col("day")))
+    return placed.select("txn_id", F.col("txn_date").cast("string").alias("txn_date"), (F.col("before") + F.col("at")).cast("long").alias("place_in_order"))
+
+
 @query(f"with {LO} select distinct month, strftime(date_trunc('month', txn_date) - interval 1 month, '%Y-%m') as previous from lo")
 def months_seen(spark, sf):
     rows = adapters.orders(spark, sf)
