@@ -66,3 +66,14 @@ def test_odd_rows(spark, odd_documents):
     none = kneser_ney.classify(odd_documents, labels.limit(0)).collect()
     assert {r["doc_id"] for r in none if r["kept"]} == {1, 4, 5, 6, 7, 8, None}
     assert kneser_ney.classify(odd_documents.limit(0), labels).count() == 0
+
+
+def test_shares_kept_of_toxic_bad_and_trusted_texts(spark):
+    tables = "/root/testdata/sf0.01"
+    rows = kneser_ney.query(spark, tables).join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").collect()
+
+    def share(quality: int, toxic: int) -> float:
+        kept = [r["kept"] for r in rows if (r["quality"], r["toxic"]) == (quality, toxic)]
+        return sum(kept) / len(kept)
+
+    assert share(1, 0) >= 0.98 and share(1, 1) <= 0.5 and share(0, 0) <= 0.05

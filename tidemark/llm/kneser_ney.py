@@ -182,7 +182,7 @@ def score(documents: DataFrame, tables: list[tuple[DataFrame, DataFrame]], shard
     return sums.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits"))
 
 
-def classify(documents: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, slack: float = 1.1, most_sent: int = 1_000_000) -> DataFrame:
+def classify(documents: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, slack: float = 1.0, most_sent: int = 1_000_000) -> DataFrame:
     """doc_id, lang, trusted, perplexity, threshold and kept; slack times the quantile is the threshold."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("good").select("doc_id")
     good = stash(good, "kn-trusted")
