@@ -43,6 +43,31 @@ def test_near_lines_agree_with_brute_force(spark, edits):
     assert {r["doc_id"]: r["text"] for r in out} == brute(rows, edits, 8)
 
 
+@pytest.mark.parametrize("edits", [1, 2])
+def test_crowded_keys_agree_with_brute_force(spark, edits):
+    """One base line with a few places changed: at the first two levels, nearly every key is crowded."""
+    rng = random.Random(edits)
+    base = [rng.choice("abcdefghéñ") + rng.choice("xyz") * 3 for _ in range(16)]
+    lines = set()
+    for _ in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(3)):
+            words[rng.randrange(16)] = "".join(rng.choice("pqrst") for _ in range(rng.choice((3, 4, 4, 5))))
+        lines.add(changed(rng, " ".join(words), rng.randrange(2)))
+    firsts = {line: (i, i) for i, line in enumerate(sorted(lines, key=lambda x: rng.random()))}
+    df = spark.createDataFrame([(line, place) for line, place in firsts.items()], "line string, first struct<doc_id:long,at:int>").repartition(4)
+    near = {p for line, p in firsts.items() for other, before in firsts.items() if before < p and distance(line, other) <= edits}
+    assert {tuple(r["first"]) for r in line_dedup.near_lines(df, edits, crowd=0 if edits == 1 else 3, most_sent=edits % 2).collect()} == near
+    assert 0 < len(near) < len(firsts)
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rows = [(1, "this is the one line that others repeat"), (2, "this is the one line that others repeat!"), (2, "a wholly different and unique line of text\nand one more that is its own"), (2, "a third text that has nothing to do with these")]
+    rows += [(3, "the first of two equal rows of text"), (3, "the first of two equal rows of text")]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in out.collect()) == sorted((i, "" if t.endswith("!") else t) for i, t in rows)
+
+
 def test_distance(spark):
     rng = random.Random(5)
     pairs = []

@@ -14,20 +14,33 @@ substrings of the right lengths and places for each shorter length. Pairs that s
 are verified by an edit distance whose states are bits: for each number of errors so far a
 band of 2 * edits + 1 places of the other line, all moved by one step per character.
 
+Lines that differ in a few words share long segments, and all pairs of a group of such lines
+would be verified. A key that more than `crowd` lines have in the index is therefore not
+joined; the lines that meet there are compared by finer keys instead: cut into edits + 2
+segments, two of which a pair within reach has unchanged, and where those are crowded too,
+into edits + 3, of which three are. The last keys are joined whatever their size, so that no
+pair is lost. Pairs of finer keys also have to agree in a signature, the parities of 64
+classes of neighbouring characters, of which one edit changes four at most; the join drops
+pairs that differ in more. So the rows made grow with the lines, but for those that differ
+from each other in one or two places only; there the join still looks at each pair's signatures.
+
 Only keys and line hashes are dealt out for the join. A line's text is fetched for pairs that
 share a key, by sending the hashes to the lines as long as they are few (`most_sent`), and by
 shuffling beyond that. A line with a third of all occurrences is one row after the first
 grouping, which sums up in each task before it shuffles; decisions go back as places of first
-occurrences, so that no join has a key for a frequent line.
+occurrences, so that no join has a key for a frequent line. A place is a row, by its id and a
+hash of its text, and the number of a line in it.
 
 Defined results: a null text stays null and an empty one empty; documents without an id stay
 as they are and are not compared; of rows that repeat an id and a text, all keep the same
-lines; ties can't occur, since places differ; no documents give no rows; other columns stay.
+lines; rows that repeat an id with other texts are compared like any other rows, in the order
+of those hashes; no documents give no rows; other columns stay.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +49,9 @@ from ..functions.expr import let
 from ..session import stash
 
 NEAR_CHARS = 20
+CROWD = 16
+#: How many unchanged segments a key holds, level by level, and how many keys a line may have for it.
+MATCHED, MOST_KEYS = (2, 3), 400
 
 
 def _bounds(size: Column, i: int, parts: int) -> tuple[Column, Column]:
@@ -64,6 +80,49 @@ def _lookup_keys(edits: int) -> Column:
     return F.array_distinct(F.array(*keys))
 
 
+def _choices(edits: int, matched: int) -> list[tuple[int, ...]]:
+    """(length less, segment, shift, segment, shift, ...) of all keys by which a line finds shorter or equal ones.
+
+    Of edits + matched segments some `matched` are unchanged. The shift of each is what edits
+    before it have added up to, so that all the ups and downs of the shifts are edits; an edit
+    between two segments belongs to the later one, or to the last.
+    """
+    parts, found = edits + matched, []
+    for less in range(edits + 1):
+        for chosen in combinations(range(parts), matched):
+            for shifts in product(range(-edits, edits + 1), repeat=matched):
+                path = (0, *shifts, less)
+                moved = sum(abs(y - x) for x, y in zip(path, path[1:]))
+                rigid = all(x == y for i, j, x, y in zip(chosen, chosen[1:], shifts, shifts[1:]) if j == i + 1)
+                if moved <= edits and rigid and (chosen[0] > 0 or shifts[0] == 0) and (chosen[-1] < parts - 1 or shifts[-1] == less):
+                    found.append((less, *(x for pair in zip(chosen, shifts) for x in pair)))
+    return found
+
+
+def _finer_keys(choices: list[tuple[int, ...]], parts: int) -> Column:
+    def key(c: Column) -> Column:
+        size = F.length("line") - c["less"]
+        cuts = []
+        for n in range((len(choices[0]) - 1) // 2):
+            i, shift = c[f"i{n}"], c[f"s{n}"]
+            start, end = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
+            cuts += [F.substring("line", start + shift + 1, end - start), i]
+        return F.xxhash64(*cuts, size)
+
+    names = ["less", *(f"{x}{n}" for n in range((len(choices[0]) - 1) // 2) for x in "is")]
+    return F.array_distinct(F.transform(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, c)]) for c in choices]), key))
+
+
+def _signature(line: Column) -> Column:
+    """Parities of 64 classes of neighbouring characters; an edit changes four at most."""
+
+    def flip(bits: Column, one: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(one, F.lit(64)).cast("int")))
+
+    pairs = let(F.split(line, ""), lambda x: F.transform(x, lambda c, i: F.xxhash64(c, F.coalesce(F.get(x, i + 1), F.lit("")))))
+    return F.aggregate(pairs, F.lit(0).cast("long"), flip)
+
+
 def _common_start(a: Column, b: Column) -> Column:
     """How many characters both begin with (of the first 65,535), by halving steps."""
     most = F.least(F.length(a), F.length(b))
@@ -127,15 +186,49 @@ def _band(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(apart) <= edits) & (F.call_function("shiftright", let(F.split(a, ""), ends), apart + edits).bitwiseAND(F.lit(1)) == 1)
 
 
-def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000) -> DataFrame:
+def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent: int, near: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Pairs (id, other) that share a key which isn't crowded, and the ids at crowded ones (None if there are none).
+
+    To a lookup, a crowded key is one row without an id."""
+    crowded = None
+    if crowd is not None:
+        hot = stash(index.groupBy("key").count().where(F.col("count") > crowd).select("key"), "line-crowds")
+        if n := hot.count():
+            crowded = F.broadcast(hot) if n <= most_sent else hot
+            in_crowds = index.join(crowded, "key", "left_semi").select("id")
+            index = index.join(crowded, "key", "left_anti").unionByName(hot.select("key"), allowMissingColumns=True)
+    fits = F.col("id") != F.col("other")
+    fits = F.col("id").isNull() | (fits if near is None else fits & near)
+    met = stash(lookup.join(index, "key").where(fits).select("id", "other").distinct(), "line-pairs")
+    pairs = met.where("id is not null")
+    return pairs, None if crowded is None else in_crowds.unionByName(met.where("id is null").select(F.col("other").alias("id"))).distinct()
+
+
+def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: int = CROWD) -> DataFrame:
     """lines (line, first) -> first: the places of lines that follow another within reach."""
+
+    def of(ids: DataFrame, label: str) -> DataFrame:
+        ids = stash(ids, label)
+        return stash(named.join(F.broadcast(ids) if ids.count() <= most_sent else ids, "id", "left_semi"), f"{label}-texts")
+
     named = lines.withColumn("id", F.xxhash64("line"))
     index = named.select("id", F.explode(_index_keys(edits)).alias("key"))
     lookup = named.select(F.col("id").alias("other"), F.explode(_lookup_keys(edits)).alias("key"))
-    pairs = stash(lookup.join(index, "key").where("id <> other").select("id", "other").distinct(), "line-pairs")
-    wanted = pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct()
-    few = wanted.count() <= most_sent
-    found = stash(named.join(F.broadcast(wanted) if few else wanted, "id", "left_semi"), "line-texts")
+    pairs, dense = _meetings(index, lookup, crowd if len(_choices(edits, MATCHED[0])) <= MOST_KEYS else None, most_sent)
+    levels = [m for m in MATCHED if len(_choices(edits, m)) <= MOST_KEYS]
+    for matched in levels:
+        if dense is None:
+            break
+        signed = of(dense, "line-crowd").select("id", "line", _signature(F.col("line")).alias("bits"))
+        choices, parts = _choices(edits, matched), edits + matched
+        own = [(0, *(x for i in chosen for x in (i, 0))) for chosen in combinations(range(parts), matched)]
+        index = signed.select("id", "bits", F.explode(_finer_keys(own, parts)).alias("key"))
+        lookup = signed.select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), F.explode(_finer_keys(choices, parts)).alias("key"))
+        near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 4 * edits
+        more, dense = _meetings(index, lookup, crowd if matched != levels[-1] else None, most_sent, near)
+        pairs = pairs.unionByName(more)
+    pairs = pairs.distinct()
+    found = of(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "line-wanted")
     both = (
         pairs.join(found.select("id", F.col("line").alias("a"), F.col("first").alias("first_a")), "id")
         .join(found.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("first").alias("first_b")), "other")
@@ -159,15 +252,16 @@ def dedup_lines(documents: DataFrame, edits: int = 2, min_chars: int | None = No
     near_chars = near_chars or min_chars or NEAR_CHARS
     min_chars = min_chars or 1
     split = F.split("text", "\n")
-    each = documents.where("doc_id is not null").select("doc_id", F.posexplode(split).alias("at", "line")).where(_compared(F.col("line"), min_chars, near_chars))
-    lines = stash(each.groupBy("line").agg(F.min(F.struct("doc_id", "at")).alias("first")), "lines")
+    mark = F.xxhash64("text")
+    each = documents.where("doc_id is not null").select("doc_id", mark.alias("mark"), F.posexplode(split).alias("at", "line")).where(_compared(F.col("line"), min_chars, near_chars))
+    lines = stash(each.groupBy("line").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first")), "lines")
     near = near_lines(lines.where(F.length("line") >= near_chars), edits)
-    places = lines.select("first.doc_id", "first.at", F.lit(False).alias("near")).unionByName(near.select("first.doc_id", "first.at", F.lit(True).alias("near")))
-    kept = places.groupBy("doc_id").agg(
+    places = lines.select("first.*", F.lit(False).alias("near")).unionByName(near.select("first.*", F.lit(True).alias("near")))
+    kept = places.groupBy(F.col("doc_id").alias("id"), "mark").agg(
         F.collect_set(F.when(~F.col("near"), F.col("at"))).alias("firsts"), F.collect_set(F.when(F.col("near"), F.col("at"))).alias("nears")
     )
-    row = documents.select(F.struct(*[c for c in documents.columns if c != "line_stats"]).alias("row"), F.col("doc_id").alias("id"), split.alias("lines"))
-    joined = row.join(kept.select(F.col("doc_id").alias("id"), "firsts", "nears"), "id", "left")
+    row = documents.select(F.struct(*[c for c in documents.columns if c != "line_stats"]).alias("row"), F.col("doc_id").alias("id"), mark.alias("mark"), split.alias("lines"))
+    joined = row.join(kept, ["id", "mark"], "left")
     none = F.array().cast("array<int>")
     compared = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: _compared(F.get("lines", i), min_chars, near_chars))
     whole = F.sequence(F.lit(0), F.size("lines") - 1)
