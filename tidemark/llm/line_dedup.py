@@ -54,25 +54,38 @@ CROWD = 16
 MATCHED, MOST_KEYS = (2, 3), 400
 
 
-def _bounds(size: Column, i: int, parts: int) -> tuple[Column, Column]:
+def _wide(line: Column) -> Column:
+    """Four bytes for each code point, so that a place in a line is a place in its bytes."""
+    return F.encode(line, "UTF-32").alias("wide")
+
+
+def _size() -> Column:
+    return F.shiftright(F.octet_length("wide"), 2)
+
+
+def _cut(start: Column, length: Column) -> Column:
+    return F.substring("wide", 4 * start + 1, 4 * length)
+
+
+def _bounds(size: Column, i: int | Column, parts: int) -> tuple[Column, Column]:
     """Where segment i of a line of this length starts, and its length."""
     start, end = F.floor(size * i / parts), F.floor(size * (i + 1) / parts)
     return start.cast("int"), (end - start).cast("int")
 
 
 def _key(start: Column, length: Column, size: Column, i: int) -> Column:
-    return F.xxhash64(F.substring("line", start + 1, length), size, F.lit(i))
+    return F.xxhash64(_cut(start, length), size, F.lit(i))
 
 
 def _index_keys(edits: int) -> Column:
-    size = F.length("line")
+    size = _size()
     return F.array(*[_key(*_bounds(size, i, edits + 1), size, i) for i in range(edits + 1)])
 
 
 def _lookup_keys(edits: int) -> Column:
     keys = []
     for less in range(edits + 1):
-        size = F.length("line") - less
+        size = _size() - less
         for i in range(edits + 1):
             start, length = _bounds(size, i, edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
@@ -101,12 +114,11 @@ def _choices(edits: int, matched: int) -> list[tuple[int, ...]]:
 
 def _finer_keys(choices: list[tuple[int, ...]], parts: int) -> Column:
     def key(c: Column) -> Column:
-        size = F.length("line") - c["less"]
-        cuts = []
+        size, cuts = _size() - c["less"], []
         for n in range((len(choices[0]) - 1) // 2):
             i, shift = c[f"i{n}"], c[f"s{n}"]
-            start, end = F.floor(size * i / parts).cast("int"), F.floor(size * (i + 1) / parts).cast("int")
-            cuts += [F.substring("line", start + shift + 1, end - start), i]
+            start, length = _bounds(size, i, parts)
+            cuts += [_cut(start + shift, length), i]
         return F.xxhash64(*cuts, size)
 
     names = ["less", *(f"{x}{n}" for n in range((len(choices[0]) - 1) // 2) for x in "is")]
@@ -143,6 +155,12 @@ def _without_start(x: Column) -> Column:
     return let(_common_start(x["a"], x["b"]), cut)
 
 
+def _like(a: Column, b: Column, edits: int) -> Column:
+    """False only if b is out of reach: an edit changes the number of characters other than, say, "e" by one at most."""
+    others = [F.length(F.replace(a, F.lit(c), F.lit(""))) - F.length(F.replace(b, F.lit(c), F.lit(""))) for c in " eatniosr"]
+    return reduce(lambda x, y: x & y, [F.abs(x) <= edits for x in others])
+
+
 def within_edits(a: Column, b: Column, edits: int) -> Column:
     """Whether b comes from a by at most `edits` edits. Equal starts and ends are left out first."""
 
@@ -199,7 +217,8 @@ def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent:
             index = index.join(crowded, "key", "left_anti").unionByName(hot.select("key"), allowMissingColumns=True)
     fits = F.col("id") != F.col("other")
     fits = F.col("id").isNull() | (fits if near is None else fits & near)
-    met = stash(lookup.join(index, "key").where(fits).select("id", "other").distinct(), "line-pairs")
+    # No key has many rows of the index (but at the last level), so its side fits a hash table.
+    met = stash(lookup.join(index.hint("shuffle_hash") if crowd is not None else index, "key").where(fits).select("id", "other").distinct(), "line-pairs")
     pairs = met.where("id is not null")
     return pairs, None if crowded is None else in_crowds.unionByName(met.where("id is null").select(F.col("other").alias("id"))).distinct()
 
@@ -212,14 +231,15 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
         return stash(named.join(F.broadcast(ids) if ids.count() <= most_sent else ids, "id", "left_semi"), f"{label}-texts")
 
     named = lines.withColumn("id", F.xxhash64("line"))
-    index = named.select("id", F.explode(_index_keys(edits)).alias("key"))
-    lookup = named.select(F.col("id").alias("other"), F.explode(_lookup_keys(edits)).alias("key"))
+    wide = named.select("id", _wide(F.col("line")))
+    index = wide.select("id", F.explode(_index_keys(edits)).alias("key"))
+    lookup = wide.select(F.col("id").alias("other"), F.explode(_lookup_keys(edits)).alias("key"))
     pairs, dense = _meetings(index, lookup, crowd if len(_choices(edits, MATCHED[0])) <= MOST_KEYS else None, most_sent)
     levels = [m for m in MATCHED if len(_choices(edits, m)) <= MOST_KEYS]
     for matched in levels:
         if dense is None:
             break
-        signed = of(dense, "line-crowd").select("id", "line", _signature(F.col("line")).alias("bits"))
+        signed = of(dense, "line-crowd").select("id", _wide(F.col("line")), _signature(F.col("line")).alias("bits"))
         choices, parts = _choices(edits, matched), edits + matched
         own = [(0, *(x for i in chosen for x in (i, 0))) for chosen in combinations(range(parts), matched)]
         index = signed.select("id", "bits", F.explode(_finer_keys(own, parts)).alias("key"))
@@ -232,7 +252,7 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
     both = (
         pairs.join(found.select("id", F.col("line").alias("a"), F.col("first").alias("first_a")), "id")
         .join(found.select(F.col("id").alias("other"), F.col("line").alias("b"), F.col("first").alias("first_b")), "other")
-        .where((F.col("a") != F.col("b")) & within_edits(F.col("a"), F.col("b"), edits))
+        .where((F.col("a") != F.col("b")) & _like(F.col("a"), F.col("b"), edits) & within_edits(F.col("a"), F.col("b"), edits))
     )
     return both.select(F.greatest("first_a", "first_b").alias("first")).distinct()
 
