@@ -45,11 +45,11 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stash(spark: SparkSession, *stashed: DataFrame) -> None:
+def drop_stash(*stashed: DataFrame) -> None:
     """Deletes tables written by stash() that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for df in stashed:
+        spark = df.sparkSession
+        conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
         for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path = hadoop.Path(folder)
             path.getFileSystem(conf).delete(path, True)
