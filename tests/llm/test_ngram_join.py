@@ -61,6 +61,28 @@ def test_groups_of_near_copies_chains_and_odd_texts(spark):
     assert found(ngram_join.similar_components(df)) == brute(numbered)
 
 
+def test_long_lists_in_blocks_and_joins_without_broadcast(spark, monkeypatch):
+    """The same groups when every list of more than ten postings is a long one, and when sets are joined by shuffles."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(400)}" for _ in range(70)]
+    rows = []
+    for i in range(1, 120):
+        copy = list(base)
+        for _ in range(rng.randrange(4)):
+            copy[rng.randrange(70)] = f"z{rng.randrange(30)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(200 + i, " ".join(f"u{i}v{j}" for j in range(20))) for i in range(20)]
+    for name, value in (("BLOCK", 10), ("SHORT", 5), ("MOST_SENT", 0)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert found(ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    rows = [(1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "some other text of its own here"), (3, "some other text of its own here")]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (2, 1), (2, 2), (3, 2)]
+
+
 def test_odd_rows(spark, odd_documents):
     rows = ngram_join.similar_components(odd_documents).collect()
     assert len(rows) == odd_documents.count()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stash
+from ..session import drop_stash, stash
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -22,6 +22,8 @@ def connected_components(links: DataFrame) -> DataFrame:
         sunk = labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         roots = sunk.select(F.col("node").alias("label"), F.col("label").alias("root"))
         after = stash(sunk.join(roots, "label", "left").select("node", "old", F.coalesce("root", "label").alias("label")), "labels")
+        drop_stash(labels)
         labels = after.select("node", "label")
         if after.where("old <> label").isEmpty():
+            drop_stash(both)
             return labels

@@ -90,7 +90,7 @@ def _lookup_keys(edits: int) -> Column:
             start, length = _bounds(size, i, edits + 1)
             for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
                 keys.append(_key(start + shift, length, size, i))
-    return F.array_distinct(F.array(*keys))
+    return F.array(*keys)
 
 
 def _choices(edits: int, matched: int) -> list[tuple[int, ...]]:
@@ -157,7 +157,7 @@ def _without_start(x: Column) -> Column:
 
 def _like(a: Column, b: Column, edits: int) -> Column:
     """False only if b is out of reach: an edit changes the number of characters other than, say, "e" by one at most."""
-    others = [F.length(F.replace(a, F.lit(c), F.lit(""))) - F.length(F.replace(b, F.lit(c), F.lit(""))) for c in " eatniosr"]
+    others = [F.length(F.replace(a, F.lit(c), F.lit(""))) - F.length(F.replace(b, F.lit(c), F.lit(""))) for c in " eati"]
     return reduce(lambda x, y: x & y, [F.abs(x) <= edits for x in others])
 
 

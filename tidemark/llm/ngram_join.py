@@ -20,14 +20,19 @@ Only whether documents hang together is asked, so a group of n near copies doesn
 its n * n pairs. In each posting list the documents of like size are first compared with one
 hub, the one whose shingles are the most common: among near copies that is the one with the
 fewest changes. What is linked gets one label, and only documents of the same list whose
-labels still differ are then compared with each other: one too far from the hub has so many
-shingles of its own that these fill the places where those of the group would count.
-Documents with the same set are one node from the start.
+labels still differ are then compared with each other. Such a pair counts only if the
+signatures of both allow it: the parities of 512 classes of shingles differ in no more places
+than the sets may have shingles that only one of them has. Documents with the same set are
+one node from the start.
+
+A list of more than `BLOCK` postings is dealt out by pairs of blocks of it, and a shingle that
+the sketch holds for that common is dealt by document before, so no task has a list whole.
 
 Shingles are 64-bit hashes (textbatch.py). Defined results: a null or empty text has no
 shingles and links with nothing; a text with fewer than k words has its whole sequence as
-one shingle; a document without an id has a null component; of rows that repeat an id, all
-get the same component; no documents give no rows; further columns stay out of the result.
+one shingle; a document without an id has a null component; of rows that repeat an id, each
+has the size and component of its own text; no documents give no rows; further columns stay
+out of the result.
 """
 
 from __future__ import annotations
@@ -40,13 +45,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stash
+from ..session import drop_stash, stash
 from . import textbatch as tb
 from .components import connected_components
 
 SLOTS, CHUNK = 1 << 20, 1 << 12
 DEEPEST, VERIFY_COST = 6, 8.0
-TOKENS_IN_SHARD, GROUP, MOST_SENT = 1_500_000, 256, 1_000_000
+TOKENS_IN_SHARD, LEAST_SHARDS, GROUP, MOST_SENT = 1_500_000, 256, 256, 1_000_000
+BLOCK, SHORT = 20_000, 64
+SIGNATURE = [f"s{i}" for i in range(8)]
+NODE = np.dtype([("node", "<u8"), ("n", "<u4"), ("times", "<u4"), ("centre", "<u2"), ("m", "u1")])
 
 
 def _sets(t: tb.Texts, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,9 +73,16 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> np.uint64(44)).astype(np.int64)
 
 
+def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Parities of the 512 classes of each set's shingles, as eight words."""
+    out = np.zeros((len(bounds) - 1, 512), np.uint8)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), (tokens & np.uint64(511)).astype(np.int64)), 1)
+    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+
+
 def _first_pass(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held = np.zeros(SLOTS, np.int64), []
+        sketch, held, names = np.zeros(SLOTS, np.int64), [], ["doc_id", "n", "node", *SIGNATURE, "chunk", "counts"]
 
         def add() -> None:
             seen, times = np.unique(np.concatenate(held), return_counts=True)
@@ -75,17 +90,19 @@ def _first_pass(k: int):
             held.clear()
 
         for batch, t in tb.pieces(batches):
-            tokens, _, n, node = _sets(t, k)
+            tokens, bounds, n, node = _sets(t, k)
             held.append(tokens)
             if sum(map(len, held)) > 4_000_000:
                 add()
             rows = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(node.astype(np.int64)), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=["doc_id", "n", "node", "chunk", "counts"])
+            own = [batch.column("doc_id"), pa.array(n), pa.array(node.astype(np.int64)), *map(pa.array, np.ascontiguousarray(_signatures(tokens, bounds).T))]
+            yield pa.RecordBatch.from_arrays([*own, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         if held:
             add()
         parts = sketch.reshape(-1, CHUNK).astype(np.uint32)
         used = np.flatnonzero(parts.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.nulls(len(used), pa.int64()), pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=["doc_id", "n", "node", "chunk", "counts"])
+        none = [pa.nulls(len(used), pa.int64())] * (3 + len(SIGNATURE))
+        yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=names)
 
     return run
 
@@ -106,8 +123,8 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
         def flush() -> pa.RecordBatch:
             tok, own = np.concatenate(toks), np.concatenate(owners)
             place = np.concatenate([np.arange(len(x), dtype=np.uint32) for x in toks])
-            info = np.concatenate(infos)  # node, n, m, centre
-            shard = (tok % np.uint64(shards)).astype(np.int64)
+            info = np.array(infos, NODE)
+            shard = ((tok ^ np.where(common[_slot(tok)] > BLOCK, tb.mix(info["node"][own]), np.uint64(0))) % np.uint64(shards)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             tok, own, shard, place = tok[order], own[order], shard[order], place[order]
             cuts = np.flatnonzero(np.diff(shard)) + 1
@@ -115,10 +132,11 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
             out = {"shard": shard[starts], "tokens": [], "places": [], "nodes": []}
             for a, b in zip(starts, np.concatenate([cuts, [len(tok)]])):
                 new = np.flatnonzero(np.concatenate([[True], own[a + 1 : b] != own[a : b - 1]]))
-                rows = np.column_stack([info[own[a:b][new]], np.diff(np.concatenate([new, [b - a]])).astype(np.uint64)])
+                rows = info[own[a:b][new]]
+                rows["times"] = np.diff(np.concatenate([new, [b - a]]))
                 out["tokens"].append(tok[a:b].tobytes())
                 out["places"].append(place[a:b].tobytes())
-                out["nodes"].append(rows.astype(np.uint64).tobytes())
+                out["nodes"].append(rows.tobytes())
             return pa.RecordBatch.from_arrays([pa.array(out["shard"]), *[pa.array(out[x], pa.binary()) for x in ("tokens", "places", "nodes")]], names=list(out))
 
         for _, t in tb.pieces(batches):
@@ -141,7 +159,7 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
                     m, x = 1, x[: shortest + 1]
                 toks.append(x)
                 owners.append(np.full(len(x), len(infos)))
-                infos.append(np.array([[name, n[i], m, int(1000 * np.log1p(w).mean())]], np.uint64))
+                infos.append((name, n[i], 0, int(1000 * np.log1p(w).mean()), m))
                 size += len(x)
             if size > 2_000_000:
                 yield flush()
@@ -152,22 +170,26 @@ def _prefixes(k: int, percent: int, shards: int, sketch):
     return run
 
 
-def _postings(rows: pd.DataFrame) -> pd.DataFrame:
-    """The lists of one shard that have two nodes at least; (token, node, n, m, place, centre)."""
-    tok = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["tokens"]])
-    nodes = np.concatenate([np.frombuffer(b, np.uint64).reshape(-1, 5) for b in rows["nodes"]])
-    place = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["places"]])
-    info = np.column_stack([np.repeat(nodes[:, :4], nodes[:, 4].astype(np.int64), axis=0), place])
-    order = np.lexsort((info[:, 0], tok))
-    tok, info = tok[order], info[order]
-    keep = np.ones(len(tok), bool)
-    keep[1:] = (tok[1:] != tok[:-1]) | (info[1:, 0] != info[:-1, 0])  # several tasks may have met a copy
-    tok, info = tok[keep], info[keep]
-    many = np.zeros(len(tok), bool)
-    many[1:] = tok[1:] == tok[:-1]
-    many[:-1] |= many[1:]
-    tok, info = tok[many], info[many]
-    return pd.DataFrame({"token": tok.astype(np.int64), "node": info[:, 0].astype(np.int64), "n": info[:, 1].astype(np.int64), "m": info[:, 2].astype(np.int32), "centre": info[:, 3].astype(np.int32), "place": info[:, 4].astype(np.int32)})
+def _postings(sketch):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """The lists of one shard that have two nodes at least, and what it has of the very common ones."""
+        tok = np.concatenate([np.frombuffer(b, np.uint64) for b in rows["tokens"]])
+        nodes = np.concatenate([np.frombuffer(b, NODE) for b in rows["nodes"]])
+        place = np.concatenate([np.frombuffer(b, np.uint32) for b in rows["places"]])
+        at = np.repeat(np.arange(len(nodes)), nodes["times"])
+        order = np.lexsort((nodes["node"][at], tok))
+        tok, at, place = tok[order], at[order], place[order]
+        node = nodes["node"][at]
+        keep = np.ones(len(tok), bool)
+        keep[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])  # several tasks may have met a copy
+        tok, at, place = tok[keep], at[keep], place[keep]
+        size = np.searchsorted(tok, tok, "right") - np.searchsorted(tok, tok, "left")
+        long = (size > BLOCK) | (sketch.value[_slot(tok)] > BLOCK)
+        many = (size > 1) | long
+        info = nodes[at[many]]
+        return pd.DataFrame({"token": tok[many].astype(np.int64), "node": info["node"].astype(np.int64), "n": info["n"].astype(np.int64), "m": info["m"].astype(np.int32), "centre": info["centre"].astype(np.int32), "place": place[many].astype(np.int32), "long": long[many]})
+
+    return run
 
 
 def _overlap(n: np.ndarray, other_n: np.ndarray, percent: int) -> np.ndarray:
@@ -201,12 +223,14 @@ def _hubs(percent: int):
 
 def _shard_pairs(percent: int):
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        """(a, b, times, needed) of nodes in the same list whose labels, sizes and places allow a link."""
-        # The overlap that a partner of the same size asks for is the least for any that isn't shorter.
+        """(a, b, times, needed) of nodes in the same list whose labels, sizes, places and signatures allow a link."""
         rows = rows.sort_values(["token", "n", "node"], ignore_index=True)
-        tok, node, n, m, place, label = (rows[c].to_numpy() for c in ("token", "node", "n", "m", "place", "label"))
+        tok, node, n, m, place, label, block, cross = (rows[c].to_numpy() for c in ("token", "node", "n", "m", "place", "label", "block", "cross"))
+        bits = np.ascontiguousarray(rows[SIGNATURE].to_numpy()).view(np.uint64)
+        # The overlap that a partner of the same size asks for is the least for any that isn't shorter.
         counts = place < n - _overlap(n, n, percent) + m
-        ends = np.searchsorted(tok, tok, "right")
+        starts, ends = np.searchsorted(tok, tok, "left"), np.searchsorted(tok, tok, "right")
+        longest = n * 100 // percent
         total: list[pd.DataFrame] = []
         held, size = [], 0
 
@@ -215,24 +239,42 @@ def _shard_pairs(percent: int):
             total[:] = [d.groupby(["a", "b"], as_index=False).agg(times=("times", "sum"), needed=("needed", "min"))]
             held.clear()
 
-        for i in range(len(tok)):
-            if ends[i] - i < 2 or not counts[i]:
-                continue
-            # Sizes are in order, so those that are too large end the list.
-            last = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 100 // percent, "right"))
-            others = np.flatnonzero(label[i + 1 : last] != label[i]) + i + 1
-            least = _overlap(n[i], n[others], percent)
-            needed = np.minimum(m[i], m[others])
-            fits = (place[i] < n[i] - least + needed) & (place[others] < n[others] - least + needed)
-            fits &= np.minimum(place[i], place[others]) + np.minimum(n[i] - place[i], n[others] - place[others]) >= least
-            others, needed = others[fits], needed[fits]
-            if len(others):
-                a, b = np.minimum(node[i], node[others]), np.maximum(node[i], node[others])
-                held.append(pd.DataFrame({"a": a, "b": b, "times": 1, "needed": needed.astype(np.int64)}))
-                size += len(others)
+        def compare(i: np.ndarray, j: np.ndarray) -> None:
+            """i before j in a list, so not the larger one."""
+            nonlocal size
+            ok = (label[i] != label[j]) & counts[i] & (n[j] <= longest[i]) & (~cross[i] | (block[i] != block[j]))
+            i, j = i[ok], j[ok]
+            if not len(i):
+                return
+            least, needed = _overlap(n[i], n[j], percent), np.minimum(m[i], m[j])
+            fits = (place[i] < n[i] - least + needed) & (place[j] < n[j] - least + needed)
+            fits &= np.minimum(place[i], place[j]) + np.minimum(n[i] - place[i], n[j] - place[j]) >= least
+            i, j, least, needed = i[fits], j[fits], least[fits], needed[fits]
+            fits = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64) <= n[i] + n[j] - 2 * least
+            if fits.any():
+                x, y = node[i[fits]], node[j[fits]]
+                held.append(pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y), "times": 1, "needed": needed[fits].astype(np.int64)}))
+                size += int(fits.sum())
                 if size > 1_000_000:
                     fold()
                     size = 0
+
+        # Short lists all at once, by the distance of two postings in their list.
+        i, step = np.flatnonzero(ends - starts <= SHORT), 1
+        while len(i := i[i + step < ends[i]]):
+            i = i[n[i + step] <= longest[i]]
+            compare(i, i + step)
+            step += 1
+        # In a long list, those of its commonest label are not compared with each other.
+        for a in np.unique(starts[ends - starts > SHORT]):
+            b = ends[a]
+            names, which, times = np.unique(label[a:b], return_inverse=True, return_counts=True)
+            if len(names) > 1:
+                rest = which != times.argmax()
+                at = np.arange(a, b)
+                for i in at[rest]:
+                    j = at[~rest | (at > i)]
+                    compare(np.minimum(i, j), np.maximum(i, j))
         if held:
             fold()
         return total[0] if total else pd.DataFrame({"a": [], "b": [], "times": [], "needed": []}).astype("int64")
@@ -274,40 +316,58 @@ def _linked(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, k: int, percen
     dealt = pairs.join(many, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("part"))
     right = dealt.join(sets.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("to"), F.col("part").alias("group"), "b", F.col("tokens").alias("set"))
     left = dealt.select("a", "part").distinct().join(sets.select(F.col("node").alias("a"), "tokens"), "a")
-    return stash(left.groupBy("a", "part").cogroup(right.groupBy("to", "group")).applyInPandas(_verify(percent), "a long, b long"), "ngram-links")
+    links = stash(left.groupBy("a", "part").cogroup(right.groupBy("to", "group")).applyInPandas(_verify(percent), "a long, b long"), "ngram-links")
+    drop_stash(pairs, wanted, sets)
+    return links
+
+
+def _dealt(labelled: DataFrame, shards: int) -> DataFrame:
+    """labelled with shard, block and cross: whose postings are compared in one group.
+
+    Those of a long list come once for each of its blocks, with the block that they are to meet."""
+    usual = labelled.where("not long").select("*", F.pmod(F.xxhash64("token"), F.lit(shards)).alias("shard"), F.lit(0).cast("long").alias("block"), F.lit(False).alias("cross"))
+    long = labelled.where("long")
+    # A row for each BLOCK postings at most.
+    sizes = long.groupBy("token").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    parts = long.join(sizes, "token").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
+    pair = F.xxhash64("token", F.least("block", "other"), F.greatest("block", "other"))
+    return usual.unionByName(parts.select(*labelled.columns, pair.alias("shard"), "block", (F.col("block") != F.col("other")).alias("cross")))
 
 
 def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links reach) of each document."""
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
-    first = stash(texts.mapInArrow(_first_pass(k), "doc_id long, n long, node long, chunk int, counts binary"), "ngram-nodes")
+    signature = ", ".join(f"{s} long" for s in SIGNATURE)
+    first = stash(texts.mapInArrow(_first_pass(k), f"doc_id long, n long, node long, {signature}, chunk int, counts binary"), "ngram-nodes")
     members = first.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
     counts = first.where("chunk is not null").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()
     sketch = np.zeros((SLOTS // CHUNK, CHUNK), np.uint32)  # of fixed size, whatever the corpus
     for row in counts:
         sketch[row["chunk"]] = np.frombuffer(row["counts"], np.uint32)
+    sketch = spark.sparkContext.broadcast(sketch.reshape(-1))
     total = members.agg(F.sum(F.col("n_shingles") * (100 - percent) / 100 + 2)).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TOKENS_IN_SHARD))
-    packed = texts.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shards, spark.sparkContext.broadcast(sketch.reshape(-1))), "shard long, tokens binary, places binary, nodes binary")
-    postings = stash(packed.groupBy("shard").applyInPandas(_postings, "token long, node long, n long, m int, centre int, place int"), "ngram-postings")
+    shards = max(LEAST_SHARDS, int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // TOKENS_IN_SHARD))
+    packed = texts.where("doc_id is not null").mapInArrow(_prefixes(k, percent, shards, sketch), "shard long, tokens binary, places binary, nodes binary")
+    postings = stash(packed.groupBy("shard").applyInPandas(_postings(sketch), "token long, node long, n long, m int, centre int, place int, long boolean"), "ngram-postings")
 
     # A list may lie in two batches; each then has a hub of its own. Hubs see a part of what a pair
     # shares, and half of what it needs will do: which pairs are tried here decides on speed only.
     hubs = postings.mapInPandas(_hubs(percent), "node long, hub long, needed long, times long").groupBy("node", "hub").agg(F.sum("times").alias("times"), F.min("needed").alias("needed"))
     best = hubs.where("2 * times >= needed").groupBy("node").agg(F.max_by("hub", F.struct("times", "hub")).alias("hub"))
-    nodes = members.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    links = _linked(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes, texts, k, percent)
+    nodes = first.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(s).alias(s) for s in SIGNATURE])
+    links = _linked(best.select(F.col("hub").alias("a"), F.col("node").alias("b")), nodes.select("node", "doc_id"), texts, k, percent)
     labels = connected_components(links)
-    labelled = postings.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_lists = labelled.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("token")
+    about = nodes.drop("doc_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = postings.drop("centre").join(about, "node")
     pairs = (
-        labelled.join(open_lists, "token").withColumn("shard", F.pmod(F.xxhash64("token"), F.lit(shards)))
-        .groupBy("shard").applyInPandas(_shard_pairs(percent), "a long, b long, times long, needed long")
+        _dealt(labelled, shards).groupBy("shard").applyInPandas(_shard_pairs(percent), "a long, b long, times long, needed long")
         .groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("needed").alias("needed")).where("times >= needed").select("a", "b")
     )
-    labels = connected_components(links.unionByName(_linked(pairs, nodes, texts, k, percent)))
-    found = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    more = _linked(pairs, nodes.select("node", "doc_id"), texts, k, percent)
+    joined = connected_components(links.unionByName(more))
+    drop_stash(postings, links, more, labels)
+    found = members.join(joined, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = found.where("n_shingles > 0").groupBy("label").agg(F.min("doc_id").alias("smallest"))
     return found.join(smallest, "label", "left").select(
         "doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), None).when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("smallest")).alias("component_id")
