@@ -43,3 +43,10 @@ def test_short_and_repetitive_items_in_long_documents(spark):
     d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contamination(d, i).collect()}
     assert found == {(n, n) for n in range(300)}
+
+
+def test_rows_that_repeat_an_id_with_other_texts(spark):
+    item = [f"item{i}" for i in range(20)]
+    docs = [(1, " ".join([f"x{i}" for i in range(2000)] + item + [f"y{i}" for i in range(2000)])), *((1, f"short row {i} of the same document") for i in range(60)), (2, " ".join(item[:10])), (2, " ".join(item[10:]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in decontaminate.find_contamination(d, i).collect()] == [(1, 7, 16, 16)]

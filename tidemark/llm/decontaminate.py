@@ -22,8 +22,8 @@ beyond that the same joins are done by shuffling.
 Defined results: words are runs outside space and \\t to \\r, A-Z in lower case; a null or
 empty text, and a document without an id, is never contaminated; an item or document of fewer
 than k words has its whole sequence as one shingle; items with the same text each have their
-own pairs; of rows that repeat an id, the shingles count together; no items or documents give
-no rows; further columns stay out of the result.
+own pairs; rows that repeat an id are searched each on its own, and the pair has the most that
+one of them shares; no items or documents give no rows; further columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def _shingles(texts: DataFrame, k: int, *keep: str) -> DataFrame:
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, k: int = 5, percent: int = 75, most_sent: int = 1_000_000) -> DataFrame:
     """doc_id, item_id, item_shingles, shared: the pairs where shared is at least percent of item_shingles."""
-    texts = documents.where("doc_id is not null and text is not null").select("doc_id", "text")
+    texts = documents.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     items = benchmark.where("item_id is not null").select("item_id", words(F.col("text")).alias("words"))
     width = F.greatest(F.lit(NARROWEST), F.pow(F.lit(2), F.ceil(F.log2(_positions(k) + 1))).cast("int"))
     # Width 0: looked up exactly.
@@ -77,29 +77,29 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, k: int = 5, p
         return F.broadcast(df) if df.count() <= most_sent else df
 
     probes = minima.select("shingle", "width").unionByName(item_shingles.where("width = 0").select("shingle", "width")).distinct()
-    hits = _shingles(texts.select("doc_id", words(F.col("text")).alias("words")), k, "doc_id").join(sent(probes), "shingle")
+    hits = _shingles(texts.select("row", words(F.col("text")).alias("words")), k, "row").join(sent(probes), "shingle")
     window = F.explode(F.expr("if(width = 0, array(0), array(cast(at div width as int), cast(greatest(at div width - 1, 0) as int)))"))
     to_read = F.collect_set(F.when(F.col("width") > 0, F.struct("width", "window")))
-    windows = stash(hits.select("doc_id", "width", window.alias("window")).groupBy("doc_id").agg(to_read.alias("windows")), "windows")
-    found = stash(texts.join(windows, "doc_id"), "window-texts").select("doc_id", "windows", words(F.col("text")).alias("words"))
+    windows = stash(hits.select("row", "width", window.alias("window")).groupBy("row").agg(to_read.alias("windows")), "windows")
+    found = stash(texts.join(windows, "row"), "window-texts").select("row", "doc_id", "windows", words(F.col("text")).alias("words"))
 
-    spread = found.select("doc_id", "words", F.explode("windows").alias("w")).select("doc_id", "words", "w.width", "w.window")
+    spread = found.select("row", "words", F.explode("windows").alias("w")).select("row", "words", "w.width", "w.window")
     first = F.col("window") * F.col("width")
-    inside = spread.select("doc_id", "width", "window", "words", F.explode(F.sequence(first, F.least(first + 2 * F.col("width") - 1, _positions(k)))).alias("at"))
+    inside = spread.select("row", "width", "window", "words", F.explode(F.sequence(first, F.least(first + 2 * F.col("width") - 1, _positions(k)))).alias("at"))
     own = (
-        inside.select("doc_id", "width", "window", _shingle(k).alias("shingle")).withColumn("fn", F.explode(F.sequence(F.lit(0), F.lit(MINIMA - 1))))
-        .groupBy("doc_id", "width", "window", "fn").agg(F.min(F.xxhash64("shingle", "fn")).alias("value"))
+        inside.select("row", "width", "window", _shingle(k).alias("shingle")).withColumn("fn", F.explode(F.sequence(F.lit(0), F.lit(MINIMA - 1))))
+        .groupBy("row", "width", "window", "fn").agg(F.min(F.xxhash64("shingle", "fn")).alias("value"))
     )
-    candidates = own.join(sent(minima.drop("shingle")), ["width", "fn", "value"]).select("doc_id", "item_id").distinct()
+    candidates = own.join(sent(minima.drop("shingle")), ["width", "fn", "value"]).select("row", "item_id").distinct()
 
     shared = (
-        _shingles(found, k, "doc_id").join(sent(item_shingles), "shingle").select("doc_id", "item_id", "shingle").distinct()
-        .groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+        _shingles(found, k, "row", "doc_id").join(sent(item_shingles), "shingle").select("row", "doc_id", "item_id", "shingle").distinct()
+        .groupBy("row", "doc_id", "item_id").agg(F.count("*").alias("shared"))
     )
     sizes = item_shingles.groupBy("item_id").agg(F.count("*").alias("item_shingles"), (F.min("width") == 0).alias("exact"))
     return (
-        shared.join(candidates.withColumn("tried", F.lit(True)), ["doc_id", "item_id"], "left").join(sent(sizes), "item_id").where("exact or tried")
-        .where(F.col("shared") * 100 >= F.col("item_shingles") * percent).select("doc_id", "item_id", "item_shingles", "shared")
+        shared.join(candidates.withColumn("tried", F.lit(True)), ["row", "item_id"], "left").join(sent(sizes), "item_id").where("exact or tried")
+        .where(F.col("shared") * 100 >= F.col("item_shingles") * percent).groupBy("doc_id", "item_id", "item_shingles").agg(F.max("shared").alias("shared"))
     )
 
 
