@@ -71,12 +71,12 @@ def _words(words: str) -> re.Pattern:
 _LOCAL = "A-Za-z0-9._%+-"
 SPEC = {
     "email": Kind(re.compile(rf"[{_LOCAL}]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"), re.compile("@"), lambda s: True, 0.9, _words("e?-?mail|contact|write|reply|courriel|correo|kontakt")),
-    "ip": Kind(re.compile(r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), re.compile("[0-9]"), lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split(".")), 0.7, _words("ip|host|server|address|login|adresse"), _words("version|release|section|chapter")),
+    "ip": Kind(re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"), re.compile("[0-9]"), lambda s: all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in s.split(".")), 0.7, _words("ip|host|server|address|login|adresse"), _words("version|release|section|chapter")),
     "card": Kind(re.compile(r"[0-9](?:[ -]?[0-9])+"), re.compile("[0-9]"), lambda s: 12 <= _digits(s) <= 19 and luhn(s), 0.8, _words("card|visa|mastercard|credit|payment|carte|karte|tarjeta"), _words("isbn|serial|order|tracking")),
     "phone": Kind(re.compile(r"\+[0-9][ ().0-9-]+[0-9]"), re.compile(r"\+[0-9]"), lambda s: 9 <= _digits(s) <= 15, 0.8, _words("phone|tel|call|mobile|fax|telefon|teléfono|téléphone")),
     "iban": Kind(re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])"), re.compile("[A-Z][A-Z][0-9][0-9]"), mod97, 0.9, _words("iban|account|bank|konto|compte|cuenta")),
     "ssn": Kind(re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"), re.compile("[0-9]-[0-9]"), _real_ssn, 0.4, _words("ssn|social security|social")),
-    "secret": Kind(re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,128}={0,2}(?![A-Za-z0-9_/+=-])"), re.compile(r"[A-Za-z0-9_/+-]{20}"), _random_looking, 0.3, _words("token|api[ _-]?key|key|secret|password|passwd|pwd|credential|auth|bearer"), _words("sha1|sha256|md5|checksum|commit|hash|digest")),
+    "secret": Kind(re.compile(r"(?<![A-Za-z0-9_/+-])[A-Za-z0-9_/+-]{20,}+={0,2}(?![A-Za-z0-9_/+=-])"), re.compile(r"[A-Za-z0-9_/+-]{20}"), _random_looking, 0.3, _words("token|api[ _-]?key|key|secret|password|passwd|pwd|credential|auth|bearer"), _words("sha1|sha256|md5|checksum|commit|hash|digest")),
 }
 _ANY = re.compile(r"[0-9@]")
 _LOCAL_SET = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
