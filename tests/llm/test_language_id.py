@@ -1,6 +1,7 @@
 import math
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tidemark.llm import language_id
@@ -55,6 +56,34 @@ def test_code_lengths_are_exact(spark):
         assert scores[doc_id]["score"] == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel=1e-4)
 
 
+def test_lost_leaves_count_as_escapes(spark):
+    training = [(i, "ab" * 300 + "abcd" + "xy" * i, "a") for i in range(20)]
+    whole, cut = (language_id.load_trees(language_id.count_contexts(spark.createDataFrame(training, SCHEMA), most)) for most in (2_000_000, 100))
+    assert len(cut.keys) < len(whole.keys)
+    for trees in (whole, cut):
+        # Orders 0 and 1 have every leaf: one byte and two bytes come out by the same counts.
+        assert [len(x[0]) for x in trees.levels[:2]] == [len(x[0]) for x in whole.levels[:2]]
+        for keys, cost, above, escape in trees.levels:
+            p = 2.0 ** -cost[:, 0].astype(float)
+            own = {a: p[keys >> np.uint64(8) == a].sum() + 2.0 ** -escape[i, 0] for i, a in enumerate(above)}
+            assert all(x == pytest.approx(1, abs=1e-5) for x in own.values())
+
+
+def test_two_hundred_languages(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 40, f"l{i:03}") for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    trees = language_id.load_trees(language_id.count_contexts(df, 4_000))
+    assert len(trees.langs) == 200
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, trees).collect()}
+    assert sum(found[i] == lang for i, _, lang in rows) >= 195
+
+
+def test_the_hash_table_grows(spark):
+    trees = language_id.load_trees(language_id.count_contexts(spark.createDataFrame([(1, "".join(map(chr, range(32, 1500))), "a")], SCHEMA)))
+    assert not trees._hashed(10) and trees._hashed(14)
+    assert (trees.find(trees.keys) == np.arange(len(trees.keys))).all()
+
+
 def test_odd_rows(spark, odd_documents):
     trees = language_id.load_trees(language_id.count_contexts(odd_documents))
     rows = language_id.identify(odd_documents, trees).collect()

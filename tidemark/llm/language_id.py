@@ -7,11 +7,13 @@ down to a uniform one of 256 bytes. The statistics are frozen before scoring, so
 text's code length under a language is exact, a sum over its bytes, and the language with
 the shortest code wins. The score is that language's probability if all were equally likely.
 
-Counts come from every training text. A leaf stays in the tree if it is at least `share` of
-its language's bytes, so a tree has at most 1 / share leaves, whatever the size of the
-corpus; this bound makes it safe to send the trees to every task. Inside a task, texts are
-scored together: four bytes are one key, found in a hash table that has the code lengths of
-all languages side by side.
+Counts come from every training text. All leaves of orders 0 and 1 stay. Of orders 2 and 3
+the `most_leaves` commonest stay at most, in all languages together: a language keeps the
+leaves that are at least (number of languages) / most_leaves of its bytes. A context's totals are those of all texts, and
+what its lost leaves had counts towards the escape. So the trees are small enough to go to
+every task, whatever the size of the corpus, and a training set with fewer different leaves
+has exact trees. Inside a task, texts are scored together: four bytes are one key, found in a
+hash table that has the code lengths of all languages side by side.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the
 language that sorts first; repeated rows keep their own rows; no training texts make every
@@ -23,11 +25,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
 from . import textbatch as tb
 
 UNKNOWN = "und"
@@ -67,35 +71,45 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "key", "n"])
 
 
-def count_contexts(training: DataFrame, share: float = 2e-6) -> DataFrame:
-    """(lang, key, n) of the leaves that stay: at most 1 / share for each language."""
-    counts = training.select("lang", "text").where("lang is not null and text is not null").mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
-    total = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    return counts.join(total, "lang").where(F.col("n") >= share * F.col("total")).select("lang", "key", "n")
+def count_contexts(training: DataFrame, most_leaves: int = 2_000_000) -> DataFrame:
+    """(lang, size, key, n, total, kinds): leaves of size bytes, with the totals of their contexts."""
+    texts = training.select("lang", "text").where("lang is not null and text is not null")
+    longest = stash(texts.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "ppm-counts")
+    sums = longest.groupBy("lang").agg(F.sum("n").alias("bytes"))
+    # A row for each language.
+    least = sums.crossJoin(F.broadcast(sums.agg(F.count("*").alias("langs")))).select("lang", (F.col("bytes") * F.col("langs") / most_leaves).alias("least"))
+    leaves = None
+    for size in range(1, ORDER + 2):
+        own = longest if size > ORDER else longest.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("key")).agg(F.sum("n").alias("n"))
+        own = own.withColumn("context", F.shiftright("key", 8))
+        about = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        kept = own if size <= 2 else own.join(least, "lang").where("n >= least").drop("least")
+        kept = kept.join(about, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "key", "n", "total", "kinds")
+        leaves = kept if leaves is None else leaves.unionByName(kept)
+    return leaves
 
 
 class Trees:
     """The code lengths of all languages' trees, in tables by key."""
 
-    def __init__(self, langs: list[str], lang: np.ndarray, key: np.ndarray, n: np.ndarray):
+    def __init__(self, langs: list[str], rows: pd.DataFrame):
+        """rows: size, lang (a number), key, n, total and kinds."""
         self.langs = langs
-        self.deep, self.short, self.escapes = [], [], []  # by order 3, 2, 1, 0: tables of code lengths and escapes
+        self.levels = []  # by order: keys, their code lengths, contexts, their escapes
         size = len(langs)
         lower = np.full((1, size), 8.0, np.float32)  # the uniform context
         low_keys = np.zeros(1, np.uint64)
-        levels = []
         for order in range(ORDER + 1):
-            width = 8 * (order + 1)
-            full = key & np.uint64((1 << width) - 1)
-            keys, where = np.unique(full, return_inverse=True)
-            c = np.zeros((len(keys), size))
-            np.add.at(c, (where, lang), n)
+            own = rows[rows["size"] == order + 1]
+            lang = own["lang"].to_numpy()
+            keys, where = np.unique(own["key"].to_numpy().astype(np.uint64), return_inverse=True)
             above, context = np.unique(keys >> np.uint64(8), return_inverse=True)
-            total, kinds = np.zeros((len(above), size)), np.zeros((len(above), size))
-            np.add.at(total, context, c)
-            np.add.at(kinds, context, c > 0)
+            c, total, kinds, kept = np.zeros((len(keys), size)), *np.zeros((3, len(above), size))
+            c[where, lang] = own["n"].to_numpy()
+            total[context[where], lang], kinds[context[where], lang] = own["total"].to_numpy(), own["kinds"].to_numpy()
+            np.add.at(kept, context, c)
             with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2(kinds / (total + kinds)), 0.0)
+                escape = np.where(total > 0, -np.log2((kinds + total - kept) / (total + kinds)), 0.0)
                 seen = -np.log2(c / (total + kinds)[context])
             if order == 0:
                 base = np.full((len(keys), size), 8.0)
@@ -103,24 +117,25 @@ class Trees:
                 cut = keys & np.uint64((1 << 8 * order) - 1)
                 base = lower[np.searchsorted(low_keys, cut)]
             cost = np.where(c > 0, seen, escape[context] + base)
-            levels.append((keys, cost.astype(np.float32), above, escape.astype(np.float32)))
+            self.levels.append((keys, cost.astype(np.float32), above, escape.astype(np.float32)))
             low_keys, lower = keys, cost
-        self.levels = levels
-        keys = levels[-1][0]
-        bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * 3))))
+        self.keys = self.levels[-1][0].astype(np.uint32)
+        bits = max(10, int(np.ceil(np.log2(max(1, len(self.keys)) * 3))))
+        while not self._hashed(bits):
+            bits += 1
+
+    def _hashed(self, bits: int, most_steps: int = 64) -> bool:
+        """Gives every key one of the slots after its home; False if there are too few."""
         self.shift = np.uint32(32 - bits)
-        self.slots = np.full((1 << bits) + 64, -1, np.int32)
-        self.keys = keys.astype(np.uint32)
+        self.slots = np.full((1 << bits) + most_steps, -1, np.int32)
         home = (self.keys * np.uint32(2654435769)) >> self.shift
-        todo, step = np.arange(len(keys)), 0
-        while len(todo):  # each round, one of the keys that want a free slot gets it
-            want = home[todo] + step
+        todo, self.steps = np.arange(len(self.keys)), 0
+        while len(todo) and self.steps < most_steps:  # each round, one of the keys that want a free slot gets it
+            want = home[todo] + self.steps
             free = self.slots[want] < 0
             self.slots[want[free]] = todo[free]
-            todo, step = todo[self.slots[want] != todo], step + 1
-            if step == 64:
-                raise ValueError("the hash table is too full")
-        self.steps = step
+            todo, self.steps = todo[self.slots[want] != todo], self.steps + 1
+        return not len(todo)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """The row of each key, or -1."""
@@ -181,7 +196,7 @@ def load_trees(contexts: DataFrame) -> Trees | None:
     if rows.empty:
         return None
     langs = sorted(rows["lang"].unique())
-    return Trees(langs, rows["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(), rows["key"].to_numpy().astype(np.uint64), rows["n"].to_numpy().astype(float))
+    return Trees(langs, rows.assign(lang=rows["lang"].map({x: i for i, x in enumerate(langs)})))
 
 
 def identify(documents: DataFrame, trees: Trees | None) -> DataFrame:
