@@ -1,4 +1,7 @@
+import math
+import random
 from collections import Counter
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +43,34 @@ def test_deviation_stays_below_one_block(spark, weights, counts):
     check_schedule(mixing.mix_sources(df, weights, block=4).collect(), weights, 4)
 
 
+def brute_schedule(counts: dict[str, int], weights: dict[str, int], block: int) -> list[tuple[str, int]]:
+    """(source, block) slot by slot: of the blocks released so far, the one with the earliest deadline, by exact fractions."""
+    left = {s: -(-n // block) for s, n in counts.items()}
+    done, out = dict.fromkeys(left, 0), []
+    while left:
+        total, start, own = sum(weights.get(s, 1) for s in left), len(out), dict.fromkeys(left, 0)
+        while all(left.values()):
+            t = len(out) - start
+            ready = [(math.ceil(Fraction((own[s] + 1) * total, weights.get(s, 1))), s) for s in left if math.floor(Fraction(own[s] * total, weights.get(s, 1))) <= t]
+            s = min(ready)[1]
+            out.append((s, done[s]))
+            own[s], done[s], left[s] = own[s] + 1, done[s] + 1, left[s] - 1
+        left = {s: n for s, n in left.items() if n}
+    return out
+
+
+def test_schedules_agree_with_brute_force(spark):
+    rng = random.Random(2)
+    for _ in range(4):
+        counts = {f"s{i}": rng.randrange(1, 120) for i in range(rng.randrange(1, 7))}
+        weights = {s: rng.randrange(1, 9) for s in list(counts)[:5]}
+        df = spark.createDataFrame([(None if i % 3 else i, s) for s, c in counts.items() for i in range(c)], "doc_id long, source string")
+        rows = mixing.mix_sources(df, weights, block=5).collect()
+        slots = brute_schedule(counts, weights, 5)
+        assert {(r["mix_slot"], r["source"], r["mix_block"]) for r in rows} == {(t, s, k) for t, (s, k) in enumerate(slots)}
+        assert sorted((r["mix_position"], r["mix_slot"]) for r in rows) == [(p, t) for p, t in enumerate(t for t, (s, k) in enumerate(slots) for _ in range(min(5, counts[s] - 5 * k)))]
+
+
 def test_odd_rows(spark, odd_documents):
     out = mixing.mix_sources(odd_documents, {"src0": 2}, block=2)
     assert out.count() == odd_documents.count() and set(out.columns) == set(odd_documents.columns) | set(mixing.NEW)

@@ -1,6 +1,6 @@
 """Mixing sources to target weights, by Pfair scheduling of blocks.
 
-The documents of a source, in the order of a hash of their ids, form blocks of a fixed
+The documents of a source, in the order of a hash of their rows, form blocks of a fixed
 size. Time is a row of slots that take one block each. A source with the share w of all
 weights may place its k-th block (from 1) from slot floor((k - 1) / w) on and has to before
 slot ceil(k / w); in each slot the block with the earliest deadline among those released goes
@@ -14,8 +14,8 @@ worked out on the driver, from the sources' weights and counts. All else are exp
 rows: a row's rank in its source comes from counts of small hash ranges, so that a source
 with a third of all rows is numbered by many tasks.
 
-Defined results: a null source is the source "(none)"; rows that repeat an id each have a
-place; null ids come in the order of their hash like others; weights of sources that aren't
+Defined results: a null source is the source "(none)"; rows that repeat an id, and rows
+without one, each have a place, in the order of their hash like others; weights of sources that aren't
 there count for nothing, sources without a weight have `default`; no documents give no rows;
 all columns stay, and columns named like the new ones are replaced.
 """
@@ -53,9 +53,11 @@ def pattern(weights: Mapping[str, int]) -> dict[str, list[int]]:
 
 
 def plan(counts: Mapping[str, int], weights: Mapping[str, int], block: int, default: int = 1) -> list[dict]:
-    """For each source the phases it takes part in: (first block, first slot, weight, period, slots)."""
+    """For each source the phases it takes part in: (first block, first slot, weight, period, gap, slots).
+
+    A source's last block may be short; as it ends a phase, `gap` is what all blocks of a phase move up by."""
     left = {s: -(-n // block) for s, n in counts.items() if n > 0}
-    done, slot = dict.fromkeys(left, 0), 0
+    done, slot, gap = dict.fromkeys(left, 0), 0, 0
     phases: dict[str, list[tuple]] = {s: [] for s in left}
     while left:
         own = {s: weights.get(s, default) for s in sorted(left)}
@@ -65,13 +67,14 @@ def plan(counts: Mapping[str, int], weights: Mapping[str, int], block: int, defa
         ends = {s: (n - 1) // own[s] * period + slots[s][(n - 1) % own[s]] + 1 for s, n in left.items()}
         length = min(ends.values())
         for s in list(left):
-            phases[s].append((done[s], slot, own[s], period, slots[s]))
+            phases[s].append((done[s], slot, own[s], period, gap, slots[s]))
             placed = length // period * own[s] + sum(t < length % period for t in slots[s])
             done[s] += placed
             left[s] -= placed
             if not left[s]:
                 del left[s]
-        slot += length
+                ended = -counts[s] % block
+        slot, gap = slot + length, gap + ended
     return [{"source": s, "ranges": max(1, counts[s] // RANGE), "phases": p} for s, p in phases.items()]
 
 
@@ -87,20 +90,15 @@ def mix_sources(
     if len(counts) > max_sources or sum(weights.get(s, default) for s in counts) > max_weight:
         raise ValueError("more sources, or larger weights, than a pattern is worked out for")
     planned = plan(counts, weights, block, default)
-    schema = "source string, ranges long, phases array<struct<first:long,slot:long,weight:long,period:long,slots:array<long>>>"
+    schema = "source string, ranges long, phases array<struct<first:long,slot:long,weight:long,period:long,gap:long,slots:array<long>>>"
     plans = documents.sparkSession.createDataFrame([(p["source"], p["ranges"], p["phases"]) for p in planned], schema)
-    # The last block of a source may be short, and what follows it moves up.
-    short = []
-    for p in planned:
-        n, (first, slot, w, period, slots) = counts[p["source"]], p["phases"][-1]
-        last = -(-n // block) - 1 - first
-        if n % block:
-            short.append((slot + last // w * period + slots[last % w], block - n % block))
-
-    rows = documents.select(F.struct(*[c for c in documents.columns if c not in NEW]).alias("row"), source.alias("source"), F.xxhash64("doc_id").alias("hash"))
+    # Ids may be null or repeat: those rows are told apart, and dealt out, by all their columns.
+    kept = [c for c in documents.columns if c not in NEW]
+    mark = F.xxhash64("doc_id", *[c for c in kept if c != "doc_id"], *[F.col(c).isNull() for c in kept])
+    rows = documents.select(F.struct(*kept).alias("row"), source.alias("source"), mark.alias("hash"))
     # At most max_sources rows, so they may go to every task.
     rows = rows.join(F.broadcast(plans), "source").withColumn("range", F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("ranges"), 31))
-    sizes = documents.select(source.alias("source"), F.xxhash64("doc_id").alias("hash")).join(F.broadcast(plans.drop("phases")), "source")
+    sizes = documents.select(source.alias("source"), mark.alias("hash")).join(F.broadcast(plans.drop("phases")), "source")
     sizes = sizes.groupBy("source", F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("ranges"), 31).alias("range")).count()
     before = F.sum("count").over(Window.partitionBy("source").orderBy("range")) - F.col("count")
     ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "range").orderBy("hash", "row.doc_id")) - 1).join(
@@ -112,18 +110,14 @@ def mix_sources(
     placed = placed.withColumn("phase", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("k")), -1))
     j, w, period = F.col("k") - F.col("phase.first"), F.col("phase.weight"), F.col("phase.period")
     placed = placed.select(
-        "row", "k", "inside",
+        "row", "k", "inside", F.col("phase.gap").alias("gap"),
         (F.col("phase.slot") + F.expr("(k - phase.first) * phase.period div phase.weight")).alias("release"),
         (F.col("phase.slot") - F.floor(-((j + 1) * period) / w)).cast("long").alias("deadline"),
         (F.col("phase.slot") + F.expr("(k - phase.first) div phase.weight * phase.period") + F.get(F.col("phase.slots"), F.pmod(j, w).cast("int"))).alias("slot"),
     )
-    gaps = F.lit(0).cast("long")
-    if short:
-        each = F.array(*[F.struct(F.lit(s).cast("long").alias("slot"), F.lit(g).cast("long").alias("gap")) for s, g in sorted(short)])
-        gaps = F.aggregate(F.filter(each, lambda x: x["slot"] < F.col("slot")), F.lit(0).cast("long"), lambda a, x: a + x["gap"])
     return placed.select(
         "row.*", F.col("k").alias("mix_block"), F.col("release").alias("mix_release"), F.col("deadline").alias("mix_deadline"), F.col("slot").alias("mix_slot"),
-        (F.col("slot") * block + F.col("inside") - gaps).alias("mix_position"),
+        (F.col("slot") * block + F.col("inside") - F.col("gap")).alias("mix_position"),
     )
 
 
