@@ -75,9 +75,10 @@ def _slot(tokens: np.ndarray) -> np.ndarray:
 
 def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Parities of the 512 classes of each set's shingles, as eight words."""
-    out = np.zeros((len(bounds) - 1, 512), np.uint8)
-    np.bitwise_xor.at(out, (np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)), (tokens & np.uint64(511)).astype(np.int64)), 1)
-    return np.packbits(out, axis=1, bitorder="little").view("<i8")
+    rows = len(bounds) - 1
+    at = np.repeat(np.arange(rows), np.diff(bounds)) * 512 + (tokens & np.uint64(511)).astype(np.int64)
+    odd = np.bincount(at, minlength=rows * 512).reshape(rows, 512) & 1
+    return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
 def _first_pass(k: int):
