@@ -68,6 +68,16 @@ def test_odd_rows(spark, odd_documents):
     assert kneser_ney.classify(odd_documents.limit(0), labels).count() == 0
 
 
+def test_rows_that_repeat_or_lack_an_id_have_their_own_scores(spark):
+    docs = [(i, f"the plain words of trusted text number {i} go on", "en") for i in range(60)]
+    docs += [(None, docs[7][1], "en"), (None, "zqx jjv 0x0x qqq", "en"), (3, "zqx jjv 0x0x qqq", "en"), (4, docs[4][1], "en")]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(60) if i != 3], "doc_id long, quality int, toxic int")
+    rows = kneser_ney.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).collect()
+    assert sorted(r["kept"] for r in rows if r["doc_id"] is None) == [False, True]
+    assert sorted(r["kept"] for r in rows if r["doc_id"] == 3) == [False, True]
+    assert len(rows) == 63 and sum(r["doc_id"] == 4 for r in rows) == 1
+
+
 def test_shares_kept_of_toxic_bad_and_trusted_texts(spark):
     tables = "/root/testdata/sf0.01"
     rows = kneser_ney.query(spark, tables).join(spark.read.parquet(f"{tables}/labels.parquet"), "doc_id").collect()

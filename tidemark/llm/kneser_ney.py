@@ -9,20 +9,22 @@ n-gram, so that every table is dealt out in shards by its key.
 
 To score, the different n-grams of the corpus are looked up once: a seen one has its mixed
 probability, another one the weight of its context times the probability one byte shorter.
-That table is cut into shards of about `shard_rows` rows, a bound on what goes to a task at
-once; for each shard the texts are read and their n-grams in it summed up, and the sums of
-all shards make a document's code length. What is learned and looked up grows with the
-corpus, what a task holds doesn't.
+That table, made by joins alone, is cut into shards of about `shard_rows` rows, a bound on
+what goes to a task at once; for each shard the texts are read and their n-grams in it summed
+up, and the sums of all shards make a document's code length. What is learned and looked up
+grows with the corpus, what a task or the driver holds doesn't: a shard is released before
+the next is sent. (A join of each document's n-grams with the table would shuffle a row for
+nearly every byte of the corpus.)
 
 A document is kept if its perplexity is at most the threshold of its language: a quantile
 over the trusted documents in that language that were left out of training, or over all of
 these if there are none.
 
 Defined results: a null or empty text has no perplexity and isn't kept; a null language has
-the overall threshold; rows that repeat an id are scored together, with one of their
-languages; labels that are null count as not trusted; without trusted texts there is no
-threshold, and every text that isn't empty is kept; documents without an id are scored
-together; no documents give no rows; further columns stay out of the result.
+the overall threshold; rows equal in id, language and text come out as one, other rows that
+repeat an id each have their own score; labels that are null count as not trusted; without trusted texts there is no
+threshold, and every text that isn't empty is kept; documents without an id are scored one
+by one and never trusted; no documents give no rows; further columns stay out of the result.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ from ..session import stash
 from . import textbatch as tb
 
 
+KEY = ["doc_id", "lang", "mark"]
+
+
 def _grams(t: tb.Texts, order: int) -> np.ndarray:
     """For each byte the run of `order` bytes that ends there; 0 stands before a text's start."""
     place = np.arange(len(t.data)) - np.repeat(t.bounds[:-1], np.diff(t.bounds))
@@ -152,7 +157,7 @@ class _Shard:
 
 
 def score(documents: DataFrame, tables: list[tuple[DataFrame, DataFrame]], shard_rows: int = 4_000_000) -> DataFrame:
-    """doc_id, lang, n_bytes and bits of each document."""
+    """doc_id, lang, mark (a hash of the text), n_bytes and bits of each document."""
     order = len(tables)
     spark = documents.sparkSession
     wanted = documents.select("text").mapInArrow(_count(order), "gram long, c long").select("gram").distinct()
@@ -174,12 +179,14 @@ def score(documents: DataFrame, tables: list[tuple[DataFrame, DataFrame]], shard
                 full = np.diff(t.bounds) > 0
                 if len(t.data):
                     bits[full] = np.add.reduceat(built[0].lookup(_grams(t, order)), t.bounds[:-1][full], dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(np.diff(t.bounds)), pa.array(bits)], names=["doc_id", "lang", "n_bytes", "bits"])
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.array(np.diff(t.bounds)), pa.array(bits)], names=[*KEY, "n_bytes", "bits"])
 
-        part = documents.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, n_bytes long, bits double")
+        part = documents.select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, lang string, mark long, n_bytes long, bits double")
         part = stash(part.withColumn("n_bytes", F.when(F.lit(shard == 0), F.col("n_bytes")).otherwise(0)), "kn-sums")
+        sent.unpersist()
         sums = part if sums is None else sums.unionByName(part)
-    return sums.groupBy("doc_id").agg(F.min("lang").alias("lang"), F.sum("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits"))
+    # Rows equal in all of the key count together in both sums, whose ratio is that of one.
+    return sums.groupBy(*KEY).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits"))
 
 
 def classify(documents: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, slack: float = 1.0, most_sent: int = 1_000_000) -> DataFrame:
