@@ -5,7 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import reconcile, review, statements, transfers
+from tidemark.functions import names
+from tidemark.operators import merchants, reconcile, review, statements, transfers
 from tidemark.plans import monthly
 from tidemark.sources import files, sinks
 from tidemark.streaming import ingest
@@ -65,6 +66,63 @@ def test_a_month_from_texts(spark):
     assert sum(v.count() for v in out.values()) == 2
 
 
+def test_credits_unreadable_dates_and_equal_purchases(spark):
+    lines = ["STEARNSBANK.COM", "CHECKING ACCOUNT", "ACCOUNT ACTIVITY", "01/05/2025 ACME PAY $0.00 $900.00 $1,000.00", "01/06/2025 CORNER COFFEE $4.50", "01/06/2025 CORNER COFFEE $4.50", "02/31/2025 PLAIN SHOP $7.00"]
+    texts = spark.createDataFrame([("d", x, "\n".join(lines), "2025-01") for x in "AB"], "doc_id string, extractor string, text string, month string")
+    for strict in (False, True):
+        rows = monthly.parse_month(texts, monthly.Settings(2025, strict=strict)).orderBy("txn_id").collect()
+        assert [(r["type"], r["extraction_method"], r["credits"]) for r in rows] == [("Income", "A+B", Decimal("900.00")), ("Expense", "A+B", None), ("Expense", "A+B", None), ("Expense", "A+B", None)]
+        assert len({r["txn_id"] for r in rows}) == 4 and [r["line_no"] for r in rows] == [3, 4, 5, 6] and rows[3]["txn_date"] is None
+
+
+def test_a_month_is_closed_and_updated(spark, tmp_path):
+    lines = ["STEARNSBANK.COM", "CHECKING ACCOUNT", "ACCOUNT ACTIVITY", "01/05/2025 ACME PAY $0.00 $900.00 $1,000.00", "01/06/2025 NETFLIX $4.50", "01/07/2025 VENMO JOHN $5.00", "01/08/2025 ZZYZX QQ $7.00"]
+    texts = spark.createDataFrame([("d", x, "\n".join(lines), "2025-01") for x in "AB"], "doc_id string, extractor string, text string, month string")
+    settings, root, cache = monthly.Settings(2025, categories={"Fun": ["netflix"], "Dining": ["diner"]}), str(tmp_path / "out"), str(tmp_path / "cache")
+    hand = spark.createDataFrame([("01/09/2025", "Corner Netflix", "-3.00", "dinning"), ("02/09/2025", "Late", "1.00", "Fun"), ("x", "Bad", "1.00", "Fun"), ("1/10/25", "Unknown", "2.00", None)], "date string, place string, amount string, category string")
+    entries = review.manual_entries(hand, "2025-01", list(settings.categories))
+
+    def read(name):
+        return sorted((r["place"], r["category"]) if "category" in r else (r["place"],) for r in (x.asDict() for x in spark.read.option("header", "true").csv(f"{root}/2025-01/{name}").collect()))
+
+    assert monthly.close_month(texts, "2025-01", root, settings, cache, entries) == {"expenses": True, "income": True, "review": True}
+    assert [c for _, c in read("expenses")] == ["Dining", "Fun"] and len(read("income")) == 1 and len(read("review")) == 3
+    names = sinks.read_dictionary(spark, cache, "cache_key string, place string").collect()
+    assert len(names) == 4
+    opened = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{root}/2025-01/review").where("txn_id is not null")
+    decided = opened.withColumns({"classification": F.when(F.col("place").contains("Venmo"), "income").otherwise("EXPENSE"), "category": F.lit("fun")}).withColumn("txn_id", F.col("txn_id").cast("string"))
+    decided = decided.select(*[F.col(c).cast("decimal(12,2)").alias(c) if c in ("amount", "debits", "credits", "balance") else F.col(c).cast("date").alias(c) if c == "txn_date" else c for c in decided.columns])
+    decided = spark.createDataFrame(decided.collect(), decided.schema)  # closing the month removes what it was read from
+    assert monthly.close_month(None, "2025-01", root, settings, cache, None, decided) == {"expenses": True, "income": True, "review": False}
+    assert not (tmp_path / "out" / "2025-01" / "review").exists()
+    assert sorted(c for _, c in read("expenses")) == ["Fun", "Fun"] and len(read("income")) == 2
+    assert {tuple(r) for r in monthly.learned(settings, entries, decided).collect()} >= {("Dining", "corner netflix")}
+
+
+def test_the_cache_follows_a_stream(spark, tmp_path):
+    inbox, cache, marks = tmp_path / "in", str(tmp_path / "cache"), str(tmp_path / "marks")
+    for n, names in enumerate((["Corner Shop"], ["CORNER SHOP", "Other"], ["Third"])):
+        spark.createDataFrame([(x, n) for x in names], "place string, ordinal int").coalesce(1).write.mode("append").parquet(str(inbox))
+        ingest.follow_merchants(spark.readStream.schema("place string, ordinal int").parquet(str(inbox)), cache, marks).awaitTermination()
+    got = {r["cache_key"]: r["place"] for r in spark.read.parquet(f"{cache}/2").collect()}
+    assert got == {"CORNER SHOP": "CORNER SHOP", "OTHER": "Other", "THIRD": "Third"}
+    assert not (tmp_path / "cache" / "0").exists()
+
+
+def test_names_of_account_holders(spark):
+    raw = spark.createDataFrame([("JANE CORNER SHOP",)], "x string")
+    assert raw.select(names.clean_merchant(F.col("x"), ("jane",))).first()[0] == "Corner Shop" and raw.select(names.clean_merchant(F.col("x"))).first()[0] == "Jane Corner Shop"
+
+
+def test_history_of_all_months(spark, tmp_path):
+    for month, name, rows in (("2025-01", "expenses.csv", "01/02/2025,Shop,1\n01/03/2025,SHOP,1\n"), ("2025-02", "income.csv", "02/02/2025,shop,1\n"), ("2025-02", "other.csv", "x,y,z\n")):
+        (tmp_path / month).mkdir(exist_ok=True)
+        (tmp_path / month / name).write_text(f"Transaction Date,Place,Amount\n{rows}")
+    rows = files.read_history(spark, str(tmp_path))
+    assert sorted(r["place"] for r in rows.collect()) == ["SHOP", "Shop", "shop"]
+    assert [tuple(r) for r in merchants.learn_names(rows).collect()] == [("SHOP", "shop")]
+
+
 def test_files_and_months(spark, tmp_path):
     for month, rows in (("2025-01", "01/02/2025,Shop,12.50,Bank,Dining\n"), ("2025-02", "02/02/2025,Other,bad,Bank,\n")):
         (tmp_path / month).mkdir()

@@ -6,6 +6,8 @@ cached names match only if the same steps are taken in the same order.
 
 from __future__ import annotations
 
+import re
+
 from functools import reduce
 
 from pyspark.sql import Column
@@ -14,7 +16,6 @@ from pyspark.sql import functions as F
 # The steps of cleaning a merchant's name, in order, up to payment processors.
 BEFORE_PROCESSORS = [
     (r"\bXX+\d{4}\b", ""),
-    (r"(?i)^(Gino|Jaison|jazionn)\s+", ""),
     (r"(?i)^(Payment\.ACH|Payment\.|ACH\s+)", ""),
     (r"^[=\-><]\s+", ""),
     (r"(?i)^(RECUR\.?\s*PURCHASE\.?\s*|POS\s+(?:PURCHASE\s+)?AT\s+|PURCHASE\s+AT\s+)", ""),
@@ -122,10 +123,12 @@ def smart_title(name: Column, original: Column | None = None) -> Column:
     return F.when(F.length(out) < 3, original if original is not None else name).otherwise(out)
 
 
-def clean_merchant(name: Column) -> Column:
+def clean_merchant(name: Column, holders: tuple[str, ...] = ()) -> Column:
     """The readable name of a merchant from a statement's text. As these are many patterns, names are
-    best cleaned once each (merchants.clean_names)."""
-    early = _apply(name, BEFORE_PROCESSORS)
+    best cleaned once each (merchants.clean_names). holders: first names of account holders, which
+    some banks print first."""
+    own = [(rf"(?i)^({'|'.join(map(re.escape, holders))})\s+", "")] if holders else []
+    early = _apply(name, BEFORE_PROCESSORS[:1] + own + BEFORE_PROCESSORS[1:])
     square = F.regexp_extract(early, r"(?i)SQ\s*\*\s*([A-Z][A-Z0-9&\s]+)", 1)
     stripped = (
         F.when(early.rlike(r"(?i)^SQ\s*\*"), F.when(square != "", F.trim(square)).otherwise(F.trim(F.regexp_replace(early, r"(?i)^SQ\s*\*", ""))))

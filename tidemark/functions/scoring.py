@@ -14,7 +14,7 @@ LOCATIONS = [
     "fargo", "west", "east", "north", "south", "saint", "st ", "albany", "moorhead", "alexandria", "savage", "oakland",
     " nd", " mn", " ca", " wa", " va", " me", " sd", " ny",
 ]
-DESCRIPTION_ARTIFACTS = ["PURCHASE", "RECUR", "WL*", "WL ", "SQ*", "TST*", "Payment.", "Gino ", "Jaison ", "XX", "POS ", "ACH "]
+DESCRIPTION_ARTIFACTS = ["PURCHASE", "RECUR", "WL*", "WL ", "SQ*", "TST*", "Payment.", "XX", "POS ", "ACH "]
 
 
 def any_of(text: Column, words: list[str]) -> Column:
@@ -57,11 +57,11 @@ def weighted_vote(candidates: DataFrame, keys: list[str], result: str = "result"
     )
 
 
-def description_score(place: Column) -> Column:
-    """100 less what makes a description hard to read."""
+def description_score(place: Column, holders: tuple[str, ...] = ()) -> Column:
+    """100 less what makes a description hard to read, such as the first names of account holders."""
     size, words, first = F.length(place), _words(place), F.substring(place, 1, 1)
     total = F.lit(100)
-    for a in DESCRIPTION_ARTIFACTS:
+    for a in [*DESCRIPTION_ARTIFACTS, *(f"{x} " for x in holders)]:
         total = total + _add(F.contains(place, F.lit(a)) | F.contains(F.upper(place), F.lit(a)), -30)
     return (
         total + F.when(size > 40, -20).when(size > 25, -10).otherwise(0) + F.when(words > 5, -15).when(words > 4, -5).otherwise(0)
@@ -69,5 +69,5 @@ def description_score(place: Column) -> Column:
     )
 
 
-def best_description(a: Column, b: Column) -> Column:
-    return F.when(description_score(a) >= description_score(b), a).otherwise(b)
+def best_description(a: Column, b: Column, holders: tuple[str, ...] = ()) -> Column:
+    return F.when(description_score(a, holders) >= description_score(b, holders), a).otherwise(b)

@@ -35,7 +35,13 @@ def merge_cache(cache: DataFrame, learned: DataFrame) -> DataFrame:
     return learned.select("cache_key", "place").unionByName(cache.join(learned, "cache_key", "left_anti").select("cache_key", "place"))
 
 
-def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: TextProvider | None = None, column: str = "place_original") -> DataFrame:
+def used_names(ledger: DataFrame) -> DataFrame:
+    """cache_key -> place of the names that a ledger was cleaned to, to be merged into the cache."""
+    rows = ledger.where("place_original is not null and place is not null and trim(place) <> ''")
+    return rows.groupBy(cache_key(F.col("place_original")).alias("cache_key")).agg(F.min("place").alias("place"))
+
+
+def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: TextProvider | None = None, column: str = "place_original", holders: tuple[str, ...] = ()) -> DataFrame:
     """The ledger with place: the cached name, else the provider's, else the pattern cleaner's.
 
     The different names are cleaned once each and joined back.
@@ -45,7 +51,7 @@ def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: Tex
         known = names.withColumn("cached", F.lit(None).cast("string"))
     else:
         known = names.join(cache.select("cache_key", F.col("place").alias("cached")), "cache_key", "left")
-    fresh = known.where("cached is null").select("raw_name", clean_merchant(F.col("raw_name")).alias("pattern"))
+    fresh = known.where("cached is null").select("raw_name", clean_merchant(F.col("raw_name"), holders).alias("pattern"))
     if provider is None:
         fresh = fresh.withColumnRenamed("pattern", "place")
     else:

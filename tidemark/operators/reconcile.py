@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,25 +14,34 @@ from ..functions.scoring import best_description, description_score
 FIELDS = ["place", "place_original", "amount"]
 
 
-def reconcile(a: DataFrame, b: DataFrame, label_a: str = "A", label_b: str = "B", keys: tuple[str, ...] = ("doc_id", "txn_date"), order: str = "ordinal") -> DataFrame:
+def reconcile(
+    a: DataFrame, b: DataFrame, label_a: str = "A", label_b: str = "B", keys: tuple[str, ...] = ("doc_id", "txn_date"), order: str = "ordinal", carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One-to-one full outer match on keys and the exact amount.
 
+    The amount that counts is the row's own, else its debit or credit. A null key matches a null
+    one, so a row whose date can't be read is matched like others; keys may be dates as printed.
     The n-th row of side A with a key and amount pairs with the n-th of side B. Merged rows have
-    A's fields and the better description. Returns keys, amount, place, place_original and
-    extraction_method: "A+B", "A only" or "B only".
+    A's fields and the better description. Returns keys, amount, place, place_original, the
+    columns to carry along, and extraction_method: "A+B", "A only" or "B only".
     """
-    by = [*keys, "amount"]
+    fields = ["amount", *carry]
 
     def numbered(df: DataFrame, side: str) -> DataFrame:
-        n = F.row_number().over(Window.partitionBy(*by).orderBy(order))
-        return df.select(*by, n.alias("nth"), F.col("place").alias(f"place_{side}"), F.col("place_original").alias(f"orig_{side}"), F.lit(True).alias(f"in_{side}"))
-
-    both = numbered(a, "a").join(numbered(b, "b"), [*by, "nth"], "full_outer")
-    merged = F.col("in_a").isNotNull() & F.col("in_b").isNotNull()
-    method = F.when(merged, f"{label_a}+{label_b}").when(F.col("in_a").isNotNull(), f"{label_a} only").otherwise(f"{label_b} only")
-    first = F.when(merged, description_score(F.col("orig_a")) >= description_score(F.col("orig_b"))).otherwise(F.col("in_a").isNotNull())
+        value = F.coalesce(*[F.col(c) for c in ("amount", "debits", "credits") if c in df.columns])
+        rows = df.withColumn("value", value).withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "value").orderBy(order)))
+        by = [F.col(c).alias(f"{c}_{side}") for c in (*keys, "value", "nth")]
+        return rows.select(*by, F.struct(*fields).alias(f"row_{side}"), F.col("place").alias(f"place_{side}"), F.col("place_original").alias(f"orig_{side}"), F.lit(True).alias(f"in_{side}"))
+
+    same = [F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in (*keys, "value", "nth")]
+    both = numbered(a, "a").join(numbered(b, "b"), reduce(lambda x, y: x & y, same), "full_outer")
+    in_a = F.col("in_a").isNotNull()
+    merged = in_a & F.col("in_b").isNotNull()
+    method = F.when(merged, f"{label_a}+{label_b}").when(in_a, f"{label_a} only").otherwise(f"{label_b} only")
+    first = F.when(merged, description_score(F.col("orig_a")) >= description_score(F.col("orig_b"))).otherwise(in_a)
     return both.select(
-        *by, F.when(first, F.col("place_a")).otherwise(F.col("place_b")).alias("place"), F.when(first, F.col("orig_a")).otherwise(F.col("orig_b")).alias("place_original"),
+        *[F.when(in_a, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in keys], *[F.when(in_a, F.col("row_a")[c]).otherwise(F.col("row_b")[c]).alias(c) for c in fields],
+        F.when(first, F.col("place_a")).otherwise(F.col("place_b")).alias("place"), F.when(first, F.col("orig_a")).otherwise(F.col("orig_b")).alias("place_original"),
         method.alias("extraction_method"),
     )
 
@@ -46,13 +58,21 @@ def reconcile_tolerant(a: DataFrame, b: DataFrame, cents: int = 1, strict: bool
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left, right = left.sort_values("ordinal"), right.sort_values("ordinal")
-        free, rows = list(right.itertuples()), []
+        others, rows = list(right.itertuples()), []
+        free: dict[int, deque[int]] = {}  # the places of free rows by their cents, in order
+        for i, y in enumerate(others):
+            free.setdefault(int(y.amount * 100), deque()).append(i)
+        reach = 2 if strict else cents
+
+        def near(x, y) -> bool:
+            return abs(float(x.amount) - float(y.amount)) < 0.02 if strict else abs(x.amount - y.amount) * 100 <= cents
+
         for x in left.itertuples():
-            near = (lambda y: abs(float(x.amount) - float(y.amount)) < 0.02) if strict else (lambda y: abs(x.amount - y.amount) * 100 <= cents)  # noqa: B023
-            hit = next((i for i, y in enumerate(free) if near(y)), None)
-            y = free.pop(hit) if hit is not None else None
+            at = int(x.amount * 100)
+            heads = [(free[c][0], c) for c in range(at - reach, at + reach + 1) if free.get(c) and near(x, others[free[c][0]])]
+            y = others[free[min(heads)[1]].popleft()] if heads else None
             rows.append((x.doc_id, x.txn_date, x.place, x.place_original, x.amount, f"{label_a}+{label_b}" if y else f"{label_a} only", y and y.place, y and y.place_original))
-        rows += [(y.doc_id, y.txn_date, y.place, y.place_original, y.amount, f"{label_b} only", None, None) for y in free]
+        rows += [(y.doc_id, y.txn_date, y.place, y.place_original, y.amount, f"{label_b} only", None, None) for y in (others[i] for i in sorted(i for d in free.values() for i in d))]
         return pd.DataFrame(rows, columns=["doc_id", "txn_date", *FIELDS, "extraction_method", "place_b", "original_b"])
 
     cols = ["doc_id", "txn_date", *FIELDS, "ordinal"]

@@ -48,6 +48,12 @@ def apply_review(expenses: DataFrame, income: DataFrame, review: DataFrame) -> d
     }
 
 
+def with_valid_categories(reviewed: DataFrame, valid: list[str]) -> DataFrame:
+    """reviewed with corrected categories, and is_valid."""
+    labels = correct_categories(reviewed.select(F.col("category").alias("label")), valid).withColumnRenamed("category", "corrected")
+    return reviewed.join(labels, reviewed["category"].eqNullSafe(labels["label"]), "left").withColumn("category", F.col("corrected")).drop("label", "corrected")
+
+
 def learned_keywords(reviewed: DataFrame, valid: list[str]) -> DataFrame:
     """category and keyword from decided rows with a valid category."""
     labels = correct_categories(reviewed.select(F.col("category").alias("label")), valid).where("is_valid")

@@ -100,5 +100,6 @@ def order_columns(ledger: DataFrame, first: tuple[str, ...] = ("txn_date", "plac
     return ledger.select(*[c for c in first if c in ledger.columns], *[c for c in ledger.columns if c not in first])
 
 
-def chronological(ledger: DataFrame, *more: str) -> DataFrame:
-    return ledger.orderBy(F.asc_nulls_last("txn_date"), *more)
+def chronological(ledger: DataFrame, *more: str, strict: bool = False) -> DataFrame:
+    """By date, unreadable ones last; strict sorts the dates as they are printed, as older ledgers did."""
+    return ledger.orderBy(F.asc_nulls_first("txn_date_raw") if strict else F.asc_nulls_last("txn_date"), *more)

@@ -118,12 +118,13 @@ def _walk(facts: Column) -> Column:
     return F.aggregate(facts, start, step)["heads"]
 
 
-def parse_statements(texts: DataFrame, default_year: int, signed: bool = True) -> DataFrame:
+def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, clean: bool = True) -> DataFrame:
     """doc_id, line_no, txn_date_raw, txn_date, place, place_original, amount, debits, credits, balance, from doc_id and text.
 
     One amount is the transaction's; of two, the second is the balance; of three, the first two
     are debit and credit. signed keeps minus signs and CR, and also fills amount from debit or
-    credit; without it rows look like those of older ledgers.
+    credit; without it rows look like those of older ledgers. Without clean, place is left null, for
+    a caller that cleans the different names once each.
     """
     read = texts.select("doc_id", F.split("text", "\n").alias("lines"), D.statement_year(F.col("text"), default_year).alias("year"))
     heads = read.withColumn("heads", _walk(F.transform("lines", _facts))).select("doc_id", "lines", "year", F.explode("heads").alias("at"))
@@ -154,6 +155,6 @@ def parse_statements(texts: DataFrame, default_year: int, signed: bool = True) -
     credits = F.when((n >= 3) & (F.get("found", 1) > 0), F.get("found", 1))
     amount = F.when(n < 3, F.get("found", 0)).otherwise(F.coalesce(debits, credits) if signed else none)
     return rows.select(
-        "doc_id", "line_no", "txn_date_raw", D.to_date(F.col("txn_date_raw")).alias("txn_date"), clean_merchant(F.col("place_original")).alias("place"), "place_original",
+        "doc_id", "line_no", "txn_date_raw", D.to_date(F.col("txn_date_raw")).alias("txn_date"), (clean_merchant(F.col("place_original")) if clean else F.lit(None).cast("string")).alias("place"), "place_original",
         amount.alias("amount"), debits.alias("debits"), credits.alias("credits"), F.when(n == 2, F.get("found", 1)).when(n >= 3, F.get("found", 2)).alias("balance"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, dates, names, scoring
 from ..operators import categorize, classify, merchants, reconcile, review, rollup, statements, transfers
 from ..sources import adapters, keywords, providers
+from . import monthly
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -319,6 +320,41 @@ def parse_statement_roundtrip(spark, sf):
     return rows.select("doc_id", "txn_date_raw", F.col("amount").cast("double").alias("amount"), "place_original")
 
 
+VALUE = "cast(o_totalprice as decimal(12,2))"
+RAW = "case when o_orderkey % 4 = 3 then '02/31/2001' else strftime(o_orderdate, '%m/%d/%Y') end"
+
+
+def printed_accounts(spark, sf):
+    """Orders printed as bank statements, read by two extractors: some rows have debit, credit and balance, some dates
+    don't exist, every fifth order is there twice, and extractor B misses every third."""
+    t = spark.read.parquet(f"{sf}/orders.parquet")
+    money = F.concat(F.lit("$"), F.format_string("%.2f", F.expr(VALUE).cast("double")))
+    key = F.col("o_orderkey") % 4
+    date = F.when(key == 3, "02/31/2001").otherwise(F.date_format("o_orderdate", "MM/dd/yyyy"))
+    amounts = F.when(key == 0, F.concat(money, F.lit(" $9.00"))).when(key == 1, F.concat(F.lit("$0.00 "), money, F.lit(" $9.00"))).otherwise(money)
+    line = F.concat(date, F.lit(" ORDER "), F.regexp_replace("o_orderpriority", "[^A-Z]", ""), F.lit(" SHOP "), amounts)
+    twice = F.explode(F.sequence(F.lit(0), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)))
+    lines = t.select("o_orderkey", F.col("o_custkey").cast("string").alias("doc_id"), line.alias("line"), twice.alias("copy"))
+    out = None
+    for side, rows in (("A", lines), ("B", lines.where("o_orderkey % 3 <> 0"))):
+        each = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "copy", "line"))).alias("x"))
+        body = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
+        text = F.concat(F.lit("STEARNSBANK.COM\nCHECKING ACCOUNT\nACCOUNT ACTIVITY\n"), body, F.lit("\nTOTAL DEBITS $0.00"))
+        own = each.select("doc_id", F.lit(side).alias("extractor"), text.alias("text"), F.lit("2001-01").alias("month"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query(f"""with lines as (select cast(o_custkey as varchar) as doc_id, {RAW} as txn_date_raw, {VALUE} as value, case when o_orderkey % 4 = 1 then 'Income' else 'Expense' end as type, o_orderkey
+    from orders, range(2) where range = 0 or o_orderkey % 5 = 0),
+  counts as (select doc_id, txn_date_raw, value, type, count(*) as a, count(*) filter (o_orderkey % 3 <> 0) as b from lines group by all)
+  select doc_id, txn_date_raw, cast(value as double) as amount, type, 'A+B' as extraction_method, b as n, b as n_ids from counts where b > 0 union all
+  select doc_id, txn_date_raw, cast(value as double), type, 'A only', a - b, a - b from counts where a > b""")
+def monthly_ledger(spark, sf):
+    rows = monthly.parse_month(printed_accounts(spark, sf), monthly.Settings(2001))
+    return rows.groupBy("doc_id", "txn_date_raw", F.col("amount").cast("double").alias("amount"), "type", "extraction_method").agg(F.count("*").alias("n"), F.count_distinct("txn_id").alias("n_ids"))
+
+
 ABOUT = """case c_nationkey % 5 when 0 then 'Welcome to STEARNSBANK.COM' when 1 then 'Issued by First National Bank' when 2 then 'see www.magnifi.org' when 3 then 'Scheels Visa card' else 'hello' end
   || chr(10) || case c_nationkey % 3 when 0 then 'CHECKING ACCOUNT' when 1 then 'MasterCard statement' else 'nothing' end"""
 
@@ -570,6 +606,41 @@ def ocr_word_boxes(spark, sf):
     return t.select("c_custkey", F.explode(providers.clean_boxes(boxes)).alias("w")).select("c_custkey", "w.text", "w.x")
 
 
+# The cleaners and repairs over every order: each order has one of the cases above, by its key,
+# and "{n}" in it is a number of the order's own.
+
+
+def _over_orders(name: str, cases: list[tuple], inputs: int, clean: Callable[..., DataFrame]) -> None:
+    def run(spark, sf):
+        schema = ", ".join(f"x{i} string" for i in range(inputs))
+        texts = spark.createDataFrame([(i, *c[:inputs]) for i, c in enumerate(cases)], f"nth int, {schema}")  # a few rows
+        t = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("n"), (F.col("o_orderkey") % len(cases)).cast("int").alias("nth"))
+        number = (F.col("n") % 9000 + 1000).cast("string")
+        rows = t.join(F.broadcast(texts), "nth").withColumns({f"x{i}": F.replace(F.col(f"x{i}"), F.lit("{n}"), number) for i in range(inputs)})
+        return rows.select("o_orderkey", clean(*[F.col(f"x{i}") for i in range(inputs)]).cast("string").alias("result"))
+
+    run.__name__ = name
+    known = golden([(i, None if c[inputs] is None else str(c[inputs])) for i, c in enumerate(cases)])
+    query(f"select o_orderkey, result from orders join ({known}) t(nth, result) on o_orderkey % {len(cases)} = nth")(run)
+
+
+NUMBERED = [("TARGET #{n} FARGO ND", "Target"), ("WALMART SUPERCENTER #{n} FARGO", "Walmart"), ("CASHWISE #{n} WEST FARGO ND", "Cashwise West"), ("THE HOME DEPOT #{n} WEST FARGO", "The Home Depot West")]
+_over_orders("clean_merchant_all", NUMBERED + NAMES, 1, names.clean_merchant)
+_over_orders("clean_place_all", PLACES + [("ford auto loan {n}", "Ford Auto Loan"), ("Power Web_Pay {n}", "Power")], 1, names.clean_place)
+_over_orders("smart_title_all", TITLES, 1, names.smart_title)
+_over_orders("normalize_names_all", LABELS, 1, names.normalize_label)
+_over_orders("scrub_answers_all", ANSWERS, 2, providers.scrub_answer)
+_over_orders("statement_year_all", HEADS, 1, lambda text: dates.statement_year(text, 1999))
+_over_orders("month_repair_all", MONTHS, 1, dates.repair_month)
+
+
+@query(f"select p_partkey, category, is_valid from part join ({golden([(i, *x) for i, x in enumerate(FUZZY)])}) c(nth, label, category, is_valid) on p_partkey % {len(FUZZY)} = nth")
+def category_validation_all(spark, sf):
+    labels = spark.createDataFrame([(i, x[0]) for i, x in enumerate(FUZZY)], "nth int, label string")  # a few rows
+    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_partkey") % len(FUZZY)).cast("int").alias("nth")).join(F.broadcast(labels), "nth")
+    return rows.join(categorize.correct_categories(rows, FUZZY_NAMES), "label").select("p_partkey", "category", "is_valid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import clean_place
 from ..operators import categorize, classify, merchants, reconcile, review, statements, transfers
+from ..schema import LEDGER, MERCHANT_CACHE
 from ..session import stash
-from ..sources import keywords
+from ..sources import keywords, sinks
 from ..sources.providers import TextProvider
 
 
+LEDGER_COLUMNS = [c.split(" ")[0] for c in LEDGER.split(", ")]
+
+
 @dataclass
 class Settings:
     year: int
@@ -23,38 +28,91 @@ class Settings:
     transfer_days: int = 2
     strict: bool = False
     provider: TextProvider | None = None
+    holders: tuple[str, ...] = ()  # first names of account holders
 
 
 def parse_month(texts: DataFrame, settings: Settings, cache: DataFrame | None = None) -> DataFrame:
     """Statement texts (doc_id, extractor A or B, text, month) -> one ledger with a type for each row.
 
-    The two extractions of a document are reconciled; rows of documents that only one could read
-    come from that one. Transfers by their words and noise are left out.
+    The two extractions of a document are reconciled by their dates as printed; rows of documents
+    that only one could read come from that one. Transfers by their words and noise are left out.
+    txn_id tells equal purchases apart and follows the order of documents, dates and lines.
     """
     about = texts.groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"), F.max("month").alias("month")).select(
         "doc_id", "month", statements.bank_name(F.col("text")).alias("statement"), (~statements.is_credit_card(F.col("text"))).alias("is_bank_account")
     )
 
     def side(name: str) -> DataFrame:
-        rows = statements.parse_statements(texts.where(F.col("extractor") == name), settings.year, signed=not settings.strict)
+        rows = statements.parse_statements(texts.where(F.col("extractor") == name), settings.year, signed=not settings.strict, clean=False)
         # The parser is one large expression: filters pushed into it would repeat it.
-        return stash(rows.withColumn("ordinal", F.col("line_no")), f"parsed-{name}")
+        return stash(rows, f"parsed-{name}")
 
-    a, b = side("A"), side("B")
-    rows = reconcile.reconcile(a, b).where("amount is not null")
-    rows = stash(merchants.clean_names(rows, cache, settings.provider).withColumn("place", clean_place(F.col("place"))), "cleaned")
+    rows = reconcile.reconcile(side("A"), side("B"), keys=("doc_id", "txn_date_raw"), order="line_no", carry=("line_no", "txn_date", "debits", "credits", "balance"))
+    rows = rows.where(F.coalesce("amount", "debits", "credits").isNotNull())
+    rows = stash(merchants.clean_names(rows, cache, settings.provider, holders=settings.holders).withColumn("place", clean_place(F.col("place"))), "cleaned")
     rows = rows.join(about, "doc_id").where(~transfers.is_transfer(F.col("place_original"), F.col("place"), settings.transfers))
-    none = F.lit(None).cast("decimal(12,2)")
-    kind = classify.transaction_type(F.col("is_bank_account"), F.col("amount"), none, none, F.col("place_original"), settings.income, settings.strict)
+    kind = classify.transaction_type(F.col("is_bank_account"), F.col("amount"), F.col("debits"), F.col("credits"), F.col("place_original"), settings.income, settings.strict)
     rows = rows.withColumn("type", kind).where(F.col("type").isNotNull() & review.not_blank(F.col("place")))
     rows = rows.where(~classify.is_noise(F.col("place"), F.col("type"), settings.strict))
-    spread = F.struct(*[F.col(c) for c in ("doc_id", "txn_date", "amount", "place_original", "extraction_method")])
-    return rows.withColumn("txn_id", F.xxhash64(spread)).withColumn("account_id", F.col("statement"))
+    late = F.when(F.col("extraction_method") == "B only", "1").otherwise("0")
+    name = F.concat_ws("/", "doc_id", F.coalesce("txn_date_raw", F.lit("")), late, F.lpad(F.col("line_no").cast("string"), 9, "0"))
+    return rows.withColumn("txn_id", name).withColumn("account_id", F.col("statement"))
 
 
-def build_month(ledger: DataFrame, settings: Settings) -> dict[str, DataFrame]:
-    """Expenses, income and review of a ledger, without rows that are two sides of one transfer."""
+def build_month(ledger: DataFrame, settings: Settings, entries: DataFrame | None = None, reviewed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Expenses, income and review of a ledger, without rows that are two sides of one transfer.
+
+    entries: hand-written rows as review.manual_entries gives them; those that are ok are expenses,
+    under the category that they were given. reviewed: rows of an earlier review with the decisions
+    of people; decided ones move to their ledgers with their corrected categories, open ones stay.
+    A row of an earlier review isn't put up for review again.
+    """
     candidates = ledger if not settings.strict else ledger.where("type = 'Expense'")
     pairs = transfers.transfer_pairs(candidates, settings.transfer_days, "account_id")
-    kept = transfers.without_pairs(ledger, transfers.greedy_pairs(pairs))
-    return review.route(categorize.categorize(kept, settings.categories), settings.strict)
+    kept = transfers.without_pairs(ledger, transfers.greedy_pairs(pairs)).withColumn("manual", F.lit(False))
+    if entries is not None:
+        own = entries.where("status = 'ok'").select("txn_date", "place", "amount", "category", F.lit("Expense").alias("type"), F.lit(True).alias("manual"))
+        kept = kept.unionByName(own, allowMissingColumns=True)
+    by_hand, automatic = classify.split(kept, F.col("manual"))
+    out = review.route(categorize.categorize(automatic.drop("manual"), settings.categories), settings.strict)
+    if entries is not None:
+        unknown, known = classify.split(by_hand.drop("manual"), F.coalesce("category", F.lit(categorize.UNCATEGORIZED)) == categorize.UNCATEGORIZED)
+        out["expenses"] = out["expenses"].unionByName(known)
+        out["review"] = out["review"].unionByName(unknown.withColumns({"uncategorized": F.lit(True), "classification": F.lit("")}))
+    if reviewed is not None:
+        valid = review.with_valid_categories(reviewed, list(settings.categories)).drop("is_valid")
+        known = reviewed.select("txn_id").where("txn_id is not null").distinct()
+        new = {name: rows.join(known, "txn_id", "left_anti") for name, rows in out.items()}
+        merged = review.apply_review(new["expenses"], new["income"], valid)
+        out = merged | {"review": new["review"].unionByName(merged["review"], allowMissingColumns=True)}
+    return out
+
+
+def learned(settings: Settings, entries: DataFrame | None = None, reviewed: DataFrame | None = None) -> DataFrame | None:
+    """category and keyword of what people decided: uncategorized rows of a review, and their own entries."""
+    valid, found = list(settings.categories), []
+    if reviewed is not None:
+        found.append(review.learned_keywords(reviewed.where("coalesce(uncategorized, false)"), valid))
+    if entries is not None:
+        rows = entries.where(F.col("is_valid") & (F.col("status") == "ok") & (F.col("category") != categorize.UNCATEGORIZED))
+        found.append(rows.select("category", F.lower(F.trim("place")).alias("keyword")).distinct())
+    return reduce(DataFrame.unionByName, found) if found else None
+
+
+def close_month(texts: DataFrame | None, month: str, root: str, settings: Settings, cache_path: str, entries: DataFrame | None = None, reviewed: DataFrame | None = None) -> dict[str, bool]:
+    """A month from statements to files below root/month: expenses, income (if there is any) and review
+    (it goes when nothing is open). Without texts, what is there is updated by entries and decisions only.
+    Names that were cleaned go to the cache. Returns what was written."""
+    folder, spark = f"{root}/{month}", (texts if texts is not None else entries if entries is not None else reviewed).sparkSession
+    if texts is None:
+        ledger = sinks.read_dictionary(spark, f"{folder}/ledger", LEDGER)
+    else:
+        cache = sinks.read_dictionary(spark, cache_path, MERCHANT_CACHE)
+        ledger = stash(parse_month(texts, settings, cache).select(*LEDGER_COLUMNS), "ledger")
+        sinks.write_dictionary(ledger, f"{folder}/ledger")
+        sinks.write_dictionary(merchants.merge_cache(cache, merchants.used_names(ledger)), cache_path)
+    out = {name: stash(rows, name) for name, rows in build_month(ledger, settings, entries, reviewed).items()}
+    return {
+        "expenses": sinks.write_sorted(out["expenses"], f"{folder}/expenses"), "income": sinks.write_sorted(out["income"], f"{folder}/income"),
+        "review": sinks.write_review(out["review"], f"{folder}/review"),
+    }

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-TRANSACTION = (
+LEDGER = (
     "txn_id string, txn_date_raw string, txn_date date, place string, place_original string, amount decimal(12,2), debits decimal(12,2), "
-    "credits decimal(12,2), balance decimal(12,2), statement string, account_id string, is_bank_account boolean, extraction_method string, type string, "
-    "category string, classification string, month string"
+    "credits decimal(12,2), balance decimal(12,2), statement string, account_id string, is_bank_account boolean, extraction_method string, type string, month string"
 )
 CATEGORY_KEYWORDS = "cat_order int, category string, kw_order int, keyword string"
 KEYWORDS = "ord int, keyword string"

@@ -24,10 +24,12 @@ def local_session(cpus: int | str = 8, app: str = "tidemark") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset, on one machine only (tests), one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="tidemark-")
     spark.sparkContext.setCheckpointDir(own)
     return spark.sparkContext.getCheckpointDir().rstrip("/")

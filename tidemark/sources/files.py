@@ -53,6 +53,18 @@ def read_ledgers(spark: SparkSession, root: str, name: str = "expenses.csv", ski
     return typed_ledger(out)
 
 
+def read_history(spark: SparkSession, root: str) -> DataFrame:
+    """place, ordinal and month of the expenses and income of all months; files that can't be read are left out."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("header", "true").option("enforceSchema", "false")
+    out = None
+    for n, name in enumerate(("expenses.csv", "income.csv")):
+        rows = reader.option("pathGlobFilter", name).schema(LEDGER_CSV).csv(root)
+        path = F.col("_metadata.file_path")
+        own = rows.select(F.col("Place").alias("place"), month_folder(path).alias("month"), F.struct(month_folder(path).alias("month"), F.lit(n).alias("file"), F.monotonically_increasing_id().alias("row")).alias("ordinal"))
+        out = own if out is None else out.unionByName(own)
+    return out.where("place is not null")
+
+
 def read_commented(spark: SparkSession, root: str, name: str) -> DataFrame:
     """Hand-written CSV: comment lines are dropped, also indented ones; the first other line is the header."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)

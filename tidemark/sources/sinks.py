@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rollup import chronological
+from ..session import stash
+
 
 def write_months(ledger: DataFrame, path: str, fmt: str = "parquet", rebuild: bool = True) -> None:
     """By month. rebuild replaces the months that the ledger has and leaves others; without it,
@@ -20,13 +23,40 @@ def write_months(ledger: DataFrame, path: str, fmt: str = "parquet", rebuild: bo
     writer.option("partitionOverwriteMode", "dynamic").option("header", "true").save(path)
 
 
-def write_review(review: DataFrame, path: str) -> None:
-    """The open rows; none leave no rows in the folder."""
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_sorted(ledger: DataFrame, path: str) -> bool:
+    """A month's ledger as CSV by date, unreadable dates last; none is written if there are no rows."""
+    if ledger.isEmpty():
+        return False
+    chronological(ledger).write.mode("overwrite").option("header", "true").csv(path)
+    return True
+
+
+def write_review(review: DataFrame, path: str) -> bool:
+    """The open rows; if there are none, the folder goes."""
+    review = stash(review, "review")  # it may be read from the same folder
+    if review.isEmpty():
+        remove(review.sparkSession, path)
+        return False
     review.write.mode("overwrite").option("header", "true").csv(path)
+    return True
+
+
+def read_dictionary(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A dimension written by write_dictionary; no rows if it isn't there yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 
 def write_dictionary(table: DataFrame, path: str) -> None:
     """A dimension such as the merchant cache or learned keywords, replaced as a whole."""
+    table = stash(table, "dictionary")  # it may be made from what it replaces
     table.write.mode("overwrite").parquet(path)
 
 

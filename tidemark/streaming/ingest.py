@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.merchants import learn_names, merge_cache
 from ..operators.statements import parse_statements
+from ..schema import MERCHANT_CACHE
+from ..sources import sinks
 
 
 def stream_statements(spark: SparkSession, root: str) -> DataFrame:
@@ -28,14 +30,15 @@ def ingest_new(spark: SparkSession, root: str, ledger_path: str, checkpoint: str
 
 
 def follow_merchants(history: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a merchant cache up to date: each batch of (place, ordinal) is merged into a new version."""
+    """Keeps a merchant cache up to date: each batch of (place, ordinal) is merged into a new version.
+
+    A batch that is tried again starts from the version before it, so the last two are kept."""
     spark = history.sparkSession
 
     def merge(batch: DataFrame, number: int) -> None:
-        learned = learn_names(batch)
-        if number:
-            learned = merge_cache(spark.read.parquet(f"{cache_path}/{number - 1}"), learned)
-        learned.write.mode("overwrite").parquet(f"{cache_path}/{number}")
+        before = sinks.read_dictionary(spark, f"{cache_path}/{number - 1}", MERCHANT_CACHE)
+        merge_cache(before, learn_names(batch)).write.mode("overwrite").parquet(f"{cache_path}/{number}")
+        sinks.remove(spark, f"{cache_path}/{number - 2}")
 
     return history.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
