@@ -39,6 +39,12 @@ def test_states_nulls_ties_and_repeated_rows(spark):
     assert [s["text"] for s in found[5]["segments"] if s["text"] in "ab"] == ["a", "a", "b"]
 
 
+def test_roles_with_odd_characters(spark):
+    roles = {1: ["user", "assistant\tuser\nassistant"], 2: ["user\tassistant"], 3: ["<start>", "user", "assistant"], 4: ["user", "assistant", "<end>"], 5: ["user", "assistant", ""], 6: ["user", "assistant"]}
+    df = spark.createDataFrame([(i, n, role, "x", "") for i, rs in roles.items() for n, role in enumerate(rs)], SCHEMA)
+    assert {r["conv_id"]: r["first_error"] for r in chat.format_chat(df).collect()} == {1: 1, 2: 0, 3: 0, 4: 2, 5: 2, 6: None}
+
+
 def test_no_rows_and_a_long_text(spark):
     assert chat.format_chat(spark.createDataFrame([], SCHEMA)).count() == 0
     text = "</s> [INST]" * 100_000

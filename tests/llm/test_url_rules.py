@@ -39,3 +39,10 @@ def test_no_rules_and_no_urls(spark):
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     assert [(r["rule"], r["verdict"]) for r in url_rules.judge_urls(df, rules.limit(0), default="block").collect()] == [(None, "block")]
     assert url_rules.judge_urls(df.limit(0), rules).count() == 0
+
+
+def test_very_long_urls(spark):
+    urls = ["http://" + "a." * 50_000 + "example.net/en/" + "x" * 1_000_000, "http://" + "b" * 1_000_000 + ".com/de/", "http://example.com/de/" + "/" * 1_000_000, "x" * 1_000_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    out = url_rules.judge_urls(df, spark.createDataFrame(url_rules.RULES, "host string, path string, verdict string")).collect()
+    assert {r["page_id"]: r["rule"] for r in out} == {0: "example.net/en/", 1: None, 2: "example.com/de/", 3: None}

@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,12 +68,13 @@ class ChatTemplate:
 def _machine(roles: Column, follows: dict[str, tuple[str, ...]]) -> Column:
     """The first turn (from 0) at which the roles leave the machine, the number of turns if only
     the end is wrong, or null if all is in order."""
-    allowed = F.lit("\n" + "".join(f"{a}\t{b}\n" for a, bs in follows.items() for b in bs))
-    steps = F.transform(
-        F.concat(roles, F.array(F.lit(END))),
-        lambda role, i: F.concat(F.lit("\n"), F.when(i == 0, F.lit(START)).otherwise(F.get(roles, i - 1)), F.lit("\t"), role, F.lit("\n")),
-    )
-    wrong = F.array_position(F.transform(steps, lambda s: F.contains(allowed, s)), False)
+
+    def follows_here(role: Column, i: Column) -> Column:
+        before, ends = F.get(roles, i - 1), i == F.size(roles)
+        tests = [((i == 0) if a == START else (i > 0) & (before == a)) & (ends if b == END else ~ends & (role == b)) for a, bs in follows.items() for b in bs]
+        return reduce(lambda x, y: x | y, tests, F.lit(False))
+
+    wrong = F.array_position(F.transform(F.concat(roles, F.array(F.lit(""))), follows_here), False)
     return F.when(wrong > 0, wrong - 1)
 
 
