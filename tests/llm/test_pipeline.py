@@ -1,8 +1,12 @@
+from collections import Counter
+
 import pytest
 
-from tidemark.llm import decontaminate, ngram_join
+from tidemark.llm import decontaminate, ngram_join, quality_rules
 
 from .conftest import TABLES
+from .test_line_dedup import distance
+from .test_ngram_join import brute, shingles
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -24,11 +28,59 @@ def test_stages_on_the_table(spark):
     assert {r[0] for r in docs.select("mix_position").collect()} == set(range(sizes[5]))
 
 
+def lines_that_stay(rows: list[tuple]) -> dict:
+    """Text by id after line dedup, by comparing every line of 20 characters or more with every other."""
+    firsts: dict[str, tuple] = {}
+    compared = lambda x: x and (len(x) >= 20 or x.strip())
+    for i, text in sorted(rows):
+        for at, line in enumerate(text.split("\n")):
+            if compared(line):
+                firsts.setdefault(line, (i, at))
+    long = [(line, place, Counter(line)) for line, place in firsts.items() if len(line) >= 20]
+    near = set()
+    for a, place, bag in long:
+        for b, before, other in long:
+            if before < place and abs(len(a) - len(b)) <= 2 and (bag - other).total() <= 2 and (other - bag).total() <= 2 and distance(a, b) <= 2:
+                near.add(a)
+    return {i: "\n".join(x for at, x in enumerate(t.split("\n")) if not compared(x) or (firsts[x] == (i, at) and x not in near)) for i, t in rows}
+
+
+def test_stages_agree_with_brute_force(spark):
+    """Each stage on what the one before it kept, over a whole table."""
+    documents, benchmark = (spark.read.parquet(f"{TABLES}/{t}.parquet") for t in ("documents", "benchmark"))
+    stages = dict(pipeline.STAGES)
+
+    def run(name: str, docs):
+        out = pipeline.stash(stages[name](spark, docs, TABLES), "test")
+        return out, {r["doc_id"]: r["text"] for r in out.select("doc_id", "text").collect()}
+
+    docs, texts = run("quality rules", documents)
+    assert set(texts) == {r["doc_id"] for r in quality_rules.query(spark, TABLES).collect() if r["kept"]}
+    expected = {i: t for i, t in lines_that_stay(list(texts.items())).items() if t.strip() or t == texts[i]}
+    docs, texts = run("line dedup", docs)
+    assert texts == expected
+    groups = brute(list(texts.items()))
+    docs, after = run("n-gram Jaccard join", docs)
+    assert after == {i: t for i, t in texts.items() if groups[i][1] == i}
+    items = [x for r in benchmark.collect() if (x := shingles(r["text"]))]
+    docs, clean = run("benchmark decontamination", docs)
+    assert clean == {i: t for i, t in after.items() if not any(100 * len(x & shingles(t)) >= 75 * len(x) for x in items)}
+    docs, mixed = run("mixing sources", docs)
+    assert mixed == clean and sorted(r[0] for r in docs.select("mix_position").collect()) == list(range(len(clean)))
+
+
 def test_odd_rows(spark, odd_documents):
     for name, stage in pipeline.STAGES:
         out = stage(spark, odd_documents, TABLES)
         assert out.columns[: len(odd_documents.columns) - 1] == odd_documents.columns[:-1], name
-        assert out.count() <= odd_documents.count()
+        left = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in out.collect())
+        whole = sorted((str(r["doc_id"]), len(r["text"] or "")) for r in odd_documents.collect())
+        if name == "line dedup":  # both lines of document 6 are in document 1
+            assert left == [x for x in whole if x[0] != "6"]
+        elif name == "n-gram Jaccard join":  # 1, the two rows of 6 and one without an id have the same text
+            assert Counter(left) == Counter(whole) - Counter([x for x in whole if x[0] == "6"] + [("None", len(odd_documents.where("doc_id = 1").first()["text"]))])
+        elif name != "quality rules":
+            assert left == whole
 
 
 def test_one_row_of_each_near_duplicate_group(spark):
