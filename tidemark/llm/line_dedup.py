@@ -52,6 +52,8 @@ NEAR_CHARS = 20
 CROWD = 16
 #: How many unchanged segments a key holds, level by level, and how many keys a line may have for it.
 MATCHED, MOST_KEYS = (2, 3), 400
+#: Index keys in a task up to which they go into a hash table.
+HASHED = 1_000_000
 
 
 def _wide(line: Column) -> Column:
@@ -204,7 +206,7 @@ def _band(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(apart) <= edits) & (F.call_function("shiftright", let(F.split(a, ""), ends), apart + edits).bitwiseAND(F.lit(1)) == 1)
 
 
-def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent: int, near: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent: int, hashed: bool, near: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (id, other) that share a key which isn't crowded, and the ids at crowded ones (None if there are none).
 
     To a lookup, a crowded key is one row without an id."""
@@ -217,14 +219,18 @@ def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent:
             index = index.join(crowded, "key", "left_anti").unionByName(hot.select("key"), allowMissingColumns=True)
     fits = F.col("id") != F.col("other")
     fits = F.col("id").isNull() | (fits if near is None else fits & near)
-    # No key has many rows of the index (but at the last level), so its side fits a hash table.
-    met = stash(lookup.join(index.hint("shuffle_hash") if crowd is not None else index, "key").where(fits).select("id", "other").distinct(), "line-pairs")
+    # No key has many rows of the index (but at the last level), so small partitions of it fit hash tables.
+    met = stash(lookup.join(index.hint("shuffle_hash") if hashed and crowd is not None else index, "key").where(fits).select("id", "other").distinct(), "line-pairs")
     pairs = met.where("id is not null")
     return pairs, None if crowded is None else in_crowds.unionByName(met.where("id is null").select(F.col("other").alias("id"))).distinct()
 
 
-def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: int = CROWD) -> DataFrame:
-    """lines (line, first) -> first: the places of lines that follow another within reach."""
+def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: int = CROWD, rows: int | None = None) -> DataFrame:
+    """lines (line, first) -> first: the places of lines that follow another within reach.
+
+    Where at most `rows` lines, dealt out, leave a task few enough keys, these are joined by hash tables, else by sorting."""
+    tasks = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = rows is not None and rows * (edits + 1) <= tasks * HASHED
 
     def of(ids: DataFrame, label: str) -> DataFrame:
         ids = stash(ids, label)
@@ -234,7 +240,7 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
     wide = named.select("id", _wide(F.col("line")))
     index = wide.select("id", F.explode(_index_keys(edits)).alias("key"))
     lookup = wide.select(F.col("id").alias("other"), F.explode(_lookup_keys(edits)).alias("key"))
-    pairs, dense = _meetings(index, lookup, crowd if len(_choices(edits, MATCHED[0])) <= MOST_KEYS else None, most_sent)
+    pairs, dense = _meetings(index, lookup, crowd if len(_choices(edits, MATCHED[0])) <= MOST_KEYS else None, most_sent, hashed)
     levels = [m for m in MATCHED if len(_choices(edits, m)) <= MOST_KEYS]
     for matched in levels:
         if dense is None:
@@ -245,7 +251,7 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
         index = signed.select("id", "bits", F.explode(_finer_keys(own, parts)).alias("key"))
         lookup = signed.select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), F.explode(_finer_keys(choices, parts)).alias("key"))
         near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 4 * edits
-        more, dense = _meetings(index, lookup, crowd if matched != levels[-1] else None, most_sent, near)
+        more, dense = _meetings(index, lookup, crowd if matched != levels[-1] else None, most_sent, False, near)
         pairs = pairs.unionByName(more)
     pairs = pairs.distinct()
     found = of(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "line-wanted")
@@ -275,7 +281,7 @@ def dedup_lines(documents: DataFrame, edits: int = 2, min_chars: int | None = No
     mark = F.xxhash64("text")
     each = documents.where("doc_id is not null").select("doc_id", mark.alias("mark"), F.posexplode(split).alias("at", "line")).where(_compared(F.col("line"), min_chars, near_chars))
     lines = stash(each.groupBy("line").agg(F.min(F.struct("doc_id", "mark", "at")).alias("first")), "lines")
-    near = near_lines(lines.where(F.length("line") >= near_chars), edits)
+    near = near_lines(lines.where(F.length("line") >= near_chars), edits, rows=lines.count())
     places = lines.select("first.*", F.lit(False).alias("near")).unionByName(near.select("first.*", F.lit(True).alias("near")))
     kept = places.groupBy(F.col("doc_id").alias("id"), "mark").agg(
         F.collect_set(F.when(~F.col("near"), F.col("at"))).alias("firsts"), F.collect_set(F.when(F.col("near"), F.col("at"))).alias("nears")
