@@ -47,7 +47,9 @@ def test_code_lengths_agree_with_brute_force(spark):
         for i, text, _ in texts:
             raw = (text or "").encode()
             assert got[i]["n_bytes"] == len(raw)
-            assert got[i]["bits"] == pytest.approx(-sum(math.log2(p((b"\0" * 4 + raw)[j : j + 5])) for j in range(len(raw))), rel=1e-5)
+            each = [-math.log2(p((b"\0" * 4 + raw)[j : j + 5])) for j in range(len(raw))]
+            assert got[i]["bits"] == pytest.approx(sum(each), rel=1e-5)
+            assert got[i]["excess"] == pytest.approx(sum(max(0, b - 8) for b in each), rel=1e-4, abs=1e-5)
 
 
 def test_query_keeps_trusted_texts(spark):
@@ -86,4 +88,14 @@ def test_shares_kept_of_toxic_bad_and_trusted_texts(spark):
         kept = [r["kept"] for r in rows if (r["quality"], r["toxic"]) == (quality, toxic)]
         return sum(kept) / len(kept)
 
-    assert share(1, 0) >= 0.98 and share(1, 1) <= 0.5 and share(0, 0) <= 0.05
+    assert share(1, 0) >= 0.98 and share(1, 1) <= 0.3 and share(0, 0) <= 0.05
+
+
+def test_a_few_strange_words_in_a_long_text(spark):
+    words = "the plain words of trusted texts go on and on in other orders".split()
+    docs = [(i, " ".join(words[(i * 5 + j * (1 + i % 3)) % len(words)] for j in range(400)), "en") for i in range(80)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    docs += [(100, docs[3][1][:900] + " qzxv jjkw " + docs[3][1][900:], "en"), (101, docs[3][1], "en")]
+    rows = {r["doc_id"]: r for r in kneser_ney.classify(spark.createDataFrame(docs, "doc_id long, text string, lang string"), labels).collect()}
+    assert not rows[100]["kept"] and rows[100]["surprise"] > rows[100]["surprise_threshold"]
+    assert rows[101]["kept"]

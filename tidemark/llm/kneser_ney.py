@@ -16,11 +16,16 @@ grows with the corpus, what a task or the driver holds doesn't: a shard is relea
 the next is sent. (A join of each document's n-grams with the table would shuffle a row for
 nearly every byte of the corpus.)
 
-A document is kept if its perplexity is at most the threshold of its language: a quantile
-over the trusted documents in that language that were left out of training, or over all of
-these if there are none.
+A mean over a whole text hides a few bad words in it, so a document has a second figure, its
+surprise: the bits that its bytes take beyond 8, what a byte costs without any model, less an
+allowance of 8 for a single odd byte, which in a short text says little, by byte. Both are
+made of sums over bytes, so shards add up to the same.
 
-Defined results: a null or empty text has no perplexity and isn't kept; a null language has
+A document is kept if neither its perplexity nor its surprise is above the threshold of its
+language: a quantile over the trusted documents in that language that were left out of
+training, or over all of these if there are none.
+
+Defined results: a null or empty text has no perplexity or surprise and isn't kept; a null language has
 the overall threshold; rows equal in id, language and text come out as one, other rows that
 repeat an id each have their own score; labels that are null count as not trusted; without trusted texts there is no
 threshold, and every text that isn't empty is kept; documents without an id are scored one
@@ -42,6 +47,8 @@ from . import textbatch as tb
 
 
 KEY = ["doc_id", "lang", "mark"]
+PLAIN = 8.0  # bits of a byte without a model
+LEAST = 2.0**-64  # no byte is less likely: where counts give no discounts, nothing would be left for unseen ones
 
 
 def _grams(t: tb.Texts, order: int) -> np.ndarray:
@@ -121,7 +128,7 @@ def _lookup(wanted: DataFrame, tables: list[tuple[DataFrame, DataFrame]]) -> Dat
         rows = rows.join(mixed.select(F.col("gram").alias("key"), F.col("p").alias("found")), "key", "left").join(contexts, "context", "left")
         missed = F.col("p").isNull() & F.col("found").isNull()
         rows = rows.select("gram", F.when(missed, F.col("factor") * F.coalesce("weight", F.lit(1.0))).otherwise(F.col("factor")).alias("factor"), F.coalesce("p", "found").alias("p"))
-    return rows.select("gram", (-F.log2(F.col("factor") * F.coalesce("p", F.lit(1 / 256)))).alias("bits"))
+    return rows.select("gram", (-F.log2(F.greatest(F.col("factor") * F.coalesce("p", F.lit(1 / 256)), F.lit(LEAST)))).alias("bits"))
 
 
 class _Shard:
@@ -157,7 +164,7 @@ class _Shard:
 
 
 def score(documents: DataFrame, tables: list[tuple[DataFrame, DataFrame]], shard_rows: int = 4_000_000) -> DataFrame:
-    """doc_id, lang, mark (a hash of the text), n_bytes and bits of each document."""
+    """doc_id, lang, mark (a hash of the text), n_bytes, bits and excess (bits of bytes beyond PLAIN) of each document."""
     order = len(tables)
     spark = documents.sparkSession
     wanted = documents.select("text").mapInArrow(_count(order), "gram long, c long").select("gram").distinct()
@@ -175,35 +182,45 @@ def score(documents: DataFrame, tables: list[tuple[DataFrame, DataFrame]], shard
             if not built:
                 built.append(_Shard(*sent.value))
             for batch, t in tb.pieces(batches, most=2 << 20):
-                bits = np.zeros(batch.num_rows)
+                bits, excess = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
                 full = np.diff(t.bounds) > 0
                 if len(t.data):
-                    bits[full] = np.add.reduceat(built[0].lookup(_grams(t, order)), t.bounds[:-1][full], dtype=np.float64)
-                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.array(np.diff(t.bounds)), pa.array(bits)], names=[*KEY, "n_bytes", "bits"])
+                    each, starts = built[0].lookup(_grams(t, order)), t.bounds[:-1][full]
+                    bits[full] = np.add.reduceat(each, starts, dtype=np.float64)
+                    excess[full] = np.add.reduceat(np.maximum(each - PLAIN, 0), starts, dtype=np.float64)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in KEY], pa.array(np.diff(t.bounds)), pa.array(bits), pa.array(excess)], names=[*KEY, "n_bytes", "bits", "excess"])
 
-        part = documents.select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, lang string, mark long, n_bytes long, bits double")
+        part = documents.select("doc_id", "lang", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, f"doc_id {kind}, lang string, mark long, n_bytes long, bits double, excess double")
         part = stash(part.withColumn("n_bytes", F.when(F.lit(shard == 0), F.col("n_bytes")).otherwise(0)), "kn-sums")
         sent.unpersist()
         sums = part if sums is None else sums.unionByName(part)
-    # Rows equal in all of the key count together in both sums, whose ratio is that of one.
-    return sums.groupBy(*KEY).agg(F.sum("n_bytes").alias("n_bytes"), F.sum("bits").alias("bits"))
+    # Of rows equal in all of the key, the sums are those of one.
+    equal = F.count("*") / shards
+    return sums.groupBy(*KEY).agg((F.sum("n_bytes") / equal).cast("long").alias("n_bytes"), *[(F.sum(c) / equal).alias(c) for c in ("bits", "excess")])
 
 
 def classify(documents: DataFrame, labels: DataFrame, order: int = 5, quantile: float = 0.995, slack: float = 1.0, most_sent: int = 1_000_000) -> DataFrame:
-    """doc_id, lang, trusted, perplexity, threshold and kept; slack times the quantile is the threshold."""
+    """doc_id, lang, trusted, perplexity, threshold, surprise, surprise_threshold and kept; slack times the quantiles are the thresholds."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).where("good").select("doc_id")
     good = stash(good, "kn-trusted")
     trusted = documents.join(F.broadcast(good) if good.count() <= most_sent else good, "doc_id", "left_semi")
     calibrates = F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0
     scored = stash(score(documents, train(trusted.where(~calibrates), order)), "kn-scores")
-    perplexity = F.when(F.col("n_bytes") > 0, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes")))
-    scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left").select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), perplexity.alias("perplexity"))
+    filled = F.col("n_bytes") > 0
+    perplexity, surprise = F.when(filled, F.pow(F.lit(2.0), F.col("bits") / F.col("n_bytes"))), F.when(filled, F.greatest(F.col("excess") - PLAIN, F.lit(0.0)) / F.col("n_bytes"))
+    scored = scored.join(good.withColumn("trusted", F.lit(True)), "doc_id", "left")
+    scored = scored.select("doc_id", "lang", F.coalesce("trusted", F.lit(False)).alias("trusted"), perplexity.alias("perplexity"), surprise.alias("surprise"))
     known = scored.where("trusted and perplexity is not null").where(calibrates)
-    overall = known.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("overall"))
-    by_lang = known.where("lang is not null").groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("own"))
+
+    def quantiles(name: str) -> Column:
+        return F.struct(*[F.percentile_approx(c, quantile, 10_000).alias(c) for c in ("perplexity", "surprise")]).alias(name)
+
+    overall = known.agg(quantiles("overall"))
+    by_lang = known.where("lang is not null").groupBy("lang").agg(quantiles("own"))
     out = scored.join(by_lang, "lang", "left").join(F.broadcast(overall), F.lit(True), "left")  # overall is one row
-    threshold = F.coalesce("own", "overall") * slack
-    return out.select("doc_id", "lang", "trusted", "perplexity", threshold.alias("threshold"), (F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= threshold, F.lit(True))).alias("kept"))
+    out = out.withColumns({name: F.coalesce(f"own.{c}", f"overall.{c}") * slack for name, c in (("threshold", "perplexity"), ("surprise_threshold", "surprise"))})
+    usual = F.coalesce((F.col("perplexity") <= F.col("threshold")) & (F.col("surprise") <= F.col("surprise_threshold")), F.lit(True))
+    return out.select("doc_id", "lang", "trusted", "perplexity", "threshold", "surprise", "surprise_threshold", (F.col("perplexity").isNotNull() & usual).alias("kept"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
