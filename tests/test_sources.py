@@ -22,6 +22,16 @@ def test_amount_in_lower_case(spark, tmp_path):
     assert [r["amount"] for r in files.read_ledgers(spark, str(tmp_path / "lower"), "income.csv").collect()] == [Decimal("5.00")]
 
 
+def test_two_amount_columns(spark, tmp_path):
+    for header in ("amount,Amount", "Amount,amount"):
+        folder = tmp_path / header / "2025-01"
+        folder.mkdir(parents=True)
+        first = header.startswith("Amount")
+        (folder / "income.csv").write_text(f"Transaction Date,Place,{header}\n01/02/2025,A,{'5,7' if first else '7,5'}\n01/03/2025,B,{'x,7' if first else '7,x'}\n")
+        got = {r["place"]: r["amount"] for r in files.read_ledgers(spark, str(tmp_path / header), "income.csv").collect()}
+        assert got == {"A": Decimal("5.00"), "B": Decimal("0.00")}
+
+
 def test_settings_files(spark, tmp_path):
     path = tmp_path / "c.json"
     path.write_text(json.dumps({"words": ["x", "y"], "categories": {"B": ["b"], "A": ["a", "c"]}}))

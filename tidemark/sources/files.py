@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import file_month
 from ..schema import LEDGER_CSV
 
+LEDGER_NAMES = {c.rsplit(" ", 1)[0].strip().strip("`").lower() for c in LEDGER_CSV.split(", ")}
 MONTH = r"/(\d{4}-\d{2})/[^/]*$"
 
 
@@ -45,10 +46,22 @@ def read_ledgers(spark: SparkSession, root: str, name: str = "expenses.csv", ski
     if skip_comments:
         return read_commented(spark, root, name)
     rows = reader.option("header", "true").option("enforceSchema", "false").option("mode", "PERMISSIVE").csv(root)
+    if any(c[: -len(str(at))].lower() in LEDGER_NAMES and c.endswith(str(at)) for at, c in enumerate(rows.columns)):
+        # Spark's names differ from the header now, so columns go by place, which needs one header in all files.
+        heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
+        if heads.select(F.split("value", r"\r?\n", 2)[0]).distinct().limit(2).count() > 1:
+            raise ValueError(f"{name} has names that differ in case only, and not the same header in all files")
+        rows = reader.option("header", "true").option("enforceSchema", "true").schema(rows.schema).csv(root)
     path = F.col("_metadata.file_path")
     names = [c.rsplit(" ", 1)[0].strip().strip("`") for c in LEDGER_CSV.split(", ")]
-    have = {c.lower(): c for c in rows.columns}
-    cols = [(F.col(f"`{have[n.lower()]}`") if n.lower() in have else F.lit(None).cast("string")).alias(n) for n in names]
+    # Of names that differ in case only, Spark adds the place to each; the one spelled as asked for goes first.
+    have: dict[str, str] = {}
+    for at, c in enumerate(rows.columns):
+        have.setdefault(c.removesuffix(str(at)), c)
+    for c in list(have):
+        have.setdefault(c.lower(), have[c])
+    found = [have.get(n, have.get(n.lower())) for n in names]
+    cols = [(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(n) for n, c in zip(names, found)]
     out = rows.select(*cols, month_folder(path).alias("month"))
     return typed_ledger(out)
 
