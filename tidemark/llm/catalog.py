@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, kneser_ney, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, url_rules
+from . import chat, decontaminate, kneser_ney, language_id, line_dedup, mixing, ngram_join, pii, quality_rules, spelling, topk_search, url_rules, vector_codes
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_pii": pii.query,
         "op9_line_dedup": line_dedup.query,
         "op10_url_rules": url_rules.query,
+        "op11_vector_codes": vector_codes.query,
+        "op12_spelling_variants": spelling.query,
+        "op13_topk_search": topk_search.query,
     }
 
 
@@ -25,4 +28,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_chat_format": chat.SQL,
         "op3_decontaminate": decontaminate.SQL,
         "op10_url_rules": url_rules.SQL,
+        "op11_vector_codes": vector_codes.SQL,
+        "op12_spelling_variants": spelling.SQL,
+        "op13_topk_search": topk_search.SQL,
     }
