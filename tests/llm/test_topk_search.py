@@ -60,5 +60,5 @@ def test_the_tree_prunes_and_keeps_ties():
     for own in (0, 1499, 1600, 2500):
         scores = points @ points[own]
         best = sorted((-int(s), int(ids[i])) for i, s in enumerate(scores) if i != own)[:20]
-        got_ids, got_scores, _ = tree.search(points[own], own, 20)
-        assert [(-int(s), int(i)) for s, i in zip(got_scores, got_ids)] == best
+        got_ids, got_scores, _ = tree.search(points[[own]], np.array([own]), 20)
+        assert [(-int(s), int(i)) for s, i in zip(got_scores[0], got_ids[0])] == best

@@ -8,10 +8,12 @@ The tree's first level is a bounded number of routing rows, taken from all rows
 every row belongs to its nearest one. Rows of one routing row are dealt to shards of about
 `shard` rows by a hash, so that thousands of equal rows take many shards. Each shard is an
 M-tree: leaf pages of at most `page` rows; inner pages of routing rows, each with a covering
-radius and its distance to the routing row above. A query goes best first: of the open nodes
-the one with the least distance of its ball is next, until none can hold a row as near as the
-k-th best. By the triangle inequality a child's or row's distance is at least the difference of
-the stored distance to its parent and the query's own to that parent, so most aren't worked out.
+radius and its distance to the routing row above. Queries go best first, a block of them
+together: of the open nodes the one whose ball is nearest to a query is next, for the queries
+that it may still serve, until none can hold a row as near as a k-th best. By the triangle
+inequality a child's or row's distance is at least the difference of the stored distance to its
+parent and the query's own to that parent; those that this rules out for all queries aren't
+worked out.
 
 Queries are dealt to blocks by their routing row. First each block searches one shard of its
 own, which bounds the k-th distances; then it goes to the shards of every routing row whose ball
@@ -41,6 +43,7 @@ from .vectors import integer_vectors, matrix
 
 MOST = 1 << 24
 ROUTES, SHARD, BLOCK, PAGE, FANOUT = 256, 8192, 1024, 128, 32
+NOTHING = np.iinfo(np.int64).min + 1
 
 
 def pack(**arrays: np.ndarray) -> bytes:
@@ -75,7 +78,7 @@ class Space:
         more = np.sqrt(np.maximum(self.top - aa, 0))[:, None] - np.sqrt(np.maximum(self.top - bb, 0))[None, :]
         return np.sqrt(np.maximum(flat + more**2, 0))
 
-    def of_scores(self, squared: float, scores: np.ndarray) -> np.ndarray:
+    def of_scores(self, squared: np.ndarray, scores: np.ndarray) -> np.ndarray:
         return np.sqrt(np.maximum(squared + self.top - 2.0 * scores, 0))
 
 
@@ -130,40 +133,50 @@ class Tree:
             "radius": np.array(radii), "parent": np.array(parents), "first": np.array(firsts), "last": np.array(lasts), "leaf": np.array(leaves),
         }
 
-    def search(self, query: np.ndarray, own: int, k: int, bound: float = np.inf) -> tuple[np.ndarray, np.ndarray, float]:
-        """ids and scores of the k best rows other than row `own` that are no farther than bound, and the k-th distance."""
-        space, squared = self.space, float((query.astype(np.int64) ** 2).sum())
-        q = query.astype(space.kind)
-        scores, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        to_root = float(space.of_scores(squared, self.centre[:1] @ q)[0])
-        heap = [(max(0.0, to_root - self.radius[0]), 0, to_root)]
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, bound: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the ids and scores of the k best rows, other than its own and no farther than its bound, and the k-th distance.
+
+        Queries go together: the node that is nearest to one of them is next, for those that it may
+        still serve. Places without a row have the score NOTHING.
+        """
+        space, q = self.space, queries.astype(self.space.kind)
+        squared = (queries.astype(np.int64) ** 2).sum(1)
+        bound = np.full(len(q), np.inf) if bound is None else bound.copy()
+        scores, ids = np.full((len(q), k), NOTHING), np.full((len(q), k), np.iinfo(np.int64).max)
+        to_root = space.of_scores(squared, q @ self.centre[0])
+        heap = [(0.0, 0, to_root, to_root - self.radius[0])]
         while heap:
-            least, node, dist = heapq.heappop(heap)
-            if least > bound + space.slack:
+            least, node, dist, edge = heapq.heappop(heap)
+            limit = bound + space.slack
+            if least > limit.max():
                 break
+            some = np.flatnonzero(edge <= limit)
+            if not len(some):
+                continue
             a, b = self.first[node], self.last[node]
+            dist, limit = dist[some], limit[some]
             if self.leaf[node]:
-                near = a + np.flatnonzero(np.abs(dist - self.far[a:b]) <= bound + space.slack)
-                found = (self.points[near] @ q).astype(np.int64)
-                if len(scores) == k:
-                    good = found >= scores[-1]
-                    near, found = near[good], found[good]
-                other = self.rows[near] != own
-                near, found = near[other], found[other]
-                if len(near):
-                    scores, ids = np.concatenate([scores, found]), np.concatenate([ids, self.ids[near]])
-                    best = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[best], ids[best]
-                    if len(scores) == k:
-                        bound = min(bound, float(space.of_scores(squared, scores[-1:])[0]))
+                near = a + np.flatnonzero((np.abs(dist[:, None] - self.far[a:b]) <= limit[:, None]).any(0))
+                found = (q[some] @ self.points[near].T).astype(np.int64)
+                found[self.rows[near] == own[some, None]] = NOTHING
+                better = np.flatnonzero((found >= np.maximum(scores[some, -1:], NOTHING + 1)).any(1))
+                rows = some[better]
+                if len(rows):
+                    both = np.concatenate([scores[rows], found[better]], 1)
+                    names = np.concatenate([ids[rows], np.broadcast_to(self.ids[near], (len(rows), len(near)))], 1)
+                    best = np.lexsort((names, -both), axis=1)[:, :k]
+                    scores[rows], ids[rows] = np.take_along_axis(both, best, 1), np.take_along_axis(names, best, 1)
+                    full = rows[scores[rows, -1] > NOTHING]
+                    bound[full] = np.minimum(bound[full], space.of_scores(squared[full], scores[full, -1]))
                 continue
-            least_of = np.abs(dist - self.parent[a:b]) - self.radius[a:b]
-            near = a + np.flatnonzero(least_of <= bound + space.slack)
-            away = space.of_scores(squared, self.centre[near] @ q)
-            for child, d in zip(near.tolist(), away.tolist()):
-                edge = max(0.0, d - self.radius[child])
-                if edge <= bound + space.slack:
-                    heapq.heappush(heap, (edge, child, d))
+            least_of = np.abs(dist[:, None] - self.parent[a:b]) - self.radius[a:b]
+            near = a + np.flatnonzero((least_of <= limit[:, None]).any(0))
+            away = space.of_scores(squared[some, None], q[some] @ self.centre[near].T)
+            for i, child in enumerate(near.tolist()):
+                whole = np.full((2, len(q)), np.inf)
+                whole[0, some], whole[1, some] = away[:, i], away[:, i] - self.radius[child]
+                if (whole[1, some] <= limit).any():
+                    heapq.heappush(heap, (float(max(0.0, whole[1, some].min())), child, whole[0], whole[1]))
         return ids, scores, bound
 
 
@@ -229,7 +242,7 @@ def search(rows: DataFrame, k: int, every: int, routes: int = ROUTES, shard: int
         for batch in batches:
             for block_no, data, tree in zip(batch.column("block").to_pylist(), batch.column("queries").to_pylist(), batch.column("tree").to_pylist()):
                 q, home = unpack(data), Tree(unpack(tree), space)
-                bound = np.array([home.search(x, own, k)[2] for x, own in zip(q["points"], q["rows"])])
+                bound = home.search(q["points"], q["rows"], k)[2]
                 squared = (q["points"].astype(np.int64) ** 2).sum(1)
                 away = np.sqrt(np.maximum(squared[:, None] + space.top - 2.0 * product(q["points"], sent.value), 0))
                 for route in range(len(norms)):
@@ -251,9 +264,9 @@ def search(rows: DataFrame, k: int, every: int, routes: int = ROUTES, shard: int
         for batch in batches:
             for data, tree in zip(batch.column("queries").to_pylist(), batch.column("tree").to_pylist()):
                 q, here = unpack(data), Tree(unpack(tree), space)
-                found = [here.search(x, own, k, bound)[:2] for x, own, bound in zip(q["points"], q["rows"], q["bound"])]
-                size = [len(ids) for ids, _ in found]
-                columns = [np.repeat(q["rows"], size), np.repeat(q["ids"], size), *(np.concatenate(x) for x in zip(*found))]
+                ids, scores, _ = here.search(q["points"], q["rows"], k, q["bound"])
+                of, _ = np.nonzero(there := scores > NOTHING)
+                columns = [q["rows"][of], q["ids"][of], ids[there], scores[there]]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["query_row", "query_id", "vec_id", "score"])
 
     found = met.select("queries", "tree").mapInArrow(answer, schema)
