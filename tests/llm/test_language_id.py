@@ -1,4 +1,5 @@
 import math
+import random
 from collections import defaultdict
 
 import numpy as np
@@ -56,30 +57,36 @@ def test_code_lengths_are_exact(spark):
         assert scores[doc_id]["score"] == pytest.approx(1 / sum(2 ** (bits[best] - b) for b in bits.values()), rel=1e-4)
 
 
-def test_lost_leaves_count_as_escapes(spark):
-    training = [(i, "ab" * 300 + "abcd" + "xy" * i, "a") for i in range(20)]
-    whole, cut = (language_id.load_trees(language_id.count_contexts(spark.createDataFrame(training, SCHEMA), most)) for most in (2_000_000, 100))
-    assert len(cut.keys) < len(whole.keys)
-    for trees in (whole, cut):
-        # Orders 0 and 1 have every leaf: one byte and two bytes come out by the same counts.
-        assert [len(x[0]) for x in trees.levels[:2]] == [len(x[0]) for x in whole.levels[:2]]
-        for keys, cost, above, escape in trees.levels:
-            p = 2.0 ** -cost[:, 0].astype(float)
-            own = {a: p[keys >> np.uint64(8) == a].sum() + 2.0 ** -escape[i, 0] for i, a in enumerate(above)}
-            assert all(x == pytest.approx(1, abs=1e-5) for x in own.values())
+def test_all_leaves_stay_and_shards_agree(spark):
+    """More than 500,000 bytes a language, by brute force, with one shard and with many."""
+    rng = random.Random(1)
+    training = [(i, "".join(rng.choice(letters) for _ in range(26_000)), lang) for i in range(20) for lang, letters in (("x", "abcdefgh é"), ("y", "abcdefgh ñ"))]
+    df = spark.createDataFrame(training, SCHEMA)
+    contexts = language_id.stash(language_id.count_contexts(df), "test-contexts")
+    grams = {lang: {(b"\0\0\0" + t.encode())[i : i + 4] for _, t, x in training if x == lang for i in range(len(t.encode()))} for lang in "xy"}
+    assert {r["lang"]: r["count"] for r in contexts.where("size = 4").groupBy("lang").count().collect()} == {x: len(g) for x, g in grams.items()}
+    texts = [(10, "abc defgh é" * 5), (11, "hgf eñed cba" * 4), (12, "a"), (13, "zzz 你好 é"), (14, None), (15, "hhhh"), (15, "hhhh")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    one, many = (sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.identify(docs, language_id.load_trees(contexts, most)).collect()) for most in (2_000_000, 3_000))
+    assert len(list(language_id.load_trees(contexts, 3_000))) > 3 and one == many
+    for doc_id, lang, score in one:
+        text = dict(texts)[doc_id]
+        if text is not None:
+            bits = {x: brute_bits([t.encode() for _, t, y in training if y == x], text.encode()) for x in "xy"} if doc_id in (10, 12, 13) else None
+            assert bits is None or (lang == min(bits, key=bits.get) and score == pytest.approx(1 / sum(2 ** (min(bits.values()) - b) for b in bits.values()), rel=1e-3))
 
 
 def test_two_hundred_languages(spark):
     rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26)} " * 40, f"l{i:03}") for i in range(200)]
     df = spark.createDataFrame(rows, SCHEMA)
-    trees = language_id.load_trees(language_id.count_contexts(df, 4_000))
-    assert len(trees.langs) == 200
-    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, trees).collect()}
+    shards = list(language_id.load_trees(language_id.count_contexts(df), 1_000))
+    assert len(shards) > 1 and all(len(x.langs) == 200 for x in shards)
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, shards).collect()}
     assert sum(found[i] == lang for i, _, lang in rows) >= 195
 
 
 def test_the_hash_table_grows(spark):
-    trees = language_id.load_trees(language_id.count_contexts(spark.createDataFrame([(1, "".join(map(chr, range(32, 1500))), "a")], SCHEMA)))
+    (trees,) = language_id.load_trees(language_id.count_contexts(spark.createDataFrame([(1, "".join(map(chr, range(32, 1500))), "a")], SCHEMA)))
     assert not trees._hashed(10) and trees._hashed(14)
     assert (trees.find(trees.keys) == np.arange(len(trees.keys))).all()
 
@@ -94,6 +101,6 @@ def test_odd_rows(spark, odd_documents):
 
 def test_nothing_learned_and_no_rows(spark):
     docs = spark.createDataFrame([(1, "abc", None)], SCHEMA)
-    assert language_id.load_trees(language_id.count_contexts(docs)) is None
-    assert language_id.identify(docs, None).first()["lang_pred"] == "und"
-    assert language_id.identify(docs.limit(0), None).count() == 0
+    assert list(language_id.load_trees(language_id.count_contexts(docs))) == []
+    assert language_id.identify(docs, []).first()["lang_pred"] == "und"
+    assert language_id.identify(docs.limit(0), []).count() == 0

@@ -7,13 +7,13 @@ down to a uniform one of 256 bytes. The statistics are frozen before scoring, so
 text's code length under a language is exact, a sum over its bytes, and the language with
 the shortest code wins. The score is that language's probability if all were equally likely.
 
-Counts come from every training text. All leaves of orders 0 and 1 stay. Of orders 2 and 3
-the `most_leaves` commonest stay at most, in all languages together: a language keeps the
-leaves that are at least (number of languages) / most_leaves of its bytes. A context's totals are those of all texts, and
-what its lost leaves had counts towards the escape. So the trees are small enough to go to
-every task, whatever the size of the corpus, and a training set with fewer different leaves
-has exact trees. Inside a task, texts are scored together: four bytes are one key, found in a
-hash table that has the code lengths of all languages side by side.
+Counts come from every training text, and every leaf is kept. A byte's code length depends on
+the leaves whose context ends in the byte before it only, so trees are cut into shards by that
+byte: a shard has the leaves after one byte, or after several as long as they are `most_leaves`
+at most. With one shard, which is the usual case, documents are scored in one pass; with more,
+each pass adds the code lengths of its shard's places to those of the passes before it, and the
+trees are exact whatever their size. Inside a task, texts are scored together: four bytes are
+one key, found in a hash table that has the code lengths of all languages side by side.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; ties go to the
 language that sorts first; repeated rows keep their own rows; no training texts make every
@@ -22,7 +22,7 @@ text `und`; no documents give no rows; further columns stay out of the result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import stash
+from ..session import drop_stash, stash
 from . import textbatch as tb
 
 UNKNOWN = "und"
@@ -71,20 +71,16 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys)), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "key", "n"])
 
 
-def count_contexts(training: DataFrame, most_leaves: int = 2_000_000) -> DataFrame:
+def count_contexts(training: DataFrame) -> DataFrame:
     """(lang, size, key, n, total, kinds): leaves of size bytes, with the totals of their contexts."""
     texts = training.select("lang", "text").where("lang is not null and text is not null")
     longest = stash(texts.mapInArrow(_count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-    sums = longest.groupBy("lang").agg(F.sum("n").alias("bytes"))
-    # A row for each language.
-    least = sums.crossJoin(F.broadcast(sums.agg(F.count("*").alias("langs")))).select("lang", (F.col("bytes") * F.col("langs") / most_leaves).alias("least"))
     leaves = None
     for size in range(1, ORDER + 2):
         own = longest if size > ORDER else longest.groupBy("lang", F.col("key").bitwiseAND(F.lit((1 << 8 * size) - 1)).alias("key")).agg(F.sum("n").alias("n"))
         own = own.withColumn("context", F.shiftright("key", 8))
         about = own.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        kept = own if size <= 2 else own.join(least, "lang").where("n >= least").drop("least")
-        kept = kept.join(about, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "key", "n", "total", "kinds")
+        kept = own.join(about, ["lang", "context"]).select("lang", F.lit(size).alias("size"), "key", "n", "total", "kinds")
         leaves = kept if leaves is None else leaves.unionByName(kept)
     return leaves
 
@@ -92,9 +88,9 @@ def count_contexts(training: DataFrame, most_leaves: int = 2_000_000) -> DataFra
 class Trees:
     """The code lengths of all languages' trees, in tables by key."""
 
-    def __init__(self, langs: list[str], rows: pd.DataFrame):
-        """rows: size, lang (a number), key, n, total and kinds."""
-        self.langs = langs
+    def __init__(self, langs: list[str], rows: pd.DataFrame, after: np.ndarray | None = None):
+        """rows: size, lang (a number), key, n, total and kinds; after: the bytes (of 256) whose places these trees are for, all if None."""
+        self.langs, self.after = langs, after
         self.levels = []  # by order: keys, their code lengths, contexts, their escapes
         size = len(langs)
         lower = np.full((1, size), 8.0, np.float32)  # the uniform context
@@ -174,51 +170,96 @@ class Trees:
 
     def bits(self, t: tb.Texts) -> np.ndarray:
         """The code length of each text under each language."""
-        keys = _keys(t)
+        keys, bounds = _keys(t), t.bounds
+        if self.after is not None:
+            mine = self.after[(keys >> np.uint32(8)) & np.uint32(255)]
+            keys, bounds = keys[mine], np.concatenate([[0], np.cumsum(mine)])[bounds]
         at = self.find(keys)
         table = self.levels[-1][1]
-        total = np.zeros((len(t.bounds) - 1, len(self.langs)))
+        total = np.zeros((len(bounds) - 1, len(self.langs)))
         lost = np.flatnonzero(at < 0)
         if len(lost):
             which, inverse = np.unique(keys[lost], return_inverse=True)
             own = self._shorter(which.astype(np.uint64), ORDER)
             table = np.concatenate([table, own])
             at[lost] = len(self.keys) + inverse
-        full = np.diff(t.bounds) > 0
+        full = np.diff(bounds) > 0
         if len(at):
             for i in range(len(self.langs)):
-                total[full, i] = np.add.reduceat(table[:, i][at], t.bounds[:-1][full], dtype=np.float64)
+                total[full, i] = np.add.reduceat(table[:, i][at], bounds[:-1][full], dtype=np.float64)
         return total
 
 
-def load_trees(contexts: DataFrame) -> Trees | None:
-    rows = contexts.toPandas()
-    if rows.empty:
-        return None
-    langs = sorted(rows["lang"].unique())
-    return Trees(langs, rows.assign(lang=rows["lang"].map({x: i for i, x in enumerate(langs)})))
-
-
-def identify(documents: DataFrame, trees: Trees | None) -> DataFrame:
+def load_trees(contexts: DataFrame, most_leaves: int = 2_000_000) -> Iterator[Trees]:
+    """The trees, shard by shard; none if nothing was learned.
+
+    A shard has `most_leaves` leaves, or those after a single byte, and the leaves of order 0.
+    """
+    byte = F.when(F.col("size") > 1, F.shiftright("key", 8).bitwiseAND(F.lit(255)))
+    contexts = stash(contexts.withColumn("after", byte), "ppm-leaves")
+    langs = sorted(r["lang"] for r in contexts.select("lang").distinct().collect())
+    number = {x: i for i, x in enumerate(langs)}
+    sizes = sorted(tuple(r) for r in contexts.where("after is not null").groupBy("after").count().collect())  # 256 rows at most
+    parts: list[list[int]] = []
+    held = 0
+    for after, n in sizes:
+        if not parts or held + n > most_leaves:
+            parts.append([])
+            held = 0
+        parts[-1].append(after)
+        held += n
+    for part in parts:
+        rows = contexts.where(F.col("after").isNull() | F.col("after").isin(part)).drop("after").toPandas()
+        mine = None
+        if len(parts) > 1:
+            mine = np.isin(np.arange(256), part)
+            if part is parts[0]:  # and the bytes after which there are no leaves
+                mine |= ~np.isin(np.arange(256), [after for after, _ in sizes])
+        yield Trees(langs, rows.assign(lang=rows["lang"].map(number)), mine)
+
+
+def identify(documents: DataFrame, shards: Iterable[Trees]) -> DataFrame:
     """doc_id, lang_pred and score of each text."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    sent = documents.sparkSession.sparkContext.broadcast(trees)
-
-    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        for batch, t in tb.pieces(batches, most=2 << 20):
-            letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\pL"), False).to_numpy(zero_copy_only=False)
-            if model is None:
+    spark, kind = documents.sparkSession, documents.schema["doc_id"].dataType.simpleString()
+    rows, langs = documents.select("doc_id", "text"), []
+
+    def add(sent, first: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, t in tb.pieces(batches, most=2 << 20):
+                bits = sent.value.bits(t)
+                if not first:
+                    bits += np.array(batch.column("bits").to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(list(bits), pa.list_(pa.float64()))], names=["doc_id", "text", "bits"])
+
+        return run
+
+    def predict(sent, passes: int, langs: list[str]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch, t in tb.pieces(batches, most=2 << 20):
+                letters = pc.fill_null(pc.match_substring_regex(batch.column("text"), r"\pL"), False).to_numpy(zero_copy_only=False)
                 pred, score = np.full(batch.num_rows, UNKNOWN, object), np.zeros(batch.num_rows)
-            else:
-                bits = model.bits(t)
-                best = bits.argmin(axis=1)
-                score = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(axis=1)
-                pred = np.array(model.langs, object)[best]
-                pred[~letters], score[~letters] = UNKNOWN, 0.0
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
-
-    return documents.select("doc_id", "text").mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
+                if langs:
+                    bits = sent.value.bits(t)
+                    if passes > 1:
+                        bits += np.array(batch.column("bits").to_pylist())
+                    best = bits.argmin(axis=1)
+                    score = 1 / np.exp2(np.maximum(bits[np.arange(len(bits)), best][:, None] - bits, -1000)).sum(axis=1)
+                    pred = np.array(langs, object)[best]
+                    pred[~letters], score[~letters] = UNKNOWN, 0.0
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "lang_pred", "score"])
+
+        return run
+
+    passes, waiting = 0, None
+    for trees in shards:
+        if waiting is not None:  # what is scored so far is written, so that a task holds one shard
+            before = rows
+            rows = stash(rows.mapInArrow(add(waiting, passes == 1), f"doc_id {kind}, text string, bits array<double>"), "ppm-bits")
+            if passes > 1:
+                drop_stash(before)
+            waiting.unpersist()
+        waiting, langs, passes = spark.sparkContext.broadcast(trees), trees.langs, passes + 1
+    return rows.mapInArrow(predict(waiting, passes, langs), f"doc_id {kind}, lang_pred string, score double")
 
 
 def held_out(doc_id: Column) -> Column:
