@@ -29,6 +29,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .rows import row_hash
+
 RANGE = 4096  # documents in a hash range, on average
 NEW = ("mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_position")
 
@@ -94,8 +96,8 @@ def mix_sources(
     plans = documents.sparkSession.createDataFrame([(p["source"], p["ranges"], p["phases"]) for p in planned], schema)
     # Ids may be null or repeat: those rows are told apart, and dealt out, by all their columns.
     kept = [c for c in documents.columns if c not in NEW]
-    mark = F.xxhash64("doc_id", *[c for c in kept if c != "doc_id"], *[F.col(c).isNull() for c in kept])
-    rows = documents.select(F.struct(*kept).alias("row"), source.alias("source"), mark.alias("hash"))
+    mark = row_hash(documents, ["doc_id", *[c for c in kept if c != "doc_id"]])
+    rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), source.alias("source"), mark.alias("hash"))
     # At most max_sources rows, so they may go to every task.
     rows = rows.join(F.broadcast(plans), "source").withColumn("range", F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("ranges"), 31))
     sizes = documents.select(source.alias("source"), mark.alias("hash")).join(F.broadcast(plans.drop("phases")), "source")
