@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, line_dedup, mixing, ngram_join, quality_rules
+from tidemark.llm.rows import row_hash
 from tidemark.session import stash
 
 
@@ -37,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     and of rows that are equal in every column there is one. A text without words is similar
     to no other, and its row stays.
     """
-    key = F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns])
+    key = row_hash(docs, docs.columns)
     rows = docs.select(key.alias("row_key"), F.col("doc_id").alias("id"), "text")
     found = ngram_join.similar_components(rows.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "component_id").distinct()
     ids = stash(rows.groupBy("row_key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "row-keys")
@@ -50,10 +51,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go. Each row is judged by its own text: ids may be null or repeat."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontaminate.find_contamination(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("row_key", row_hash(docs, docs.columns))
+    leaks = decontaminate.find_contamination(keyed.select(F.col("row_key").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("row_key")).distinct()
+    return keyed.join(leaks, "row_key", "left_anti").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
