@@ -99,3 +99,9 @@ def test_components(spark):
             root[a] = root[b] = min(root[a], root[b])
     got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: root[i] for i in {i for p in links if p[0] != p[1] for i in p}}
+
+
+def test_string_ids(spark):
+    rows = [(f"d{i:02}", " ".join(f"w{i // 3}x{j}" for j in range(40)) + (f" own{i}" if i % 3 else "")) for i in range(12)] + [("short", "one two"), ("e", ""), (None, "one two")]
+    got = ngram_join.similar_components(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got if r["doc_id"]} == {f"d{i:02}": f"d{i // 3 * 3:02}" for i in range(12)} | {"short": "short", "e": "e"}

@@ -2,7 +2,10 @@ from collections import Counter
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from tidemark.llm import decontaminate, ngram_join, quality_rules
+from tidemark.session import shared_dir
 
 from .conftest import TABLES
 from .test_line_dedup import distance
@@ -95,3 +98,18 @@ def test_one_row_of_each_near_duplicate_group(spark):
     out = pipeline.near_duplicate_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), TABLES)
     got = sorted(r["source"] for r in out.collect())
     assert [x for x in got if x not in "bc"] == list("adfgiklmn") and len(got) == 10, got
+
+
+def test_contaminated_rows_go_by_row(spark):
+    item = " ".join(f"bench{i}" for i in range(30))
+    clean = " ".join(f"clean{i}" for i in range(50))
+    rows = [(1, clean, "a"), (1, f"before {item} after", "b"), (None, f"x {item}", "c"), (None, clean, "d"), (2, clean, "e"), (2, clean, "e"), (3, None, "f"), (4, item, "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({"odd name-1": F.lit(1), "tags": F.create_map(F.lit("k"), F.col("source")), "row_hash": F.lit("x")})
+    root = f"{shared_dir(spark)}/bench-tables"
+    spark.createDataFrame([(9, item)], "item_id long, text string").write.mode("overwrite").parquet(f"{root}/benchmark.parquet")
+    out = pipeline.decontamination_stage(spark, docs, root)
+    assert out.columns == docs.columns and sorted(r["source"] for r in out.collect()) == list("adeef")
+    once = sorted(r["source"] for r in pipeline.near_duplicate_stage(spark, docs, root).collect())
+    assert once[0] == "a" and "f" in once and not {"d", "e"} & set(once)
+    mixed = pipeline.mixing_stage(spark, docs, root)
+    assert sorted(r["mix_position"] for r in mixed.collect()) == list(range(len(rows)))

@@ -44,6 +44,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..session import drop_stash, stash
 from . import textbatch as tb
@@ -81,7 +82,7 @@ def _signatures(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
 
 
-def _first_pass(k: int):
+def _first_pass(k: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, held, names = np.zeros(SLOTS, np.int64), [], ["doc_id", "n", "node", *SIGNATURE, "chunk", "counts"]
 
@@ -102,7 +103,7 @@ def _first_pass(k: int):
             add()
         parts = sketch.reshape(-1, CHUNK).astype(np.uint32)
         used = np.flatnonzero(parts.any(axis=1))
-        none = [pa.nulls(len(used), pa.int64())] * (3 + len(SIGNATURE))
+        none = [pa.nulls(len(used), id_type), *[pa.nulls(len(used), pa.int64())] * (2 + len(SIGNATURE))]
         yield pa.RecordBatch.from_arrays([*none, pa.array(used.astype(np.int32)), pa.array([parts[i].tobytes() for i in used], pa.binary())], names=names)
 
     return run
@@ -340,7 +341,8 @@ def similar_components(documents: DataFrame, k: int = 5, percent: int = 75) -> D
     spark = documents.sparkSession
     texts = documents.select("doc_id", "text")
     signature = ", ".join(f"{s} long" for s in SIGNATURE)
-    first = stash(texts.mapInArrow(_first_pass(k), f"doc_id long, n long, node long, {signature}, chunk int, counts binary"), "ngram-nodes")
+    kind = documents.schema["doc_id"].dataType
+    first = stash(texts.mapInArrow(_first_pass(k, to_arrow_type(kind)), f"doc_id {kind.simpleString()}, n long, node long, {signature}, chunk int, counts binary"), "ngram-nodes")
     members = first.where("chunk is null").select("doc_id", F.col("n").alias("n_shingles"), "node")
     counts = first.where("chunk is not null").groupBy("chunk").applyInPandas(_add_chunks, "chunk int, counts binary").collect()
     sketch = np.zeros((SLOTS // CHUNK, CHUNK), np.uint32)  # of fixed size, whatever the corpus
