@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -88,32 +87,22 @@ def count_contexts(training: DataFrame) -> DataFrame:
 class Trees:
     """The code lengths of all languages' trees, in tables by key."""
 
-    def __init__(self, langs: list[str], rows: pd.DataFrame, after: np.ndarray | None = None):
-        """rows: size, lang (a number), key, n, total and kinds; after: the bytes (of 256) whose places these trees are for, all if None."""
+    def __init__(self, langs: list[str], leaves: dict[str, np.ndarray], after: np.ndarray | None = None):
+        """leaves: size, lang (a number), key, n, total and kinds; after: the bytes (of 256) whose places these trees are for, all if None."""
         self.langs, self.after = langs, after
         self.levels = []  # by order: keys, their code lengths, contexts, their escapes
-        size = len(langs)
-        lower = np.full((1, size), 8.0, np.float32)  # the uniform context
-        low_keys = np.zeros(1, np.uint64)
+        lower, low_keys = np.full((1, len(langs)), 8, np.float32), np.zeros(1, np.uint64)  # the uniform context
         for order in range(ORDER + 1):
-            own = rows[rows["size"] == order + 1]
-            lang = own["lang"].to_numpy()
-            keys, where = np.unique(own["key"].to_numpy().astype(np.uint64), return_inverse=True)
+            own = np.flatnonzero(leaves["size"] == order + 1)
+            lang, n, whole, kinds = (leaves[x][own] for x in ("lang", "n", "total", "kinds"))
+            keys, where = np.unique(leaves["key"][own].astype(np.uint64), return_inverse=True)
             above, context = np.unique(keys >> np.uint64(8), return_inverse=True)
-            c, total, kinds, kept = np.zeros((len(keys), size)), *np.zeros((3, len(above), size))
-            c[where, lang] = own["n"].to_numpy()
-            total[context[where], lang], kinds[context[where], lang] = own["total"].to_numpy(), own["kinds"].to_numpy()
-            np.add.at(kept, context, c)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                escape = np.where(total > 0, -np.log2((kinds + total - kept) / (total + kinds)), 0.0)
-                seen = -np.log2(c / (total + kinds)[context])
-            if order == 0:
-                base = np.full((len(keys), size), 8.0)
-            else:
-                cut = keys & np.uint64((1 << 8 * order) - 1)
-                base = lower[np.searchsorted(low_keys, cut)]
-            cost = np.where(c > 0, seen, escape[context] + base)
-            self.levels.append((keys, cost.astype(np.float32), above, escape.astype(np.float32)))
+            escape = np.zeros((len(above), len(langs)), np.float32)
+            escape[context[where], lang] = -np.log2(kinds / (whole + kinds))
+            cost = lower[np.searchsorted(low_keys, keys & np.uint64((1 << 8 * order) - 1)) if order else np.zeros(len(keys), int)]
+            cost += escape[context]
+            cost[where, lang] = -np.log2(n / (whole + kinds))
+            self.levels.append((keys, cost, above, escape))
             low_keys, lower = keys, cost
         self.keys = self.levels[-1][0].astype(np.uint32)
         bits = max(10, int(np.ceil(np.log2(max(1, len(self.keys)) * 3))))
@@ -190,7 +179,7 @@ class Trees:
         return total
 
 
-def load_trees(contexts: DataFrame, most_leaves: int = 2_000_000) -> Iterator[Trees]:
+def load_trees(contexts: DataFrame, most_leaves: int = 1_000_000) -> Iterator[Trees]:
     """The trees, shard by shard; none if nothing was learned.
 
     A shard has `most_leaves` leaves, or those after a single byte, and the leaves of order 0.
@@ -209,13 +198,17 @@ def load_trees(contexts: DataFrame, most_leaves: int = 2_000_000) -> Iterator[Tr
         parts[-1].append(after)
         held += n
     for part in parts:
-        rows = contexts.where(F.col("after").isNull() | F.col("after").isin(part)).drop("after").toPandas()
+        rows = contexts.where(F.col("after").isNull() | F.col("after").isin(part)).drop("after").toArrow()
+        own = rows.column("lang").combine_chunks().dictionary_encode()
+        leaves = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "lang"}
+        leaves["lang"] = np.array([number[x] for x in own.dictionary.to_pylist()], int)[own.indices.to_numpy()]
         mine = None
         if len(parts) > 1:
             mine = np.isin(np.arange(256), part)
             if part is parts[0]:  # and the bytes after which there are no leaves
                 mine |= ~np.isin(np.arange(256), [after for after, _ in sizes])
-        yield Trees(langs, rows.assign(lang=rows["lang"].map(number)), mine)
+        del rows, own
+        yield Trees(langs, leaves, mine)
 
 
 def identify(documents: DataFrame, shards: Iterable[Trees]) -> DataFrame:
