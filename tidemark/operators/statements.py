@@ -1,14 +1,18 @@
 """From the text of a statement to transactions.
 
 Whether a transaction begins at a line, and how many lines it takes, depends on that line and
-its neighbours only. These facts are worked out for every line first; a fold over small
-structs then walks the lines, minds which are taken and whether a section is open, and leaves
-the lines where transactions begin. Records are built from those lines. All of it is built-in
-expressions over the array of a document's lines.
+its neighbours only. A text is cut into chunks of lines, which go to different tasks; these
+facts are worked out for each line once. What a walk over the lines has to remember is small:
+how many lines are taken (0 to 2) and whether a section is open. So each chunk of a long text is
+a function of six states; composing them gives the state before each chunk, and all chunks are
+then walked at once. Records are built from the lines where transactions begin, which are
+rows with their neighbours. All of it is built-in expressions.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,54 +75,118 @@ def bank_name(text: Column) -> Column:
     return F.coalesce(F.get(F.filter(lines, lambda x: x.isNotNull()), 0), by_domain, by_brand, F.lit("Unknown"))
 
 
-def _line(i: Column) -> Column:
-    return F.coalesce(F.trim(F.get("lines", i)), F.lit(""))
-
-
 def _dated(line: Column) -> Column:
     return line.rlike(D.ANY_DATE)
 
 
-def _continues(line: Column, dated: Column) -> Column:
-    return (line != "") & ~dated & has_letter(line) & ~F.contains(line, F.lit("$"))
+FULL_DATE = r"^\d{1,2}/\d{1,2}/\d{4}"
+CHUNK = 512  # lines
 
+# What is known of a line by itself, as bits.
+DATED, FULL, LETTER, DOLLAR, BLANK, AMOUNTS, OPENS, CLOSES, OTHER, LOOSE = (1 << i for i in range(10))
 
-FULL_DATE = r"^\d{1,2}/\d{1,2}/\d{4}"
 
+def once(rows: DataFrame, *keep: str | Column, **columns: Column) -> DataFrame:
+    """keep and further columns, each worked out once however often later steps name them: filters and
+    projections aren't moved through a generator."""
+    return rows.select(*keep, F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
 
-def _facts(line: Column, i: Column) -> Column:
-    """What the walk has to know about a line."""
-    here, after, third, up = F.trim(line), _line(i + 1), _line(i + 2), F.upper(line)
-    dated = F.when(_continues(after, _dated(after)), 2).otherwise(1)
-    plain = (
-        F.when(~has_letter(here) | ~after.rlike(FULL_DATE), 1)
-        .when(F.size(A.extract_amounts(D.skip_date(after))) == 0, 2)
-        .when(_continues(third, third.rlike(FULL_DATE)), 3).otherwise(2)
-    )
-    return F.struct(
-        i.alias("at"), any_of(up, SECTION_START).alias("opens"), any_of(up, SECTION_END).alias("closes"), any_of(up, SUMMARIES + HEADERS).alias("other"),
-        here.rlike(r"^\d{1,2}[/-]\d{1,2}").alias("loose"), F.when(here == "", 1).when(_dated(here), dated).otherwise(plain).alias("takes"),
-    )
 
+def _marks(line: Column) -> Column:
+    up, full = F.upper(line), line.rlike(FULL_DATE)
+    amounts = F.size(A.extract_amounts(D.skip_date(line))) > 0
+    tests = [
+        (line.rlike(D.ANY_DATE), DATED), (full, FULL), (has_letter(line), LETTER), (F.contains(line, F.lit("$")), DOLLAR), (line == "", BLANK), (full & amounts, AMOUNTS),
+        (any_of(up, SECTION_START), OPENS), (any_of(up, SECTION_END), CLOSES), (any_of(up, SUMMARIES + HEADERS), OTHER), (line.rlike(r"^\d{1,2}[/-]\d{1,2}"), LOOSE),
+    ]
+    return reduce(lambda x, y: x + y, [F.when(test, bit).otherwise(0) for test, bit in tests])
 
-def _walk(facts: Column) -> Column:
-    """The lines where a transaction may begin."""
-    start = F.struct(F.lit(0).alias("next"), F.lit(False).alias("inside"), F.array().cast("array<int>").alias("heads"))
 
-    def step(acc: Column, x: Column) -> Column:
-        taken = x["at"] < acc["next"]
-        opens, closes = ~taken & x["opens"], ~taken & ~x["opens"] & acc["inside"] & x["closes"]
-        begins = ~taken & ~opens & ~closes & ~x["other"] & (acc["inside"] | x["loose"])
-        return F.struct(
-            F.when(begins, x["at"] + x["takes"]).otherwise(acc["next"]).alias("next"),
-            F.when(opens, True).when(closes, False).otherwise(acc["inside"]).alias("inside"),
-            F.when(begins, F.concat(acc["heads"], F.array(x["at"]))).otherwise(acc["heads"]).alias("heads"),
+def _has(marks: Column, bit: int) -> Column:
+    return marks.bitwiseAND(bit) != 0
+
+
+def _continues(marks: Column, date: int) -> Column:
+    """Whether a line goes on with the description before it: text without a date (of this form) or a dollar sign."""
+    return marks.bitwiseAND(BLANK | date | LETTER | DOLLAR) == LETTER
+
+
+def _steps(marks: Column, own: Column, before: Column) -> Column:
+    """For each line of a chunk its marks, and how many lines a transaction takes that begins at it (times 1024)."""
+
+    def one(here: Column, i: Column) -> Column:
+        after, third = (F.coalesce(F.get(marks, before + i + n), F.lit(BLANK)) for n in (1, 2))
+        plain = (
+            F.when(~_has(here, LETTER) | ~_has(after, FULL), 1).when(~_has(after, AMOUNTS), 2)
+            .when(_continues(third, FULL), 3).otherwise(2)
         )
+        takes = F.when(_has(here, BLANK), 1).when(_has(here, DATED), F.when(_continues(after, DATED), 2).otherwise(1)).otherwise(plain)
+        return here + takes * 1024
+
+    return F.transform(own, one)
+
+
+def _begins(skip: Column, inside: Column, x: Column) -> tuple[Column, Column, Column]:
+    """Whether a transaction begins at a line, and the state after it: lines still to skip, and whether a section is open."""
+    free = skip == 0
+    opens, closes = free & _has(x, OPENS), free & ~_has(x, OPENS) & inside & _has(x, CLOSES)
+    begins = free & ~opens & ~closes & ~_has(x, OTHER) & (inside | _has(x, LOOSE))
+    left = F.when(~free, skip - 1).when(begins, F.shiftright(x, 10) - 1).otherwise(0)
+    return begins, left, F.when(opens, True).when(closes, False).otherwise(inside)
+
+
+def _exit(steps: Column, start: int) -> Column:
+    """The state after a chunk, from a state before it; a state is 2 * lines to skip + whether a section is open."""
 
-    return F.aggregate(facts, start, step)["heads"]
+    def step(state: Column, x: Column) -> Column:
+        _, skip, inside = _begins(F.shiftright(state, 1), _has(state, 1), x)
+        return (skip * 2 + inside.cast("int")).cast("int")
 
+    return F.aggregate(steps, F.lit(start), step)
 
-def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, clean: bool = True) -> DataFrame:
+
+def _heads(steps: Column, entry: Column) -> Column:
+    """The places in a chunk where a transaction may begin."""
+    start = F.struct(F.lit(0).alias("at"), F.shiftright(entry, 1).alias("skip"), _has(entry, 1).alias("inside"), F.array().cast("array<int>").alias("heads"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begins, skip, inside = _begins(acc["skip"], acc["inside"], x)
+        heads = F.when(begins, F.concat(acc["heads"], F.array(acc["at"]))).otherwise(acc["heads"])
+        return F.struct((acc["at"] + 1).alias("at"), skip.cast("int").alias("skip"), inside.alias("inside"), heads.alias("heads"))
+
+    return F.aggregate(steps, start, step)["heads"]
+
+
+def _chunks(texts: DataFrame, default_year: int, size: int) -> DataFrame:
+    """Texts as chunks of lines, each with a line of the chunk before it and two of the next, and the steps of its own lines."""
+    year = D.statement_year(F.col("text"), default_year)
+    read = once(texts.where("text is not null"), "doc_id", key=F.xxhash64("doc_id", "text"), year=year, lines=F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
+    last = F.floor((F.size("lines") - 1) / size).cast("int")
+
+    def part(c: Column) -> Column:
+        before = F.when(c > 0, 1).otherwise(0)
+        return F.struct(c.alias("chunk"), before.alias("before"), F.slice("lines", c * size + 1 - before, size + 2 + before).alias("part"))
+
+    spread = read.select("doc_id", "key", "year", (last > 0).alias("long"), F.inline(F.transform(F.sequence(F.lit(0), last), part)))
+    marked = once(spread, "doc_id", "key", "year", "long", "chunk", "before", "part", marks=F.transform("part", _marks))
+    own = F.slice("marks", F.col("before") + 1, F.lit(size))
+    return once(marked, "doc_id", "key", "year", "long", "chunk", "before", "part", steps=_steps(F.col("marks"), own, F.col("before")))
+
+
+def _entries(chunks: DataFrame) -> DataFrame:
+    """key, chunk and the state before it, for the chunks of long texts.
+
+    A chunk is a function from the state before it to the one after it; they are composed in the
+    order of chunks, which are few numbers for each text.
+    """
+    each = chunks.where("long").select("key", "chunk", F.array(*[_exit(F.col("steps"), s) for s in range(6)]).alias("f")).groupBy("key", "chunk").agg(F.first("f").alias("f"))
+    whole = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("all"))
+    start = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("entries"))
+    walked = F.aggregate("all", start, lambda acc, x: F.struct(F.get(x["f"], acc["state"]).alias("state"), F.concat(acc["entries"], F.array(acc["state"])).alias("entries")))
+    return whole.select("key", F.posexplode(walked["entries"]).alias("chunk", "entry"))
+
+
+def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, clean: bool = True, chunk: int = CHUNK) -> DataFrame:
     """doc_id, line_no, txn_date_raw, txn_date, place, place_original, amount, debits, credits, balance, from doc_id and text.
 
     One amount is the transaction's; of two, the second is the balance; of three, the first two
@@ -126,29 +194,37 @@ def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, c
     credit; without it rows look like those of older ledgers. Without clean, place is left null, for
     a caller that cleans the different names once each.
     """
-    read = texts.select("doc_id", F.split("text", "\n").alias("lines"), D.statement_year(F.col("text"), default_year).alias("year"))
-    heads = read.withColumn("heads", _walk(F.transform("lines", _facts))).select("doc_id", "lines", "year", F.explode("heads").alias("at"))
-    at = F.col("at")
-    here, before, after, third = _line(at), _line(at - 1), _line(at + 1), _line(at + 2)
-    before = F.when(at > 0, before).otherwise(F.lit(""))
+    chunks = _chunks(texts, default_year, chunk)
+    entered = chunks.join(_entries(chunks), ["key", "chunk"], "left")
+    begun = once(entered, "doc_id", "year", "chunk", "before", "part", heads=_heads(F.col("steps"), F.coalesce("entry", F.lit(0))))
+
+    def around(i: Column) -> Column:
+        near = [F.coalesce(F.get("part", F.col("before") + i + n), F.lit("")).alias(name) for n, name in ((-1, "prior"), (0, "here"), (1, "after"), (2, "third"))]
+        return F.struct((F.col("chunk") * chunk + i).alias("at"), *near)
+
+    heads = begun.select("doc_id", "year", F.inline(F.transform("heads", around)))
+    here, before, after, third = (F.col(c) for c in ("here", "prior", "after", "third"))
     dated = _dated(here)
 
+    def follows(line: Column, date: Column) -> Column:
+        return (line != "") & ~date & has_letter(line) & ~F.contains(line, F.lit("$"))
+
     second = D.skip_date(here)
     rest = F.trim(F.regexp_replace(F.when(_dated(second), D.skip_date(second)).otherwise(second), r"^\d{17,}\s+", ""))
     own = A.strip_amounts(rest)
     poor = (F.length(own) < 3) | ~has_letter(own)
     usable = ~_dated(before) & ~before.rlike(r"^\d{1,2}:\d{2}$") & has_letter(before) & (F.length(before) > 5)
     own = F.when(poor & usable, before).otherwise(own)
-    dated_text = F.when(_continues(after, _dated(after)), F.concat(own, F.lit(" "), after)).otherwise(own)
+    dated_text = F.when(follows(after, _dated(after)), F.concat(own, F.lit(" "), after)).otherwise(own)
 
     amounts_line = D.skip_date(after)
     plain = F.regexp_replace(here, r"\s+\d{1,2}/\d{1,2}/\d{2,4}$", "")
-    plain_text = F.when(_continues(third, third.rlike(FULL_DATE)), F.concat(plain, F.lit(" "), third)).otherwise(plain)
+    plain_text = F.when(follows(third, third.rlike(FULL_DATE)), F.concat(plain, F.lit(" "), third)).otherwise(plain)
 
     raw = F.when(dated, D.repair_month(D.leading_date(here, F.col("year")))).otherwise(F.regexp_extract(after, f"({FULL_DATE[1:]})", 1))
     found = (A.signed_amounts if signed else A.extract_amounts)(F.when(dated, rest).when(after.rlike(FULL_DATE), amounts_line))
     description = F.trim(F.regexp_replace(F.when(dated, dated_text).otherwise(plain_text), r"\s+", " "))
-    rows = heads.select("doc_id", at.alias("line_no"), raw.alias("txn_date_raw"), description.alias("place_original"), found.alias("found"))
+    rows = once(heads, "doc_id", F.col("at").alias("line_no"), txn_date_raw=raw, place_original=description, found=found)
     rows = rows.where((F.size("found") > 0) & (F.col("place_original") != "") & ~is_garbage(F.col("place_original")))
     n, none = F.size("found"), F.lit(None).cast(A.MONEY)
     debits = F.when((n >= 3) & (F.get("found", 0) > 0), F.get("found", 0))

@@ -22,11 +22,16 @@ def stream_statements(spark: SparkSession, root: str) -> DataFrame:
 def ingest_new(spark: SparkSession, root: str, ledger_path: str, checkpoint: str, default_year: int) -> StreamingQuery:
     """Parses the statements that weren't there at the last call and writes their months.
 
-    Parsing is row by row, so the same rows come out as from a batch over all files; a file is
-    taken once, whatever happens to the job.
+    Each statement is parsed by itself, so the same rows come out as from a batch over all files.
+    A batch has a folder of its own, which it writes as a whole: a batch that is tried again
+    replaces what it left, so a file is taken once, whatever happens to the job.
     """
-    parsed = parse_statements(stream_statements(spark, root), default_year).withColumn("month", F.coalesce(F.date_format("txn_date", "yyyy-MM"), F.lit("unknown")))
-    return parsed.writeStream.format("parquet").partitionBy("month").option("path", ledger_path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    def parse(batch: DataFrame, number: int) -> None:
+        parsed = parse_statements(batch, default_year).withColumn("month", F.coalesce(F.date_format("txn_date", "yyyy-MM"), F.lit("unknown")))
+        parsed.write.mode("overwrite").partitionBy("month").parquet(f"{ledger_path}/batch={number}")
+
+    return stream_statements(spark, root).writeStream.foreachBatch(parse).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def follow_merchants(history: DataFrame, cache_path: str, checkpoint: str) -> StreamingQuery:
