@@ -62,3 +62,32 @@ def test_formats_and_counts(spark):
     assert {tuple(r) for r in rollup.statement_counts(rows).collect()} == {("s", "Income", 2), ("t", "Expense", 1)}
     pairs = spark.createDataFrame([("The Corner & Shop", "cornershop fargo"), ("A1", "B1")], "a string, b string")
     assert [r[0] for r in pairs.select(names.same_merchant(F.col("a"), F.col("b"))).collect()] == [True, False]
+
+
+def test_every_month_by_its_own_header(spark, tmp_path):
+    months = {
+        "2025-01": "Transaction Date,Place,Amount,Statement,category\n01/02/2025,Shop,12.50,Bank,Dining\n",
+        "2025-02": "\ufeffAmount,category,Place,Transaction Date\r\n7.25,Fun,Second Shop,02/03/2025\r\n",
+        "2025-03": "place,AMOUNT,extra\nThird Shop,1.00,x\n", "2025-04": "\n", "2025-05": "\x00\x01 no ledger\nx,y\n", "2025-06": "Place\nOnly Place\n",
+        "2025-07": 'Transaction Date,Place,Amount\n07/01/2025,"Last, Shop",2.00,too,many\n',
+    }
+    for month, text in months.items():
+        (tmp_path / month).mkdir()
+        (tmp_path / month / "expenses.csv").write_bytes(text.encode())
+    got = {r["month"]: r for r in files.read_ledgers(spark, str(tmp_path)).collect()}
+    assert {m: (r["place"], str(r["amount"])) for m, r in got.items()} == {
+        "2025-01": ("Shop", "12.50"), "2025-02": ("Second Shop", "7.25"), "2025-03": ("Third Shop", "1.00"), "2025-06": ("Only Place", "0.00"), "2025-07": ("Last, Shop", "2.00"),
+    }
+    assert str(got["2025-02"]["txn_date"]) == "2025-02-03" and got["2025-02"]["category"] == "Fun" and got["2025-03"]["txn_date"] is None
+    report = {r["month"]: r["problem"] for r in files.ledger_files(spark, str(tmp_path), "expenses.csv").collect()}
+    assert report == {**dict.fromkeys(months), "2025-04": "empty", "2025-05": "no known column"}
+    assert sorted(r["place"] for r in files.read_history(spark, str(tmp_path)).collect()) == ["Last, Shop", "Only Place", "Second Shop", "Shop", "Third Shop"]
+    assert files.read_ledgers(spark, str(tmp_path), "none.csv").count() == 0
+
+
+def test_hand_written_entries_by_their_own_header(spark, tmp_path):
+    for month, text in (("2025-01", "# note\n  # more\n\nTransaction Date,Place,category,Amount\n01/05/2025,Hand,Fun,3.00\n# end\n"), ("2025-02", "# only\nAmount,Place\n4.00,Two\n"), ("2025-03", "# nothing\n")):
+        (tmp_path / month).mkdir()
+        (tmp_path / month / "manual.csv").write_text(text)
+    rows = files.read_ledgers(spark, str(tmp_path), "manual.csv", skip_comments=True).collect()
+    assert sorted((r["month"], r["place"], str(r["amount"]), r["category"]) for r in rows) == [("2025-01", "Hand", "3.00", "Fun"), ("2025-02", "Two", "4.00", None)]

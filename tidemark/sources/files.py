@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dates import file_month
 from ..schema import LEDGER_CSV
 
-LEDGER_NAMES = {c.rsplit(" ", 1)[0].strip().strip("`").lower() for c in LEDGER_CSV.split(", ")}
+LEDGER_FIELDS = [c.rsplit(" ", 1)[0].strip().strip("`") for c in LEDGER_CSV.split(", ")]
+LEDGER_NAMES = {c.lower() for c in LEDGER_FIELDS}
 MONTH = r"/(\d{4}-\d{2})/[^/]*$"
 
 
@@ -37,59 +41,71 @@ def once_each(documents: DataFrame) -> DataFrame:
     return documents.groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), "path").alias("d")).select("d.*")
 
 
+def ledger_files(spark: SparkSession, root: str, name: str, skip_comments: bool = False) -> DataFrame:
+    """path, month, header and problem of each file of a name: "empty", "no known column", or null.
+
+    The header is the first line, or the first that is no comment and not blank; that is a read of
+    each file's first block. Files of no bytes aren't there for Spark's readers, and have no row.
+    """
+    source = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    there = source.format("binaryFile").load(root).select("path")  # names only
+    lines = source.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value")
+    first = lines.where("start = 0" if not skip_comments else r"start = 0 and not value rlike '^\\s*(#|$)'").groupBy("path").agg(F.min_by("value", "at").alias("header"))
+    header = F.rtrim(F.regexp_replace("header", "^\ufeff", ""), F.lit("\r"))
+    found = there.join(first, "path", "left").select("path", month_folder(F.col("path")).alias("month"), header.alias("header"))
+    names = F.transform(F.split(F.lower("header"), ","), lambda x: F.trim(F.replace(x, F.lit('"'), F.lit(""))))
+    known = F.arrays_overlap(names, F.array(*map(F.lit, sorted(LEDGER_NAMES))))
+    return found.withColumn("problem", F.when(F.coalesce(F.trim("header") == "", F.lit(True)), "empty").when(~known, "no known column"))
+
+
+def _places(header: str) -> dict[str, int]:
+    """The column of each ledger name: the first that is spelled as asked for, else the first in another case."""
+    fields = [x.strip() for x in next(csv.reader([header]))]
+    lower = [x.lower() for x in fields]
+    return {n: fields.index(n) if n in fields else lower.index(n.lower()) for n in LEDGER_FIELDS if n.lower() in lower}
+
+
+def _raw_ledgers(spark: SparkSession, root: str, name: str, skip_comments: bool) -> DataFrame:
+    """Rows of all sound files, each read by its own header, as text: the columns of a ledger, month and row (their order in a file)."""
+    heads: dict[str, list[str]] = {}
+    for r in ledger_files(spark, root, name, skip_comments).where("problem is null").collect():  # one for each file
+        heads.setdefault(r["header"], []).append(r["path"])
+    empty = spark.createDataFrame([], f"{LEDGER_CSV}, month string, row long")
+    parts = [empty]
+    for header, paths in sorted(heads.items()):
+        places, n = _places(header), len(next(csv.reader([header])))
+        schema = ", ".join(f"c{i} string" for i in range(n))
+        if skip_comments:
+            lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.filter(F.split("value", r"\r?\n"), lambda x: ~x.rlike(r"^\s*(#|$)")).alias("lines"))
+            rows = lines.select("path", F.posexplode("lines").alias("row", "line")).where("row > 0").select("path", F.col("row").cast("long").alias("row"), F.from_csv("line", F.lit(schema), {"mode": "PERMISSIVE"}).alias("f")).select("path", "row", "f.*")
+        else:
+            rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "true").csv(paths)
+            rows = rows.select("*", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("row"))
+        fields = [(F.col(f"c{places[x]}") if x in places else F.lit(None).cast("string")).alias(x) for x in LEDGER_FIELDS]
+        parts.append(rows.select(*fields, month_folder(F.col("path")).alias("month"), "row"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def read_ledgers(spark: SparkSession, root: str, name: str = "expenses.csv", skip_comments: bool = False) -> DataFrame:
     """Ledger rows of all months with typed amounts: a bad or missing amount is 0, as in the rollups.
 
-    skip_comments leaves out lines that start with "#", also after white space.
+    Each file is read by its own header: columns may come in any order, and those that it lacks are
+    null. Files with the same header are one scan. Of names that differ in case only, the one
+    spelled as a ledger's goes first. Files without a known column are left out; ledger_files
+    reports them. skip_comments leaves out lines that start with "#", also after white space.
     """
-    reader = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
-    if skip_comments:
-        return read_commented(spark, root, name)
-    rows = reader.option("header", "true").option("enforceSchema", "false").option("mode", "PERMISSIVE").csv(root)
-    if any(c[: -len(str(at))].lower() in LEDGER_NAMES and c.endswith(str(at)) for at, c in enumerate(rows.columns)):
-        # Spark's names differ from the header now, so columns go by place, which needs one header in all files.
-        heads = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-        if heads.select(F.split("value", r"\r?\n", 2)[0]).distinct().limit(2).count() > 1:
-            raise ValueError(f"{name} has names that differ in case only, and not the same header in all files")
-        rows = reader.option("header", "true").option("enforceSchema", "true").schema(rows.schema).csv(root)
-    path = F.col("_metadata.file_path")
-    names = [c.rsplit(" ", 1)[0].strip().strip("`") for c in LEDGER_CSV.split(", ")]
-    # Of names that differ in case only, Spark adds the place to each; the one spelled as asked for goes first.
-    have: dict[str, str] = {}
-    for at, c in enumerate(rows.columns):
-        have.setdefault(c.removesuffix(str(at)), c)
-    for c in list(have):
-        have.setdefault(c.lower(), have[c])
-    found = [have.get(n, have.get(n.lower())) for n in names]
-    cols = [(F.col(f"`{c}`") if c else F.lit(None).cast("string")).alias(n) for n, c in zip(names, found)]
-    out = rows.select(*cols, month_folder(path).alias("month"))
-    return typed_ledger(out)
+    return typed_ledger(_raw_ledgers(spark, root, name, skip_comments).drop("row"))
 
 
 def read_history(spark: SparkSession, root: str) -> DataFrame:
-    """place, ordinal and month of the expenses and income of all months; files that can't be read are left out."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").option("header", "true").option("enforceSchema", "false")
+    """place, ordinal and month of the expenses and income of all months, each file by its own header; ledger_files reports files that are no ledgers."""
     out = None
     for n, name in enumerate(("expenses.csv", "income.csv")):
-        rows = reader.option("pathGlobFilter", name).schema(LEDGER_CSV).csv(root)
-        path = F.col("_metadata.file_path")
-        own = rows.select(F.col("Place").alias("place"), month_folder(path).alias("month"), F.struct(month_folder(path).alias("month"), F.lit(n).alias("file"), F.monotonically_increasing_id().alias("row")).alias("ordinal"))
+        own = _raw_ledgers(spark, root, name, False).select(F.col("Place").alias("place"), "month", F.struct("month", F.lit(n).alias("file"), "row").alias("ordinal"))
         out = own if out is None else out.unionByName(own)
     return out.where("place is not null")
 
 
-def read_commented(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """Hand-written CSV: comment lines are dropped, also indented ones; the first other line is the header."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(root, wholetext=True)
-    kept = lines.select(
-        month_folder(F.col("_metadata.file_path")).alias("month"),
-        F.filter(F.split("value", r"\r?\n"), lambda x: ~x.rlike(r"^\s*(#|$)")).alias("lines"),
-    ).where(F.size("lines") > 1)
-    rows = kept.select("month", F.posexplode("lines").alias("at", "line")).where("at > 0")
-    fields = F.from_csv("line", F.lit("`Transaction Date` string, Place string, Amount string, category string, Statement string"), {"mode": "PERMISSIVE"})
-    return typed_ledger(rows.select("month", fields.alias("f")).select("f.*", F.lit(None).cast("string").alias("Classification"), "month"))
-
-
 def typed_ledger(rows: DataFrame) -> DataFrame:
     return rows.select(
         F.col("Transaction Date").alias("txn_date_raw"), F.try_to_date("Transaction Date", "M/d/yyyy").alias("txn_date"), F.col("Place").alias("place"),
