@@ -75,28 +75,96 @@ def test_credits_unreadable_dates_and_equal_purchases(spark):
         assert len({r["txn_id"] for r in rows}) == 4 and [r["line_no"] for r in rows] == [3, 4, 5, 6] and rows[3]["txn_date"] is None
 
 
-def test_a_month_is_closed_and_updated(spark, tmp_path):
-    lines = ["STEARNSBANK.COM", "CHECKING ACCOUNT", "ACCOUNT ACTIVITY", "01/05/2025 ACME PAY $0.00 $900.00 $1,000.00", "01/06/2025 NETFLIX $4.50", "01/07/2025 VENMO JOHN $5.00", "01/08/2025 ZZYZX QQ $7.00"]
-    texts = spark.createDataFrame([("d", x, "\n".join(lines), "2025-01") for x in "AB"], "doc_id string, extractor string, text string, month string")
-    settings, root, cache = monthly.Settings(2025, categories={"Fun": ["netflix"], "Dining": ["diner"]}), str(tmp_path / "out"), str(tmp_path / "cache")
-    hand = spark.createDataFrame([("01/09/2025", "Corner Netflix", "-3.00", "dinning"), ("02/09/2025", "Late", "1.00", "Fun"), ("x", "Bad", "1.00", "Fun"), ("1/10/25", "Unknown", "2.00", None)], "date string, place string, amount string, category string")
-    entries = review.manual_entries(hand, "2025-01", list(settings.categories))
+def statement(*lines):
+    return "\n".join(["STEARNSBANK.COM", "CHECKING ACCOUNT", "ACCOUNT ACTIVITY", *lines])
+
+
+def texts_of(spark, *lines, month="2025-01"):
+    return spark.createDataFrame([("d" + month, x, statement(*lines), month) for x in "AB"], "doc_id string, extractor string, text string, month string")
+
+
+HAND = "date string, place string, amount string, category string"
+
+
+def test_three_closings_lose_and_reopen_nothing(spark, tmp_path):
+    texts = texts_of(spark, "01/05/2025 ACME PAY $0.00 $900.00 $1,000.00", "01/06/2025 NETFLIX $4.50", "01/07/2025 VENMO JOHN $5.00", "01/08/2025 ZZYZX QQ $7.00")
+    settings, root, cache, words = monthly.Settings(2025, categories={"Fun": ["netflix"], "Dining": ["diner"]}), str(tmp_path / "out"), str(tmp_path / "cache"), str(tmp_path / "words")
+    store = sinks.MonthStore(spark, root, "2025-01")
+
+    def by_hand(*rows):
+        return review.manual_entries(spark.createDataFrame(list(rows), HAND), "2025-01", list(settings.categories))
 
     def read(name):
-        return sorted((r["place"], r["category"]) if "category" in r else (r["place"],) for r in (x.asDict() for x in spark.read.option("header", "true").csv(f"{root}/2025-01/{name}").collect()))
-
-    assert monthly.close_month(texts, "2025-01", root, settings, cache, entries) == {"expenses": True, "income": True, "review": True}
-    assert [c for _, c in read("expenses")] == ["Dining", "Fun"] and len(read("income")) == 1 and len(read("review")) == 3
-    names = sinks.read_dictionary(spark, cache, "cache_key string, place string").collect()
-    assert len(names) == 4
-    opened = spark.read.option("header", "true").option("inferSchema", "true").csv(f"{root}/2025-01/review").where("txn_id is not null")
-    decided = opened.withColumns({"classification": F.when(F.col("place").contains("Venmo"), "income").otherwise("EXPENSE"), "category": F.lit("fun")}).withColumn("txn_id", F.col("txn_id").cast("string"))
-    decided = decided.select(*[F.col(c).cast("decimal(12,2)").alias(c) if c in ("amount", "debits", "credits", "balance") else F.col(c).cast("date").alias(c) if c == "txn_date" else c for c in decided.columns])
-    decided = spark.createDataFrame(decided.collect(), decided.schema)  # closing the month removes what it was read from
-    assert monthly.close_month(None, "2025-01", root, settings, cache, None, decided) == {"expenses": True, "income": True, "review": False}
-    assert not (tmp_path / "out" / "2025-01" / "review").exists()
-    assert sorted(c for _, c in read("expenses")) == ["Fun", "Fun"] and len(read("income")) == 2
-    assert {tuple(r) for r in monthly.learned(settings, entries, decided).collect()} >= {("Dining", "corner netflix")}
+        return sorted((r["place"], r["category"], str(r["amount"])) for r in store.read(name, "place string, category string, amount decimal(12,2)").collect())
+
+    def close(texts=None, entries=None, reviewed=None):
+        return monthly.close_month(texts, "2025-01", root, settings, cache, entries, reviewed, words)
+
+    assert close(texts, by_hand(("01/09/2025", "Corner Netflix", "-3.00", "dinning"), ("02/09/2025", "Late", "1.00", "Fun"), ("x", "Bad", "1.00", "Fun"), ("1/10/25", "Unknown", "2.00", None))) == {"expenses": True, "income": True, "review": True}
+    first = [("Corner Netflix", "Dining", "-3.00"), ("Netflix", "Fun", "4.50")]
+    assert read("expenses") == first and len(read("income")) == 1 and len(read("review")) == 3
+    opened = store.read("review", sinks_schema())
+    opened = spark.createDataFrame(opened.collect(), opened.schema)  # as a file that someone keeps
+    decided = opened.withColumn("classification", F.when(F.col("place").contains("Venmo"), "income").otherwise(F.when(F.col("place").contains("Zz"), "EXPENSE"))).withColumn("category", F.lit("fun"))
+    assert close(reviewed=decided)["review"]  # the entry without a category is still open
+    second = sorted([*first, ("Zzyzx", "Fun", "7.00")])
+    assert read("expenses") == second and len(read("income")) == 2 and [r[0] for r in read("review")] == ["Unknown"]
+    assert close(entries=by_hand(("1/10/25", "Unknown", "2.00", "Fun"), ("01/11/2025", "Other Diner", "6.00", "Dining"))) == {"expenses": True, "income": True, "review": False}
+    third = sorted([*second, ("Other Diner", "Dining", "6.00"), ("Unknown", "Fun", "2.00")])
+    assert read("expenses") == third and len(read("income")) == 2 and read("review") == []
+    assert close(texts, reviewed=opened) == {"expenses": True, "income": True, "review": False}  # an old review, still blank, reopens nothing
+    assert read("expenses") == third and len(read("income")) == 2
+    assert len(list((tmp_path / "out" / "2025-01" / "versions").iterdir())) == 2
+    assert monthly.close_month(texts, "2025-01", root, settings, cache, rebuild=False) == {} and read("expenses") == third
+    assert ("Fun", "zzyzx") in {tuple(r) for r in sinks.read_dictionary(spark, words, "category string, keyword string").collect()}
+
+
+def sinks_schema():
+    from tidemark.schema import REVIEW
+
+    return REVIEW
+
+
+def test_what_people_teach_counts_in_the_same_run(spark, tmp_path):
+    settings, root, cache, words = monthly.Settings(2025, categories={"Fun": ["netflix"]}), str(tmp_path / "out"), str(tmp_path / "cache"), str(tmp_path / "words")
+    lines = ("01/06/2025 CORNER SHOP $4.50", "01/07/2025 CORNER SHOP $5.50")
+    monthly.close_month(texts_of(spark, *lines), "2025-01", root, settings, cache, keywords_path=words)
+    store = sinks.MonthStore(spark, root, "2025-01")
+    opened = store.read("review", sinks_schema())
+    assert opened.count() == 2
+    one = opened.where("amount = 4.50").withColumns({"classification": F.lit("Expense"), "category": F.lit("Fun")})
+    monthly.close_month(None, "2025-01", root, settings, cache, reviewed=one, keywords_path=words)
+    # The keyword taught by one row takes the other one too, at once.
+    assert store.read("expenses", "amount decimal(12,2)").count() == 2 and store.read("review", "place string").count() == 0
+    # The next month knows the keyword; a name corrected in an old month goes before the cache.
+    sinks.write_dictionary(spark.createDataFrame([("CORNER SHOP", "Wrong Name")], "cache_key string, place string"), cache)
+    monthly.close_month(texts_of(spark, "02/06/2025 CORNER SHOP $1.00", month="2025-02"), "2025-02", root, settings, cache, keywords_path=words)
+    rows = sinks.MonthStore(spark, root, "2025-02").read("expenses", "place string").collect()
+    assert [(r["place"], r["category"]) for r in rows] == [("Corner Shop", "Fun")]
+
+
+def test_a_month_changes_as_a_whole(spark, tmp_path, monkeypatch):
+    settings, root, cache = monthly.Settings(2025), str(tmp_path / "out"), str(tmp_path / "cache")
+    store = sinks.MonthStore(spark, root, "2025-01")
+    assert store.current() is None and store.read("expenses", "place string").count() == 0
+    monthly.close_month(texts_of(spark, "01/05/2025 ACME PAY $0.00 $900.00 $1,000.00", "01/06/2025 TARGET $4.50"), "2025-01", root, settings, cache)
+    before = store.current()
+    assert store.read("income", "place string").count() == 1
+
+    def fail(*args, **more):
+        raise RuntimeError("full disk")
+
+    monkeypatch.setattr(sinks, "order_columns", fail)
+    try:
+        monthly.close_month(texts_of(spark, "01/06/2025 OTHER $1.00"), "2025-01", root, settings, cache)
+        raise AssertionError("it should have failed")
+    except RuntimeError:
+        assert store.current() == before and store.read("income", "place string").count() == 1
+    monkeypatch.undo()
+    # Without rows expenses are there, with their header, and what the run before left of income is not.
+    assert monthly.close_month(texts_of(spark, "nothing"), "2025-01", root, settings, cache) == {"expenses": True, "income": False, "review": False}
+    rows = store.read("expenses", "place string")
+    assert rows.count() == 0 and "place" in rows.columns and rows.columns[:4] == ["txn_date", "place", "amount", "statement"] and store.read("income", "place string").count() == 0
 
 
 def test_the_cache_follows_a_stream(spark, tmp_path):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_manual_date
@@ -63,3 +63,29 @@ def learned_keywords(reviewed: DataFrame, valid: list[str]) -> DataFrame:
 
 def not_blank(column: Column) -> Column:
     return F.coalesce(F.trim(column) != "", F.lit(False))
+
+
+def _key(*columns: str) -> Column:
+    """Tells equal hand-written rows apart by their number among themselves."""
+    nth = F.row_number().over(Window.partitionBy(*columns).orderBy(F.lit(0)))
+    return F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0002")) for c in columns], nth.cast("string")), 256)
+
+
+def log_entries(entries: DataFrame, at: int) -> DataFrame:
+    """manual_entries() as records of a log. An entry is known by its date, place and amount, so that a new category replaces the old one."""
+    rows = entries.where("status = 'ok'").withColumn("txn_id", F.concat(F.lit("hand/"), _key("txn_date", "place", "amount")))
+    return rows.select(F.lit("entry").alias("kind"), F.lit(at).cast("long").alias("at"), "txn_id", "txn_date", "place", "amount", "category", "is_valid", F.lit("Expense").alias("type"))
+
+
+def log_decisions(reviewed: DataFrame, at: int) -> DataFrame:
+    """Rows of a review, as people left it, as records of a log. Rows that people added, without an id, are known by their date, place and amount."""
+    own = F.concat(F.lit("added/"), _key("txn_date", "place", "amount"))
+    rows = reviewed.withColumn("txn_id", F.coalesce(F.nullif(F.col("txn_id"), F.lit("")), own)) if "txn_id" in reviewed.columns else reviewed.withColumn("txn_id", own)
+    return rows.select(F.lit("decision").alias("kind"), F.lit(at).cast("long").alias("at"), *rows.columns)
+
+
+def fold(log: DataFrame) -> DataFrame:
+    """The record that counts for each id: the latest; one that is still open doesn't undo an earlier decision."""
+    decided = review_state(F.col("classification")).isin("income", "expense")
+    order = F.struct((F.col("kind") == "decision") & decided, "at")
+    return log.groupBy("kind", "txn_id").agg(F.max_by(F.struct(*[c for c in log.columns if c not in ("kind", "txn_id")]), order).alias("r")).select("kind", "txn_id", "r.*")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import re
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import clean_place
 from ..operators import categorize, classify, merchants, reconcile, review, statements, transfers
-from ..schema import LEDGER, MERCHANT_CACHE
+from ..schema import LEARNED, LEDGER, MERCHANT_CACHE, REVIEW, REVIEW_LOG
 from ..session import stash
 from ..sources import keywords, sinks
 from ..sources.providers import TextProvider
@@ -71,7 +72,8 @@ def build_month(ledger: DataFrame, settings: Settings, entries: DataFrame | None
     pairs = transfers.transfer_pairs(candidates, settings.transfer_days, "account_id")
     kept = transfers.without_pairs(ledger, transfers.greedy_pairs(pairs)).withColumn("manual", F.lit(False))
     if entries is not None:
-        own = entries.where("status = 'ok'").select("txn_date", "place", "amount", "category", F.lit("Expense").alias("type"), F.lit(True).alias("manual"))
+        id_ = [c for c in ("txn_id",) if c in entries.columns]
+        own = entries.where("status = 'ok'").select(*id_, "txn_date", "place", "amount", "category", F.lit("Expense").alias("type"), F.lit(True).alias("manual"))
         kept = kept.unionByName(own, allowMissingColumns=True)
     by_hand, automatic = classify.split(kept, F.col("manual"))
     out = review.route(categorize.categorize(automatic.drop("manual"), settings.categories), settings.strict)
@@ -99,20 +101,78 @@ def learned(settings: Settings, entries: DataFrame | None = None, reviewed: Data
     return reduce(DataFrame.unionByName, found) if found else None
 
 
-def close_month(texts: DataFrame | None, month: str, root: str, settings: Settings, cache_path: str, entries: DataFrame | None = None, reviewed: DataFrame | None = None) -> dict[str, bool]:
-    """A month from statements to files below root/month: expenses, income (if there is any) and review
-    (it goes when nothing is open). Without texts, what is there is updated by entries and decisions only.
-    Names that were cleaned go to the cache. Returns what was written."""
-    folder, spark = f"{root}/{month}", (texts if texts is not None else entries if entries is not None else reviewed).sparkSession
-    if texts is None:
-        ledger = sinks.read_dictionary(spark, f"{folder}/ledger", LEDGER)
-    else:
-        cache = sinks.read_dictionary(spark, cache_path, MERCHANT_CACHE)
-        ledger = stash(parse_month(texts, settings, cache).select(*LEDGER_COLUMNS), "ledger")
-        sinks.write_dictionary(ledger, f"{folder}/ledger")
-        sinks.write_dictionary(merchants.merge_cache(cache, merchants.used_names(ledger)), cache_path)
-    out = {name: stash(rows, name) for name, rows in build_month(ledger, settings, entries, reviewed).items()}
-    return {
-        "expenses": sinks.write_sorted(out["expenses"], f"{folder}/expenses"), "income": sinks.write_sorted(out["income"], f"{folder}/income"),
-        "review": sinks.write_review(out["review"], f"{folder}/review"),
-    }
+def with_learned(settings: Settings, words: DataFrame) -> Settings:
+    """Settings whose categories have the keywords (category, keyword) too, behind their own."""
+    more: dict[str, list[str]] = {}
+    for r in words.orderBy("category", "keyword").collect():  # what people have typed
+        more.setdefault(r["category"], []).append(r["keyword"])
+    return replace(settings, categories={c: [*ks, *[k for k in more.get(c, []) if k not in {x.lower() for x in ks}]] for c, ks in settings.categories.items()})
+
+
+def history(spark, root: str) -> DataFrame:
+    """place, ordinal and month of the current expenses and income of all months below root, as close_month() writes them."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    months = sorted(f.getPath().getName() for f in store.listStatus(path) if re.fullmatch(r"\d{4}-\d{2}", f.getPath().getName())) if store.exists(path) else []
+    out = spark.createDataFrame([], "place string, month string, ordinal struct<month:string,file:int,row:long>")
+    for month in months:
+        for n, name in enumerate(("expenses", "income")):
+            rows = sinks.MonthStore(spark, root, month).read(name, "place string").where("place is not null")
+            ordinal = F.struct(F.lit(month).alias("month"), F.lit(n).alias("file"), F.monotonically_increasing_id().alias("row"))
+            out = out.unionByName(rows.select("place", F.lit(month).alias("month"), ordinal.alias("ordinal")))
+    return out
+
+
+def close_month(
+    texts: DataFrame | None, month: str, root: str, settings: Settings, cache_path: str, entries: DataFrame | None = None, reviewed: DataFrame | None = None,
+    keywords_path: str | None = None, corrections: DataFrame | None = None, rebuild: bool = True,
+) -> dict[str, bool]:
+    """A month from statements to tables below root/month, as one commit (sinks.MonthStore): expenses,
+    income (if there is any), review (if something is open), and the ledger and log to go on from.
+
+    Without texts the ledger of the run before is taken. Entries and decisions are kept in the log,
+    so those of earlier runs count in every later one; of two about the same row the later counts.
+    Two phases: what people decided and typed is gathered first, in this run and in those before:
+    keywords go to keywords_path, and names of all months' ledgers (and corrections: place,
+    ordinal) into the cache, over older ones; then the month is cleaned and categorised with both.
+    Without rebuild, a month that is there already stays as it is. Returns what was written.
+    """
+    spark = (texts if texts is not None else entries if entries is not None else reviewed).sparkSession
+    store = sinks.MonthStore(spark, root, month)
+    if not rebuild and store.current() is not None:
+        return {}
+    log = store.read("log", REVIEW_LOG)
+    at = (log.agg(F.max("at")).first()[0] or 0) + 1
+    records = [log]
+    if entries is not None:
+        records.append(review.log_entries(entries, at))
+    if reviewed is not None:
+        records.append(review.log_decisions(reviewed, at))
+    typed = [c.rsplit(" ", 1) for c in REVIEW_LOG.split(", ")]
+    log = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), records)
+    log = stash(log.select(*[F.col(c).cast(kind) for c, kind in typed]), "log")
+    counts = stash(review.fold(log), "folded")
+    own = counts.where("kind = 'entry'").withColumn("status", F.lit("ok"))
+    # What is still open comes from the ledger and the entries anew; only rows that people added have nothing else.
+    closed = review.review_state(F.col("classification")).isin("income", "expense") | F.col("txn_id").startswith("added/")
+    decided = review.with_valid_categories(counts.where((F.col("kind") == "decision") & closed).select(*[c.rsplit(" ", 1)[0] for c in REVIEW.split(", ")]), list(settings.categories)).drop("is_valid")
+
+    words = learned(settings, own, decided)
+    if keywords_path:
+        known = sinks.read_dictionary(spark, keywords_path, LEARNED)
+        words = stash(keywords.learn_keywords(known, words), "keywords")
+    settings = with_learned(settings, words)
+    names = merchants.learn_names(history(spark, root).select("place", "ordinal"))
+    if corrections is not None:
+        names = merchants.merge_cache(names, merchants.learn_names(corrections))
+    cache = stash(merchants.merge_cache(sinks.read_dictionary(spark, cache_path, MERCHANT_CACHE), names), "cache")
+
+    ledger = store.read("ledger", LEDGER) if texts is None else parse_month(texts, settings, cache).select(*LEDGER_COLUMNS)
+    ledger = stash(ledger, "ledger")
+    out = {name: stash(rows, name) for name, rows in build_month(ledger, settings, own, decided).items()}
+    written = store.commit({**out, "ledger": ledger, "log": log})
+    # The cache and the keywords hold nothing that the month lacks, so a failure here loses nothing.
+    sinks.write_dictionary(merchants.merge_cache(cache, merchants.used_names(ledger)), cache_path)
+    if keywords_path:
+        sinks.write_dictionary(words, keywords_path)
+    return {name: written[name] for name in ("expenses", "income", "review")}

@@ -10,3 +10,6 @@ CATEGORY_KEYWORDS = "cat_order int, category string, kw_order int, keyword strin
 KEYWORDS = "ord int, keyword string"
 MERCHANT_CACHE = "cache_key string, place string"
 LEDGER_CSV = "`Transaction Date` string, Place string, Amount string, Statement string, Classification string, category string"
+REVIEW = f"{LEDGER}, category string, classification string, uncategorized boolean"
+REVIEW_LOG = f"kind string, at long, {REVIEW}, is_valid boolean"
+LEARNED = "category string, keyword string"

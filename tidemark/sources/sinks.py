@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.rollup import chronological
+from ..operators.rollup import chronological, order_columns
 from ..session import stash
 
 
@@ -23,27 +25,72 @@ def write_months(ledger: DataFrame, path: str, fmt: str = "parquet", rebuild: bo
     writer.option("partitionOverwriteMode", "dynamic").option("header", "true").save(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+class MonthStore:
+    """The versions of a month's tables below a folder.
 
+    A version is written to a folder of its own; then an empty file is created whose name has the
+    version's number and folder. That one step makes it current, so readers see all tables of the
+    old version or all of the new one, and a run that fails before it changes nothing. The version
+    before stays for readers that are under way; older ones, and those that were never committed,
+    go with the next commit.
+    """
 
-def write_sorted(ledger: DataFrame, path: str) -> bool:
-    """A month's ledger as CSV by date, unreadable dates last; none is written if there are no rows."""
-    if ledger.isEmpty():
-        return False
-    chronological(ledger).write.mode("overwrite").option("header", "true").csv(path)
-    return True
+    def __init__(self, spark: SparkSession, root: str, month: str):
+        self.spark, self.folder = spark, f"{root}/{month}"
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._files = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _names(self, below: str) -> list[str]:
+        path = self._path(f"{self.folder}/{below}")
+        return sorted(f.getPath().getName() for f in self._files.listStatus(path)) if self._files.exists(path) else []
+
+    def current(self) -> str | None:
+        """The folder of the current version, or None."""
+        names = self._names("commits")
+        return f"{self.folder}/versions/{names[-1].split('-', 1)[1]}" if names else None
+
+    def read(self, table: str, schema: str) -> DataFrame:
+        """A table of the current version; no rows if it has none. Columns that schema names have its types, others stay text."""
+        folder, typed = self.current(), dict(c.rsplit(" ", 1) for c in schema.split(", "))
+        if folder is None or not self._files.exists(self._path(f"{folder}/{table}")):
+            return self.spark.createDataFrame([], schema)
+        if table in STATE:
+            return self.spark.read.parquet(f"{folder}/{table}")
+        rows = self.spark.read.option("header", "true").option("escape", '"').csv(f"{folder}/{table}")
+        return rows.select(*[F.col(c).cast(typed[c]) if c in typed else F.col(c) for c in rows.columns])
+
+    def commit(self, tables: dict[str, DataFrame]) -> dict[str, bool]:
+        """Writes the tables as the month's new version; expenses even if there are none, of the others only those with rows. Returns which were written."""
+        done = self._names("commits")
+        name, written = uuid.uuid4().hex, {}
+        for table, rows in tables.items():
+            path = f"{self.folder}/versions/{name}/{table}"
+            written[table] = table == "expenses" or table in STATE or not rows.isEmpty()
+            if table in STATE:
+                rows.write.parquet(path)
+            elif written[table]:
+                ordered = chronological(order_columns(rows)) if "txn_date" in rows.columns else order_columns(rows)
+                ordered.write.option("header", "true").option("escape", '"').csv(path)
+        number = int(done[-1].split("-")[0]) + 1 if done else 1
+        self._files.mkdirs(self._path(f"{self.folder}/commits"))
+        if not self._files.createNewFile(self._path(f"{self.folder}/commits/{number:09}-{name}")):
+            raise FileExistsError(f"{self.folder} has a commit {number} already")
+        keep = {x.split("-", 1)[1] for x in done[-1:]} | {name}
+        for old in self._names("versions"):
+            if old not in keep:
+                self._files.delete(self._path(f"{self.folder}/versions/{old}"), True)
+        for old in done[:-1]:
+            self._files.delete(self._path(f"{self.folder}/commits/{old}"), True)
+        return written
+
+
+STATE = ("ledger", "log")  # what a later run goes on from, in types
 
 
-def write_review(review: DataFrame, path: str) -> bool:
-    """The open rows; if there are none, the folder goes."""
-    review = stash(review, "review")  # it may be read from the same folder
-    if review.isEmpty():
-        remove(review.sparkSession, path)
-        return False
-    review.write.mode("overwrite").option("header", "true").csv(path)
-    return True
+def remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def read_dictionary(spark: SparkSession, path: str, schema: str) -> DataFrame:
