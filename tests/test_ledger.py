@@ -1,6 +1,7 @@
 """Parsing, reconciliation, transfers, review, files and streams on small ledgers."""
 
 import datetime
+import random
 from decimal import Decimal
 
 from pyspark.sql import functions as F
@@ -218,3 +219,50 @@ def test_streams_find_what_a_batch_finds(spark, tmp_path):
     assert spark.read.parquet(out).count() == 4
     events = spark.createDataFrame([(datetime.datetime(2025, 1, d), "X", 1.0) for d in (1, 2, 3)], "ts timestamp, statement string, amount double")
     assert ingest.monthly_spending(events).agg(F.sum("n")).first()[0] == 3
+
+
+def test_tolerant_reconciliation_against_a_plain_walk(spark):
+    rng = random.Random(8)
+    days = [day("01/05/2025"), day("01/06/2025"), None]
+
+    def side(n):
+        rows = [(rng.choice(["d", None]), rng.choice(days), rng.choice([None, Decimal(f'1.0{rng.randint(0, 6)}')]), rng.choice([None, Decimal("1.04")]), f"P{i}", f"P{i}", i) for i in range(n)]
+        return rows, spark.createDataFrame(rows, "doc_id string, txn_date date, amount decimal(12,2), debits decimal(12,2), place string, place_original string, ordinal int")
+
+    (left, a), (right, b) = side(150), side(120)
+    free, expected = list(right), []
+    for x in left:
+        amount = x[2] if x[2] is not None else x[3]
+        hit = next((y for y in free if y[:2] == x[:2] and amount is not None and (v := y[2] if y[2] is not None else y[3]) is not None and abs(v - amount) <= Decimal("0.01")), None)
+        if hit:
+            free.remove(hit)
+        expected.append((x[0], x[1], amount, "A+B" if hit else "A only"))
+    expected += [(y[0], y[1], y[2] if y[2] is not None else y[3], "B only") for y in free]
+    got = [(r["doc_id"], r["txn_date"], r["amount"], r["extraction_method"]) for r in reconcile.reconcile_tolerant(a, b).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected)) and len({m for *_, m in got}) == 3
+    # Equal doubles of strict ledgers, some of whose gaps of two cents count as near; and many equal rows.
+    many = [spark.range(20_000).selectExpr("'d' as doc_id", "date'2025-01-05' as txn_date", f"cast(1.0{i} as decimal(12,2)) as amount", "'p' as place", "'p' as place_original", "cast(id as int) as ordinal") for i in (0, 1)]
+    counts = {r["extraction_method"]: r["n"] for r in reconcile.reconcile_counts(reconcile.reconcile_tolerant(*many, strict=True)).collect()}
+    assert counts == {"A+B": 20_000}
+
+
+def test_greedy_pairs_against_a_walk(spark):
+    rng = random.Random(9)
+    pairs = {(a, b) for a, b in ((rng.randint(0, 60), rng.randint(0, 60)) for _ in range(220)) if a < b} | {(100 + i, 101 + i) for i in range(9)}
+    used, expected = set(), []
+    for a, b in sorted(pairs):
+        if not {a, b} & used:
+            used |= {a, b}
+            expected.append((a, b))
+    df = spark.createDataFrame(sorted(pairs), "id1 long, id2 long").repartition(3)
+    assert sorted(tuple(r) for r in transfers.greedy_pairs(df).collect()) == expected
+    assert transfers.greedy_pairs(df.limit(0)).count() == 0
+
+
+def test_streamed_batches_replace_what_they_left(spark, tmp_path):
+    inbox, out = tmp_path / "in", str(tmp_path / "out")
+    inbox.mkdir()
+    (inbox / "s.txt").write_text(STATEMENT)
+    for marks in ("a", "b"):  # the second run has lost its marks and does the first batch again
+        ingest.ingest_new(spark, str(inbox), out, str(tmp_path / marks), 2025).awaitTermination()
+    assert spark.read.parquet(out).count() == 2

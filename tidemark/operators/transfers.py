@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scoring import any_of
+from ..session import drop_stash, stash
 from ..sources.keywords import TRANSFERS
 
 
@@ -41,20 +42,23 @@ def mutual_first(pairs: DataFrame) -> DataFrame:
 
 
 def greedy_pairs(pairs: DataFrame) -> DataFrame:
-    """The pairs taken when all are tried by (id1, id2) and a row serves once. Only pairs with the same
-    amount can compete, so each amount's pairs are walked on their own."""
-
-    def walk(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set = set()
-        taken = []
-        for x in rows.sort_values(["id1", "id2"]).itertuples():
-            if x.id1 not in used and x.id2 not in used:
-                used |= {x.id1, x.id2}
-                taken.append((x.id1, x.id2))
-        return pd.DataFrame(taken, columns=["id1", "id2"])
-
-    kind = pairs.schema["id1"].dataType.simpleString()
-    return pairs.select("amount", "id1", "id2").groupBy("amount").applyInPandas(walk, f"id1 {kind}, id2 {kind}")
+    """The pairs taken when all are tried by (id1, id2) and a row serves once.
+
+    By rounds: a pair that comes first among the pairs that are left of both its rows is taken,
+    whatever happens elsewhere; the other pairs of its rows go. No group is walked, so a frequent
+    amount is as good as any; as many rounds are needed as pairs wait for one another in a chain.
+    """
+    left, taken = stash(pairs.select("id1", "id2"), "pairs"), []
+    while True:
+        votes = left.select(F.explode(F.array("id1", "id2")).alias("row"), F.struct("id1", "id2").alias("pair")).groupBy("row").agg(F.min("pair").alias("pair"))
+        won = stash(votes.groupBy("pair").agg(F.count("*").alias("n")).where("n = 2").select("pair.id1", "pair.id2"), "taken")
+        taken.append(won)
+        used = won.select(F.explode(F.array("id1", "id2")).alias("row"))
+        rest = stash(left.join(used.withColumnRenamed("row", "id1"), "id1", "left_anti").join(used.withColumnRenamed("row", "id2"), "id2", "left_anti").select("id1", "id2"), "pairs")
+        drop_stash(left)
+        left = rest
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, taken)
 
 
 def without_pairs(ledger: DataFrame, chosen: DataFrame) -> DataFrame:

@@ -241,7 +241,13 @@ def transfers_removed(spark, sf):
     return kept.groupBy("statement").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
-@query()
+GREEDY = f"""{PAIRS}, tried as (select *, row_number() over (partition by amount order by id1, id2) as nth from pairs),
+  walk as (select distinct amount, cast(0 as bigint) as nth, cast([] as bigint[]) as used from tried union all
+    select w.amount, t.nth, case when list_contains(used, id1) or list_contains(used, id2) then used else list_concat(used, [id1, id2]) end from walk w join tried t on t.amount = w.amount and t.nth = w.nth + 1),
+  gone as (select unnest(used) as id from walk qualify nth = max(nth) over (partition by amount))"""
+
+
+@query(f"with recursive {GREEDY} select txn_id, statement from le where txn_id not in (select id from gone)")
 def transfers_removed_greedy(spark, sf):
     rows = adapters.events(spark, sf)
     return transfers.without_pairs(rows, transfers.greedy_pairs(transfers.transfer_pairs(rows))).select("txn_id", "statement")
@@ -286,7 +292,14 @@ def reconcile_counts(spark, sf):
     return reconcile.reconcile_counts(reconcile.reconcile(*_two(spark, sf)))
 
 
-@query()
+@query(f"""with recursive {TWO}, pairs as (select a.txn_date, a.txn_id as ai, b.txn_id as bi, row_number() over (partition by a.txn_date order by a.txn_id, b.txn_id) as nth
+    from a join b on a.txn_date = b.txn_date and abs(a.amount - b.amount) <= 0.01),
+  walk as (select distinct txn_date, cast(0 as bigint) as nth, cast([] as bigint[]) as in_a, cast([] as bigint[]) as in_b from pairs union all
+    select w.txn_date, p.nth, case when f then list_append(in_a, ai) else in_a end, case when f then list_append(in_b, bi) else in_b end
+    from walk w join (select * from pairs) p on p.txn_date = w.txn_date and p.nth = w.nth + 1, lateral (select not list_contains(in_a, ai) and not list_contains(in_b, bi) as f)),
+  ended as (select * from walk qualify nth = max(nth) over (partition by txn_date)), am as (select unnest(in_a) as id from ended), bm as (select unnest(in_b) as id from ended)
+  select cast(txn_date as varchar) as txn_date, cast(amount as double) as amount, place, case when txn_id in (select id from am) then 'A+B' else 'A only' end as extraction_method from a
+  union all select cast(txn_date as varchar), cast(amount as double), place, 'B only' from b where txn_id not in (select id from bm)""")
 def reconcile_within_cents(spark, sf):
     a, b = _two(spark, sf)
     return reconcile.reconcile_tolerant(a, b).select(F.col("txn_date").cast("string").alias("txn_date"), F.col("amount").cast("double").alias("amount"), "place", "extraction_method")
@@ -355,6 +368,24 @@ def monthly_ledger(spark, sf):
     return rows.groupBy("doc_id", "txn_date_raw", F.col("amount").cast("double").alias("amount"), "type", "extraction_method").agg(F.count("*").alias("n"), F.count_distinct("txn_id").alias("n_ids"))
 
 
+CLOSED = """case when txn_id % 11 = 0 then 'Venmo ' else '' end || place"""
+MONTH = {"Clicks": ["click"], "Views": ["view"], "Buying": ["purchase", "cart"]}
+
+
+@query(f"""with recursive {GREEDY}, kept as (select txn_id, amount, {CLOSED} as place, case when txn_id % 7 = 0 then 'Income' else 'Expense' end as type from le where txn_id not in (select id from gone)),
+  c as (select *, {"case " + " ".join(f"when regexp_matches(lower(place), '{'|'.join(ks)}') then '{k}'" for k, ks in MONTH.items()) + " else 'Uncategorized' end"} as category from kept where txn_id % 97 <> 0)
+  select case when type = 'Income' then 'income' when contains(place, 'Venmo') or category = 'Uncategorized' then 'review' else 'expenses' end as ledger, txn_id, category, cast(amount as double) as amount from c
+  union all select 'income', txn_id, 'Views', cast(amount as double) from le where txn_id % 97 = 0""")
+def month_closed(spark, sf):
+    """Events as a month's ledger of several accounts: transfers between them go, the rest is categorised, split and put
+    up for review; every 97th row has been decided on before, with a category that is misspelt."""
+    rows = adapters.events(spark, sf).withColumns({"place": F.expr(CLOSED), "account_id": F.col("statement"), "type": F.when(F.col("txn_id") % 7 == 0, "Income").otherwise("Expense")})
+    decided = rows.where("txn_id % 97 = 0").withColumns({"classification": F.lit(" income"), "category": F.lit("veiws"), "uncategorized": F.lit(True)})
+    out = monthly.build_month(rows, monthly.Settings(2001, categories=MONTH), reviewed=decided)
+    parts = [x.select(F.lit(name).alias("ledger"), "txn_id", "category", F.col("amount").cast("double").alias("amount")) for name, x in out.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 ABOUT = """case c_nationkey % 5 when 0 then 'Welcome to STEARNSBANK.COM' when 1 then 'Issued by First National Bank' when 2 then 'see www.magnifi.org' when 3 then 'Scheels Visa card' else 'hello' end
   || chr(10) || case c_nationkey % 3 when 0 then 'CHECKING ACCOUNT' when 1 then 'MasterCard statement' else 'nothing' end"""
 
