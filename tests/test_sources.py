@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tidemark.functions import amounts, names, scoring
-from tidemark.operators import rollup
+from tidemark.operators import ensemble, merchants, rollup
 from tidemark.sources import files, keywords, providers
 
 
@@ -91,3 +91,35 @@ def test_hand_written_entries_by_their_own_header(spark, tmp_path):
         (tmp_path / month / "manual.csv").write_text(text)
     rows = files.read_ledgers(spark, str(tmp_path), "manual.csv", skip_comments=True).collect()
     assert sorted((r["month"], r["place"], str(r["amount"]), r["category"]) for r in rows) == [("2025-01", "Hand", "3.00", "Fun"), ("2025-02", "Two", "4.00", None)]
+
+
+class Stub:
+    """Answers by a table of (prompt's first word, name), and notes each call in a file."""
+
+    def __init__(self, log: str):
+        self.log = log
+
+    def complete(self, prompts: pd.Series, model: str, temperature: float) -> pd.Series:
+        def one(prompt: str):
+            first, name = prompt.split(" ", 1)[0], prompt.split("\n")[1].split(": ", 1)[1]
+            with open(self.log, "a") as f:
+                f.write(f"{first}/{model}/{temperature}/{name}\n")
+            return {("Which", "SHOP 1"): "Corner Shop", ("Give", "SHOP 1"): "corner shop", ("Is", "SHOP 1"): "Corner Shop", ("Which", "POS X"): "POS Purchase", ("Give", "POS X"): "Big Store"}.get((first, name))
+
+        return prompts.map(one)
+
+
+def test_a_series_of_prompts_is_asked_once_and_voted_on(spark, tmp_path):
+    log = tmp_path / "calls"
+    series = ensemble.PromptSeries(Stub(str(log)), ("large", "small", "large"), store=str(tmp_path / "answers"))
+    names_ = spark.createDataFrame([("SHOP 1",), ("SHOP 1",), ("POS X",), ("mute",), (None,)], "name string")
+    won = {r["name"]: (r["place"], r["unanimous"]) for r in ensemble.names_by_series(names_, series).collect()}
+    assert won == {"SHOP 1": ("Corner Shop", True), "POS X": ("Big Store", False)}
+    calls = log.read_text().splitlines()
+    assert sorted(calls) == sorted(f"{p}/{m}/{t}/{n}" for p, m, t in (("Which", "large", 0.0), ("Give", "small", 0.0), ("Is", "large", 0.1)) for n in ("SHOP 1", "POS X", "mute"))
+    assert {r["name"]: (r["place"], r["unanimous"]) for r in ensemble.names_by_series(names_.where("name <> 'mute'"), series).collect()} == won
+    again = log.read_text().splitlines()[len(calls) :]
+    assert again == ["Is/large/0.1/POS X"]  # the one question that had no answer
+    ledger = spark.createDataFrame([("SHOP 1",), ("POS X",)], "place_original string")
+    cleaned = merchants.clean_names(ledger.where("place_original = 'SHOP 1'"), None, ensemble.PromptSeries(Stub(str(log)), ("large", "small", "large")))
+    assert [r["place_original"] for r in cleaned.collect()] == ["SHOP 1"]

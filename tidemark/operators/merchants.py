@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.names import clean_merchant, normalize_label
 from ..session import stash
 from ..sources.providers import TextProvider, ask, scrub_answer
+from .ensemble import PromptSeries, names_by_series
 
 
 def cache_key(name: Column) -> Column:
@@ -41,10 +42,11 @@ def used_names(ledger: DataFrame) -> DataFrame:
     return rows.groupBy(cache_key(F.col("place_original")).alias("cache_key")).agg(F.min("place").alias("place"))
 
 
-def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: TextProvider | None = None, column: str = "place_original", holders: tuple[str, ...] = ()) -> DataFrame:
+def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: TextProvider | PromptSeries | None = None, column: str = "place_original", holders: tuple[str, ...] = ()) -> DataFrame:
     """The ledger with place: the cached name, else the provider's, else the pattern cleaner's.
 
-    The different names are cleaned once each and joined back.
+    The different names are cleaned once each and joined back. The provider answers one question
+    about each, or (a PromptSeries) a series of them that are voted on.
     """
     names = ledger.select(F.col(column).alias("raw_name")).where("raw_name is not null").distinct().withColumn("cache_key", cache_key(F.col("raw_name")))
     if cache is None:
@@ -52,7 +54,11 @@ def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: Tex
     else:
         known = names.join(cache.select("cache_key", F.col("place").alias("cached")), "cache_key", "left")
     fresh = known.where("cached is null").select("raw_name", clean_merchant(F.col("raw_name"), holders).alias("pattern"))
-    if provider is None:
+    if isinstance(provider, PromptSeries):
+        fresh = stash(fresh, "patterns")
+        won = names_by_series(fresh.select(F.col("pattern").alias("name")), provider).select(F.col("name").alias("pattern"), F.col("place").alias("won"))
+        fresh = fresh.join(won, "pattern", "left").select("raw_name", F.coalesce(normalize_label(F.col("won")), "pattern").alias("place"))
+    elif provider is None:
         fresh = fresh.withColumnRenamed("pattern", "place")
     else:
         answers = stash(fresh.withColumn("answer", ask(F.col("pattern"), provider)), "answers")  # each name is asked for once
