@@ -1,6 +1,7 @@
 """Dates, amounts, names and labels by cases with known results."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -73,3 +74,28 @@ def test_first_keyword_wins(spark):
 def test_label_correction(spark, label, category, valid):
     row = categorize.correct_categories(spark.createDataFrame([(label,)], "label string"), ["Groceries", "Dining", "Pets", "Education"]).first()
     assert (row["category"], row["is_valid"]) == (category, valid)
+
+
+def test_large_dictionaries(spark):
+    """Both ways of a dictionary that is a table, against the chain of conditions; and 10^5 keywords without a nested loop."""
+    schema = "cat_order int, category string, kw_order int, keyword string"
+    few = [(1, "B", 0, "aab"), (0, "A", 0, "Abcde"), (0, "A", 1, "\u00dcber"), (2, "C", 0, "x"), (2, "C", 1, "bcdefg"), (1, "B", 1, "ABCDE"), (3, "D", 0, None), (None, "E", 0, "q"), (4, "F", 0, "aaaaaa")]
+    draw = random.Random(3)
+    texts = [None, "", "q", "xx", "\u00fcBER", *["".join(draw.choices("abcdefgX", k=draw.randrange(1, 14))) for _ in range(300)], "aaaaaaaaa", "zaabz"]
+    ledger = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "place string, n int")
+    chain = {"A": ["Abcde", "\u00dcber"], "B": ["aab", "ABCDE"], "C": ["x", "bcdefg"], "F": ["aaaaaa"]}
+    for table, dictionary in ((few, chain), ([*few, (5, "Any", 0, "")], chain | {"Any": [""]}), ([], {})):
+        known = {r["n"]: r["category"] for r in categorize.categorize(ledger, dictionary).collect()}
+        for most in (100, 0):
+            found = categorize.categorize_by_table(ledger, spark.createDataFrame(table, schema), most_sent=most)
+            assert {r["n"]: r["category"] for r in found.collect()} == known
+
+    words = spark.range(100_000).selectExpr("cast(id % 50 as int) cat_order", "'c' || id % 50 category", "cast(id as int) kw_order", "'shop ' || id keyword")
+    places = spark.range(2_000).selectExpr("'At SHOP ' || id * 61 || ' N' place")
+    out = categorize.categorize_by_table(places, words)
+    assert "NestedLoop" not in out._jdf.queryExecution().toString() and "Cartesian" not in out._jdf.queryExecution().toString()
+    for r in out.collect():
+        number = r["place"].split()[2]
+        inside = {int(number[:n]) for n in range(1, len(number) + 1)}
+        first = min((i % 50, i) for i in inside if i < 100_000)
+        assert r["category"] == f"c{first[0]}"

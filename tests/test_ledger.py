@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
-from tidemark.operators import merchants, reconcile, review, statements, transfers
+from tidemark.operators import categorize, merchants, reconcile, review, rollup, statements, transfers
 from tidemark.plans import monthly
 from tidemark.sources import files, sinks
 from tidemark.streaming import ingest
@@ -266,3 +266,47 @@ def test_streamed_batches_replace_what_they_left(spark, tmp_path):
     for marks in ("a", "b"):  # the second run has lost its marks and does the first batch again
         ingest.ingest_new(spark, str(inbox), out, str(tmp_path / marks), 2025).awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+class Adviser:
+    """Answers by what a prompt has in it, and notes each prompt in a file."""
+
+    def __init__(self, answers, path):
+        self.answers, self.path = answers, str(path)
+
+    def answer(self, inputs):
+        with open(self.path, "a") as notes:
+            notes.writelines(x.splitlines()[0] + "|" + x.splitlines()[1] + "\n" for x in inputs)
+        return inputs.map(lambda x: next((a for part, a in self.answers.items() if part in x), None))
+
+
+def test_an_adviser_where_rules_do_not_tell(spark, tmp_path):
+    texts = texts_of(spark, "01/05/2025 VENMO PAYROLL BOB $1.00", "01/06/2025 NETFLIX $4.50", "01/07/2025 VENMO JOHN $5.00", "01/08/2025 VENMO ANNE $6.00", "01/09/2025 ZZYZX QQ $7.00",
+                     "01/10/2025 WIDGET BARN $8.00", "01/11/2025 WIDGET BARN $8.00")
+    adviser = Adviser({"JOHN": "That is income.", "ANNE": "unclear", "Widget": " fun ", "Zzyzx": "Fun."}, tmp_path / "asked")
+    settings = monthly.Settings(2025, categories={"Fun": ["netflix"], "Dining": ["diner"]}, adviser=adviser)
+    out = {name: sorted((r["place"].split()[-1].lower(), r["category"]) for r in rows.collect()) for name, rows in monthly.build_month(monthly.parse_month(texts, settings), settings).items()}
+    assert [p for p, _ in out["income"]] == ["bob", "john"]
+    assert out["expenses"] == [("barn", "Fun"), ("barn", "Fun"), ("netflix", "Fun")]
+    assert [p for p, _ in out["review"]] == ["anne", "zzyzx"]
+    asked = (tmp_path / "asked").read_text().splitlines()
+    assert len(asked) == len(set(asked)) and sum("income or an expense" in x for x in asked) == 2 and sum("Widget" in x for x in asked) == 1
+    plain = monthly.Settings(2025, categories=settings.categories)
+    assert [r["place"].split()[-1].lower() for r in monthly.build_month(monthly.parse_month(texts, plain), plain)["income"].collect()] == ["bob"]
+
+
+def test_labels_by_an_adviser(spark, tmp_path):
+    labels = spark.createDataFrame([("food",), ("travl",), ("pets",), ("xyz",), (" ",), (None,), ("utilites",)], "label string")
+    adviser = Adviser({"food": "dining.", "travl": "no idea", "utilites": "Pets"}, tmp_path / "asked")
+    found = categorize.correct_categories(labels, ["Dining", "Travel", "Pets", "Utilities"], provider=adviser)
+    assert {r["label"]: (r["category"], r["is_valid"]) for r in found.collect()} == {
+        "food": ("Dining", True), "travl": ("Travel", True), "pets": ("Pets", True), "xyz": ("xyz", False), " ": ("Uncategorized", True), None: ("Uncategorized", True), "utilites": ("Pets", True)
+    }
+    assert len((tmp_path / "asked").read_text().splitlines()) == 4
+
+
+def test_dates_as_printed(spark):
+    rows = spark.createDataFrame([("10/02/2025", day("10/02/2025")), ("2/1/2025", day("02/01/2025")), (None, None), ("x", None)], "txn_date_raw string, txn_date date")
+    assert [r["txn_date_raw"] for r in rollup.chronological(rows, strict=True).collect()] == [None, "10/02/2025", "2/1/2025", "x"]
+    assert [r["txn_date_raw"] for r in rollup.chronological(rows, "txn_date_raw").collect()] == ["2/1/2025", "10/02/2025", None, "x"]
+    assert rollup.order_columns(rows.withColumns({"n": F.lit(1), "amount": F.lit(2)})).columns == ["txn_date", "amount", "txn_date_raw", "n"]

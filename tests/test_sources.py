@@ -1,6 +1,7 @@
 """Readers of settings, answers of providers, votes and formats."""
 
 import json
+import random
 from decimal import Decimal
 
 import pandas as pd
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import amounts, names, scoring
 from tidemark.operators import ensemble, merchants, rollup
-from tidemark.sources import files, keywords, providers
+from tidemark.sources import files, keywords, providers, sinks
 
 
 class Fixed:
@@ -123,3 +124,50 @@ def test_a_series_of_prompts_is_asked_once_and_voted_on(spark, tmp_path):
     ledger = spark.createDataFrame([("SHOP 1",), ("POS X",)], "place_original string")
     cleaned = merchants.clean_names(ledger.where("place_original = 'SHOP 1'"), None, ensemble.PromptSeries(Stub(str(log)), ("large", "small", "large")))
     assert [r["place_original"] for r in cleaned.collect()] == ["SHOP 1"]
+
+
+def read_in_order(words, x0, y0, x1, y1, share=0.5):
+    """Brute force: words (text, x, y, width, height) inside a region, by lines."""
+    lines = []
+    for text, x, y, w, h in sorted(words, key=lambda w: (2 * w[2] + w[4], w[1], w[2], w[2] + w[4], w[0].strip())):
+        across, down = min(x + w, x1) - max(x, x0), min(y + h, y1) - max(y, y0)
+        if not text.strip() or across <= 0 or down <= 0 or across * down < share * w * h:
+            continue
+        both = min(lines[-1][1], y + h) - max(lines[-1][0], y) if lines else 0
+        if both > 0 and 2 * both >= min(lines[-1][1] - lines[-1][0], h):
+            lines[-1][2].append((x, 2 * y + h, text.strip()))
+        else:
+            lines.append((y, y + h, [(x, 2 * y + h, text.strip())]))
+    return "\n".join(" ".join(w[2] for w in sorted(line)) for _, _, line in lines)
+
+
+def test_region_in_reading_order(spark):
+    draw = random.Random(5)
+    pages = [(i, [(draw.choice(["a", "bb ", "c", " "]), draw.randrange(90), draw.randrange(60), draw.randrange(1, 30), draw.randrange(1, 14), 0.9) for _ in range(draw.randrange(25))]) for i in range(60)]
+    rows = spark.createDataFrame([*pages, (60, None)], f"id int, boxes {providers.WORD_BOXES}")
+    for box, padding in (((10, 5, 70, 50), 0), ((-20, -3, 200, 55), 2), ((0, 0, 100, 60), 0)):
+        edges = [F.lit(n) for n in (*box, 100, 60)]
+        found = {r["id"]: r["text"] for r in rows.select("id", providers.region_text(F.col("boxes"), *edges, padding=padding).alias("text")).collect()}
+        inner = max(0, box[0] + padding), max(0, box[1] + padding), min(100, box[2] - padding), min(60, box[3] - padding)
+        assert found == {i: read_in_order([w[:5] for w in words], *inner) for i, words in pages} | {60: ""}
+    none = rows.select(providers.cell_text(F.col("boxes"), F.lit(5), F.lit(5), F.lit(9), F.lit(50), F.lit(100), F.lit(60)).alias("thin"),
+                       providers.region_text(F.col("boxes"), F.lit(None).cast("int"), *[F.lit(50)] * 5).alias("unknown")).distinct().collect()
+    assert [tuple(r) for r in none] == [("", "")]
+
+
+def test_texts_of_documents_and_json(spark, tmp_path):
+    for name, content in (("2025-01/b.pdf", b"two"), ("2025-01/a.pdf", b"one"), ("2025-02/c.pdf", b"three"), ("2025-01/notes.txt", b"x")):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(content)
+
+    class Reader:
+        def answer(self, inputs):
+            return inputs.map(lambda content: {b"one": "first"}.get(bytes(content)))
+
+    found = files.read_statements(spark, str(tmp_path))
+    assert [(r["path"].split("/")[-1], r["month"], r["length"]) for r in found.orderBy("path").collect()] == [("a.pdf", "2025-01", 3), ("b.pdf", "2025-01", 3), ("c.pdf", "2025-02", 5)]
+    texts = providers.extract_text(found, digital=Reader()).join(found.select("doc_id", "month"), "doc_id")
+    assert sorted(tuple(r) for r in texts.select("month", "extractor", "text").collect()) == [
+        ("2025-01", "A", ""), ("2025-01", "A", "first"), ("2025-01", "B", ""), ("2025-01", "B", ""), ("2025-02", "A", ""), ("2025-02", "B", "")
+    ]
+    assert [r["json"] for r in sinks.as_json(spark.createDataFrame([(1, "x", None)], "n int, place string, amount double")).collect()] == ['{"n":1,"place":"x"}']

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import parse_manual_date
+from ..sources.providers import TextProvider
 from .categorize import UNCATEGORIZED, correct_categories
 from .classify import in_month, is_payment_app, review_state, split
 
@@ -48,9 +49,9 @@ def apply_review(expenses: DataFrame, income: DataFrame, review: DataFrame) -> d
     }
 
 
-def with_valid_categories(reviewed: DataFrame, valid: list[str]) -> DataFrame:
+def with_valid_categories(reviewed: DataFrame, valid: list[str], provider: TextProvider | None = None) -> DataFrame:
     """reviewed with corrected categories, and is_valid."""
-    labels = correct_categories(reviewed.select(F.col("category").alias("label")), valid).withColumnRenamed("category", "corrected")
+    labels = correct_categories(reviewed.select(F.col("category").alias("label")), valid, provider=provider).withColumnRenamed("category", "corrected")
     return reviewed.join(labels, reviewed["category"].eqNullSafe(labels["label"]), "left").withColumn("category", F.col("corrected")).drop("label", "corrected")
 
 

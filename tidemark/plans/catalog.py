@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import amounts, dates, names, scoring
@@ -177,6 +177,21 @@ def keyword_first_match(spark, sf):
     return rows.groupBy("place", "category").agg(F.count("*").alias("n"))
 
 
+@query("""with words as (select c_nationkey as cat_order, 'nation ' || c_nationkey as category, c_custkey as kw_order, kind || ' ' || c_custkey as keyword
+    from customer, (values ('CLICK'), ('error')) t(kind) where c_custkey % 7 <> 0),
+  places as (select event_type || ' ' || user_id as place, count(*) as n from events group by 1),
+  found as (select place, first(category order by cat_order, kw_order) as category from places join words on contains(lower(place), lower(keyword)) group by place)
+  select place, coalesce(category, 'Uncategorized') as category, n from places left join found using (place)""")
+def large_dictionary_match(spark, sf):
+    """A dictionary with two keywords for each customer, many of which are part of others; from 1,000 keywords on it is joined."""
+    customers = spark.read.parquet(f"{sf}/customer.parquet").where("c_custkey % 7 <> 0")
+    keyword = F.explode(F.array(*[F.concat_ws(" ", F.lit(kind), "c_custkey") for kind in ("CLICK", "error")]))
+    nation = F.concat_ws(" ", F.lit("nation"), "c_nationkey")
+    table = customers.select(F.col("c_nationkey").alias("cat_order"), nation.alias("category"), F.col("c_custkey").alias("kw_order"), keyword.alias("keyword"))
+    rows = categorize.categorize_by_table(adapters.events(spark, sf), table, most_sent=1_000)
+    return rows.groupBy("place", "category").agg(F.count("*").alias("n"))
+
+
 @query(f"""with {LL} select place, case {' '.join(f"when contains(lower(place), '{k}') then '{k}'" for ks in DICTIONARY.values() for k in ks)} end as keyword, count(*) as n from ll group by all""")
 def deciding_keyword(spark, sf):
     rows = adapters.line_items(spark, sf).withColumn("keyword", categorize.keyword_of(F.col("place"), DICTIONARY))
@@ -637,6 +652,25 @@ def ocr_word_boxes(spark, sf):
     return t.select("c_custkey", F.explode(providers.clean_boxes(boxes)).alias("w")).select("c_custkey", "w.text", "w.x")
 
 
+@query("""with words as (select l_orderkey, l_linenumber, 5 as x, 2 * (20 * l_linenumber + l_partkey % 3) + 12 as middle, 'Q' || cast(l_quantity as int) as text from lineitem
+    union all select l_orderkey, l_linenumber, 50 + l_suppkey % 40, 2 * (20 * l_linenumber + l_suppkey % 3) + 12, l_returnflag from lineitem where l_suppkey % 40 <= 18),
+  lines as (select l_orderkey, l_linenumber, string_agg(text, ' ' order by x, middle, text) as line from words group by all)
+  select l_orderkey, string_agg(line, chr(10) order by l_linenumber) as cell from lines group by l_orderkey""")
+def page_cells(spark, sf):
+    """Each order as a page of recognised words in no order, some of them cut by the right edge of a cell; the cell's text."""
+    t = spark.read.parquet(f"{sf}/lineitem.parquet")
+
+    def word(text: Column, x: Column, key: str) -> Column:
+        y = 20 * F.col("l_linenumber") + F.col(key) % 3
+        parts = {"text": text, "x": x.cast("int"), "y": y.cast("int"), "width": F.lit(20), "height": F.lit(12), "confidence": F.lit(0.9)}
+        return F.struct(*[c.alias(name) for name, c in parts.items()])
+
+    both = F.array(word(F.col("l_returnflag"), 50 + F.col("l_suppkey") % 40, "l_suppkey"), word(F.concat(F.lit("Q"), F.col("l_quantity").cast("int")), F.lit(5), "l_partkey"))
+    pages = t.select("l_orderkey", both.alias("boxes")).groupBy("l_orderkey").agg(F.flatten(F.collect_list("boxes")).alias("boxes"))
+    edges = [F.lit(n) for n in (-5, -5, 80, 2000, 1000, 1000)]
+    return pages.select("l_orderkey", providers.cell_text(F.col("boxes"), *edges).alias("cell"))
+
+
 # The cleaners and repairs over every order: each order has one of the cases above, by its key,
 # and "{n}" in it is a number of the order's own.
 

@@ -30,6 +30,7 @@ class Settings:
     strict: bool = False
     provider: TextProvider | None = None
     holders: tuple[str, ...] = ()  # first names of account holders
+    adviser: TextProvider | None = None  # asked about kinds, categories and labels where rules don't tell
 
 
 def parse_month(texts: DataFrame, settings: Settings, cache: DataFrame | None = None) -> DataFrame:
@@ -52,8 +53,11 @@ def parse_month(texts: DataFrame, settings: Settings, cache: DataFrame | None =
     rows = rows.where(F.coalesce("amount", "debits", "credits").isNotNull())
     rows = stash(merchants.clean_names(rows, cache, settings.provider, holders=settings.holders).withColumn("place", clean_place(F.col("place"))), "cleaned")
     rows = rows.join(about, "doc_id").where(~transfers.is_transfer(F.col("place_original"), F.col("place"), settings.transfers))
-    kind = classify.transaction_type(F.col("is_bank_account"), F.col("amount"), F.col("debits"), F.col("credits"), F.col("place_original"), settings.income, settings.strict)
-    rows = rows.withColumn("type", kind).where(F.col("type").isNotNull() & review.not_blank(F.col("place")))
+    if settings.adviser is not None:
+        rows = classify.ask_kinds(stash(rows, "unasked"), settings.adviser, settings.income, settings.strict)
+    advice = F.col("advice") if settings.adviser is not None else None
+    kind = classify.transaction_type(F.col("is_bank_account"), F.col("amount"), F.col("debits"), F.col("credits"), F.col("place_original"), settings.income, settings.strict, advice)
+    rows = rows.withColumn("type", kind).drop("advice").where(F.col("type").isNotNull() & review.not_blank(F.col("place")))
     rows = rows.where(~classify.is_noise(F.col("place"), F.col("type"), settings.strict))
     late = F.when(F.col("extraction_method") == "B only", "1").otherwise("0")
     name = F.concat_ws("/", "doc_id", F.coalesce("txn_date_raw", F.lit("")), late, F.lpad(F.col("line_no").cast("string"), 9, "0"))
@@ -76,13 +80,16 @@ def build_month(ledger: DataFrame, settings: Settings, entries: DataFrame | None
         own = entries.where("status = 'ok'").select(*id_, "txn_date", "place", "amount", "category", F.lit("Expense").alias("type"), F.lit(True).alias("manual"))
         kept = kept.unionByName(own, allowMissingColumns=True)
     by_hand, automatic = classify.split(kept, F.col("manual"))
-    out = review.route(categorize.categorize(automatic.drop("manual"), settings.categories), settings.strict)
+    labelled = categorize.categorize(automatic.drop("manual"), settings.categories)
+    if settings.adviser is not None:
+        labelled = categorize.ask_categories(stash(labelled, "unlabelled"), settings.categories, settings.adviser)
+    out = review.route(labelled, settings.strict)
     if entries is not None:
         unknown, known = classify.split(by_hand.drop("manual"), F.coalesce("category", F.lit(categorize.UNCATEGORIZED)) == categorize.UNCATEGORIZED)
         out["expenses"] = out["expenses"].unionByName(known)
         out["review"] = out["review"].unionByName(unknown.withColumns({"uncategorized": F.lit(True), "classification": F.lit("")}))
     if reviewed is not None:
-        valid = review.with_valid_categories(reviewed, list(settings.categories)).drop("is_valid")
+        valid = review.with_valid_categories(reviewed, list(settings.categories), settings.adviser).drop("is_valid")
         known = reviewed.select("txn_id").where("txn_id is not null").distinct()
         new = {name: rows.join(known, "txn_id", "left_anti") for name, rows in out.items()}
         merged = review.apply_review(new["expenses"], new["income"], valid)
@@ -155,7 +162,7 @@ def close_month(
     own = counts.where("kind = 'entry'").withColumn("status", F.lit("ok"))
     # What is still open comes from the ledger and the entries anew; only rows that people added have nothing else.
     closed = review.review_state(F.col("classification")).isin("income", "expense") | F.col("txn_id").startswith("added/")
-    decided = review.with_valid_categories(counts.where((F.col("kind") == "decision") & closed).select(*[c.rsplit(" ", 1)[0] for c in REVIEW.split(", ")]), list(settings.categories)).drop("is_valid")
+    decided = review.with_valid_categories(counts.where((F.col("kind") == "decision") & closed).select(*[c.rsplit(" ", 1)[0] for c in REVIEW.split(", ")]), list(settings.categories), settings.adviser).drop("is_valid")
 
     words = learned(settings, own, decided)
     if keywords_path:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.expr import let
+from ..session import stash
 
 
 class TextProvider(Protocol):
@@ -55,11 +56,63 @@ def clean_boxes(boxes: Column) -> Column:
     return F.filter(boxes, lambda w: F.trim(w["text"]) != "")
 
 
-def words_in(boxes: Column, x: Column, y: Column, width: Column, height: Column, padding: int = 2) -> Column:
-    """The text of the words inside a box, shrunk by a padding on each side; an empty box has none."""
-    left, top, right, bottom = x + padding, y + padding, x + width - padding, y + height - padding
-    inside = F.filter(boxes, lambda w: (w["x"] >= left) & (w["y"] >= top) & (w["x"] + w["width"] <= right) & (w["y"] + w["height"] <= bottom))
-    return F.when((right <= left) | (bottom <= top), F.lit("")).otherwise(F.trim(F.array_join(F.transform(inside, lambda w: w["text"]), " ")))
+def in_reading_order(boxes: Column) -> Column:
+    """The text of words as they are read: lines from top to bottom, each from left to right.
+
+    Words are taken by the height of their middles. A word belongs to the line above it if it
+    overlaps the first word of that line by half of the lower one of the two; else it starts a
+    line. Blank words are left out; no words give an empty text.
+    """
+
+    def entry(w: Column) -> Column:
+        return F.struct((2 * w["y"] + w["height"]).alias("middle"), w["x"].alias("x"), F.trim(w["text"]).alias("text"), w["y"].alias("top"), (w["y"] + w["height"]).alias("bottom"))
+
+    def word(w: Column) -> Column:
+        return F.array(F.struct(w["x"].alias("x"), w["middle"].alias("middle"), w["text"].alias("text")))
+
+    def closed(state: Column) -> Column:
+        line = F.array_join(F.transform(F.array_sort(state["line"]), lambda w: w["text"]), " ")
+        return F.when(F.size(state["line"]) > 0, F.concat(state["lines"], F.array(line))).otherwise(state["lines"])
+
+    def add(state: Column, w: Column) -> Column:
+        both = F.least(state["bottom"], w["bottom"]) - F.greatest(state["top"], w["top"])
+        same = (both > 0) & (2 * both >= F.least(state["bottom"] - state["top"], w["bottom"] - w["top"]))
+        longer = F.struct(state["lines"].alias("lines"), F.concat(state["line"], word(w)).alias("line"), state["top"].alias("top"), state["bottom"].alias("bottom"))
+        return F.when(same, longer).otherwise(F.struct(closed(state).alias("lines"), word(w).alias("line"), w["top"].alias("top"), w["bottom"].alias("bottom")))
+
+    none = F.lit(0).cast("int")
+    start = F.struct(
+        F.array().cast("array<string>").alias("lines"), F.array().cast("array<struct<x:int,middle:int,text:string>>").alias("line"), none.alias("top"), none.alias("bottom")
+    )
+    return F.aggregate(F.array_sort(F.transform(clean_boxes(boxes), entry)), start, add, lambda s: F.array_join(closed(s), "\n"))
+
+
+def region_text(
+    boxes: Column, left: Column, top: Column, right: Column, bottom: Column, page_width: Column, page_height: Column, padding: int = 0, share: float = 0.5
+) -> Column:
+    """The text of a region of a page, in reading order.
+
+    The region is shrunk by a padding on each side, then cut to the page. Words count if at least
+    `share` of their area is inside. A region that has no area, or has an edge that is null, has
+    an empty text; so has a page without words.
+    """
+    edges = [left + padding, top + padding, right - padding, bottom - padding]
+    x0, y0, x1, y1 = F.greatest(edges[0], F.lit(0)), F.greatest(edges[1], F.lit(0)), F.least(edges[2], page_width), F.least(edges[3], page_height)
+
+    def inside(w: Column) -> Column:
+        across = F.least(w["x"] + w["width"], x1) - F.greatest(w["x"], x0)
+        down = F.least(w["y"] + w["height"], y1) - F.greatest(w["y"], y0)
+        return (across > 0) & (down > 0) & (across.cast("double") * down >= share * w["width"] * w["height"])
+
+    real = (x1 > x0) & (y1 > y0)
+    for e in edges:
+        real &= e.isNotNull()
+    return F.coalesce(F.when(real, in_reading_order(F.filter(boxes, inside))), F.lit(""))
+
+
+def cell_text(boxes: Column, left: Column, top: Column, right: Column, bottom: Column, page_width: Column, page_height: Column, padding: int = 2) -> Column:
+    """The text of a table's cell: its region without the borders."""
+    return region_text(boxes, left, top, right, bottom, page_width, page_height, padding)
 
 
 # What marks the end of a model's answer, and what may stand before it.
@@ -107,13 +160,30 @@ def scrub_answer(answer: Column, original: Column) -> Column:
     return let(F.trim(t), checked)
 
 
-def match_label(answer: Column, labels: list[str]) -> Column:
-    """The label that an answer names, without case and trailing punctuation, or null."""
-    bare = F.lower(F.trim(F.regexp_replace(answer, "[.,;:!?]+$", "")))
+def ask_each(rows: DataFrame, prompt: Column, provider: TextProvider | None, name: str) -> DataFrame:
+    """The rows with the answer to their prompt in column `name`; those whose prompt is null aren't asked about.
+
+    Each different prompt is asked once, and the answers are written before they are used.
+    """
+    if provider is None or isinstance(provider, NullProvider):
+        return rows.withColumn(name, F.lit(None).cast("string"))
+    asking = rows.withColumn("_prompt", prompt)
+    asked = asking.select("_prompt").where("_prompt is not null").distinct()
+    answers = stash(asked.select("_prompt", ask(F.col("_prompt"), provider).alias(name)), "answers")
+    others = asking.where("_prompt is null").withColumn(name, F.lit(None).cast("string"))
+    return asking.where("_prompt is not null").join(answers, "_prompt", "left").unionByName(others).drop("_prompt")
+
+
+def match_label(answer: Column, labels: list[str], exact: bool = False) -> Column:
+    """The label that an answer names, in any case, or null.
+
+    An equal one goes before one in another case; unless exact, punctuation at the end is left out.
+    """
+    bare = F.trim(answer if exact else F.regexp_replace(F.trim(answer), "[.,;:!?]+$", ""))
     out = F.lit(None).cast("string")
     for label in reversed(labels):
-        out = F.when(bare == label.lower(), F.lit(label)).otherwise(out)
-    return out
+        out = F.when(F.lower(bare) == label.lower(), F.lit(label)).otherwise(out)
+    return F.when(bare.isin(labels), bare).otherwise(out) if labels else out
 
 
 def income_or_expense(answer: Column) -> Column:
