@@ -99,8 +99,9 @@ def mix_sources(
     mark = row_hash(documents, ["doc_id", *[c for c in kept if c != "doc_id"]])
     rows = documents.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), source.alias("source"), mark.alias("hash"))
     # At most max_sources rows, so they may go to every task.
-    rows = rows.join(F.broadcast(plans), "source").withColumn("range", F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("ranges"), 31))
-    sizes = documents.select(source.alias("source"), mark.alias("hash")).join(F.broadcast(plans.drop("phases")), "source")
+    ranges = F.broadcast(plans.drop("phases"))
+    rows = rows.join(ranges, "source").withColumn("range", F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("ranges"), 31)).drop("ranges")
+    sizes = documents.select(source.alias("source"), mark.alias("hash")).join(ranges, "source")
     sizes = sizes.groupBy("source", F.shiftright(F.shiftrightunsigned("hash", 33) * F.col("ranges"), 31).alias("range")).count()
     before = F.sum("count").over(Window.partitionBy("source").orderBy("range")) - F.col("count")
     ranked = rows.withColumn("at", F.row_number().over(Window.partitionBy("source", "range").orderBy("hash", "row.doc_id")) - 1).join(
@@ -108,7 +109,8 @@ def mix_sources(
     )
     rank = F.col("before") + F.col("at")
     k = F.floor(rank / block).cast("long")
-    placed = ranked.select("row", "phases", k.alias("k"), F.pmod(rank, F.lit(block)).alias("inside"))
+    # The schedule joins the rows after their last shuffle; each row takes its own phase and slot out of it.
+    placed = ranked.select("row", "source", k.alias("k"), F.pmod(rank, F.lit(block)).alias("inside")).join(F.broadcast(plans.drop("ranges")), "source")
     placed = placed.withColumn("phase", F.element_at(F.filter("phases", lambda p: p["first"] <= F.col("k")), -1))
     j, w, period = F.col("k") - F.col("phase.first"), F.col("phase.weight"), F.col("phase.period")
     placed = placed.select(
