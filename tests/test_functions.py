@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import amounts, dates, names
 from tidemark.operators import categorize
-from tidemark.sources import keywords
+from tidemark.plans import texts
+from tidemark.sources import keywords, providers
 
 
 def each(spark, cases, column):
@@ -99,3 +100,58 @@ def test_large_dictionaries(spark):
         inside = {int(number[:n]) for n in range(1, len(number) + 1)}
         first = min((i % 50, i) for i in inside if i < 100_000)
         assert r["category"] == f"c{first[0]}"
+
+
+DATES = [
+    ("42/29/2025", "12/29/2025", "12/29/2025"), ("41/03/2025", "11/03/2025", "11/03/2025"), ("40/1/2025", "10/1/2025", "10/1/2025"), ("14/1/2025", "11/1/2025", "14/1/2025"),
+    ("13/1/2025", "11/1/2025", "13/1/2025"), ("22/1/2025", "12/1/2025", "22/1/2025"), ("30/1/2025", "10/1/2025", "30/1/2025"), ("15/1/2025", "15/1/2025", "15/1/2025"),
+    ("12-16", "12-16", "12/16/2025"), ("12/16", "12/16", "12/16/2025"), ("4/15/2025", "4/15/2025", "4/15/2025"),
+]
+HEADS = [
+    ("For billing cycle ending 01/14/2025", 2025), ("Statement Closing Date 01/14/25", 2025), ("forbilling cycleending 01/14/24", 2024), ("Statement date: 2/3/2023", 2023), ("nothing", 1999),
+]
+NAMES = [
+    ("TARGET #1234 FARGO ND", "Target"), ("WALMART SUPERCENTER #4352 FARGO", "Walmart"), ("SQSP* INV165866692", "Squarespace"), ("CASH APP* JOHN DOE", "Cash App"),
+    ("BP#9267972HWY 13BP SAVAGE MN", "BP"), ("COWBOYJACKS-APPLEV", "Cowboyjacks"), ("WL*Steam Purchase", "Steam Purchase"), ("THE HOME DEPOT #3701 WEST FARGO", "The Home Depot West"),
+    ("SQ* COFFEE SHOP", "Coffee Shop"), ("CASHWISE #3045 WEST FARGO ND", "Cashwise West"), ("TST* RESTAURANT NAME MOORHEAD MN", "Tst Name"), ("PIKEAND PINTGRILLINC ALEXANDRIA", "Pikeand"),
+    ("$100.00 AT 9:30", "ATM Withdrawal"),
+]
+PLACES = [
+    ("Chase Bankcard Online Pmt X", "Chase Bankcard"), ("CAPITAL ONE CARD CTR PAYMENT", "Credit Card Payment"), ("ford auto loan 123", "Ford Auto Loan"),
+    ("ACME LOAN PYMT", "Acme Loan Payment"), ("Wells Financia", "Wells Financial"), ("Shop 01/02/25 At", "Shop"), ("Power Web_Pay 55", "Power"),
+]
+TITLES = [("O'REILLY 7-ELEVEN", "O'Reilly 7-Eleven"), ("CashWise llc", "Cash Wise LLC"), ("the ATM of bp", "the ATM of BP"), ("to", "to"), ("THEHOMEDEPOT", "Thehomedepot")]
+LABELS = [
+    ("STEAM PURCHASE", "Steam"), ("The Home Depot", "Home Depot"), ("BP", "BP"), ("CashWise", "Cash Wise"), ("Acme (No location information given)", "Acme"), (", Target Store,", "Target"),
+]
+ANSWERS = [
+    ('"Target"', "TARGET 1", "Target"), ("Output: Home Depot\nbecause", "HD", "Home Depot"), ("SQ *Coffee", "x", "Coffee"), ("The merchant name is X", "x", None), ("ab", "x", None),
+    ("Target", "target", None), ("Coborns Merchant: other", "x", "Coborns"),
+]
+FUZZY = [
+    ("groceriesw", "Groceries", True), ("utilites", "Utilities", True), ("travl", "Travel", True), ("insurnce", "Insurance", True), ("healtcare", "Healthcare", True),
+    ("pet", "Pets", True), ("donation", "Education", True), ("dining", "Dining", True), ("food", "food", False), ("util", "util", False), ("rent", "rent", False),
+    ("resturant", "resturant", False), ("home improvement", "home improvement", False), ("", "Uncategorized", True),
+]
+
+
+@pytest.mark.parametrize(
+    "cases,clean",
+    [(HEADS, lambda x: dates.statement_year(x, 1999)), (NAMES, names.clean_merchant), (PLACES, names.clean_place), (TITLES, names.smart_title), (LABELS, names.normalize_label)],
+    ids=["years", "merchants", "places", "titles", "labels"],
+)
+def test_known_texts(spark, cases, clean):
+    assert each(spark, [*(x for x, _ in cases), None, ""], clean)[: len(cases)] == [y for _, y in cases]
+
+
+def test_known_dates_and_answers(spark):
+    for clean, n in ((dates.repair_month, 1), (lambda x: dates.normalize_date(x, 2025), 2)):
+        assert each(spark, [x[0] for x in DATES], clean) == [x[n] for x in DATES]
+    rows = spark.createDataFrame([(i, *x[:2]) for i, x in enumerate(ANSWERS)], "i int, answer string, original string")
+    found = rows.select("i", providers.scrub_answer(F.col("answer"), F.col("original")).alias("y")).orderBy("i").collect()
+    assert [r["y"] for r in found] == [x[2] for x in ANSWERS]
+
+
+def test_known_labels(spark):
+    found = categorize.correct_categories(spark.createDataFrame([(x[0],) for x in FUZZY], "label string"), texts.CATEGORIES)
+    assert sorted(map(tuple, found.collect())) == sorted(FUZZY)

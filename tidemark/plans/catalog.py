@@ -1,8 +1,8 @@
 """The ledger queries by name, and DuckDB SQL with the same results.
 
 Queries run over whole tables. Orders, line items and events stand for ledgers
-(sources/adapters.py); where an operator works on text, texts are printed from those rows, or
-are a few cases whose results are known.
+(sources/adapters.py); where an operator works on text, texts are printed from those rows (see
+also texts.py).
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import amounts, dates, names, scoring
 from ..operators import categorize, classify, merchants, reconcile, review, rollup, statements, transfers
 from ..sources import adapters, keywords, providers
-from . import monthly
+from . import monthly, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,15 +48,6 @@ def spending(spark: SparkSession, sf: str) -> DataFrame:
     return categorize.categorize(adapters.line_items(spark, sf), DICTIONARY)
 
 
-def golden(rows: list[tuple]) -> str:
-    """SQL VALUES of known results."""
-
-    def one(v) -> str:
-        return "null" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v)
-
-    return "values " + ", ".join("(" + ", ".join(map(one, r)) + ")" for r in rows)
-
-
 # Rollups
 
 
@@ -161,12 +152,6 @@ def months_seen(spark, sf):
     return rows.select("month", dates.previous_month(F.col("txn_date")).alias("previous")).distinct()
 
 
-@query("select strftime(date '2000-09-01' + to_months(cast(i as integer)), '%Y-%m') as month, i + 1 as nth from range(12) t(i)")
-def last_twelve_months(spark, sf):
-    one = spark.range(1).select(F.posexplode(dates.last_months(F.lit(ANCHOR).cast("date"))).alias("at", "month"))
-    return one.select("month", (F.col("at") + 1).cast("long").alias("nth"))
-
-
 # Categories
 
 
@@ -208,23 +193,6 @@ def category_validation_exact(spark, sf):
     return categorize.correct_categories(rows, list(DICTIONARY))
 
 
-# Names of categories that labels are corrected to in these cases.
-FUZZY_NAMES = [
-    "Groceries", "Dining", "Transportation", "Auto Maintenance", "Utilities", "Entertainment", "Shopping", "Clothing", "Healthcare", "Insurance", "Personal Care",
-    "Home Maintenance", "Rent/Mortgage", "Education", "Childcare", "Pets", "Gifts & Charity", "Subscriptions", "Travel", "Alcohol/Bar", "Banking Fees", "Investment",
-]
-FUZZY = [
-    ("groceriesw", "Groceries", True), ("utilites", "Utilities", True), ("travl", "Travel", True), ("insurnce", "Insurance", True), ("healtcare", "Healthcare", True),
-    ("pet", "Pets", True), ("donation", "Education", True), ("dining", "Dining", True), ("food", "food", False), ("util", "util", False), ("rent", "rent", False),
-    ("resturant", "resturant", False), ("home improvement", "home improvement", False), ("", "Uncategorized", True),
-]
-
-
-@query(f"select * from ({golden(FUZZY)}) t(label, category, is_valid)")
-def category_validation_fuzzy(spark, sf):
-    return categorize.correct_categories(spark.createDataFrame([(x[0],) for x in FUZZY], "label string"), FUZZY_NAMES)
-
-
 @query("""with known as (select 'Hardware' as category, p_name as keyword from part where p_partkey % 3 = 0), learned as (select 'Hardware' as category, upper(p_name) as keyword from part)
   select category, keyword from known union all
   select category, min(keyword) from learned l where not exists (select 1 from known k where k.category = l.category and lower(k.keyword) = lower(l.keyword)) group by category, lower(keyword)""")
@@ -427,30 +395,6 @@ def parse_leading_dates(spark, sf):
     return t.select("o_orderkey", dates.leading_date(F.concat(form, F.lit(" SHOP 1.00")), F.lit(1999)).alias("leading"))
 
 
-MONTHS = [
-    ("42/29/2025", "12/29/2025", "12/29/2025"), ("41/03/2025", "11/03/2025", "11/03/2025"), ("40/1/2025", "10/1/2025", "10/1/2025"), ("14/1/2025", "11/1/2025", "14/1/2025"),
-    ("13/1/2025", "11/1/2025", "13/1/2025"), ("22/1/2025", "12/1/2025", "22/1/2025"), ("30/1/2025", "10/1/2025", "30/1/2025"), ("15/1/2025", "15/1/2025", "15/1/2025"),
-    ("12-16", "12-16", "12/16/2025"), ("12/16", "12/16", "12/16/2025"), ("4/15/2025", "4/15/2025", "4/15/2025"),
-]
-
-
-@query(f"select * from ({golden(MONTHS)}) t(date, repaired, normalized)")
-def month_repair(spark, sf):
-    rows = spark.createDataFrame([(x[0],) for x in MONTHS], "date string")
-    return rows.select("date", dates.repair_month(F.col("date")).alias("repaired"), dates.normalize_date(F.col("date"), 2025).alias("normalized"))
-
-
-HEADS = [
-    ("For billing cycle ending 01/14/2025", 2025), ("Statement Closing Date 01/14/25", 2025), ("forbilling cycleending 01/14/24", 2024), ("Statement date: 2/3/2023", 2023), ("nothing", 1999),
-]
-
-
-@query(f"select * from ({golden(HEADS)}) t(text, year)")
-def statement_year(spark, sf):
-    rows = spark.createDataFrame([(x[0],) for x in HEADS], "text string")
-    return rows.select("text", dates.statement_year(F.col("text"), 1999).alias("year"))
-
-
 @query("select o_orderkey, 'statement_' || strftime(o_orderdate, '%Y-%m-%d') || '.pdf' as path, strftime(o_orderdate, '%Y-%m') as month from orders")
 def filename_month(spark, sf):
     t = spark.read.parquet(f"{sf}/orders.parquet")
@@ -488,66 +432,12 @@ def classify_income_expense(spark, sf):
 # Names
 
 
-NAMES = [
-    ("TARGET #1234 FARGO ND", "Target"), ("WALMART SUPERCENTER #4352 FARGO", "Walmart"), ("SQSP* INV165866692", "Squarespace"), ("CASH APP* JOHN DOE", "Cash App"),
-    ("BP#9267972HWY 13BP SAVAGE MN", "BP"), ("COWBOYJACKS-APPLEV", "Cowboyjacks"), ("WL*Steam Purchase", "Steam Purchase"), ("THE HOME DEPOT #3701 WEST FARGO", "The Home Depot West"),
-    ("SQ* COFFEE SHOP", "Coffee Shop"), ("CASHWISE #3045 WEST FARGO ND", "Cashwise West"), ("TST* RESTAURANT NAME MOORHEAD MN", "Tst Name"), ("PIKEAND PINTGRILLINC ALEXANDRIA", "Pikeand"),
-    ("$100.00 AT 9:30", "ATM Withdrawal"),
-]
-
-
-@query(f"select * from ({golden(NAMES)}) t(raw, place)")
-def clean_merchant(spark, sf):
-    return spark.createDataFrame([(x[0],) for x in NAMES], "raw string").select("raw", names.clean_merchant(F.col("raw")).alias("place"))
-
-
-PLACES = [
-    ("Chase Bankcard Online Pmt X", "Chase Bankcard"), ("CAPITAL ONE CARD CTR PAYMENT", "Credit Card Payment"), ("ford auto loan 123", "Ford Auto Loan"),
-    ("ACME LOAN PYMT", "Acme Loan Payment"), ("Wells Financia", "Wells Financial"), ("Shop 01/02/25 At", "Shop"), ("Power Web_Pay 55", "Power"),
-]
-
-
-@query(f"select * from ({golden(PLACES)}) t(raw, place)")
-def clean_place(spark, sf):
-    return spark.createDataFrame([(x[0],) for x in PLACES], "raw string").select("raw", names.clean_place(F.col("raw")).alias("place"))
-
-
-TITLES = [("O'REILLY 7-ELEVEN", "O'Reilly 7-Eleven"), ("CashWise llc", "Cash Wise LLC"), ("the ATM of bp", "the ATM of BP"), ("to", "to"), ("THEHOMEDEPOT", "Thehomedepot")]
-
-
-@query(f"select * from ({golden(TITLES)}) t(raw, title)")
-def smart_title(spark, sf):
-    return spark.createDataFrame([(x[0],) for x in TITLES], "raw string").select("raw", names.smart_title(F.col("raw")).alias("title"))
-
-
 @query(r"select distinct p_name as raw, regexp_replace(p_name || 'Shop', '([a-z])([A-Z])', '\1 \2', 'g') as split from part")
 def camel_split(spark, sf):
     t = spark.read.parquet(f"{sf}/part.parquet")
     return t.select(F.col("p_name").alias("raw"), names.camel_split(F.concat("p_name", F.lit("Shop"))).alias("split")).distinct()
 
 
-LABELS = [
-    ("STEAM PURCHASE", "Steam"), ("The Home Depot", "Home Depot"), ("BP", "BP"), ("CashWise", "Cash Wise"), ("Acme (No location information given)", "Acme"), (", Target Store,", "Target"),
-]
-
-
-@query(f"select * from ({golden(LABELS)}) t(raw, label)")
-def normalize_names(spark, sf):
-    return spark.createDataFrame([(x[0],) for x in LABELS], "raw string").select("raw", names.normalize_label(F.col("raw")).alias("label"))
-
-
-ANSWERS = [
-    ('"Target"', "TARGET 1", "Target"), ("Output: Home Depot\nbecause", "HD", "Home Depot"), ("SQ *Coffee", "x", "Coffee"), ("The merchant name is X", "x", None), ("ab", "x", None),
-    ("Target", "target", None), ("Coborns Merchant: other", "x", "Coborns"),
-]
-
-
-@query(f"select * from ({golden(ANSWERS)}) t(answer, original, place)")
-def scrub_answers(spark, sf):
-    rows = spark.createDataFrame([x[:2] for x in ANSWERS], "answer string, original string")
-    return rows.select("answer", "original", providers.scrub_answer(F.col("answer"), F.col("original")).alias("place"))
-
-
 # Merchants
 
 
@@ -671,44 +561,9 @@ def page_cells(spark, sf):
     return pages.select("l_orderkey", providers.cell_text(F.col("boxes"), *edges).alias("cell"))
 
 
-# The cleaners and repairs over every order: each order has one of the cases above, by its key,
-# and "{n}" in it is a number of the order's own.
-
-
-def _over_orders(name: str, cases: list[tuple], inputs: int, clean: Callable[..., DataFrame]) -> None:
-    def run(spark, sf):
-        schema = ", ".join(f"x{i} string" for i in range(inputs))
-        texts = spark.createDataFrame([(i, *c[:inputs]) for i, c in enumerate(cases)], f"nth int, {schema}")  # a few rows
-        t = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.col("o_custkey").alias("n"), (F.col("o_orderkey") % len(cases)).cast("int").alias("nth"))
-        number = (F.col("n") % 9000 + 1000).cast("string")
-        rows = t.join(F.broadcast(texts), "nth").withColumns({f"x{i}": F.replace(F.col(f"x{i}"), F.lit("{n}"), number) for i in range(inputs)})
-        return rows.select("o_orderkey", clean(*[F.col(f"x{i}") for i in range(inputs)]).cast("string").alias("result"))
-
-    run.__name__ = name
-    known = golden([(i, None if c[inputs] is None else str(c[inputs])) for i, c in enumerate(cases)])
-    query(f"select o_orderkey, result from orders join ({known}) t(nth, result) on o_orderkey % {len(cases)} = nth")(run)
-
-
-NUMBERED = [("TARGET #{n} FARGO ND", "Target"), ("WALMART SUPERCENTER #{n} FARGO", "Walmart"), ("CASHWISE #{n} WEST FARGO ND", "Cashwise West"), ("THE HOME DEPOT #{n} WEST FARGO", "The Home Depot West")]
-_over_orders("clean_merchant_all", NUMBERED + NAMES, 1, names.clean_merchant)
-_over_orders("clean_place_all", PLACES + [("ford auto loan {n}", "Ford Auto Loan"), ("Power Web_Pay {n}", "Power")], 1, names.clean_place)
-_over_orders("smart_title_all", TITLES, 1, names.smart_title)
-_over_orders("normalize_names_all", LABELS, 1, names.normalize_label)
-_over_orders("scrub_answers_all", ANSWERS, 2, providers.scrub_answer)
-_over_orders("statement_year_all", HEADS, 1, lambda text: dates.statement_year(text, 1999))
-_over_orders("month_repair_all", MONTHS, 1, dates.repair_month)
-
-
-@query(f"select p_partkey, category, is_valid from part join ({golden([(i, *x) for i, x in enumerate(FUZZY)])}) c(nth, label, category, is_valid) on p_partkey % {len(FUZZY)} = nth")
-def category_validation_all(spark, sf):
-    labels = spark.createDataFrame([(i, x[0]) for i, x in enumerate(FUZZY)], "nth int, label string")  # a few rows
-    rows = spark.read.parquet(f"{sf}/part.parquet").select("p_partkey", (F.col("p_partkey") % len(FUZZY)).cast("int").alias("nth")).join(F.broadcast(labels), "nth")
-    return rows.join(categorize.correct_categories(rows, FUZZY_NAMES), "label").select("p_partkey", "category", "is_valid")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
+    return QUERIES | texts.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | texts.ORACLE
