@@ -99,3 +99,13 @@ def test_short_lines_that_repeat(spark):
     texts = {i: r["text"] for i, r in out.items()}
     assert texts[1] == "Home\n\nMenu\n \nab" and texts[2] == "Homes\n\nac\né" and texts[3] == " " * 25 + "\nx" and texts[4] == "Les."
     assert all(texts[i] == f"own line {i}" and out[i]["line_stats"]["n_equal"] == 1 for i in range(5, 40))
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_short_lines_within_edits_agree_with_brute_force(spark, edits):
+    """near_chars=1: segments may be empty, so that nearly all short lines meet."""
+    rng = random.Random(edits)
+    lines = ["".join(rng.choice("abcdefghijklé ") for _ in range(rng.randrange(9))) for _ in range(120)]
+    rows = [(i, "\n".join(lines[i * 6 : i * 6 + 6])) for i in range(20)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), edits, near_chars=1).collect()
+    assert {r["doc_id"]: r["text"] for r in out} == brute(rows, edits, 1)
