@@ -3,6 +3,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from tidemark.llm import quality_rules
 
@@ -70,3 +71,23 @@ def test_learning():
 def test_labels_that_teach_nothing(spark, odd_documents):
     labels = spark.createDataFrame([(1, 1, 0), (1, None, 0), (None, 0, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert quality_rules.learn_from_labels(odd_documents, labels) == []
+
+
+def test_ids_that_repeat_and_odd_names(spark):
+    """One id has most of the rows: the sample stays within its bound, and equal rows teach once."""
+    words = [f"w{i}" for i in range(40)]
+    text = F.array_join(F.slice(F.array(*map(F.lit, words)), 1, (F.col("id") % 25 + 12).cast("int")), " ")
+    junk = F.when(F.col("id") % 2 == 0, F.concat(text, F.lit(" ###### $$$$ %%%%"))).otherwise(text)
+    docs = spark.range(3000).select(F.when(F.col("id") < 600, F.col("id")).otherwise(F.lit(0)).alias("doc_id"), junk.alias("text"), F.lit(1).alias("a name-with.marks"))
+    labels = spark.range(600).selectExpr("id as doc_id", "cast(id % 2 as int) as quality", "0 as toxic")
+    seen = []
+    learn = quality_rules.learn_decision_list
+    for most in (20_000, 100):
+        quality_rules.learn_decision_list = lambda x, bad: seen.append(len(x)) or learn(x, bad)
+        try:
+            rules = quality_rules.learn_from_labels(docs, labels, most)
+        finally:
+            quality_rules.learn_decision_list = learn
+    assert 600 <= seen[0] <= 650 and seen[1] <= 100
+    kept = quality_rules.keep_good(docs, rules)
+    assert kept.columns == docs.columns and kept.exceptAll(docs).isEmpty()

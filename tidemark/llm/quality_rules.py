@@ -6,8 +6,9 @@ greedily on two thirds of the labelled rows, pruned on the other third, and take
 it is almost always right there; the rows that it covers are put aside and the next rule is
 grown. The list becomes one Spark conditional expression whose first matching rule rejects.
 
-The list is fitted on about max_labelled labelled texts (all if there are fewer), chosen by
-a hash of the document id. Statistics and verdicts cover every text in full.
+The list is fitted on max_labelled labelled texts at most (all if there are fewer), chosen by
+a hash of the document id and then of the row; rows that are equal in id and ratios teach once.
+Statistics and verdicts cover every text in full.
 
 Defined results: a null or empty text has no words and fails the base rules; labels that
 are null, or of documents that are not there, count for nothing; of several labels of one
@@ -24,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import textbatch as tb
 
@@ -168,14 +170,17 @@ def learn_from_labels(documents: DataFrame, labels: DataFrame, max_labelled: int
     share = max_labelled / max(1, marked.count())
     if share < 1:
         marked = marked.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    # About max_labelled rows at most, so that they may go to every task.
+    # About max_labelled ids at most, so that they may go to every task.
     texts = documents.join(F.broadcast(marked), "doc_id", "left_semi")
-    rows = text_counts(texts).join(F.broadcast(marked), "doc_id").where(~base_failed()).select("doc_id", "quality", *ratio_columns()).toPandas()
-    rows = rows.sort_values("doc_id", key=lambda s: pd.util.hash_array(s.to_numpy().astype(str).astype(object)))
+    ratios = [r[0] for r in RATIOS]
+    rows = text_counts(texts).join(F.broadcast(marked), "doc_id").where(~base_failed()).select("doc_id", "quality", *ratio_columns()).distinct()
+    rows = rows.orderBy(F.xxhash64("doc_id", *ratios)).limit(max_labelled).toPandas()
+    rows["order"] = pd.util.hash_array(rows["doc_id"].to_numpy().astype(str).astype(object))
+    rows = rows.sort_values(["order", *ratios])
     bad = (rows["quality"] == 0).to_numpy()
     if not bad.any() or bad.all():
         return []
-    return learn_decision_list(rows[[r[0] for r in RATIOS]], bad)
+    return learn_decision_list(rows[ratios], bad)
 
 
 def judge_quality(documents: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -190,8 +195,8 @@ def judge_quality(documents: DataFrame, rules: list[Rule]) -> DataFrame:
 
 def keep_good(documents: DataFrame, rules: list[Rule]) -> DataFrame:
     """The rows, with all their columns, whose texts are kept. Counts ride along with the rows."""
-    whole = documents.select(F.struct(*documents.columns).alias("row"), F.col("text"))
-    counted = whole.mapInArrow(_count, f"row {documents.schema.simpleString()}, " + ", ".join(f"{c} long" for c in COUNTS))
+    whole = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"), F.col("text"))
+    counted = whole.mapInArrow(_count, T.StructType([T.StructField("row", documents.schema), *[T.StructField(c, T.LongType()) for c in COUNTS]]))
     judged = counted.select("row", base_failed().alias("base_failed"), *ratio_columns()).withColumn("rule", rules_column(rules))
     return judged.where(~F.col("base_failed") & F.col("rule").isNull()).select("row.*")
 
