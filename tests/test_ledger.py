@@ -259,6 +259,27 @@ def test_greedy_pairs_against_a_walk(spark):
     assert transfers.greedy_pairs(df.limit(0)).count() == 0
 
 
+def crowded(spark, seed, n_days, ids=10_000):
+    """Few amounts, days and accounts, so that many rows wait for one another; ids in an order of their own."""
+    rng = random.Random(seed)
+    rows = [(rng.randrange(ids) if ids < 10_000 else i, day("01/01/2025") + datetime.timedelta(rng.randrange(n_days)), Decimal(rng.randrange(3)), rng.choice("ABC")) for i in range(200)]
+    rows += [(None, day("01/01/2025"), Decimal(1), "A"), (20_000, None, Decimal(1), "B"), (20_001, day("01/01/2025"), Decimal(1), None), (20_002, day("01/01/2025"), None, "C")]
+    pairs = {(a[0], b[0], a[2]) for a in rows for b in rows if None not in (*a, *b) and a[2] == b[2] > 0 and a[0] < b[0] and a[3] != b[3] and abs((a[1] - b[1]).days) <= 2}
+    return spark.createDataFrame(rows, "txn_id long, txn_date date, amount decimal(12,2), statement string").repartition(3), sorted(pairs)
+
+
+def test_greedy_transfers_against_a_walk(spark):
+    for seed, n_days, ids in ((1, 1, 10_000), (2, 20, 10_000), (3, 6, 90)):  # the last has ids that repeat
+        ledger, pairs = crowded(spark, seed, n_days, ids)
+        used, expected = set(), []
+        for a, b, amount in pairs:
+            if not {(a, amount), (b, amount)} & used:
+                used |= {(a, amount), (b, amount)}
+                expected.append((a, b))
+        assert sorted(map(tuple, transfers.greedy_transfers(ledger).collect())) == sorted(expected)
+    assert transfers.greedy_transfers(ledger.limit(0)).count() == 0
+
+
 def test_streamed_batches_replace_what_they_left(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
 from functools import reduce
+from heapq import heappop, heappush
+from itertools import batched, groupby
+from operator import itemgetter
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +67,85 @@ def greedy_pairs(pairs: DataFrame) -> DataFrame:
             return reduce(DataFrame.unionByName, taken)
 
 
+def _rows(ledger: DataFrame, account: str) -> DataFrame:
+    """The rows that may be a side of a transfer: amount, id, day (a number) and account."""
+    rows = ledger.where(F.col("txn_id").isNotNull() & (F.col("amount") > 0) & F.col("txn_date").isNotNull() & F.col(account).isNotNull())
+    return rows.select("amount", F.col("txn_id").alias("id"), F.unix_date("txn_date").alias("day"), F.col(account).alias("account"))
+
+
+class _Day:
+    """The free rows of a day by their numbers: a queue for each account, and a heap of the queues' heads."""
+
+    def __init__(self) -> None:
+        self.queues: dict[object, deque[int]] = {}
+        self.heads: list[tuple[int, object]] = []
+
+    def add(self, n: int, account: object) -> None:
+        queue = self.queues.setdefault(account, deque())
+        queue.append(n)
+        if len(queue) == 1:
+            heappush(self.heads, (n, account))
+
+    def _drop_used(self, free: dict) -> None:
+        while self.heads and self.heads[0][0] not in free:
+            _, account = heappop(self.heads)
+            queue = self.queues[account]
+            queue.popleft()
+            if queue:
+                heappush(self.heads, (queue[0], account))
+
+    def first(self, account: object, free: dict) -> int | None:
+        """The first free row of another account."""
+        self._drop_used(free)
+        if not self.heads or self.heads[0][1] != account:
+            return self.heads[0][0] if self.heads else None
+        own = heappop(self.heads)
+        self._drop_used(free)
+        found = self.heads[0][0] if self.heads else None
+        heappush(self.heads, own)
+        return found
+
+
+def _walk(days: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id1 and id2, from rows (amount, id, day, account) in the order of amounts and ids."""
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+        for _, same in groupby(rows, itemgetter(0)):
+            free: dict[int, object] = {}
+            pool: dict[int, _Day] = {}
+            for n, (id_, sides) in enumerate(groupby(same, itemgetter(1))):
+                sides = [(day, account) for _, _, day, account in sides]  # one, unless an id repeats
+                found = (pool[d].first(account, free) for day, account in sides for d in range(day - days, day + days + 1) if d in pool)
+                first = min((m for m in found if m is not None), default=None)
+                if first is not None:
+                    yield free.pop(first), id_
+                    continue
+                free[n] = id_
+                for day, account in sides:
+                    pool.setdefault(day, _Day()).add(n, account)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batched(pairs(batches), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*part)], names=["id1", "id2"])
+
+    return walk
+
+
+def greedy_transfers(ledger: DataFrame, days: int = 2, account: str = "statement") -> DataFrame:
+    """id1 and id2: greedy_pairs() of transfer_pairs(), without listing the pairs, whose number grows with the square of a group.
+
+    Both orders of trying, by (id1, id2) and by (id2, id1), put the pairs of any one row in the order of its
+    partners, so they take the same pairs. By (id2, id1), each row takes the first free one before it: rows are
+    dealt by amount and pass once in the order of ids. Only rows that are still free are held, by day and account.
+    """
+    rows = _rows(ledger, account)
+    dealt = rows.withColumn("amount", F.col("amount").cast("string")).repartition("amount").sortWithinPartitions("amount", "id")
+    kind = rows.schema["id"].dataType.simpleString()
+    return stash(dealt.mapInArrow(_walk(days), f"id1 {kind}, id2 {kind}"), "taken")
+
+
 def without_pairs(ledger: DataFrame, chosen: DataFrame) -> DataFrame:
     """The ledger without both rows of each chosen pair."""
-    gone = chosen.select(F.col("id1").alias("txn_id")).unionByName(chosen.select(F.col("id2").alias("txn_id")))
-    return ledger.join(gone, "txn_id", "left_anti")
+    gone = chosen.select(F.explode(F.array("id1", "id2")).alias("txn_id"))
+    return ledger.join(gone.hint("merge"), "txn_id", "left_anti")  # as many as rows, so not to be broadcast

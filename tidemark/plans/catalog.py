@@ -233,7 +233,7 @@ GREEDY = f"""{PAIRS}, tried as (select *, row_number() over (partition by amount
 @query(f"with recursive {GREEDY} select txn_id, statement from le where txn_id not in (select id from gone)")
 def transfers_removed_greedy(spark, sf):
     rows = adapters.events(spark, sf)
-    return transfers.without_pairs(rows, transfers.greedy_pairs(transfers.transfer_pairs(rows))).select("txn_id", "statement")
+    return transfers.without_pairs(rows, transfers.greedy_transfers(rows)).select("txn_id", "statement")
 
 
 PRINTED = """(case o_orderstatus when 'F' then 'Online Transfer To Savings ' when 'O' then 'Venmo payment ' else 'Interest Payment ' end) || o_orderpriority"""
