@@ -4,6 +4,7 @@ import datetime
 import random
 from decimal import Decimal
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names
@@ -280,6 +281,15 @@ def test_greedy_transfers_against_a_walk(spark):
     assert transfers.greedy_transfers(ledger.limit(0)).count() == 0
 
 
+def test_a_month_without_listed_pairs(spark, monkeypatch):
+    """One day of one amount in three accounts: its transfers go, and no step lists all pairs or tries them in rounds."""
+    for name in ("transfer_pairs", "greedy_pairs"):
+        monkeypatch.setattr(transfers, name, lambda *a: pytest.fail("pairs are listed"))
+    rows = spark.range(80).selectExpr("id as txn_id", "date'2025-01-05' as txn_date", "10.00BD as amount", "'corner ' || id as place", "'Income' as type", "concat('a', id % 10 div 4) as account_id")
+    out = monthly.build_month(rows, monthly.Settings(2025))
+    assert out["income"].count() == 0
+
+
 def test_streamed_batches_replace_what_they_left(spark, tmp_path):
     inbox, out = tmp_path / "in", str(tmp_path / "out")
     inbox.mkdir()

@@ -73,8 +73,8 @@ def build_month(ledger: DataFrame, settings: Settings, entries: DataFrame | None
     A row of an earlier review isn't put up for review again.
     """
     candidates = ledger if not settings.strict else ledger.where("type = 'Expense'")
-    pairs = transfers.transfer_pairs(candidates, settings.transfer_days, "account_id")
-    kept = transfers.without_pairs(ledger, transfers.greedy_pairs(pairs)).withColumn("manual", F.lit(False))
+    chosen = transfers.greedy_transfers(candidates, settings.transfer_days, "account_id")
+    kept = stash(transfers.without_pairs(ledger, chosen), "kept").withColumn("manual", F.lit(False))  # three ledgers read it
     if entries is not None:
         id_ = [c for c in ("txn_id",) if c in entries.columns]
         own = entries.where("status = 'ok'").select(*id_, "txn_date", "place", "amount", "category", F.lit("Expense").alias("type"), F.lit(True).alias("manual"))
