@@ -281,6 +281,15 @@ def test_greedy_transfers_against_a_walk(spark):
     assert transfers.greedy_transfers(ledger.limit(0)).count() == 0
 
 
+def test_mutual_transfers_against_listed_pairs(spark):
+    for seed, n_days, ids in ((1, 4, 10_000), (3, 6, 90)):
+        ledger, pairs = crowded(spark, seed, n_days, ids)
+        first, second = {}, {}
+        for a, b, _ in pairs:
+            first[a], second[b] = min(b, first.get(a, b)), min(a, second.get(b, a))
+        assert sorted(map(tuple, transfers.mutual_transfers(ledger).collect())) == sorted((a, b) for a, b in first.items() if second[b] == a)
+
+
 def test_a_month_without_listed_pairs(spark, monkeypatch):
     """One day of one amount in three accounts: its transfers go, and no step lists all pairs or tries them in rounds."""
     for name in ("transfer_pairs", "greedy_pairs"):

@@ -73,6 +73,32 @@ def _rows(ledger: DataFrame, account: str) -> DataFrame:
     return rows.select("amount", F.col("txn_id").alias("id"), F.unix_date("txn_date").alias("day"), F.col(account).alias("account"))
 
 
+def _partners(rows: DataFrame, others: DataFrame, days: int) -> DataFrame:
+    """id and other: rows and those of the others with the same amount, in another account, at most `days` apart."""
+    near = F.explode(F.sequence(F.col("day") - days, F.col("day") + days))
+    others = others.select("amount", F.col("id").alias("other"), F.col("account").alias("other_account"), near.alias("day"))
+    return rows.join(others, ["amount", "day"]).where(F.col("account") != F.col("other_account")).select("id", "other")
+
+
+def mutual_transfers(ledger: DataFrame, days: int = 2, account: str = "statement") -> DataFrame:
+    """id1 and id2: mutual_first() of transfer_pairs(), without listing the pairs, whose number grows with the square of a group.
+
+    Among the rows of an amount and day, the smallest id in another account is the day's smallest of all, or the
+    smallest that isn't in that one's account. Only these two rows of each day can be the first partner of a
+    larger id, so only they are joined with all rows.
+    """
+    rows = _rows(ledger, account)
+    each = rows.groupBy("amount", "day", "account").agg(F.min("id").alias("id"))
+    rank = F.row_number().over(Window.partitionBy("amount", "day").orderBy("id", "account"))
+    two = each.withColumn("rank", rank).where("rank <= 2").select("id").distinct()
+    heads = stash(rows.join(two.hint("merge"), "id", "left_semi"), "heads")
+    after = _partners(rows, heads, days).where("other < id").groupBy(F.col("other").alias("id1")).agg(F.min("id").alias("id2"))
+    after = stash(after, "after")
+    met = rows.join(after.select(F.col("id2").alias("id")).distinct().hint("merge"), "id", "left_semi")
+    before = _partners(met, heads, days).where("other < id").groupBy(F.col("id").alias("id2")).agg(F.min("other").alias("id1"))
+    return after.join(before.hint("merge"), ["id1", "id2"])
+
+
 class _Day:
     """The free rows of a day by their numbers: a queue for each account, and a heap of the queues' heads."""
 

@@ -220,7 +220,7 @@ def cross_account_transfers(spark, sf):
   select statement, count(*) as n, cast(sum(amount) as double) as amount from le where txn_id not in (select id from gone) group by statement""")
 def transfers_removed(spark, sf):
     rows = adapters.events(spark, sf)
-    kept = transfers.without_pairs(rows, transfers.mutual_first(transfers.transfer_pairs(rows)))
+    kept = transfers.without_pairs(rows, transfers.mutual_transfers(rows))
     return kept.groupBy("statement").agg(F.count("*").alias("n"), F.sum("amount").cast("double").alias("amount"))
 
 
