@@ -11,6 +11,9 @@ of the text up to it and of half the text beyond it (or the mirror image), in cl
 length of the shorter word. Pairs that meet are compared by the sets of their letters, a bit for
 the first and second of each, and then by edit distance.
 
+The joins are by sorting: a table of words or keys takes little room on disk and much in memory, so by its
+size on disk Spark would choose to gather it on the driver and send it.
+
 Words are counted by text, then over all texts. The order of bigrams is a table of at most 90 * 90
 rows, as words have no other letters, and goes to every task.
 
@@ -171,7 +174,7 @@ def near_words(words: DataFrame) -> DataFrame:
     order[seen["gram"]] = np.arange(len(seen))
     a = _keyed(words, order, False).select("key", F.col("word").alias("a"), F.col("letters").alias("x"))
     b = _keyed(words, order, True).select("key", F.col("word").alias("b"), F.col("letters").alias("y"), "longer")
-    met = a.join(b, "key").where((F.col("longer") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2))
+    met = a.join(b.hint("merge"), "key").where((F.col("longer") | (F.col("a") < F.col("b"))) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= 2))
     return met.where(F.levenshtein("a", "b", 1) == 1).select("a", "b").distinct()
 
 
@@ -184,19 +187,19 @@ def group_variants(words: DataFrame, times: int = 10) -> DataFrame:
     pairs = stash(near_words(words), "near-words")
     counts = words.select(F.col("word").alias("near"), F.col("n").alias("near_n"))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("near")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near")))
-    best = both.join(counts, "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
-    known = words.join(best, "word", "left").withColumn("form_n", F.when(-F.col("best.col1") >= times * F.col("n"), -F.col("best.col1")))
+    best = both.join(counts.hint("merge"), "near").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct(-F.col("near_n"), "near")).alias("best"))
+    known = words.join(best.hint("merge"), "word", "left").withColumn("form_n", F.when(-F.col("best.col1") >= times * F.col("n"), -F.col("best.col1")))
     known = stash(known.select("word", F.when(F.col("form_n").isNotNull(), F.col("best.near")).alias("form"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n"), "forms")
     drop_stash(pairs)
     roots = stash(known.where("form is not null").select("word", F.col("form").alias("root")), "roots")
     while True:  # each round doubles how far a word sees
         further = roots.select(F.col("word").alias("root"), F.col("root").alias("beyond"))
-        after = stash(roots.join(further, "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
+        after = stash(roots.join(further.hint("merge"), "root", "left").select("word", F.coalesce("beyond", "root").alias("root"), F.col("beyond").isNotNull().alias("moved")), "roots")
         drop_stash(roots)
         roots = after.drop("moved")
         if after.where("moved").isEmpty():
             break
-    return known.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return known.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
