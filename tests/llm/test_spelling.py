@@ -74,3 +74,10 @@ def test_letter_sets_differ_by_two_bits_at_most():
     b = a.copy()
     b[np.arange(500), rng.integers(0, 8, 500)] = ord("q")
     assert max(int(x).bit_count() for x in (spelling._letter_sets(a) ^ spelling._letter_sets(b)).astype(np.uint64)) <= 2
+
+
+def test_no_join_gathers_a_table_of_words(spark):
+    words = spark.createDataFrame([("variants", 20), ("varients", 2), ("another", 3)], "word string, n long")
+    for found in (spelling.near_words(words), spelling.group_variants(words)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
