@@ -155,3 +155,10 @@ def test_known_dates_and_answers(spark):
 def test_known_labels(spark):
     found = categorize.correct_categories(spark.createDataFrame([(x[0],) for x in FUZZY], "label string"), texts.CATEGORIES)
     assert sorted(map(tuple, found.collect())) == sorted(FUZZY)
+
+
+def test_steps_of_cleaners_stand_once_in_the_plan(spark):
+    rows = spark.createDataFrame([("TARGET #1234 FARGO ND",)], "x string")
+    for clean, step in ((names.clean_merchant, "OIL$"), (names.clean_merchant, "RECUR\\s+PURCHASE"), (names.clean_place, "WEB PMTS"), (names.smart_title, "([a-z])([A-Z])")):
+        plan = rows.select(clean(F.col("x")).alias("y"))._jdf.queryExecution().analyzed().toString()
+        assert plan.count(step) == 1, step

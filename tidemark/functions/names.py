@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 # The steps of cleaning a merchant's name, in order, up to payment processors.
 BEFORE_PROCESSORS = [
     (r"\bXX+\d{4}\b", ""),
@@ -119,8 +121,7 @@ def smart_title(name: Column, original: Column | None = None) -> Column:
     def one(w: Column) -> Column:
         return F.when(F.upper(w).isin(ACRONYMS), F.upper(w)).when((F.length(w) > 2) & is_upper(w), title_words(w)).otherwise(w)
 
-    out = F.array_join(F.transform(words, one), " ")
-    return F.when(F.length(out) < 3, original if original is not None else name).otherwise(out)
+    return let(F.array_join(F.transform(words, one), " "), lambda out: F.when(F.length(out) < 3, original if original is not None else name).otherwise(out))
 
 
 def clean_merchant(name: Column, holders: tuple[str, ...] = ()) -> Column:
@@ -128,34 +129,43 @@ def clean_merchant(name: Column, holders: tuple[str, ...] = ()) -> Column:
     best cleaned once each (merchants.clean_names). holders: first names of account holders, which
     some banks print first."""
     own = [(rf"(?i)^({'|'.join(map(re.escape, holders))})\s+", "")] if holders else []
-    early = _apply(name, BEFORE_PROCESSORS[:1] + own + BEFORE_PROCESSORS[1:])
-    square = F.regexp_extract(early, r"(?i)SQ\s*\*\s*([A-Z][A-Z0-9&\s]+)", 1)
-    stripped = (
-        F.when(early.rlike(r"(?i)^SQ\s*\*"), F.when(square != "", F.trim(square)).otherwise(F.trim(F.regexp_replace(early, r"(?i)^SQ\s*\*", ""))))
-        .when(early.rlike(r"(?i)^WL\s*\*"), F.trim(F.regexp_replace(early, r"(?i)^WL\s*\*\s*", "")))
-        .otherwise(early)
-    )
-    late = _apply(stripped, AFTER_PROCESSORS)
-    joined = (F.length(late) > 15) & is_upper(late) & ~F.contains(F.substring(late, 1, 10), F.lit(" "))
-    late = F.when(joined, F.regexp_replace(late, "([A-Z])AND([A-Z])", "$1 AND $2")).otherwise(late)
-    out = F.when(F.length(name) < 3, name).when(name.rlike(r"^\$[\d,]+\.?\d*\s+AT\s+\d{1,2}:\d{2}"), F.lit("ATM Withdrawal"))
-    for pattern, full in PROCESSORS:
-        out = out.when(early.rlike(pattern), F.lit(full))
-    return out.otherwise(smart_title(late, name))
+
+    def after(early: Column) -> Column:
+        square = F.regexp_extract(early, r"(?i)SQ\s*\*\s*([A-Z][A-Z0-9&\s]+)", 1)
+        stripped = (
+            F.when(early.rlike(r"(?i)^SQ\s*\*"), F.when(square != "", F.trim(square)).otherwise(F.trim(F.regexp_replace(early, r"(?i)^SQ\s*\*", ""))))
+            .when(early.rlike(r"(?i)^WL\s*\*"), F.trim(F.regexp_replace(early, r"(?i)^WL\s*\*\s*", "")))
+            .otherwise(early)
+        )
+
+        def spaced(late: Column) -> Column:
+            joined = (F.length(late) > 15) & is_upper(late) & ~F.contains(F.substring(late, 1, 10), F.lit(" "))
+            return F.when(joined, F.regexp_replace(late, "([A-Z])AND([A-Z])", "$1 AND $2")).otherwise(late)
+
+        out = F.when(early.rlike(PROCESSORS[0][0]), F.lit(PROCESSORS[0][1]))
+        for pattern, full in PROCESSORS[1:]:
+            out = out.when(early.rlike(pattern), F.lit(full))
+        return out.otherwise(smart_title(let(_apply(stripped, AFTER_PROCESSORS), spaced), name))
+
+    plain = F.when(F.length(name) < 3, name).when(name.rlike(r"^\$[\d,]+\.?\d*\s+AT\s+\d{1,2}:\d{2}"), F.lit("ATM Withdrawal"))
+    return plain.otherwise(let(_apply(name, BEFORE_PROCESSORS[:1] + own + BEFORE_PROCESSORS[1:]), after))
 
 
 def clean_place(place: Column) -> Column:
     """A place with references, masks and dates taken out, and payments put under one name."""
-    p = _apply(place, PLACE_STEPS)
-    up = F.upper(p)
-    lender = F.regexp_extract(p, r"(?i)^([\w\s]+?)\s+(AUTO|CAR)\s+(FINANCE|LOAN|FINANCING)", 1)
-    loan = F.regexp_extract(p, r"(?i)^([\w\s]+?)\s+LOAN", 1)
-    return (
-        F.when(up.rlike("BANKCARD|BANK CARD|CARD CTR") & up.rlike("ONLINE|PMT|PAYMENT"), F.lit("Credit Card Payment"))
-        .when(up.rlike("AUTO FINANCE|AUTO LOAN") & (lender != ""), F.concat(title_words(F.trim(lender)), F.lit(" Auto Loan")))
-        .when(up.rlike(r"\bLOAN\s+PYMT\b|\bLOAN\s+PAYMENT\b") & (loan != ""), F.concat(title_words(F.trim(loan)), F.lit(" Loan Payment")))
-        .otherwise(F.regexp_replace(p, r"(?i)\b(Financia|Financial)\b", "Financial"))
-    )
+
+    def named(p: Column) -> Column:
+        up = F.upper(p)
+        lender = F.regexp_extract(p, r"(?i)^([\w\s]+?)\s+(AUTO|CAR)\s+(FINANCE|LOAN|FINANCING)", 1)
+        loan = F.regexp_extract(p, r"(?i)^([\w\s]+?)\s+LOAN", 1)
+        return (
+            F.when(up.rlike("BANKCARD|BANK CARD|CARD CTR") & up.rlike("ONLINE|PMT|PAYMENT"), F.lit("Credit Card Payment"))
+            .when(up.rlike("AUTO FINANCE|AUTO LOAN") & (lender != ""), F.concat(title_words(F.trim(lender)), F.lit(" Auto Loan")))
+            .when(up.rlike(r"\bLOAN\s+PYMT\b|\bLOAN\s+PAYMENT\b") & (loan != ""), F.concat(title_words(F.trim(loan)), F.lit(" Loan Payment")))
+            .otherwise(F.regexp_replace(p, r"(?i)\b(Financia|Financial)\b", "Financial"))
+        )
+
+    return let(_apply(place, PLACE_STEPS), named)
 
 
 def normalize_label(name: Column) -> Column:
