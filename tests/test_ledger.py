@@ -350,3 +350,18 @@ def test_dates_as_printed(spark):
     assert [r["txn_date_raw"] for r in rollup.chronological(rows, strict=True).collect()] == [None, "10/02/2025", "2/1/2025", "x"]
     assert [r["txn_date_raw"] for r in rollup.chronological(rows, "txn_date_raw").collect()] == ["2/1/2025", "10/02/2025", None, "x"]
     assert rollup.order_columns(rows.withColumns({"n": F.lit(1), "amount": F.lit(2)})).columns == ["txn_date", "amount", "txn_date_raw", "n"]
+
+
+def test_two_extractions_meet_in_one_shuffle(spark):
+    cols = "doc_id string, txn_date_raw string, ordinal int, amount decimal(12,2), debits decimal(12,2), credits decimal(12,2), place string, place_original string"
+    a = [("d", "01/02/2025", 1, 5, None, None, "p", "Shop"), ("d", "01/02/2025", 2, 5, None, None, "p", "POS PURCHASE"), ("d", None, 3, None, 7, None, "q", "Bar"), ("d", None, 4, None, None, None, "r", "None"), ("e", "x", 1, 1, None, None, "s", "Only")]
+    b = [("d", "01/02/2025", 8, 5, None, None, "t", "Shop"), ("d", "01/02/2025", 9, 5, None, None, "u", "Shop two"), ("d", None, 1, 7, None, None, "v", "Bar"), ("d", None, 2, None, None, None, "w", None), ("d", None, 3, 7, None, None, "y", "Late")]
+    sides = [spark.createDataFrame([tuple(Decimal(v) if v is not None and 3 <= i <= 5 else v for i, v in enumerate(r)) for r in rows], cols) for rows in (a, b)]
+    out = reconcile.reconcile(*sides, keys=("doc_id", "txn_date_raw"), carry=("ordinal", "debits", "credits"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    got = sorted((str(r["txn_date_raw"]), r["ordinal"], r["place"], str(r["place_original"]), r["extraction_method"]) for r in out.collect())
+    assert got == [
+        ("01/02/2025", 1, "p", "Shop", "A+B"), ("01/02/2025", 2, "u", "Shop two", "A+B"), ("None", 3, "q", "Bar", "A+B"), ("None", 3, "y", "Late", "B only"),
+        ("None", 4, "r", "None", "A+B"), ("x", 1, "s", "Only", "A only"),
+    ]

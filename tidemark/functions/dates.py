@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import let
+
 LONG, SHORT, DASH = r"^(\d{1,2}/\d{1,2}/\d{4})", r"^(\d{1,2}/\d{1,2}/\d{2})", r"^(\d{1,2}-\d{1,2})\s"
 ANY_DATE = r"^(\d{1,2}/\d{1,2}/\d{2}|\d{1,2}-\d{1,2}\s)"
 
@@ -44,12 +46,15 @@ def skip_date(line: Column) -> Column:
 
 def repair_month(date: Column) -> Column:
     """Puts right months over 12 that text recognition is known to make out of others."""
-    month = F.regexp_extract(date, r"^\s*(\d+)\s*/", 1).try_cast("int")
-    known = F.lit(None).cast("int")
-    for wrong, right in MISREAD_MONTHS.items():
-        known = F.when(month == wrong, right).otherwise(known)
-    tens = F.when((F.floor(month / 10) > 1) & (month % 10 <= 2), month % 10 + 10)
-    right = F.when(month > 12, F.coalesce(known, tens))
+
+    def meant(month: Column) -> Column:
+        known = F.lit(None).cast("int")
+        for wrong, right in MISREAD_MONTHS.items():
+            known = F.when(month == wrong, right).otherwise(known)
+        tens = F.when((F.floor(month / 10) > 1) & (month % 10 <= 2), month % 10 + 10)
+        return F.when(month > 12, F.coalesce(known, tens))
+
+    right = let(F.regexp_extract(date, r"^\s*(\d+)\s*/", 1).try_cast("int"), meant)
     return F.when(right.isNull(), date).otherwise(F.regexp_replace(date, r"^[^/]*", right.cast("string")))
 
 
@@ -84,8 +89,15 @@ def parse_manual_date(text: Column, year: int | Column) -> Column:
 def statement_year(text: Column, default: int | Column) -> Column:
     """The year that a statement names for its end, or the default."""
     default = F.lit(default) if isinstance(default, int) else default
-    found = F.coalesce(*[_found(F.lower(text), p) for p in YEAR_PATTERNS])
-    return F.when(F.length(found) == 2, found.try_cast("int") + 2000).otherwise(F.coalesce(found.try_cast("int"), default.cast("int")))
+
+    def named(low: Column) -> Column:
+        found = F.coalesce(*[_found(low, p) for p in YEAR_PATTERNS])
+        return F.when(F.contains(low, F.lit("statement")) | F.contains(low, F.lit("billing cycle")), found)  # one of them is in each pattern
+
+    def year(found: Column) -> Column:
+        return F.when(F.length(found) == 2, found.try_cast("int") + 2000).otherwise(found.try_cast("int"))
+
+    return F.coalesce(let(let(F.lower(text), named), year), default.cast("int"))
 
 
 def month_of(date: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,11 +44,11 @@ def used_names(ledger: DataFrame) -> DataFrame:
     return rows.groupBy(cache_key(F.col("place_original")).alias("cache_key")).agg(F.min("place").alias("place"))
 
 
-def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: TextProvider | PromptSeries | None = None, column: str = "place_original", holders: tuple[str, ...] = ()) -> DataFrame:
+def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: TextProvider | PromptSeries | None = None, column: str = "place_original", holders: tuple[str, ...] = (), then: Callable[[Column], Column] | None = None) -> DataFrame:
     """The ledger with place: the cached name, else the provider's, else the pattern cleaner's.
 
     The different names are cleaned once each and joined back. The provider answers one question
-    about each, or (a PromptSeries) a series of them that are voted on.
+    about each, or (a PromptSeries) a series of them that are voted on. then: a further step that each name goes through.
     """
     names = ledger.select(F.col(column).alias("raw_name")).where("raw_name is not null").distinct().withColumn("cache_key", cache_key(F.col("raw_name")))
     if cache is None:
@@ -65,6 +67,9 @@ def clean_names(ledger: DataFrame, cache: DataFrame | None = None, provider: Tex
         scrubbed = stash(answers.select("raw_name", "pattern", scrub_answer(F.col("answer"), F.col("raw_name")).alias("scrubbed")), "scrubbed")
         fresh = scrubbed.select("raw_name", F.coalesce(normalize_label(F.col("scrubbed")), "pattern").alias("place"))
     done = known.where("cached is not null").select("raw_name", F.col("cached").alias("place")).unionByName(fresh)
+    if then is not None:
+        done = done.withColumn("place", then(F.col("place")))
+    done = stash(done, "names")  # the size of this table is known before the join, so few names don't shuffle the ledger
     return ledger.drop("place").join(done, ledger[column] == done["raw_name"], "left").drop("raw_name")
 
 

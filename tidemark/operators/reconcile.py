@@ -27,23 +27,25 @@ def reconcile(
     """
     fields = ["amount", *carry]
 
-    def numbered(df: DataFrame, side: str) -> DataFrame:
+    def side(df: DataFrame, second: bool) -> DataFrame:
         value = F.coalesce(*[F.col(c) for c in ("amount", "debits", "credits") if c in df.columns])
-        rows = df.withColumn("value", value).withColumn("nth", F.row_number().over(Window.partitionBy(*keys, "value").orderBy(order)))
-        by = [F.col(c).alias(f"{c}_{side}") for c in (*keys, "value", "nth")]
-        return rows.select(*by, F.struct(*fields).alias(f"row_{side}"), F.col("place").alias(f"place_{side}"), F.col("place_original").alias(f"orig_{side}"), F.lit(True).alias(f"in_{side}"))
-
-    same = [F.col(f"{c}_a").eqNullSafe(F.col(f"{c}_b")) for c in (*keys, "value", "nth")]
-    both = numbered(a, "a").join(numbered(b, "b"), reduce(lambda x, y: x & y, same), "full_outer")
-    in_a = F.col("in_a").isNotNull()
-    merged = in_a & F.col("in_b").isNotNull()
-    method = F.when(merged, f"{label_a}+{label_b}").when(in_a, f"{label_a} only").otherwise(f"{label_b} only")
-    first = F.when(merged, description_score(F.col("orig_a")) >= description_score(F.col("orig_b"))).otherwise(in_a)
-    return both.select(
-        *[F.when(in_a, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(c) for c in keys], *[F.when(in_a, F.col("row_a")[c]).otherwise(F.col("row_b")[c]).alias(c) for c in fields],
-        F.when(first, F.col("place_a")).otherwise(F.col("place_b")).alias("place"), F.when(first, F.col("orig_a")).otherwise(F.col("orig_b")).alias("place_original"),
-        method.alias("extraction_method"),
-    )
+        names = F.struct("place", "place_original").alias("_names")
+        return df.select(*keys, value.alias("_value"), F.lit(second).alias("_second"), F.col(order).alias("_order"), F.struct(*fields).alias("_row"), names)
+
+    # One shuffle brings both sides together; then the two n-th rows stand side by side, A's first.
+    group, second = Window.partitionBy(*keys, "_value"), F.col("_second")
+    so_far = group.orderBy("_order").rowsBetween(Window.unboundedPreceding, 0)
+    nth = F.when(second, F.count_if(second).over(so_far)).otherwise(F.count_if(~second).over(so_far))
+    rows = side(a, False).unionByName(side(b, True)).withColumn("_nth", nth)
+    pairs = group.orderBy("_nth", "_second")
+    near = rows.withColumns({"_before": F.lag("_nth").over(pairs), "_after": F.lead("_nth").over(pairs), "_others": F.lead("_names").over(pairs)})
+    near = near.where(~second | F.coalesce(F.col("_before") != F.col("_nth"), F.lit(True)))
+    merged = ~second & F.coalesce(F.col("_after") == F.col("_nth"), F.lit(False))
+    method = F.when(second, f"{label_b} only").when(merged, f"{label_a}+{label_b}").otherwise(f"{label_a} only")
+    own, other = F.col("_names")["place_original"], F.col("_others")["place_original"]
+    good = F.coalesce(own == other, F.lit(False)) | F.coalesce(description_score(own) >= description_score(other), F.lit(False))
+    chosen = near.select(*keys, "_row", method.alias("extraction_method"), F.when(merged & ~good, F.col("_others")).otherwise(F.col("_names")).alias("_chosen"))
+    return chosen.select(*keys, *[F.col("_row")[c].alias(c) for c in fields], F.col("_chosen")["place"].alias("place"), F.col("_chosen")["place_original"].alias("place_original"), "extraction_method")
 
 
 def _stretches(a: DataFrame, b: DataFrame, reach: int) -> tuple[DataFrame, DataFrame]:

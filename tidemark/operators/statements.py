@@ -47,7 +47,7 @@ BANK_DOMAINS = [("stearns", "Stearns Bank"), ("magnifi", "Magnifi Financial"), (
 def is_garbage(description: Column) -> Column:
     """Headers, footers and fragments that are no transaction."""
     one_word = F.size(F.filter(F.split(description, r"\s+"), lambda w: w != "")) == 1
-    return any_of(F.upper(description), GARBAGE) | (one_word & (F.length(description) < 4)) | (F.length(description) < 3) | ~has_letter(description)
+    return any_of(F.upper(description), GARBAGE) | ((F.length(description) < 4) & one_word) | (F.length(description) < 3) | ~has_letter(description)
 
 
 def is_credit_card(text: Column) -> Column:
@@ -66,7 +66,10 @@ def bank_name(text: Column) -> Column:
         issued = F.when(brand, F.lit("Scheels Visa")).otherwise(F.lit("First National Bank of Omaha"))
         return out.when(F.contains(line, F.lit("ISSUED BY")) & F.contains(line, F.lit("FIRST NATIONAL BANK")), issued)
 
-    lines = F.transform(F.slice(F.split(text, "\n"), 1, 50), lambda x: of_line(F.upper(x)))
+    # Of each line that may name a bank, what begins at the first such place.
+    signs = "|".join([*(pattern for pattern, _ in BANK_LINES), "ISSUED BY", "FIRST NATIONAL BANK"])
+    ends = F.regexp_extract_all(F.upper(F.substring_index(text, "\n", 50)), F.lit(rf"(?:{signs})[^\n]*"), 0)
+    lines = F.transform(ends, of_line)
     domain = F.regexp_extract(F.lower(text), r"www\.([a-z0-9-]+)\.(com|org|net)", 1)
     by_domain = F.lit(None).cast("string")
     for pattern, name in reversed(BANK_DOMAINS):
@@ -83,7 +86,7 @@ FULL_DATE = r"^\d{1,2}/\d{1,2}/\d{4}"
 CHUNK = 512  # lines
 
 # What is known of a line by itself, as bits.
-DATED, FULL, LETTER, DOLLAR, BLANK, AMOUNTS, OPENS, CLOSES, OTHER, LOOSE = (1 << i for i in range(10))
+DATED, FULL, LETTER, DOLLAR, BLANK, OPENS, CLOSES, OTHER, LOOSE = (1 << i for i in range(9))
 
 
 def once(rows: DataFrame, *keep: str | Column, **columns: Column) -> DataFrame:
@@ -93,13 +96,16 @@ def once(rows: DataFrame, *keep: str | Column, **columns: Column) -> DataFrame:
 
 
 def _marks(line: Column) -> Column:
-    up, full = F.upper(line), line.rlike(FULL_DATE)
-    amounts = F.size(A.extract_amounts(D.skip_date(line))) > 0
-    tests = [
-        (line.rlike(D.ANY_DATE), DATED), (full, FULL), (has_letter(line), LETTER), (F.contains(line, F.lit("$")), DOLLAR), (line == "", BLANK), (full & amounts, AMOUNTS),
-        (any_of(up, SECTION_START), OPENS), (any_of(up, SECTION_END), CLOSES), (any_of(up, SUMMARIES + HEADERS), OTHER), (line.rlike(r"^\d{1,2}[/-]\d{1,2}"), LOOSE),
-    ]
-    return reduce(lambda x, y: x + y, [F.when(test, bit).otherwise(0) for test, bit in tests])
+    up = F.upper(line)
+    lists = [(SECTION_START, OPENS), (SECTION_END, CLOSES), (SUMMARIES + HEADERS, OTHER)]
+
+    def bits(*tests: tuple[Column, int]) -> Column:
+        return reduce(lambda x, y: x + y, [F.when(test, bit).otherwise(0) for test, bit in tests])
+
+    # Each of these dates begins like the one before it, and few lines hold a word of any list.
+    dates = F.when(line.rlike(r"^\d{1,2}[/-]\d{1,2}"), bits((line.rlike(D.ANY_DATE), DATED), (line.rlike(FULL_DATE), FULL)) + LOOSE).otherwise(0)
+    words = F.when(any_of(up, [w for ws, _ in lists for w in ws]), bits(*[(any_of(up, ws), bit) for ws, bit in lists])).otherwise(0)
+    return bits((has_letter(line), LETTER), (F.contains(line, F.lit("$")), DOLLAR), (line == "", BLANK)) + dates + words
 
 
 def _has(marks: Column, bit: int) -> Column:
@@ -111,107 +117,113 @@ def _continues(marks: Column, date: int) -> Column:
     return marks.bitwiseAND(BLANK | date | LETTER | DOLLAR) == LETTER
 
 
-def _steps(marks: Column, own: Column, before: Column) -> Column:
-    """For each line of a chunk its marks, and how many lines a transaction takes that begins at it (times 1024)."""
+def _steps(marks: Column, own: Column, before: Column, part: Column) -> Column:
+    """What each line of a chunk does to a state without lines to skip, outside a section (four bits) and inside (the next
+    four): the state after it, and 8 if a transaction begins there."""
 
     def one(here: Column, i: Column) -> Column:
         after, third = (F.coalesce(F.get(marks, before + i + n), F.lit(BLANK)) for n in (1, 2))
+        amounts = F.size(A.extract_amounts(D.skip_date(F.get(part, before + i + 1)))) > 0
+        # How many lines a transaction takes that begins here.
         plain = (
-            F.when(~_has(here, LETTER) | ~_has(after, FULL), 1).when(~_has(after, AMOUNTS), 2)
+            F.when(~_has(here, LETTER) | ~_has(after, FULL), 1).when(~amounts, 2)
             .when(_continues(third, FULL), 3).otherwise(2)
         )
         takes = F.when(_has(here, BLANK), 1).when(_has(here, DATED), F.when(_continues(after, DATED), 2).otherwise(1)).otherwise(plain)
-        return here + takes * 1024
+        begins = 6 + takes * 2
+        inside = F.when(_has(here, CLOSES), 0).when(_has(here, OTHER), 16).otherwise((begins + 1) * 16)
+        outside = F.when(_has(here, OTHER) | ~_has(here, LOOSE), 0).otherwise(begins)
+        return F.when(_has(here, OPENS), 1 + 16).otherwise(inside + outside)
 
     return F.transform(own, one)
 
 
-def _begins(skip: Column, inside: Column, x: Column) -> tuple[Column, Column, Column]:
-    """Whether a transaction begins at a line, and the state after it: lines still to skip, and whether a section is open."""
-    free = skip == 0
-    opens, closes = free & _has(x, OPENS), free & ~_has(x, OPENS) & inside & _has(x, CLOSES)
-    begins = free & ~opens & ~closes & ~_has(x, OTHER) & (inside | _has(x, LOOSE))
-    left = F.when(~free, skip - 1).when(begins, F.shiftright(x, 10) - 1).otherwise(0)
-    return begins, left, F.when(opens, True).when(closes, False).otherwise(inside)
+def _after(state: Column, x: Column) -> Column:
+    """The state after a line, and 8 if a transaction begins there; a state is 2 * lines to skip + whether a section is open."""
+    return F.when(state > 1, state - 2).when(state == 1, F.shiftright(x, 4)).otherwise(x.bitwiseAND(15))
 
 
 def _exit(steps: Column, start: int) -> Column:
-    """The state after a chunk, from a state before it; a state is 2 * lines to skip + whether a section is open."""
-
-    def step(state: Column, x: Column) -> Column:
-        _, skip, inside = _begins(F.shiftright(state, 1), _has(state, 1), x)
-        return (skip * 2 + inside.cast("int")).cast("int")
-
-    return F.aggregate(steps, F.lit(start), step)
+    """The state after a chunk, from a state before it."""
+    return F.aggregate(steps, F.lit(start), lambda state, x: _after(state, x).bitwiseAND(7))
 
 
 def _heads(steps: Column, entry: Column) -> Column:
     """The places in a chunk where a transaction may begin."""
-    start = F.struct(F.lit(0).alias("at"), F.shiftright(entry, 1).alias("skip"), _has(entry, 1).alias("inside"), F.array().cast("array<int>").alias("heads"))
+    start = F.struct(F.lit(0).alias("at"), entry.cast("int").alias("state"), F.array().cast("array<int>").alias("heads"))
 
     def step(acc: Column, x: Column) -> Column:
-        begins, skip, inside = _begins(acc["skip"], acc["inside"], x)
-        heads = F.when(begins, F.concat(acc["heads"], F.array(acc["at"]))).otherwise(acc["heads"])
-        return F.struct((acc["at"] + 1).alias("at"), skip.cast("int").alias("skip"), inside.alias("inside"), heads.alias("heads"))
+        after = _after(acc["state"], x)
+        heads = F.when(_has(after, 8), F.concat(acc["heads"], F.array(acc["at"]))).otherwise(acc["heads"])
+        return F.struct((acc["at"] + 1).alias("at"), after.bitwiseAND(7).alias("state"), heads.alias("heads"))
 
     return F.aggregate(steps, start, step)["heads"]
 
 
-def _chunks(texts: DataFrame, default_year: int, size: int) -> DataFrame:
+def _chunks(texts: DataFrame, default_year: int, size: int, carry: tuple[str, ...] = ()) -> DataFrame:
     """Texts as chunks of lines, each with a line of the chunk before it and two of the next, and the steps of its own lines."""
-    year = D.statement_year(F.col("text"), default_year)
-    read = once(texts.where("text is not null"), "doc_id", key=F.xxhash64("doc_id", "text"), year=year, lines=F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
+    year, kept = D.statement_year(F.col("text"), default_year), ("doc_id", *carry)
+    read = once(texts.where("text is not null"), *kept, key=F.xxhash64("doc_id", "text"), year=year, lines=F.transform(F.split("text", "\n"), lambda x: F.trim(x)))
     last = F.floor((F.size("lines") - 1) / size).cast("int")
 
     def part(c: Column) -> Column:
         before = F.when(c > 0, 1).otherwise(0)
         return F.struct(c.alias("chunk"), before.alias("before"), F.slice("lines", c * size + 1 - before, size + 2 + before).alias("part"))
 
-    spread = read.select("doc_id", "key", "year", (last > 0).alias("long"), F.inline(F.transform(F.sequence(F.lit(0), last), part)))
-    marked = once(spread, "doc_id", "key", "year", "long", "chunk", "before", "part", marks=F.transform("part", _marks))
+    spread = read.select(*kept, "key", "year", F.inline(F.transform(F.sequence(F.lit(0), last), part)))
+    marked = once(spread, *kept, "key", "year", "chunk", "before", "part", marks=F.transform("part", _marks))
     own = F.slice("marks", F.col("before") + 1, F.lit(size))
-    return once(marked, "doc_id", "key", "year", "long", "chunk", "before", "part", steps=_steps(F.col("marks"), own, F.col("before")))
+    return once(marked, *kept, "key", "year", "chunk", "before", "part", steps=_steps(F.col("marks"), own, F.col("before"), F.col("part")))
 
 
 def _entries(chunks: DataFrame) -> DataFrame:
-    """key, chunk and the state before it, for the chunks of long texts.
+    """key, chunk and the state before it, for chunks of long texts.
 
     A chunk is a function from the state before it to the one after it; they are composed in the
     order of chunks, which are few numbers for each text.
     """
-    each = chunks.where("long").select("key", "chunk", F.array(*[_exit(F.col("steps"), s) for s in range(6)]).alias("f")).groupBy("key", "chunk").agg(F.first("f").alias("f"))
+    each = chunks.select("key", "chunk", F.array(*[_exit(F.col("steps"), s) for s in range(6)]).alias("f")).groupBy("key", "chunk").agg(F.first("f").alias("f"))
     whole = each.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", "f"))).alias("all"))
     start = F.struct(F.lit(0).alias("state"), F.array().cast("array<int>").alias("entries"))
     walked = F.aggregate("all", start, lambda acc, x: F.struct(F.get(x["f"], acc["state"]).alias("state"), F.concat(acc["entries"], F.array(acc["state"])).alias("entries")))
     return whole.select("key", F.posexplode(walked["entries"]).alias("chunk", "entry"))
 
 
-def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, clean: bool = True, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, line_no, txn_date_raw, txn_date, place, place_original, amount, debits, credits, balance, from doc_id and text.
+def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, clean: bool = True, chunk: int = CHUNK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to carry along, line_no, txn_date_raw, txn_date, place, place_original, amount, debits, credits, balance, from doc_id and text.
 
     One amount is the transaction's; of two, the second is the balance; of three, the first two
     are debit and credit. signed keeps minus signs and CR, and also fills amount from debit or
     credit; without it rows look like those of older ledgers. Without clean, place is left null, for
     a caller that cleans the different names once each.
     """
-    chunks = _chunks(texts, default_year, chunk)
-    entered = chunks.join(_entries(chunks), ["key", "chunk"], "left")
-    begun = once(entered, "doc_id", "year", "chunk", "before", "part", heads=_heads(F.col("steps"), F.coalesce("entry", F.lit(0))))
+    kept = ("doc_id", *carry)
+    many = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"))) >= chunk
+    # Texts of one chunk begin in the first state, so only long ones go through the shuffles of a join.
+    short, long = (_chunks(texts.where(test), default_year, chunk, carry) for test in (~many, many))
+    entered = short.withColumn("entry", F.lit(0)).unionByName(long.join(_entries(long), ["key", "chunk"]))
+    begun = once(entered, *kept, "year", "chunk", "before", "part", heads=_heads(F.col("steps"), F.col("entry")))
 
     def around(i: Column) -> Column:
         near = [F.coalesce(F.get("part", F.col("before") + i + n), F.lit("")).alias(name) for n, name in ((-1, "prior"), (0, "here"), (1, "after"), (2, "third"))]
         return F.struct((F.col("chunk") * chunk + i).alias("at"), *near)
 
-    heads = begun.select("doc_id", "year", F.inline(F.transform("heads", around)))
+    heads = begun.select(*kept, "year", F.inline(F.transform("heads", around)))
     here, before, after, third = (F.col(c) for c in ("here", "prior", "after", "third"))
-    dated = _dated(here)
+    near = ("prior", "here", "after", "third")
 
     def follows(line: Column, date: Column) -> Column:
-        return (line != "") & ~date & has_letter(line) & ~F.contains(line, F.lit("$"))
+        return (line != "") & ~F.contains(line, F.lit("$")) & ~date & has_letter(line)
 
-    second = D.skip_date(here)
+    # Later steps name the earlier ones several times.
+    known = once(heads, *kept, "year", "at", *near, dated=_dated(here), second=D.skip_date(here))
+    dated, second = F.col("dated"), F.col("second")
     rest = F.trim(F.regexp_replace(F.when(_dated(second), D.skip_date(second)).otherwise(second), r"^\d{17,}\s+", ""))
-    own = A.strip_amounts(rest)
+    raw = F.when(dated, D.leading_date(here, F.col("year"))).otherwise(F.regexp_extract(after, f"({FULL_DATE[1:]})", 1))
+    known = once(known, *kept, "at", *near, "dated", rest=F.when(dated, rest), raw=raw)
+    rest = F.col("rest")
+    known = once(known, *kept, "at", *near, "dated", "rest", "raw", stripped=A.strip_amounts(rest))
+    own = F.col("stripped")
     poor = (F.length(own) < 3) | ~has_letter(own)
     usable = ~_dated(before) & ~before.rlike(r"^\d{1,2}:\d{2}$") & has_letter(before) & (F.length(before) > 5)
     own = F.when(poor & usable, before).otherwise(own)
@@ -221,16 +233,16 @@ def parse_statements(texts: DataFrame, default_year: int, signed: bool = True, c
     plain = F.regexp_replace(here, r"\s+\d{1,2}/\d{1,2}/\d{2,4}$", "")
     plain_text = F.when(follows(third, third.rlike(FULL_DATE)), F.concat(plain, F.lit(" "), third)).otherwise(plain)
 
-    raw = F.when(dated, D.repair_month(D.leading_date(here, F.col("year")))).otherwise(F.regexp_extract(after, f"({FULL_DATE[1:]})", 1))
+    raw = F.when(dated, D.repair_month(F.col("raw"))).otherwise(F.col("raw"))
     found = (A.signed_amounts if signed else A.extract_amounts)(F.when(dated, rest).when(after.rlike(FULL_DATE), amounts_line))
     description = F.trim(F.regexp_replace(F.when(dated, dated_text).otherwise(plain_text), r"\s+", " "))
-    rows = once(heads, "doc_id", F.col("at").alias("line_no"), txn_date_raw=raw, place_original=description, found=found)
+    rows = once(known, *kept, F.col("at").alias("line_no"), txn_date_raw=raw, place_original=description, found=found)
     rows = rows.where((F.size("found") > 0) & (F.col("place_original") != "") & ~is_garbage(F.col("place_original")))
     n, none = F.size("found"), F.lit(None).cast(A.MONEY)
     debits = F.when((n >= 3) & (F.get("found", 0) > 0), F.get("found", 0))
     credits = F.when((n >= 3) & (F.get("found", 1) > 0), F.get("found", 1))
     amount = F.when(n < 3, F.get("found", 0)).otherwise(F.coalesce(debits, credits) if signed else none)
     return rows.select(
-        "doc_id", "line_no", "txn_date_raw", D.to_date(F.col("txn_date_raw")).alias("txn_date"), (clean_merchant(F.col("place_original")) if clean else F.lit(None).cast("string")).alias("place"), "place_original",
+        *kept, "line_no", "txn_date_raw", D.to_date(F.col("txn_date_raw")).alias("txn_date"), (clean_merchant(F.col("place_original")) if clean else F.lit(None).cast("string")).alias("place"), "place_original",
         amount.alias("amount"), debits.alias("debits"), credits.alias("credits"), F.when(n == 2, F.get("found", 1)).when(n >= 3, F.get("found", 2)).alias("balance"),
     )

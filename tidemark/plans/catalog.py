@@ -331,14 +331,11 @@ def printed_accounts(spark, sf):
     line = F.concat(date, F.lit(" ORDER "), F.regexp_replace("o_orderpriority", "[^A-Z]", ""), F.lit(" SHOP "), amounts)
     twice = F.explode(F.sequence(F.lit(0), F.when(F.col("o_orderkey") % 5 == 0, 1).otherwise(0)))
     lines = t.select("o_orderkey", F.col("o_custkey").cast("string").alias("doc_id"), line.alias("line"), twice.alias("copy"))
-    out = None
-    for side, rows in (("A", lines), ("B", lines.where("o_orderkey % 3 <> 0"))):
-        each = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "copy", "line"))).alias("x"))
-        body = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
-        text = F.concat(F.lit("STEARNSBANK.COM\nCHECKING ACCOUNT\nACCOUNT ACTIVITY\n"), body, F.lit("\nTOTAL DEBITS $0.00"))
-        own = each.select("doc_id", F.lit(side).alias("extractor"), text.alias("text"), F.lit("2001-01").alias("month"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    each = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "copy", "line"))).alias("x"))
+    sides = F.array(*[F.struct(F.lit(side).alias("extractor"), x.alias("x")) for side, x in (("A", F.col("x")), ("B", F.filter("x", lambda r: r["o_orderkey"] % 3 != 0)))])
+    body = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
+    text = F.concat(F.lit("STEARNSBANK.COM\nCHECKING ACCOUNT\nACCOUNT ACTIVITY\n"), body, F.lit("\nTOTAL DEBITS $0.00"))
+    return each.select("doc_id", F.inline(sides)).where(F.size("x") > 0).select("doc_id", "extractor", text.alias("text"), F.lit("2001-01").alias("month"))
 
 
 @query(f"""with lines as (select cast(o_custkey as varchar) as doc_id, {RAW} as txn_date_raw, {VALUE} as value, case when o_orderkey % 4 = 1 then 'Income' else 'Expense' end as type, o_orderkey

@@ -40,18 +40,17 @@ def parse_month(texts: DataFrame, settings: Settings, cache: DataFrame | None =
     that only one could read come from that one. Transfers by their words and noise are left out.
     txn_id tells equal purchases apart and follows the order of documents, dates and lines.
     """
-    about = texts.groupBy("doc_id").agg(F.max_by("text", F.length("text")).alias("text"), F.max("month").alias("month")).select(
-        "doc_id", "month", statements.bank_name(F.col("text")).alias("statement"), (~statements.is_credit_card(F.col("text"))).alias("is_bank_account")
-    )
-
-    def side(name: str) -> DataFrame:
-        rows = statements.parse_statements(texts.where(F.col("extractor") == name), settings.year, signed=not settings.strict, clean=False)
-        # The parser is one large expression: filters pushed into it would repeat it.
-        return stash(rows, f"parsed-{name}")
-
-    rows = reconcile.reconcile(side("A"), side("B"), keys=("doc_id", "txn_date_raw"), order="line_no", carry=("line_no", "txn_date", "debits", "credits", "balance"))
-    rows = rows.where(F.coalesce("amount", "debits", "credits").isNotNull())
-    rows = stash(merchants.clean_names(rows, cache, settings.provider, holders=settings.holders).withColumn("place", clean_place(F.col("place"))), "cleaned")
+    texts = stash(texts.select("doc_id", "extractor", "text", "month"), "texts")  # several steps read them
+    bank = F.struct(statements.bank_name(F.col("text")).alias("statement"), (~statements.is_credit_card(F.col("text"))).alias("is_bank_account"))
+    about = texts.groupBy("doc_id").agg(F.max_by(bank, F.length("text")).alias("bank"), F.max("month").alias("month")).select("doc_id", "month", "bank.*")
+    # Parsing takes far longer than reading, and files are few and small: several tasks a core keep all cores at work to the end.
+    spread = texts.where(F.col("extractor").isin("A", "B")).repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "doc_id", "extractor")
+    # The parser is one large expression: filters pushed into it would repeat it.
+    parsed = stash(statements.parse_statements(spread, settings.year, signed=not settings.strict, clean=False, carry=("extractor",)), "parsed")
+    a, b = (parsed.where(F.col("extractor") == name).drop("extractor") for name in "AB")
+    rows = reconcile.reconcile(a, b, keys=("doc_id", "txn_date_raw"), order="line_no", carry=("line_no", "txn_date", "debits", "credits", "balance"))
+    rows = stash(rows.where(F.coalesce("amount", "debits", "credits").isNotNull()), "reconciled")  # read for its names, and then for its rows
+    rows = merchants.clean_names(rows, cache, settings.provider, holders=settings.holders, then=clean_place)
     rows = rows.join(about, "doc_id").where(~transfers.is_transfer(F.col("place_original"), F.col("place"), settings.transfers))
     if settings.adviser is not None:
         rows = classify.ask_kinds(stash(rows, "unasked"), settings.adviser, settings.income, settings.strict)
