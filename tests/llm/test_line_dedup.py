@@ -61,6 +61,36 @@ def test_crowded_keys_agree_with_brute_force(spark, edits):
     assert 0 < len(near) < len(firsts)
 
 
+@pytest.mark.parametrize("edits", [1, 2, 3, 4])
+def test_lengths_about_the_ends_of_classes_agree_with_brute_force(spark, edits):
+    rng = random.Random(edits)
+    firsts = {}
+    for n in (15, 16, 30, 32, 34, 63, 64, 66, 128, 129, 256, 287, 288):
+        base = "".join(rng.choice("abcdefghijé ") for _ in range(n))
+        for line in {base, *(changed(rng, base, rng.randrange(1, edits + 2)) for _ in range(12))}:
+            firsts[line] = rng.randrange(1 << 40)
+    df = spark.createDataFrame([(line, (i, i)) for line, i in firsts.items()], "line string, first struct<doc_id:long,at:long>").repartition(4)
+    near = {i for line, i in firsts.items() for other, before in firsts.items() if before < i and abs(len(line) - len(other)) <= edits and distance(line, other) <= edits}
+    assert {r["first"]["at"] for r in line_dedup.near_lines(df, edits).collect()} == near
+    assert 0 < len(near) < len(firsts)
+
+
+def test_a_line_has_few_keys(spark, monkeypatch):
+    """With two edits, three keys in the index and little more than four that it looks up, whatever the shorter line's length."""
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("abcdefghijklmnop ") for _ in range(n)) for n in range(64, 464)]
+    seen, meetings = [], line_dedup._meetings
+
+    def counted(index, lookup, *args, **named):
+        seen.append((index.count(), lookup.count()))
+        return meetings(index, lookup, *args, **named)
+
+    monkeypatch.setattr(line_dedup, "_meetings", counted)
+    df = spark.createDataFrame([(line, (i, i)) for i, line in enumerate(lines)], "line string, first struct<doc_id:long,at:int>")
+    assert line_dedup.near_lines(df, 2).count() == 0
+    assert seen[0][0] == 3 * len(lines) and seen[0][1] < 5 * len(lines)
+
+
 def test_rows_that_repeat_an_id_with_other_texts(spark):
     rows = [(1, "this is the one line that others repeat"), (2, "this is the one line that others repeat!"), (2, "a wholly different and unique line of text\nand one more that is its own"), (2, "a third text that has nothing to do with these")]
     rows += [(3, "the first of two equal rows of text"), (3, "the first of two equal rows of text")]

@@ -6,13 +6,18 @@ at least near_chars whose first place comes after that of another such line with
 insertions, deletions and substitutions goes as well. In shorter lines so few edits make
 another word or number, so these are only compared for equality.
 
-To find those pairs, a line of length l is cut into edits + 1 even segments. If two lines are
-within reach, the longer one holds some segment of the shorter one unchanged, and it begins
-where the segment does, give or take as many places as edits can lie before and after it. Each
-line therefore has edits + 1 index keys (its segments, by length and number) and looks up the
-substrings of the right lengths and places for each shorter length. Pairs that share a key
-are verified by an edit distance whose states are bits: for each number of errors so far a
-band of 2 * edits + 1 places of the other line, all moved by one step per character.
+To find those pairs, each line has edits + 1 segments, which are as long as if the line had
+the least length of its class; lines of about the same length are one class, an eighth of
+their length wide at most. Segments of the first half count their places from the line's
+start, the others from its end. If two lines are within reach, the longer one holds some
+segment of the shorter one unchanged, and it begins where the segment does, give or take as
+many places as edits can lie before it, or after it. Each line therefore has edits + 1 index
+keys (its segments, by class and number) and looks up the substrings at those places for its
+own class and, where it is up to `edits` longer than the lines of a lower one, for that. So
+the first segment is one key whatever the other line's length, and so is the last. Pairs that
+share a key and are near in length are verified by an edit distance whose states are bits:
+for each number of errors so far a band of 2 * edits + 1 places of the other line, all moved
+by one step per character.
 
 Lines that differ in a few words share long segments, and all pairs of a group of such lines
 would be verified. A key that more than `crowd` lines have in the index is therefore not
@@ -75,24 +80,45 @@ def _bounds(size: Column, i: int | Column, parts: int) -> tuple[Column, Column]:
     return start.cast("int"), (end - start).cast("int")
 
 
-def _key(start: Column, length: Column, size: Column, i: int) -> Column:
-    return F.xxhash64(_cut(start, length), size, F.lit(i))
+def _least(size: Column) -> Column:
+    """The least length in the class of lines of this length."""
+    width = reduce(lambda w, n: F.when(size < n, n // 16).otherwise(w), (256, 128, 64, 32, 16), F.lit(32))
+    return size - size % width
 
 
-def _index_keys(edits: int) -> Column:
-    size = _size()
-    return F.array(*[_key(*_bounds(size, i, edits + 1), size, i) for i in range(edits + 1)])
+def _from_start(i: int, edits: int) -> bool:
+    return 2 * i <= edits
 
 
-def _lookup_keys(edits: int) -> Column:
-    keys = []
-    for less in range(edits + 1):
-        size = _size() - less
-        for i in range(edits + 1):
-            start, length = _bounds(size, i, edits + 1)
-            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
-                keys.append(_key(start + shift, length, size, i))
-    return F.array(*keys)
+def _shifts(i: int, edits: int) -> range:
+    """How far segment i may have moved in the longer line, from the end of the line it counts from.
+
+    Some segment i is unchanged with i edits before it and edits - i after it at most. Of lines
+    of one length each looks up the other, so one may take the order in which an insertion comes
+    before any deletion. Then m places down from the start take 2 * m + 1 edits at least: m to
+    come up again, and one more.
+    """
+    if _from_start(i, edits):
+        return range(-min(i, edits - i, (edits - 1) // 2), i + 1)
+    return range(-min(i, edits - i), edits - i + 1)
+
+
+def _with_keys(wide: DataFrame, edits: int, lookup: bool) -> DataFrame:
+    """A row (id, size, key) for each segment of a line, or for each place where it looks for one of a line that isn't longer.
+
+    Steps are columns of their own: one expression for all keys is too long to be compiled."""
+    parts = edits + 1
+    lows = F.array_distinct(F.array(*[_least(F.col("size") - less) for less in range(edits + 1 if lookup else 1)]))
+    cut = wide.select("id", "wide", _size().alias("size")).withColumn("low", F.explode(lows))
+    cut = cut.select("id", "wide", "size", "low", *[F.expr(f"cast(low * {i} div {parts} as int)").alias(f"cut{i}") for i in range(parts + 1)])
+
+    def key(i: int, shift: int) -> Column:
+        start = F.col(f"cut{i}")
+        place = start + shift if _from_start(i, edits) else F.col("size") - F.col("low") + start - shift
+        return F.xxhash64(_cut(place, F.col(f"cut{i + 1}") - start), "low", F.lit(i))
+
+    keys = F.array(*[key(i, shift) for i in range(parts) for shift in (_shifts(i, edits) if lookup else (0,))])
+    return cut.select("id", "size", keys.alias("keys")).select("id", "size", F.explode("keys").alias("key"))
 
 
 def _choices(edits: int, matched: int) -> list[tuple[int, ...]]:
@@ -206,7 +232,7 @@ def _band(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(apart) <= edits) & (F.call_function("shiftright", let(F.split(a, ""), ends), apart + edits).bitwiseAND(F.lit(1)) == 1)
 
 
-def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent: int, hashed: bool, near: Column | None = None) -> tuple[DataFrame, DataFrame | None]:
+def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent: int, hashed: bool, near: Column) -> tuple[DataFrame, DataFrame | None]:
     """Pairs (id, other) that share a key which isn't crowded, and the ids at crowded ones (None if there are none).
 
     To a lookup, a crowded key is one row without an id."""
@@ -217,8 +243,7 @@ def _meetings(index: DataFrame, lookup: DataFrame, crowd: int | None, most_sent:
             crowded = F.broadcast(hot) if n <= most_sent else hot
             in_crowds = index.join(crowded, "key", "left_semi").select("id")
             index = index.join(crowded, "key", "left_anti").unionByName(hot.select("key"), allowMissingColumns=True)
-    fits = F.col("id") != F.col("other")
-    fits = F.col("id").isNull() | (fits if near is None else fits & near)
+    fits = F.col("id").isNull() | ((F.col("id") != F.col("other")) & near)
     # No key has many rows of the index (but at the last level), so small partitions of it fit hash tables.
     met = stash(lookup.join(index.hint("shuffle_hash") if hashed and crowd is not None else index, "key").where(fits).select("id", "other").distinct(), "line-pairs")
     pairs = met.where("id is not null")
@@ -238,9 +263,10 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
 
     named = lines.withColumn("id", F.xxhash64("line"))
     wide = named.select("id", _wide(F.col("line")))
-    index = wide.select("id", F.explode(_index_keys(edits)).alias("key"))
-    lookup = wide.select(F.col("id").alias("other"), F.explode(_lookup_keys(edits)).alias("key"))
-    pairs, dense = _meetings(index, lookup, crowd if len(_choices(edits, MATCHED[0])) <= MOST_KEYS else None, most_sent, hashed)
+    index = stash(_with_keys(wide, edits, False), "line-index")
+    lookup = _with_keys(wide, edits, True).withColumnsRenamed({"id": "other", "size": "other_size"})
+    alike = F.abs(F.col("size") - F.col("other_size")) <= edits
+    pairs, dense = _meetings(index, lookup, crowd if len(_choices(edits, MATCHED[0])) <= MOST_KEYS else None, most_sent, hashed, alike)
     levels = [m for m in MATCHED if len(_choices(edits, m)) <= MOST_KEYS]
     for matched in levels:
         if dense is None:
@@ -253,7 +279,7 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
         near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 4 * edits
         more, dense = _meetings(index, lookup, crowd if matched != levels[-1] else None, most_sent, False, near)
         pairs = pairs.unionByName(more)
-    pairs = pairs.distinct()
+    pairs = pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     found = of(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "line-wanted")
     both = (
         pairs.join(found.select("id", F.col("line").alias("a"), F.col("first").alias("first_a")), "id")
