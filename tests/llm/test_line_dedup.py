@@ -91,6 +91,54 @@ def test_a_line_has_few_keys(spark, monkeypatch):
     assert seen[0][0] == 3 * len(lines) and seen[0][1] < 5 * len(lines)
 
 
+def crowded_by(crowds: list, meetings=line_dedup._meetings):
+    """_meetings with these bounds on crowds, one for each level."""
+    left = list(crowds)
+    return lambda index, lookup, crowd, *args: meetings(index, lookup, left.pop(0), *args)
+
+
+@pytest.mark.parametrize("edits, crowds", [(1, (0, None)), (2, (0, None)), (2, (0, 0, None)), (3, (0, None)), (3, (0, 0, None)), (4, (0, None))])
+def test_each_level_of_finer_keys_finds_all_pairs(spark, monkeypatch, edits, crowds):
+    """All keys of the levels before are crowded, so that one level has to find every pair, across classes of lengths too."""
+    rng = random.Random(edits)
+    firsts = {}
+    for n in (21, 30, 33, 64, 66, 129):
+        base = "".join(rng.choice("abcé ") for _ in range(n))
+        for line in {base, *(changed(rng, base, rng.randrange(1, edits + 2)) for _ in range(30))}:
+            firsts[line] = rng.randrange(1 << 40)
+    df = spark.createDataFrame([(line, (i, i)) for line, i in firsts.items()], "line string, first struct<doc_id:long,at:long>").repartition(4)
+    near = {i for line, i in firsts.items() for other, before in firsts.items() if before < i and abs(len(line) - len(other)) <= edits and distance(line, other) <= edits}
+    monkeypatch.setattr(line_dedup, "_meetings", crowded_by(crowds))
+    assert {r["first"]["at"] for r in line_dedup.near_lines(df, edits).collect()} == near
+    assert 0 < len(near) < len(firsts)
+
+
+def test_the_rows_of_a_crowd_grow_with_its_lines(spark, monkeypatch):
+    """One line with four characters put in somewhere: twice the copies make twice the keys, and few of their pairs agree in their signatures."""
+    rng = random.Random(6)
+    base = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300))
+    copies = list({base[:at] + "".join(rng.choice("qrstuvwxyz") for _ in range(4)) + base[at:] for at in (rng.randrange(300) for _ in range(400))})
+    meetings = line_dedup._meetings
+
+    def rows(n: int) -> list[tuple[int, int, int]]:
+        seen = []
+
+        def counted(index, lookup, *args, **named):
+            pairs, dense = meetings(index, lookup, *args, **named)
+            seen.append((index.count(), lookup.count(), pairs.count()))
+            return pairs, dense
+
+        monkeypatch.setattr(line_dedup, "_meetings", counted)
+        df = spark.createDataFrame([(line, (i, i)) for i, line in enumerate(copies[:n])], "line string, first struct<doc_id:long,at:int>")
+        line_dedup.near_lines(df, 2).count()
+        return seen
+
+    for n, seen in ((150, rows(150)), (300, rows(300))):
+        assert [index for index, _, _ in seen] == [3 * n, 6 * n, 10 * n]
+        assert seen[1][1] <= 24 * n and seen[2][1] <= 42 * n
+        assert seen[1][2] + seen[2][2] <= n * n // 20
+
+
 def test_rows_that_repeat_an_id_with_other_texts(spark):
     rows = [(1, "this is the one line that others repeat"), (2, "this is the one line that others repeat!"), (2, "a wholly different and unique line of text\nand one more that is its own"), (2, "a third text that has nothing to do with these")]
     rows += [(3, "the first of two equal rows of text"), (3, "the first of two equal rows of text")]

@@ -23,11 +23,15 @@ Lines that differ in a few words share long segments, and all pairs of a group o
 would be verified. A key that more than `crowd` lines have in the index is therefore not
 joined; the lines that meet there are compared by finer keys instead: cut into edits + 2
 segments, two of which a pair within reach has unchanged, and where those are crowded too,
-into edits + 3, of which three are. The last keys are joined whatever their size, so that no
-pair is lost. Pairs of finer keys also have to agree in a signature, the parities of 64
-classes of neighbouring characters, of which one edit changes four at most; the join drops
-pairs that differ in more. So the rows made grow with the lines, but for those that differ
-from each other in one or two places only; there the join still looks at each pair's signatures.
+into edits + 3, of which three are. The number of finer keys of a line has a bound that
+doesn't depend on the others: with two edits 6 and then 10 in the index, 24 and then 42 that
+it looks up (the first less where it is inside a class). The last keys are joined whatever
+their size, so that no pair is lost, and each length has its own. Pairs of finer keys also
+have to agree in a signature: the parities of 256 classes of neighbouring characters, of which
+one edit changes four at most, and of 64 classes of characters, of which it changes two; the
+join drops pairs that differ in more. So the rows made grow with the lines, but for those that
+differ from each other in one or two places only; there the join still looks at each pair's
+signatures, and emits the few per cent that agree.
 
 Only keys and line hashes are dealt out for the join. A line's text is fetched for pairs that
 share a key, by sending the hashes to the lines as long as they are few (`most_sent`), and by
@@ -44,7 +48,7 @@ of those hashes; no documents give no rows; other columns stay.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cache, reduce
 from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame
@@ -121,46 +125,81 @@ def _with_keys(wide: DataFrame, edits: int, lookup: bool) -> DataFrame:
     return cut.select("id", "size", keys.alias("keys")).select("id", "size", F.explode("keys").alias("key"))
 
 
+@cache
 def _choices(edits: int, matched: int) -> list[tuple[int, ...]]:
     """(length less, segment, shift, segment, shift, ...) of all keys by which a line finds shorter or equal ones.
 
-    Of edits + matched segments some `matched` are unchanged. The shift of each is what edits
-    before it have added up to, so that all the ups and downs of the shifts are edits; an edit
-    between two segments belongs to the later one, or to the last.
+    Of edits + matched segments some `matched` are unchanged, and they can be chosen so that between
+    two of them, before the first and after the last there are no more edits than segments: where
+    some segments hold more edits than one each, those next to them are left out as well. An edit
+    between two segments belongs to the later one, or to the last. The shift of a segment is what
+    edits before it have added up to. Of lines of one length each finds the other, so the first
+    shift may be taken as one down only where an insertion and a deletion have gone before.
     """
     parts, found = edits + matched, []
     for less in range(edits + 1):
         for chosen in combinations(range(parts), matched):
             for shifts in product(range(-edits, edits + 1), repeat=matched):
-                path = (0, *shifts, less)
-                moved = sum(abs(y - x) for x, y in zip(path, path[1:]))
-                rigid = all(x == y for i, j, x, y in zip(chosen, chosen[1:], shifts, shifts[1:]) if j == i + 1)
-                if moved <= edits and rigid and (chosen[0] > 0 or shifts[0] == 0) and (chosen[-1] < parts - 1 or shifts[-1] == less):
+                path, at = (0, *shifts, less), (-1, *chosen, parts)
+                moves = [abs(y - x) for x, y in zip(path, path[1:])]
+                down = less == 0 and next((s for s in shifts if s), 0) < 0
+                if all(m <= j - i - 1 for m, i, j in zip(moves, at, at[1:])) and sum(moves) + 2 * down <= edits:
                     found.append((less, *(x for pair in zip(chosen, shifts) for x in pair)))
     return found
 
 
-def _finer_keys(choices: list[tuple[int, ...]], parts: int) -> Column:
+def _finer_keys(signed: DataFrame, edits: int, matched: int, classes: bool, lookup: bool) -> DataFrame:
+    """signed with a row for each key of a line, or for each by which it finds lines that aren't longer.
+
+    The segments have the places that they have in the shortest line of the class (each length is
+    one unless `classes`), the last counted from the line's end; edits in between belong to it."""
+    parts, least = edits + matched, _least if classes else (lambda size: size)
+    by_key: dict[tuple[int, ...], int] = {}
+    for less, *c in _choices(edits, matched):
+        c = tuple(0 if n % 2 and c[n - 1] == parts - 1 else x for n, x in enumerate(c))
+        if lookup or not any(c[1::2]):
+            by_key[c] = by_key.get(c, 0) | 1 << less
+    names = [f"{x}{n}" for n in range(matched) for x in "is"]
+    choices = F.array(*[F.struct(F.lit(mask).alias("lesses"), *[F.lit(v).alias(k) for k, v in zip(names, c)]) for c, mask in by_key.items()])
+    low = F.col("low")
+
     def key(c: Column) -> Column:
-        size, cuts = _size() - c["less"], []
-        for n in range((len(choices[0]) - 1) // 2):
-            i, shift = c[f"i{n}"], c[f"s{n}"]
-            start, length = _bounds(size, i, parts)
-            cuts += [_cut(start + shift, length), i]
-        return F.xxhash64(*cuts, size)
+        cuts = []
+        for n in range(matched):
+            start, length = _bounds(low, c[f"i{n}"], parts)
+            end = F.when(c[f"i{n}"] == parts - 1, F.col("size") - low).otherwise(0)
+            cuts += [_cut(start + c[f"s{n}"] + end, length), c[f"i{n}"]]
+        return F.xxhash64(*cuts, low)
 
-    names = ["less", *(f"{x}{n}" for n in range((len(choices[0]) - 1) // 2) for x in "is")]
-    return F.array_distinct(F.transform(F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, c)]) for c in choices]), key))
+    reach = range(edits + 1 if lookup else 1)
+    each = signed.withColumn("low", F.explode(F.array_distinct(F.array(*[least(F.col("size") - less) for less in reach]))))
+    lesses = reduce(lambda x, y: x.bitwiseOR(y), [F.when(least(F.col("size") - less) == low, 1 << less).otherwise(0) for less in reach])
+    fitting = let(lesses, lambda x: F.filter(choices, lambda c: c["lesses"].bitwiseAND(x) != 0))
+    return each.withColumn("key", F.explode(F.array_distinct(F.transform(fitting, key)))).drop("low", "wide")
 
 
 def _signature(line: Column) -> Column:
-    """Parities of 64 classes of neighbouring characters; an edit changes four at most."""
+    """Parities of 256 classes of neighbouring characters (pairs) and of 64 classes of characters (ones)."""
+
+    def flip(bits: Column, one: Column, words: int) -> Column:
+        bit, word = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(one, F.lit(64)).cast("int")), F.pmod(F.shiftright(one, 6), F.lit(words))
+        return F.struct(*[bits[f"w{n}"].bitwiseXOR(F.when(word == n, bit).otherwise(0)).alias(f"w{n}") for n in range(words)])
+
+    def parities(hashes: Column, words: int) -> Column:
+        none = F.struct(*[F.lit(0).cast("long").alias(f"w{n}") for n in range(words)])
+        return F.aggregate(hashes, none, lambda bits, one: flip(bits, one, words))
+
+    def both(x: Column) -> Column:
+        pairs = F.transform(x, lambda c, i: F.xxhash64(c, F.coalesce(F.get(x, i + 1), F.lit(""))))
+        return F.struct(parities(pairs, 4).alias("pairs"), parities(F.transform(x, lambda c: F.xxhash64(c)), 1)["w0"].alias("ones"))
+
+    return let(F.split(line, ""), both)
 
-    def flip(bits: Column, one: Column) -> Column:
-        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(one, F.lit(64)).cast("int")))
 
-    pairs = let(F.split(line, ""), lambda x: F.transform(x, lambda c, i: F.xxhash64(c, F.coalesce(F.get(x, i + 1), F.lit("")))))
-    return F.aggregate(pairs, F.lit(0).cast("long"), flip)
+def _may_be_near(a: Column, b: Column, edits: int) -> Column:
+    """False only if signature b is out of reach: an edit changes four parities of pairs and two of characters at most."""
+    pairs = [F.bit_count(a["pairs"][f"w{n}"].bitwiseXOR(b["pairs"][f"w{n}"])) for n in range(4)]
+    return (F.bit_count(a["ones"].bitwiseXOR(b["ones"])) <= 2 * edits) & (reduce(lambda x, y: x + y, pairs) <= 4 * edits)
 
 
 def _common_start(a: Column, b: Column) -> Column:
@@ -271,13 +310,12 @@ def near_lines(lines: DataFrame, edits: int, most_sent: int = 500_000, crowd: in
     for matched in levels:
         if dense is None:
             break
-        signed = of(dense, "line-crowd").select("id", _wide(F.col("line")), _signature(F.col("line")).alias("bits"))
-        choices, parts = _choices(edits, matched), edits + matched
-        own = [(0, *(x for i in chosen for x in (i, 0))) for chosen in combinations(range(parts), matched)]
-        index = signed.select("id", "bits", F.explode(_finer_keys(own, parts)).alias("key"))
-        lookup = signed.select(F.col("id").alias("other"), F.col("bits").alias("other_bits"), F.explode(_finer_keys(choices, parts)).alias("key"))
-        near = F.bit_count(F.col("bits").bitwiseXOR(F.col("other_bits"))) <= 4 * edits
-        more, dense = _meetings(index, lookup, crowd if matched != levels[-1] else None, most_sent, False, near)
+        signed = of(dense, "line-crowd").select("id", _wide(F.col("line")), _signature(F.col("line")).alias("bits")).withColumn("size", _size())
+        last = matched == levels[-1]
+        index = _finer_keys(signed, edits, matched, not last, False)
+        lookup = _finer_keys(signed, edits, matched, not last, True).withColumnsRenamed({"id": "other", "size": "other_size", "bits": "other_bits"})
+        near = alike & _may_be_near(F.col("bits"), F.col("other_bits"), edits)
+        more, dense = _meetings(index, lookup, None if last else crowd, most_sent, False, near)
         pairs = pairs.unionByName(more)
     pairs = pairs.select(F.least("id", "other").alias("id"), F.greatest("id", "other").alias("other")).distinct()
     found = of(pairs.select("id").unionByName(pairs.select(F.col("other").alias("id"))).distinct(), "line-wanted")
